@@ -45,25 +45,25 @@ def running_sum(
     )
 
 
-def latest_value(
+def latest_values(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    value: Column,
-    out: str,
+    values: dict[str, Column],
     slice_ms: int,
     include_current: bool = True,
 ) -> DataFrame:
-    """Last non-null ``value`` of the key up to this row (or strictly before it).
+    """For each named value, its last non-null occurrence in the key up to this row (or strictly before).
 
     ``order`` starts with the time column. Key columns must not be null.
     """
-    rows = with_slice(df, slice_ms, order[0]).withColumn("_v", value)
+    rows = with_slice(df, slice_ms, order[0]).withColumns({f"_v_{n}": v for n, v in values.items()})
+    place = F.struct(*order)
     per_slice = rows.groupBy(*keys, SLICE).agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_v")
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_v_{n}") for n in values]
     )
     carried = per_slice.select(
-        *keys, SLICE, F.last("_v", ignorenulls=True).over(_before(keys)).alias("_carried")
+        *keys, SLICE, *[F.last(f"_v_{n}", ignorenulls=True).over(_before(keys)).alias(f"_c_{n}") for n in values]
     )
     inside = (
         Window.partitionBy(*keys, SLICE)
@@ -71,13 +71,24 @@ def latest_value(
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
     return (
-        rows.withColumn("_inside", F.last("_v", ignorenulls=True).over(inside))
+        rows.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
         .join(carried, [*keys, SLICE])
-        .withColumn(out, F.coalesce("_inside", "_carried"))
-        .drop("_v", "_inside", "_carried", SLICE)
+        .select(*df.columns, *[F.coalesce(f"_i_{n}", f"_c_{n}").alias(n) for n in values])
     )
 
 
+def latest_value(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: Column,
+    out: str,
+    slice_ms: int,
+    include_current: bool = True,
+) -> DataFrame:
+    return latest_values(df, keys, order, {out: value}, slice_ms, include_current)
+
+
 def as_of(
     left: DataFrame,
     right: DataFrame,
