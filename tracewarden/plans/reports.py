@@ -44,7 +44,7 @@ def list_findings(
         out = out.filter(F.col("status") == status)
     elif not include_ignored:
         out = out.filter(F.col("status") == "open")
-    return out.orderBy(F.desc("ts"), F.desc("id")).limit(limit if limit > 0 else DEFAULT_FINDINGS)
+    return out.orderBy(F.desc("ts"), F.desc("seq"), "rule_id").limit(limit if limit > 0 else DEFAULT_FINDINGS)
 
 
 def recent_finding_exists(findings: DataFrame, keys: DataFrame, since_ms: int) -> DataFrame:

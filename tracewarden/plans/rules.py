@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,18 @@ from tracewarden.params import Params
 from tracewarden.schemas import EVIDENCE
 from tracewarden.session import cut_lineage
 
+
+@dataclass(frozen=True)
+class Increment:
+    """Restricts a run to hits after ``after_ts``, given the findings emitted up to then.
+
+    Tables then hold the new rows plus the history the windows look back on.
+    """
+
+    after_ts: int
+    emitted: DataFrame
+
+
 # Rule names.
 UNKNOWN_DOMAIN = "egress.unknown_domain"
 VOLUME_SPIKE = "egress.volume_spike"
@@ -48,22 +62,35 @@ def evidence_item(ts: Column, kind: Column | str, summary: Column, detail: Colum
     )
 
 
-def _findings(
-    hits: DataFrame,
-    rule_id: Column | str,
-    severity: Column | str,
-    title: Column,
-    detail: Column,
-    dedupe_key: Column,
-    evidence: Column,
+def _keep(
+    hits: DataFrame, rule_id: str, dedupe_key: Column, window_ms: int, params: Params, run: Increment | None
 ) -> DataFrame:
-    rule = F.lit(rule_id) if isinstance(rule_id, str) else rule_id
+    """Hits that survive suppression per (agent, dedupe key); adds ``rule_id`` and ``dedupe_key``.
+
+    In an incremental run the last emitted finding of each key takes part as its first hit.
+    """
+    keyed = hits.withColumns({"rule_id": F.lit(rule_id), "dedupe_key": dedupe_key.cast("string")})
+    keys = ["rule_id", "agent_id", "dedupe_key"]
+    if run is None:
+        return suppress_repeats(keyed, keys, window_ms, params.hot_group_rows)
+    fresh = keyed.filter(F.col("ts") > run.after_ts).withColumn("_seed", F.lit(False))
+    latest = F.max(F.struct("ts", "seq")).alias("_at")
+    seeds = (
+        run.emitted.filter((F.col("rule_id") == rule_id) & (F.col("ts") > run.after_ts - window_ms))
+        .groupBy(*keys).agg(latest)
+        .select(*keys, "_at.ts", "_at.seq", F.lit(True).alias("_seed"))
+    )
+    both = fresh.unionByName(seeds, allowMissingColumns=True)
+    return suppress_repeats(both, keys, window_ms, params.hot_group_rows).filter(~F.col("_seed")).drop("_seed")
+
+
+def _findings(hits: DataFrame, severity: Column | str, title: Column, detail: Column, evidence: Column) -> DataFrame:
     rank = F.lit(rank_of(severity)) if isinstance(severity, str) else severity
     shaped = hits.select(
-        "ts", rule.alias("rule_id"), rank.cast("int").alias("severity"), title.alias("title"),
+        "ts", "rule_id", rank.cast("int").alias("severity"), title.alias("title"),
         detail.alias("detail"), "agent_id", F.col("pid").cast("bigint").alias("pid"),
         evidence.cast(f"array<{EVIDENCE}>").alias("evidence"), F.lit("open").alias("status"),
-        dedupe_key.cast("string").alias("dedupe_key"), "seq",
+        "dedupe_key", "seq",
     )
     # a repeatable id, so that re-running a job over the same rows writes the same findings
     return shaped.select(
@@ -75,7 +102,11 @@ def _findings(
 
 
 def rule_unknown_domain(
-    connections: DataFrame, profiles: DataFrame, params: Params, allow_ips: DataFrame | None = None
+    connections: DataFrame,
+    profiles: DataFrame,
+    params: Params,
+    allow_ips: DataFrame | None = None,
+    run: Increment | None = None,
 ) -> DataFrame:
     """Connections to public addresses outside every allow list."""
     ip = F.col("remote_ip")
@@ -88,49 +119,51 @@ def rule_unknown_domain(
     unknown = flagged.filter(~F.col("allowed")).select(
         "agent_id", "remote_ip", "ts", "seq", "pid", "remote_addr", "remote_host"
     )
-    hits = suppress_repeats(unknown, ["agent_id", "remote_ip"], params.repeat_ms, params.hot_group_rows)
+    hits = _keep(unknown, UNKNOWN_DOMAIN, _text(F.col("agent_id"), "|", ip), params.repeat_ms, params, run)
     label = F.coalesce("remote_host", "remote_addr")
     return _findings(
-        hits, UNKNOWN_DOMAIN, "low",
+        hits, "low",
         _text(F.col("agent_id"), " connected to ", label, " outside its allow list"),
         _text(F.col("remote_addr"), " is on neither the agent's nor the global allow list"),
-        _text(F.col("agent_id"), "|", ip),
         F.array(evidence_item(F.col("ts"), "connection", _text("connected to ", F.col("remote_addr")))),
     )
 
 
-def volume_spikes(volumes: DataFrame, params: Params) -> DataFrame:
+def volume_spikes(volumes: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
     """Suppressed hits of the spike rule, before destinations are looked up."""
     rolled = rolling_volume(
         volumes.select("agent_id", "ts", "seq", "pid", "bytes_out"), params.volume_spike_window_ms, params.slice_ms
     )
     over = rolled.filter(F.col("total_out") >= params.volume_spike_bytes).drop("bytes_out")
-    return suppress_repeats(over, ["agent_id"], params.alert_repeat_ms, params.hot_group_rows)
+    return _keep(over, VOLUME_SPIKE, F.col("agent_id"), params.alert_repeat_ms, params, run)
 
 
-def rule_volume_spike(volumes: DataFrame, connections: DataFrame, params: Params) -> DataFrame:
+def rule_volume_spike(
+    volumes: DataFrame, connections: DataFrame, params: Params, run: Increment | None = None
+) -> DataFrame:
     """Upload volume of an agent within the window reaches the threshold."""
     hits = window_destinations(
-        volume_spikes(volumes, params), connections, params.volume_spike_window_ms,
+        volume_spikes(volumes, params, run), connections, params.volume_spike_window_ms,
         params.destination_tail, params.destination_top,
     )
     size = format_bytes(F.col("total_out"))
     upload = evidence_item(F.col("ts"), "upload", _text("sent ", size, " within the window"))
     peers = F.transform("destinations", lambda d: evidence_item(F.col("ts"), "destination", d))
     return _findings(
-        hits, VOLUME_SPIKE, "medium",
+        hits, "medium",
         _text(F.col("agent_id"), " upload volume spike"),
         _text(
             size, f" sent within {params.volume_spike_window_ms // 60_000} min, threshold ",
             format_bytes(F.lit(params.volume_spike_bytes)),
             F.when(F.size("destinations") > 0, _text("; destinations: ", F.array_join("destinations", ", "))),
         ),
-        F.col("agent_id"),
         F.concat(F.array(upload), peers),
     )
 
 
-def rule_sensitive_payload(http: DataFrame, profiles: DataFrame, params: Params) -> DataFrame:
+def rule_sensitive_payload(
+    http: DataFrame, profiles: DataFrame, params: Params, run: Increment | None = None
+) -> DataFrame:
     """Secrets or source code sent to a telemetry host, or to a host outside the allow list."""
     sensitive = http.filter(F.col("class").isin("secret", "source_code")).withColumn(
         "agent_id", F.coalesce("agent_id", F.lit("unknown"))
@@ -139,12 +172,12 @@ def rule_sensitive_payload(http: DataFrame, profiles: DataFrame, params: Params)
     flagged = domain_allowed(flagged, "host", profiles, params.global_allowed_domains)
     columns = ["agent_id", "host", "ts", "seq", "pid", "method", "path", "class", "sample", "bytes_out", "telemetry"]
     leaks = flagged.filter(F.col("telemetry") | ~F.col("allowed")).select(*columns)
-    hits = suppress_repeats(leaks, ["agent_id", "host"], params.repeat_ms, params.hot_group_rows)
+    hits = _keep(leaks, SENSITIVE_PAYLOAD, F.col("host"), params.repeat_ms, params, run)
     what = F.when(F.col("class") == "secret", "credentials").otherwise("source code")
     to_telemetry = F.col("telemetry")
     size = F.when(F.col("bytes_out") > 0, format_bytes(F.col("bytes_out"))).otherwise("size unknown")
     return _findings(
-        hits, SENSITIVE_PAYLOAD,
+        hits,
         F.when(to_telemetry, rank_of("critical")).otherwise(rank_of("high")),
         _text(F.col("agent_id"), " sent ", what, F.when(to_telemetry, " to the telemetry host ").otherwise(" to "), F.col("host")),
         _text(
@@ -152,7 +185,6 @@ def rule_sensitive_payload(http: DataFrame, profiles: DataFrame, params: Params)
             " (", size, ")",
             F.when(to_telemetry, "; this host should only receive anonymous events").otherwise("; this host is not on the allow list"),
         ),
-        F.col("host"),
         F.array(
             evidence_item(
                 F.col("ts"), "http", _text(F.col("method"), " ", F.col("host"), F.col("path")),
@@ -178,15 +210,14 @@ def secret_reads(file_events: DataFrame, params: Params) -> DataFrame:
     return _reads(file_events, params).filter(kind == "secret")
 
 
-def rule_sensitive_read(file_events: DataFrame, params: Params) -> DataFrame:
+def rule_sensitive_read(file_events: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
     """Reads of credential files."""
     reads = secret_reads(file_events, params).drop("repo_root")
-    hits = suppress_repeats(reads, ["agent_id", "path"], params.repeat_ms, params.hot_group_rows)
+    hits = _keep(reads, SENSITIVE_READ, F.col("path"), params.repeat_ms, params, run)
     return _findings(
-        hits, SENSITIVE_READ, "medium",
+        hits, "medium",
         _text(F.col("agent_id"), " read a sensitive file"),
         _text(F.col("agent_id"), " read ", F.col("path")),
-        F.col("path"),
         F.array(evidence_item(F.col("ts"), "file-read", _text("read ", F.col("path")))),
     )
 
@@ -228,16 +259,17 @@ def _bulk_summary(params: Params) -> Column:
     )
 
 
-def rule_bulk_read(file_events: DataFrame, params: Params, bulk: DataFrame | None = None) -> DataFrame:
+def rule_bulk_read(
+    file_events: DataFrame, params: Params, bulk: DataFrame | None = None, run: Increment | None = None
+) -> DataFrame:
     """Many different files of one repository read within the window."""
     bulk = bulk_reads(file_events, params) if bulk is None else bulk
-    keys = ["agent_id", "repo_root"] if params.bulk_key == "repo" else ["agent_id", "distinct_paths"]
-    hits = suppress_repeats(bulk.drop("path"), keys, params.alert_repeat_ms, params.hot_group_rows)
+    key = F.col("repo_root" if params.bulk_key == "repo" else "distinct_paths")
+    hits = _keep(bulk.drop("path"), BULK_READ, key, params.alert_repeat_ms, params, run)
     return _findings(
-        hits, BULK_READ, "medium",
+        hits, "medium",
         _text(F.col("agent_id"), " read repository files in bulk"),
         _text(F.col("distinct_paths"), f" different files within {params.bulk_read_window_ms // 1000} s, possibly packing them"),
-        F.col("repo_root") if params.bulk_key == "repo" else F.col("distinct_paths"),
         F.array(evidence_item(F.col("ts"), "bulk-read", _bulk_summary(params), F.col("samples"))),
     )
 
@@ -299,13 +331,14 @@ def rule_exfil_chain(
     http: DataFrame | None,
     params: Params,
     signals: DataFrame | None = None,
+    run: Increment | None = None,
 ) -> DataFrame:
     """A read signal followed by a significant upload of the same agent."""
     # three branches below read the signals: compute them once
     signals = cut_lineage(read_signals(file_events, params)) if signals is None else signals
     gap = params.exfil_correlation_ms
     chained = correlate_exfil(signals, uploads(volumes, http, params), gap, params.slice_ms)
-    hits = suppress_repeats(chained, ["agent_id"], params.alert_repeat_ms, params.hot_group_rows)
+    hits = _keep(chained, EXFIL_CHAIN, F.col("agent_id"), params.alert_repeat_ms, params, run)
 
     # evidence: the first signals of the session the matched signal belongs to, up to the upload
     cells = session_cells(signals, gap)
@@ -325,10 +358,9 @@ def rule_exfil_chain(
     size = format_bytes(F.col("bytes_out"))
     step = evidence_item(F.col("ts"), F.col("kind"), _text("sent ", size, " within ", elapsed, " s of reading"))
     return _findings(
-        hits, EXFIL_CHAIN, "critical",
+        hits, "critical",
         _text(F.col("agent_id"), " may be exfiltrating: bulk or sensitive reads, then an upload"),
         _text("sensitive or bulk reads, then ", size, " sent within ", elapsed, " s; this is how packing and uploading looks"),
-        F.col("agent_id"),
         F.concat(reads, F.array(step)),
     )
 
@@ -336,12 +368,10 @@ def rule_exfil_chain(
 # --- artifacts ------------------------------------------------------------------------------
 
 
-def rule_artifacts(artifacts: DataFrame, params: Params) -> DataFrame:
-    """Findings of scanned artifacts; several rows of one (rule, agent, path) collapse."""
+def _artifact_rule(artifacts: DataFrame, rule_id: str, params: Params, run: Increment | None) -> DataFrame:
     if "seq" not in artifacts.columns:
         artifacts = artifacts.withColumn("seq", F.xxhash64("agent_id", "path", "kind", "detail"))
     kind = F.col("kind")
-    rule = F.when(kind == "unexpected_endpoint", UNEXPECTED_ENDPOINT).otherwise(HIDDEN_BLOB)
     severity = (
         F.when(kind == "hidden_blob", rank_of("medium"))
         .when(kind == "large_file", rank_of("info"))
@@ -353,50 +383,62 @@ def rule_artifacts(artifacts: DataFrame, params: Params) -> DataFrame:
         .when(kind == "data_dir_growth", "data directory grew unusually")
         .otherwise("endpoint outside the allow list in a configuration")
     )
-    rows = artifacts.withColumns({"rule_id": rule, "pid": F.lit(None).cast("bigint")})
-    hits = suppress_repeats(rows, ["rule_id", "agent_id", "path"], params.repeat_ms, params.hot_group_rows)
+    rows = artifacts.withColumn("pid", F.lit(None).cast("bigint"))
+    hits = _keep(rows, rule_id, F.col("path"), params.repeat_ms, params, run)
     summary = F.when(F.col("size") > 0, _text(F.col("path"), " (", format_bytes(F.col("size")), ")")).otherwise(F.col("path"))
     return _findings(
-        hits, F.col("rule_id"), severity,
+        hits, severity,
         _text(F.col("agent_id"), ": ", what),
         F.col("detail"),
-        F.col("path"),
         F.array(
             evidence_item(F.col("ts"), "artifact", summary, F.format_string("entropy %.2f", F.col("entropy").cast("double")))
         ),
     )
 
 
-def rule_hidden_blob(artifacts: DataFrame, params: Params) -> DataFrame:
-    return rule_artifacts(artifacts.filter(F.col("kind") != "unexpected_endpoint"), params)
+def rule_hidden_blob(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    """Findings of scanned files; several rows of one (agent, path) collapse."""
+    return _artifact_rule(artifacts.filter(F.col("kind") != "unexpected_endpoint"), HIDDEN_BLOB, params, run)
 
 
-def rule_unexpected_endpoint(artifacts: DataFrame, params: Params) -> DataFrame:
-    return rule_artifacts(artifacts.filter(F.col("kind") == "unexpected_endpoint"), params)
+def rule_unexpected_endpoint(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    """Findings of configured endpoints; several hosts in one file collapse."""
+    return _artifact_rule(artifacts.filter(F.col("kind") == "unexpected_endpoint"), UNEXPECTED_ENDPOINT, params, run)
+
+
+def rule_artifacts(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    return rule_hidden_blob(artifacts, params, run).unionByName(rule_unexpected_endpoint(artifacts, params, run))
 
 
 # --- everything -----------------------------------------------------------------------------
 
 
-def all_findings(tables: dict[str, DataFrame], profiles: DataFrame, params: Params) -> DataFrame:
+def all_findings(
+    tables: dict[str, DataFrame],
+    profiles: DataFrame,
+    params: Params,
+    run: Increment | None = None,
+    bulk: DataFrame | None = None,
+    signals: DataFrame | None = None,
+) -> DataFrame:
     """Every rule over every table; process rows give nothing. Missing tables are skipped."""
     connections, volumes = tables.get("connections"), tables.get("volumes")
     files, http, artifacts = tables.get("file_events"), tables.get("http_requests"), tables.get("artifacts")
     parts = []
     if connections is not None:
-        parts.append(rule_unknown_domain(connections, profiles, params, tables.get("allow_ips")))
+        parts.append(rule_unknown_domain(connections, profiles, params, tables.get("allow_ips"), run))
     if volumes is not None and connections is not None:
-        parts.append(rule_volume_spike(volumes, connections, params))
+        parts.append(rule_volume_spike(volumes, connections, params, run))
     if http is not None:
-        parts.append(rule_sensitive_payload(http, profiles, params))
+        parts.append(rule_sensitive_payload(http, profiles, params, run))
     if files is not None:
-        bulk = cut_lineage(bulk_reads(files, params))
-        parts += [rule_sensitive_read(files, params), rule_bulk_read(files, params, bulk)]
+        bulk = cut_lineage(bulk_reads(files, params)) if bulk is None else bulk
+        parts += [rule_sensitive_read(files, params, run), rule_bulk_read(files, params, bulk, run)]
         if volumes is not None:
-            signals = cut_lineage(read_signals(files, params, bulk))
-            parts.append(rule_exfil_chain(files, volumes, http, params, signals))
+            signals = cut_lineage(read_signals(files, params, bulk)) if signals is None else signals
+            parts.append(rule_exfil_chain(files, volumes, http, params, signals, run))
     if artifacts is not None:
-        parts.append(rule_artifacts(artifacts, params))
+        parts.append(rule_artifacts(artifacts, params, run))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -23,7 +23,7 @@ HTTP_RAW = (
 ARTIFACTS = "ts bigint, agent_id string, path string, size bigint, entropy float, kind string, detail string"
 FINDINGS = (
     "id bigint, ts bigint, rule_id string, severity int, title string, detail string, agent_id string, "
-    f"pid bigint, evidence array<{EVIDENCE}>, status string, dedupe_key string"
+    f"pid bigint, evidence array<{EVIDENCE}>, status string, dedupe_key string, seq bigint"
 )
 AGENTS = "id string, name string, vendor string, first_seen bigint, last_seen bigint"
 META = "k string, v string"
