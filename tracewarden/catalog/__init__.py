@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "reporting", "collection", "payloads", "streams"]
+MODULES = ["detection", "reporting", "collection", "scanning", "payloads", "streams"]
 
 
 def load() -> None:
