@@ -356,7 +356,7 @@ def allow_domain_list(spark, sf_dir):
 )
 def domain_allowed_large(spark, sf_dir):
     """Allow lists that grow with the data: matched by joins once they are too many to inline."""
-    flagged = J.domain_allowed(T.connections(spark, sf_dir), "remote_host", _page_profiles(spark, sf_dir), ())
+    flagged = J.domain_allowed(T.connections(spark, sf_dir), "remote_host", _page_profiles(spark, sf_dir), (), inline_patterns=0)
     return flagged.select("seq", "remote_host", "allowed")
 
 

@@ -21,7 +21,7 @@ from tracewarden.sources.inventory import entropy_of_file, ingest_file_inventory
 from tracewarden.telemetry import VIEW_PARAMS
 
 SCAN_TS = 1_706_745_600_000
-PARAMS = replace(VIEW_PARAMS, hidden_blob_bytes=3000, hidden_blob_entropy=4.6)
+PARAMS = replace(VIEW_PARAMS, hidden_blob_bytes=1500, hidden_blob_entropy=4.25)
 
 _DIRS = ["/cache", "/a/b/c", "", "/1/2/3/4/5/6/7/8/9", "/conf"]
 _ENDS = [".json", ".bin", ".zip", ".txt"]

@@ -239,19 +239,23 @@ def domain_allowed(
     profiles: DataFrame,
     global_domains: list[str] | tuple[str, ...],
     out: str = "allowed",
+    inline_patterns: int = INLINE_PATTERNS,
 ) -> DataFrame:
-    """Adds whether the host is on the global list or the agent's allowed or telemetry list."""
-    return _flag_hosts(rows, host_col, domain_patterns(profiles, global_domains), out)
+    """Adds whether the host is on the global list or the agent's allowed or telemetry list.
+
+    Up to ``inline_patterns`` patterns become constants of the plan, more are joined.
+    """
+    return _flag_hosts(rows, host_col, domain_patterns(profiles, global_domains), out, inline_patterns)
 
 
 def is_telemetry_domain(rows: DataFrame, host_col: str, profiles: DataFrame, out: str = "telemetry") -> DataFrame:
-    return _flag_hosts(rows, host_col, domain_patterns(profiles, [], telemetry_only=True), out)
+    return _flag_hosts(rows, host_col, domain_patterns(profiles, [], telemetry_only=True), out, INLINE_PATTERNS)
 
 
-def _flag_hosts(rows: DataFrame, host_col: str, patterns: DataFrame, out: str) -> DataFrame:
-    few = patterns.limit(INLINE_PATTERNS + 1).collect()
+def _flag_hosts(rows: DataFrame, host_col: str, patterns: DataFrame, out: str, inline_patterns: int) -> DataFrame:
+    few = patterns.limit(inline_patterns + 1).collect()
     host = normalize_host(F.col(host_col))
-    if len(few) <= INLINE_PATTERNS:
+    if len(few) <= inline_patterns:
         return rows.withColumn(out, F.coalesce(_inline_match(few, host), F.lit(False)))
     return _join_match(rows, host, patterns, out)
 
