@@ -1 +1,121 @@
-"""."""
+"""Streaming queries: the telemetry view is landed as files in time order and read as a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewarden import schemas
+from tracewarden import telemetry as T
+from tracewarden.catalog.detection import FINDING, http_requests, landed
+from tracewarden.catalog.oracle import path_class
+from tracewarden.catalog.registry import query
+from tracewarden.functions.paths import classify_path
+from tracewarden.session import shared_folder
+from tracewarden.streaming.detect import stream_detect, stream_findings, stream_rate_limit
+from tracewarden.streaming.series import stream_store_sink, stream_volume_series, stream_watch_summary
+from tracewarden.telemetry import VIEW_PARAMS as P
+
+BATCHES = 3
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All telemetry rows in the shape of the event stream."""
+    http = http_requests(spark, sf_dir).drop("src_port", "body", "body_sha256")
+    parts = {
+        "connection": T.connections(spark, sf_dir),
+        "volume": T.volumes(spark, sf_dir),
+        "file": T.file_events(spark, sf_dir),
+        "http": http,
+    }
+    out = spark.createDataFrame([], schemas.STREAM_EVENTS)
+    for event_type, rows in parts.items():
+        out = out.unionByName(rows.withColumn("event_type", F.lit(event_type)), allowMissingColumns=True)
+    return out
+
+
+def _land(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Write rows in ``BATCHES`` consecutive stretches of time and open them as a stream."""
+    folder = _folder(spark)
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    width = (high - low) // BATCHES + 1
+    for i in range(BATCHES):
+        part = rows.filter((F.col("ts") >= low + i * width) & (F.col("ts") < low + (i + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_detect", f"SELECT {', '.join(FINDING)} FROM findings")
+def detect(spark, sf_dir):
+    events = landed(spark, sf_dir, "events", lambda: _tagged(spark, sf_dir))
+    store = _folder(spark)
+    stream_detect(_land(spark, events), T.profiles(spark), P, store, f"{store}/checkpoint").awaitTermination()
+    return stream_findings(spark, store).select(*FINDING)
+
+
+@query(
+    "stream_rate_limit",
+    f"""SELECT seq, pid, path FROM (SELECT *, CASE WHEN {path_class('path')} IS NULL THEN row_number() OVER (
+        PARTITION BY pid, ts // 86400 // 1000, {path_class('path')} IS NULL ORDER BY ts // 86400, seq) ELSE 0 END AS r FROM files)
+        WHERE r <= 1 AND ts // 86400 < (SELECT max(ts) // 86400 // 1000 * 1000 FROM files)""",
+)
+def rate_limit(spark, sf_dir):
+    """A second of the limiter is a day of the view; the last, unfinished one stays pending."""
+    events = T.file_events(spark, sf_dir).withColumns(
+        {"ts": F.floor(F.col("ts") / 86400), "sensitivity": classify_path(F.col("path"))}
+    )
+    out = _folder(spark)
+    stream_rate_limit(_land(spark, events), out, f"{out}/checkpoint", 1).awaitTermination()
+    return spark.read.parquet(f"{out}/kept").select("seq", "pid", "path")
+
+
+_BUCKET = 3_600_000
+
+
+@query(
+    "stream_volume_series",
+    f"""SELECT ts // {_BUCKET} * {_BUCKET} AS bucket, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in
+        FROM volumes GROUP BY 1""",
+)
+def volume_series(spark, sf_dir):
+    stream = stream_volume_series(_land(spark, T.volumes(spark, sf_dir)), _BUCKET)
+    return _complete(spark, stream)
+
+
+@query(
+    "stream_watch_summary",
+    "SELECT agent_id, count(*) AS connections FROM connections GROUP BY 1",
+)
+def watch_summary(spark, sf_dir):
+    return _complete(spark, stream_watch_summary(_land(spark, T.connections(spark, sf_dir))))
+
+
+def _complete(spark: SparkSession, aggregated: DataFrame) -> DataFrame:
+    """The final state of a streaming aggregate: each micro-batch overwrites the result table."""
+    out, checkpoint = _folder(spark), _folder(spark)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = aggregated.writeStream.outputMode("complete").foreachBatch(keep)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(
+    "stream_store_sink",
+    """SELECT 'connections' AS "table", count(*) AS n, CAST(sum(seq) AS BIGINT) AS check_sum FROM connections UNION ALL SELECT 'volumes', count(*), CAST(sum(seq) AS BIGINT) FROM volumes
+        UNION ALL SELECT 'file_events', count(*), CAST(sum(seq) AS BIGINT) FROM files UNION ALL SELECT 'http_requests', count(*), CAST(sum(seq) AS BIGINT) FROM raw""",
+)
+def store_sink(spark, sf_dir):
+    events = landed(spark, sf_dir, "events", lambda: _tagged(spark, sf_dir))
+    root, checkpoint = _folder(spark), _folder(spark)
+    stream_store_sink(_land(spark, events), root, checkpoint).awaitTermination()
+    stored = spark.read.parquet(root)
+    return stored.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("check_sum"))

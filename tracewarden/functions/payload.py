@@ -31,11 +31,14 @@ SOURCE_EXTENSIONS = [
     ".swift", ".kt", ".sh", ".sql", ".yml", ".yaml", ".toml",
 ]
 
-# An endpoint-shaped key bound to a quoted http(s) URL.
-ENDPOINT_PATTERN = (
-    r"""(?i)["']?([a-z0-9_]*(?:base_?url|api_?url|endpoint|upload|ingest|telemetry|report_?url"""
-    r"""|api_?host|server_?url|collector|beacon)[a-z0-9_]*|url)["']?\s*[:=]\s*["']"""
-    r"""(https?://([A-Za-z0-9][A-Za-z0-9._-]{2,253}))"""
+# What a setting's key must contain to name an endpoint.
+ENDPOINT_KEYS = [
+    "base_?url", "api_?url", "endpoint", "upload", "ingest", "telemetry", "report_?url", "api_?host",
+    "server_?url", "collector", "beacon",
+]
+# any key bound to a quoted http(s) URL; starting only at word starts keeps the search linear
+BOUND_URL_PATTERN = (
+    r"""(?i)(?<![a-z0-9_])([a-z0-9_]++)["']?\s*[:=]\s*["'](https?://([a-z0-9][a-z0-9._-]{2,253}))"""
 )
 PREVIEW_BYTES = 8192
 _SPECIALS = str.maketrans({c: "\\" + c for c in r"\.()[]{}#@/+*?^$|"})
@@ -189,23 +192,31 @@ def body_sha256(body: Column) -> Column:
 
 
 def extract_endpoints(text: Column, max_hosts: int = 101) -> Column:
-    """``array<struct<key,host,url,pos>>``: the first endpoint per host, in text order."""
-    pattern = F.lit(ENDPOINT_PATTERN)
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(1)).alias("k"),
-        F.regexp_extract_all(text, pattern, F.lit(2)).alias("u"),
-        F.regexp_extract_all(text, pattern, F.lit(3)).alias("h"),
-    )
+    """``array<struct<key,host,url,pos>>``: the first endpoint per host, in text order.
+
+    A key counts if its name is endpoint-shaped; one that merely ends in ``url`` counts as ``url``,
+    and only for hosts that look like an API.
+    """
+    # one pass over the text; the short matches are then taken apart
     found = F.transform(
-        zipped,
+        F.regexp_extract_all(text, F.lit(BOUND_URL_PATTERN), F.lit(0)),
         lambda m, i: F.struct(
-            F.lower(m["k"]).alias("key"),
-            F.lower(F.rtrim(m["h"], F.lit("."))).alias("host"),
-            m["u"].alias("url"),
+            F.lower(F.regexp_extract(m, "^([A-Za-z0-9_]+)", 1)).alias("word"),
+            F.lower(F.rtrim(F.regexp_extract(m, "(?i)https?://(.*)$", 1), F.lit("."))).alias("host"),
+            F.regexp_extract(m, "(?i)(https?://.*)$", 1).alias("url"),
             i.alias("pos"),
         ),
     )
-    shaped = F.filter(found, lambda e: (e["key"] != "url") | e["host"].rlike("api|upload|ingest"))
-    hosts = F.transform(shaped, lambda e: e["host"])
-    first = F.filter(shaped, lambda e, i: F.array_position(hosts, e["host"]) == i + 1)
-    return F.slice(first, 1, max_hosts)
+    shaped = "|".join(ENDPOINT_KEYS)
+
+    def keep(e: Column) -> Column:
+        return e["word"].rlike(shaped) | (e["word"].endswith("url") & e["host"].rlike("api|upload|ingest"))
+
+    def add(acc: Column, e: Column) -> Column:
+        key = F.when(e["word"].rlike(shaped), e["word"]).otherwise("url")
+        item = F.struct(key.alias("key"), e["host"].alias("host"), e["url"].alias("url"), e["pos"].alias("pos"))
+        seen = F.exists(acc, lambda a: a["host"] == e["host"])
+        return F.when(seen | (F.size(acc) >= max_hosts), acc).otherwise(F.concat(acc, F.array(item)))
+
+    empty = F.array().cast("array<struct<key:string,host:string,url:string,pos:int>>")
+    return F.aggregate(F.filter(found, keep), empty, add)

@@ -107,9 +107,9 @@ def stream_detect(
         bulk = cut_lineage(bulk_reads(tables["file_events"], params))
         fresh = read_signals(tables["file_events"], params, bulk).filter(F.col("ts") > start)
         store.write(fresh, "signals", batch_id)
-        # sessions may reach back further than any window
+        # sessions may reach back further than any window, though not past retention
         signals = store.read("signals", SIGNALS, batch_id + 1)
-        signals = signals.filter(F.col("ts") > upto - params.retention_days * DAY_MS)
+        signals = signals.filter(F.col("ts") > start - params.retention_days * DAY_MS)
         emitted = store.read("findings", schemas.FINDINGS, batch_id)
         if allow_ips is not None:
             tables["allow_ips"] = allow_ips
