@@ -78,7 +78,7 @@ _PEERS = f"""SELECT h.agent_id, h.ts, h.seq, h.total_out, coalesce((SELECT strin
 
 @query("window_destinations", _PEERS)
 def window_destinations(spark, sf_dir):
-    hits = R.volume_spikes(T.volumes(spark, sf_dir), P)
+    hits = R.keep_first(R.volume_spike_hits(T.volumes(spark, sf_dir), P), P)
     named = W.window_destinations(hits, T.connections(spark, sf_dir), VOLUME_W, P.destination_tail, P.destination_top)
     return named.select("agent_id", "ts", "seq", "total_out", F.array_join("destinations", ", ").alias("destinations"))
 

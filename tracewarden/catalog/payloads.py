@@ -21,7 +21,7 @@ from tracewarden.sources.captures import classify_payload, decompress_prefix, ta
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").cast("binary").alias("body"))
+    return T.documents(spark, sf_dir).withColumn("body", F.col("text").cast("binary"))
 
 
 @F.pandas_udf(BinaryType())

@@ -47,7 +47,7 @@ _CTES = {
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, size, mtime, content) of the stored documents."""
-    documents = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = T.documents(spark, sf_dir)
     pages = T.page_hosts(spark, sf_dir)
     count = pages.count()
     rows = documents.withColumn("page_id", F.col("doc_id") % count).join(pages, "page_id")
@@ -118,7 +118,7 @@ def file_entropy(spark, sf_dir):
         SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY 1, 2)) GROUP BY 1""",
 )
 def entropy(spark, sf_dir):
-    documents = T.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
+    documents = T.documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("body"))
     measured = shannon_entropy(documents, "body")
     return measured.select("doc_id", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))
 

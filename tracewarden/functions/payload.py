@@ -54,12 +54,35 @@ def _unix(pattern: str) -> str:
     return pattern.replace("(?m)", "(?md)", 1)
 
 
+# What a text must contain for the pattern of the same position to have a chance. Substring search
+# works on the stored bytes, so most texts never reach a regex.
+_SECRET_HINTS = [
+    ["PRIVATE KEY-----"],
+    ["AKIA"],
+    [],
+    ["sk-"],
+    ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    ["xox"],
+    [".eyJ"],
+    [],
+]
+_QUOTED_VALUE = r"""[:=]\s*["'][^"']{12}"""
+
+
 def detect_secret(text: Column, scan_chars: int | None = None) -> Column:
     """Kind of the first matching secret shape, or null. The whole text is searched unless bounded."""
     head = F.substring(text, 1, scan_chars) if scan_chars else text
     out = F.lit(None).cast("string")
-    for label, pattern in reversed(SECRET_PATTERNS):
-        out = F.when(head.rlike(pattern), F.lit(label)).otherwise(out)
+    for (label, pattern), hints in reversed(list(zip(SECRET_PATTERNS, _SECRET_HINTS))):
+        if hints:
+            likely = head.contains(hints[0])
+            for hint in hints[1:]:
+                likely = likely | head.contains(hint)
+        elif label == "credential assignment":
+            likely = (head.contains('"') | head.contains("'")) & head.rlike(_QUOTED_VALUE)
+        else:
+            likely = F.lower(head).contains("aws_secret_access_key")
+        out = F.when(likely & head.rlike(pattern), F.lit(label)).otherwise(out)
     return out
 
 
@@ -102,9 +125,10 @@ def looks_like_source(text: Column, sample_lines: int | None = None, sample_char
         + point(path_like >= 2)
     )
     big_enough = (F.octet_length(text) >= 64) & (lines >= 5)
+    any_keyword = text.rlike(_unix(CODE_LINE_PATTERN))
     gate = (keyword >= 8) | (per_hundred(keyword) >= 30)
-    # nested WHENs: the later, dearer counts run only for rows that pass the gate
-    return F.when(~big_enough, False).when(~gate, False).otherwise(score >= 3)
+    # nested WHENs: the later, dearer counts run only for rows that pass the earlier tests
+    return F.when(~big_enough, False).when(~any_keyword, False).when(~gate, False).otherwise(score >= 3)
 
 
 def describe_source(text: Column) -> Column:
@@ -147,8 +171,10 @@ def looks_base64(body: Column, limit_bytes: int = 4 << 20) -> Column:
     """256 bytes to 4 MiB of which at least 98 % of the first 4096 are alphabet characters."""
     size = F.octet_length(body)
     head = _latin1(F.substring(body, 1, 4096))
+    # fails at the first character that could not be decoded, for most texts within a word or two
+    decodable = head.rlike(r"^[A-Za-z0-9+/ \t\n\r\f]*+(?:=|$)")
     allowed = F.length(F.regexp_replace(head, r"[^A-Za-z0-9+/=\n\r]", ""))
-    return size.between(256, limit_bytes) & (F.floor(allowed * 100 / F.length(head)) >= 98)
+    return size.between(256, limit_bytes) & decodable & (F.floor(allowed * 100 / F.length(head)) >= 98)
 
 
 def decode_base64(body: Column, limit_bytes: int = 4 << 20) -> Column:

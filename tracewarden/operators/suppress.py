@@ -18,11 +18,13 @@ BLOCK_MS = 16_000_000
 def suppress_repeats(
     hits: DataFrame,
     keys: list[str],
-    window_ms: int,
+    window_ms: int | dict[str, int],
     hot_group_rows: int = 200_000,
 ) -> DataFrame:
     """Rows of ``hits`` that survive suppression; order within a key is ``(ts, seq)``.
 
+    ``window_ms`` may differ by the value of the first key: then it is a mapping from its values.
+
     Keys with few hits are folded in one JVM expression over their sorted hits. Keys with more
     than ``hot_group_rows`` hits are cut into time blocks and solved block by block, so no task
     ever holds such a key. Hits are counted and then read again, so they are written out first:
@@ -36,19 +38,29 @@ def suppress_repeats(
     hot = hot.select(*keys)
     if hot.isEmpty():
         return _fold_small(keyed, keys, window_ms).select(*hits.columns)
-    folded = _fold_small(keyed.join(hot, keys, "left_anti"), keys, window_ms)
-    blocked = _solve_blocks(keyed.join(hot, keys, "left_semi"), keys, window_ms)
-    return folded.select(*hits.columns).unionByName(blocked.select(*hits.columns))
-
-
-def _fold_small(hits: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    out = _fold_small(keyed.join(hot, keys, "left_anti"), keys, window_ms).select(*hits.columns)
+    heavy = keyed.join(hot, keys, "left_semi")
+    windows = window_ms if isinstance(window_ms, dict) else {None: window_ms}
+    for width in sorted(set(windows.values())):
+        part = heavy
+        if isinstance(window_ms, dict):
+            part = heavy.filter(F.col(keys[0]).isin([k for k, w in windows.items() if w == width]))
+        out = out.unionByName(_solve_blocks(part, keys, width).select(*hits.columns))
+    return out
+
+
+def _fold_small(hits: DataFrame, keys: list[str], window_ms: int | dict[str, int]) -> DataFrame:
     rest = [c for c in hits.columns if c not in (*keys, "ts", "seq")]
     row = F.struct("ts", "seq", *rest)
     grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     row_type = grouped.schema["_rows"].dataType.simpleString()
+    width = F.lit(window_ms) if isinstance(window_ms, int) else F.lit(None).cast("bigint")
+    if isinstance(window_ms, dict):
+        for value, part in window_ms.items():
+            width = F.when(F.col(keys[0]) == value, F.lit(part)).otherwise(width)
 
     def step(acc, x):
-        due = acc["last"].isNull() | (x["ts"] - acc["last"] >= window_ms)
+        due = acc["last"].isNull() | (x["ts"] - acc["last"] >= width)
         return F.when(
             due, F.struct(x["ts"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))
         ).otherwise(acc)

@@ -62,26 +62,38 @@ def evidence_item(ts: Column, kind: Column | str, summary: Column, detail: Colum
     )
 
 
-def _keep(
-    hits: DataFrame, rule_id: str, dedupe_key: Column, window_ms: int, params: Params, run: Increment | None
-) -> DataFrame:
-    """Hits that survive suppression per (agent, dedupe key); adds ``rule_id`` and ``dedupe_key``.
+KEYS = ["rule_id", "agent_id", "dedupe_key"]
+
+
+def _hit(rows: DataFrame, rule_id: str, dedupe_key: Column) -> DataFrame:
+    """Mark rows as hits of a rule; repeats are suppressed per (rule, agent, dedupe key)."""
+    return rows.withColumns({"rule_id": F.lit(rule_id), "dedupe_key": dedupe_key.cast("string")})
+
+
+def _windows(params: Params) -> dict[str, int]:
+    hourly = [UNKNOWN_DOMAIN, SENSITIVE_PAYLOAD, SENSITIVE_READ, HIDDEN_BLOB, UNEXPECTED_ENDPOINT]
+    return {
+        **dict.fromkeys(hourly, params.repeat_ms),
+        **dict.fromkeys([VOLUME_SPIKE, BULK_READ, EXFIL_CHAIN], params.alert_repeat_ms),
+    }
+
+
+def keep_first(hits: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    """Hits that survive suppression.
 
     In an incremental run the last emitted finding of each key takes part as its first hit.
     """
-    keyed = hits.withColumns({"rule_id": F.lit(rule_id), "dedupe_key": dedupe_key.cast("string")})
-    keys = ["rule_id", "agent_id", "dedupe_key"]
+    windows = _windows(params)
     if run is None:
-        return suppress_repeats(keyed, keys, window_ms, params.hot_group_rows)
-    fresh = keyed.filter(F.col("ts") > run.after_ts).withColumn("_seed", F.lit(False))
-    latest = F.max(F.struct("ts", "seq")).alias("_at")
+        return suppress_repeats(hits, KEYS, windows, params.hot_group_rows)
+    fresh = hits.filter(F.col("ts") > run.after_ts).withColumn("_seed", F.lit(False))
     seeds = (
-        run.emitted.filter((F.col("rule_id") == rule_id) & (F.col("ts") > run.after_ts - window_ms))
-        .groupBy(*keys).agg(latest)
-        .select(*keys, "_at.ts", "_at.seq", F.lit(True).alias("_seed"))
+        run.emitted.filter(F.col("ts") > run.after_ts - max(windows.values()))
+        .groupBy(*KEYS).agg(F.max(F.struct("ts", "seq")).alias("_at"))
+        .select(*KEYS, "_at.ts", "_at.seq", F.lit(True).alias("_seed"))
     )
     both = fresh.unionByName(seeds, allowMissingColumns=True)
-    return suppress_repeats(both, keys, window_ms, params.hot_group_rows).filter(~F.col("_seed")).drop("_seed")
+    return suppress_repeats(both, KEYS, windows, params.hot_group_rows).filter(~F.col("_seed")).drop("_seed")
 
 
 def _findings(hits: DataFrame, severity: Column | str, title: Column, detail: Column, evidence: Column) -> DataFrame:
@@ -101,12 +113,8 @@ def _findings(hits: DataFrame, severity: Column | str, title: Column, detail: Co
 # --- egress ---------------------------------------------------------------------------------
 
 
-def rule_unknown_domain(
-    connections: DataFrame,
-    profiles: DataFrame,
-    params: Params,
-    allow_ips: DataFrame | None = None,
-    run: Increment | None = None,
+def unknown_domain_hits(
+    connections: DataFrame, profiles: DataFrame, params: Params, allow_ips: DataFrame | None = None
 ) -> DataFrame:
     """Connections to public addresses outside every allow list."""
     ip = F.col("remote_ip")
@@ -119,7 +127,10 @@ def rule_unknown_domain(
     unknown = flagged.filter(~F.col("allowed")).select(
         "agent_id", "remote_ip", "ts", "seq", "pid", "remote_addr", "remote_host"
     )
-    hits = _keep(unknown, UNKNOWN_DOMAIN, _text(F.col("agent_id"), "|", ip), params.repeat_ms, params, run)
+    return _hit(unknown, UNKNOWN_DOMAIN, _text(F.col("agent_id"), "|", ip))
+
+
+def _show_unknown_domain(hits: DataFrame) -> DataFrame:
     label = F.coalesce("remote_host", "remote_addr")
     return _findings(
         hits, "low",
@@ -129,22 +140,35 @@ def rule_unknown_domain(
     )
 
 
-def volume_spikes(volumes: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
-    """Suppressed hits of the spike rule, before destinations are looked up."""
+def rule_unknown_domain(
+    connections: DataFrame,
+    profiles: DataFrame,
+    params: Params,
+    allow_ips: DataFrame | None = None,
+    run: Increment | None = None,
+) -> DataFrame:
+    hits = unknown_domain_hits(connections, profiles, params, allow_ips)
+    return _show_unknown_domain(keep_first(hits, params, run))
+
+
+def volume_spike_hits(volumes: DataFrame, params: Params) -> DataFrame:
+    """Upload volume of an agent within the window reaches the threshold."""
     rolled = rolling_volume(
         volumes.select("agent_id", "ts", "seq", "pid", "bytes_out"), params.volume_spike_window_ms, params.slice_ms
     )
     over = rolled.filter(F.col("total_out") >= params.volume_spike_bytes).drop("bytes_out")
-    return _keep(over, VOLUME_SPIKE, F.col("agent_id"), params.alert_repeat_ms, params, run)
+    return _hit(over, VOLUME_SPIKE, F.col("agent_id"))
 
 
 def rule_volume_spike(
     volumes: DataFrame, connections: DataFrame, params: Params, run: Increment | None = None
 ) -> DataFrame:
-    """Upload volume of an agent within the window reaches the threshold."""
+    return _show_volume_spike(keep_first(volume_spike_hits(volumes, params), params, run), connections, params)
+
+
+def _show_volume_spike(hits: DataFrame, connections: DataFrame, params: Params) -> DataFrame:
     hits = window_destinations(
-        volume_spikes(volumes, params, run), connections, params.volume_spike_window_ms,
-        params.destination_tail, params.destination_top,
+        hits, connections, params.volume_spike_window_ms, params.destination_tail, params.destination_top
     )
     size = format_bytes(F.col("total_out"))
     upload = evidence_item(F.col("ts"), "upload", _text("sent ", size, " within the window"))
@@ -161,9 +185,7 @@ def rule_volume_spike(
     )
 
 
-def rule_sensitive_payload(
-    http: DataFrame, profiles: DataFrame, params: Params, run: Increment | None = None
-) -> DataFrame:
+def sensitive_payload_hits(http: DataFrame, profiles: DataFrame, params: Params) -> DataFrame:
     """Secrets or source code sent to a telemetry host, or to a host outside the allow list."""
     sensitive = http.filter(F.col("class").isin("secret", "source_code")).withColumn(
         "agent_id", F.coalesce("agent_id", F.lit("unknown"))
@@ -172,7 +194,16 @@ def rule_sensitive_payload(
     flagged = domain_allowed(flagged, "host", profiles, params.global_allowed_domains)
     columns = ["agent_id", "host", "ts", "seq", "pid", "method", "path", "class", "sample", "bytes_out", "telemetry"]
     leaks = flagged.filter(F.col("telemetry") | ~F.col("allowed")).select(*columns)
-    hits = _keep(leaks, SENSITIVE_PAYLOAD, F.col("host"), params.repeat_ms, params, run)
+    return _hit(leaks, SENSITIVE_PAYLOAD, F.col("host"))
+
+
+def rule_sensitive_payload(
+    http: DataFrame, profiles: DataFrame, params: Params, run: Increment | None = None
+) -> DataFrame:
+    return _show_sensitive_payload(keep_first(sensitive_payload_hits(http, profiles, params), params, run))
+
+
+def _show_sensitive_payload(hits: DataFrame) -> DataFrame:
     what = F.when(F.col("class") == "secret", "credentials").otherwise("source code")
     to_telemetry = F.col("telemetry")
     size = F.when(F.col("bytes_out") > 0, format_bytes(F.col("bytes_out"))).otherwise("size unknown")
@@ -210,10 +241,16 @@ def secret_reads(file_events: DataFrame, params: Params) -> DataFrame:
     return _reads(file_events, params).filter(kind == "secret")
 
 
-def rule_sensitive_read(file_events: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+def sensitive_read_hits(file_events: DataFrame, params: Params) -> DataFrame:
     """Reads of credential files."""
-    reads = secret_reads(file_events, params).drop("repo_root")
-    hits = _keep(reads, SENSITIVE_READ, F.col("path"), params.repeat_ms, params, run)
+    return _hit(secret_reads(file_events, params).drop("repo_root"), SENSITIVE_READ, F.col("path"))
+
+
+def rule_sensitive_read(file_events: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    return _show_sensitive_read(keep_first(sensitive_read_hits(file_events, params), params, run))
+
+
+def _show_sensitive_read(hits: DataFrame) -> DataFrame:
     return _findings(
         hits, "medium",
         _text(F.col("agent_id"), " read a sensitive file"),
@@ -259,13 +296,20 @@ def _bulk_summary(params: Params) -> Column:
     )
 
 
+def bulk_read_hits(bulk: DataFrame, params: Params) -> DataFrame:
+    """Many different files of one repository read within the window."""
+    key = F.col("repo_root" if params.bulk_key == "repo" else "distinct_paths")
+    return _hit(bulk.drop("path"), BULK_READ, key)
+
+
 def rule_bulk_read(
     file_events: DataFrame, params: Params, bulk: DataFrame | None = None, run: Increment | None = None
 ) -> DataFrame:
-    """Many different files of one repository read within the window."""
     bulk = bulk_reads(file_events, params) if bulk is None else bulk
-    key = F.col("repo_root" if params.bulk_key == "repo" else "distinct_paths")
-    hits = _keep(bulk.drop("path"), BULK_READ, key, params.alert_repeat_ms, params, run)
+    return _show_bulk_read(keep_first(bulk_read_hits(bulk, params), params, run), params)
+
+
+def _show_bulk_read(hits: DataFrame, params: Params) -> DataFrame:
     return _findings(
         hits, "medium",
         _text(F.col("agent_id"), " read repository files in bulk"),
@@ -325,6 +369,15 @@ def correlate_exfil(signals: DataFrame, uploads: DataFrame, max_gap_ms: int, sli
     return matched.filter(F.col("signal").isNotNull()).withColumn("signal", F.struct("signal.ts", "signal.seq"))
 
 
+def exfil_chain_hits(
+    signals: DataFrame, volumes: DataFrame, http: DataFrame | None, params: Params
+) -> DataFrame:
+    """A read signal followed by a significant upload of the same agent."""
+    sent = uploads(volumes, http, params)
+    chained = correlate_exfil(signals, sent, params.exfil_correlation_ms, params.slice_ms)
+    return _hit(chained, EXFIL_CHAIN, F.col("agent_id"))
+
+
 def rule_exfil_chain(
     file_events: DataFrame,
     volumes: DataFrame,
@@ -333,13 +386,14 @@ def rule_exfil_chain(
     signals: DataFrame | None = None,
     run: Increment | None = None,
 ) -> DataFrame:
-    """A read signal followed by a significant upload of the same agent."""
-    # three branches below read the signals: compute them once
+    # hits and evidence both read the signals: compute them once
     signals = cut_lineage(read_signals(file_events, params)) if signals is None else signals
-    gap = params.exfil_correlation_ms
-    chained = correlate_exfil(signals, uploads(volumes, http, params), gap, params.slice_ms)
-    hits = _keep(chained, EXFIL_CHAIN, F.col("agent_id"), params.alert_repeat_ms, params, run)
+    hits = keep_first(exfil_chain_hits(signals, volumes, http, params), params, run)
+    return _show_exfil_chain(hits, signals, params)
+
 
+def _show_exfil_chain(hits: DataFrame, signals: DataFrame, params: Params) -> DataFrame:
+    gap = params.exfil_correlation_ms
     # evidence: the first signals of the session the matched signal belongs to, up to the upload
     cells = session_cells(signals, gap)
     hits = hits.withColumn("cell", F.floor(F.col("signal.ts") / F.lit(gap))).join(cells, ["agent_id", "cell"])
@@ -368,9 +422,16 @@ def rule_exfil_chain(
 # --- artifacts ------------------------------------------------------------------------------
 
 
-def _artifact_rule(artifacts: DataFrame, rule_id: str, params: Params, run: Increment | None) -> DataFrame:
+def artifact_hits(artifacts: DataFrame) -> DataFrame:
+    """Scanned files and configured endpoints; several rows of one (rule, agent, path) collapse."""
     if "seq" not in artifacts.columns:
         artifacts = artifacts.withColumn("seq", F.xxhash64("agent_id", "path", "kind", "detail"))
+    rule = F.when(F.col("kind") == "unexpected_endpoint", UNEXPECTED_ENDPOINT).otherwise(HIDDEN_BLOB)
+    rows = artifacts.withColumn("pid", F.lit(None).cast("bigint"))
+    return _hit(rows, HIDDEN_BLOB, F.col("path")).withColumn("rule_id", rule)
+
+
+def _show_artifacts(hits: DataFrame) -> DataFrame:
     kind = F.col("kind")
     severity = (
         F.when(kind == "hidden_blob", rank_of("medium"))
@@ -383,8 +444,6 @@ def _artifact_rule(artifacts: DataFrame, rule_id: str, params: Params, run: Incr
         .when(kind == "data_dir_growth", "data directory grew unusually")
         .otherwise("endpoint outside the allow list in a configuration")
     )
-    rows = artifacts.withColumn("pid", F.lit(None).cast("bigint"))
-    hits = _keep(rows, rule_id, F.col("path"), params.repeat_ms, params, run)
     summary = F.when(F.col("size") > 0, _text(F.col("path"), " (", format_bytes(F.col("size")), ")")).otherwise(F.col("path"))
     return _findings(
         hits, severity,
@@ -396,18 +455,16 @@ def _artifact_rule(artifacts: DataFrame, rule_id: str, params: Params, run: Incr
     )
 
 
-def rule_hidden_blob(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
-    """Findings of scanned files; several rows of one (agent, path) collapse."""
-    return _artifact_rule(artifacts.filter(F.col("kind") != "unexpected_endpoint"), HIDDEN_BLOB, params, run)
+def rule_artifacts(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    return _show_artifacts(keep_first(artifact_hits(artifacts), params, run))
 
 
-def rule_unexpected_endpoint(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
-    """Findings of configured endpoints; several hosts in one file collapse."""
-    return _artifact_rule(artifacts.filter(F.col("kind") == "unexpected_endpoint"), UNEXPECTED_ENDPOINT, params, run)
+def rule_hidden_blob(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    return rule_artifacts(artifacts.filter(F.col("kind") != "unexpected_endpoint"), params, run)
 
 
-def rule_artifacts(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
-    return rule_hidden_blob(artifacts, params, run).unionByName(rule_unexpected_endpoint(artifacts, params, run))
+def rule_unexpected_endpoint(artifacts: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
+    return rule_artifacts(artifacts.filter(F.col("kind") == "unexpected_endpoint"), params, run)
 
 
 # --- everything -----------------------------------------------------------------------------
@@ -421,25 +478,43 @@ def all_findings(
     bulk: DataFrame | None = None,
     signals: DataFrame | None = None,
 ) -> DataFrame:
-    """Every rule over every table; process rows give nothing. Missing tables are skipped."""
+    """Every rule over every table; process rows give nothing. Missing tables are skipped.
+
+    The hits of all rules are suppressed in one pass, and what is left is then described.
+    """
     connections, volumes = tables.get("connections"), tables.get("volumes")
     files, http, artifacts = tables.get("file_events"), tables.get("http_requests"), tables.get("artifacts")
-    parts = []
+    hits, shows = [], []
+
+    def add(rule_hits: DataFrame, rule_ids: list[str], show) -> None:
+        hits.append(rule_hits)
+        shows.append((rule_hits.columns, rule_ids, show))
+
     if connections is not None:
-        parts.append(rule_unknown_domain(connections, profiles, params, tables.get("allow_ips"), run))
+        found = unknown_domain_hits(connections, profiles, params, tables.get("allow_ips"))
+        add(found, [UNKNOWN_DOMAIN], _show_unknown_domain)
     if volumes is not None and connections is not None:
-        parts.append(rule_volume_spike(volumes, connections, params, run))
+        add(volume_spike_hits(volumes, params), [VOLUME_SPIKE], lambda h: _show_volume_spike(h, connections, params))
     if http is not None:
-        parts.append(rule_sensitive_payload(http, profiles, params, run))
+        add(sensitive_payload_hits(http, profiles, params), [SENSITIVE_PAYLOAD], _show_sensitive_payload)
     if files is not None:
         bulk = cut_lineage(bulk_reads(files, params)) if bulk is None else bulk
-        parts += [rule_sensitive_read(files, params, run), rule_bulk_read(files, params, bulk, run)]
+        add(sensitive_read_hits(files, params), [SENSITIVE_READ], _show_sensitive_read)
+        add(bulk_read_hits(bulk, params), [BULK_READ], lambda h: _show_bulk_read(h, params))
         if volumes is not None:
             signals = cut_lineage(read_signals(files, params, bulk)) if signals is None else signals
-            parts.append(rule_exfil_chain(files, volumes, http, params, signals, run))
+            found = exfil_chain_hits(signals, volumes, http, params)
+            add(found, [EXFIL_CHAIN], lambda h: _show_exfil_chain(h, signals, params))
     if artifacts is not None:
-        parts.append(rule_artifacts(artifacts, params, run))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        add(artifact_hits(artifacts), [HIDDEN_BLOB, UNEXPECTED_ENDPOINT], _show_artifacts)
+
+    # columns of one name have one type in every rule
+    together = hits[0]
+    for part in hits[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    kept = cut_lineage(keep_first(together, params, run))
+    out = None
+    for columns, rule_ids, show in shows:
+        part = show(kept.filter(F.col("rule_id").isin(rule_ids)).select(*columns))
+        out = part if out is None else out.unionByName(part)
     return out

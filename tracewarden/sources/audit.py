@@ -24,21 +24,22 @@ def parse_file_audit(records: DataFrame, ingest_ts: Column | int, json_col: str
     Rows without pid, known operation or path are dropped; a missing or unreadable time falls back
     to ``ingest_ts``.
     """
-    parsed = records.withColumn("_r", F.from_json(json_col, AUDIT_SCHEMA))
-    paths = {op: F.coalesce(*[F.col(f"_r.event.{op}.{k}.path") for k in PATH_KEYS], F.col(f"_r.event.{op}.path")) for op in AUDIT_OPS}
+    rest = [c for c in records.columns if c != json_col]
+    # inline() keeps the parse in one place; fields taken from a plain from_json() would each repeat it
+    parsed = records.select(*rest, F.inline(F.array(F.from_json(json_col, AUDIT_SCHEMA))))
+    paths = {op: F.coalesce(*[F.col(f"event.{op}.{k}.path") for k in PATH_KEYS], F.col(f"event.{op}.path")) for op in AUDIT_OPS}
     # first operation that has a path
     chosen = F.coalesce(
         *[F.when(path.isNotNull(), F.struct(F.lit(op).alias("op"), path.alias("path"))) for op, path in paths.items()]
     )
-    time = F.col("_r.time")
+    time = F.col("time")
     read = F.unix_millis(F.when(time.rlike(_RFC3339), F.upper(time)).try_cast("timestamp"))
     fallback = F.lit(ingest_ts) if isinstance(ingest_ts, int) else ingest_ts
-    pid = F.coalesce("_r.process.audit_token.pid", "_r.process.pid")
-    rest = [c for c in records.columns if c != json_col]
+    pid = F.coalesce("process.audit_token.pid", "process.pid")
     return (
         parsed.select(
             *rest, F.coalesce(read, fallback).alias("ts"), pid.alias("pid"), chosen.alias("_e"),
-            F.col("_r.process.executable.path").alias("process_exe"),
+            F.col("process.executable.path").alias("process_exe"),
         )
         .filter((F.col("pid") >= 0) & F.col("_e").isNotNull())
         .select(*rest, "ts", "pid", "_e.path", "_e.op", "process_exe")

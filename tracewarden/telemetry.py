@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden import schemas
 from tracewarden.params import DAY_MS, MIB, Params
+from tracewarden.session import spread
 
 AGENTS = 17
 
@@ -44,6 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _base(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter(F.col("event_type") == event_type)
     return events.select(
@@ -124,10 +129,10 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def http_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured requests before classification; the source port is unique per process and day."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    count = documents.count()
+    bodies = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = bodies.count()
     rows = _with_page_host(_base(spark, sf_dir, "error"), spark, sf_dir)
-    rows = rows.withColumn("doc_id", F.col("seq") % count).join(documents, "doc_id")
+    rows = rows.withColumn("doc_id", F.col("seq") % count).join(bodies, "doc_id")
     return rows.select(
         "seq", "ts", "pid", "agent_id",
         (F.lit(1024) + F.col("pid") % 60000).cast("int").alias("src_port"),
