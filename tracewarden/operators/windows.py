@@ -187,13 +187,27 @@ def session_evidence(keyed: DataFrame, max_evidence: int) -> DataFrame:
     return head.groupBy("agent_id", "session_start").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
 
 
+def first_per_group(df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 256) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    Spark cuts small ranks before the shuffle by itself. For a large ``n`` the group is first cut
+    within salted parts, each of which keeps at most ``n`` rows, so a group of any size reaches its
+    final task as at most ``salts * n`` rows.
+    """
+    rows = df
+    if n > 1000:
+        salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+        part = Window.partitionBy(*keys, salt).orderBy(*order)
+        rows = rows.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= n).drop("_rank")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_rank")
+
+
 def rate_limit_reads(file_events: DataFrame, limit: int = 400, keys: list[str] | None = None) -> DataFrame:
     """Per process and second keep the first ``limit`` non-sensitive rows, and every sensitive one."""
     keys = keys or ["pid"]
-    second = F.floor(F.col("ts") / 1000)
-    order = Window.partitionBy(*keys, second).orderBy("ts", "seq")
-    plain = file_events.filter(F.col("sensitivity").isNull())
-    limited = plain.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+    plain = file_events.filter(F.col("sensitivity").isNull()).withColumn("_second", F.floor(F.col("ts") / 1000))
+    limited = first_per_group(plain, [*keys, "_second"], ["ts", "seq"], limit).drop("_second")
     return limited.unionByName(file_events.filter(F.col("sensitivity").isNotNull()))
 
 
@@ -203,8 +217,7 @@ def endpoint_cap(endpoints: DataFrame, per_agent: int = 15) -> DataFrame:
         F.min_by(F.struct("path", "pos", "url", "key"), F.struct("path", "pos")).alias("_first")
     )
     rows = first.select("agent_id", "host", "_first.*")
-    order = Window.partitionBy("agent_id").orderBy("path", "pos")
-    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_agent).drop("_rank")
+    return first_per_group(rows, ["agent_id"], ["path", "pos"], per_agent)
 
 
 def window_destinations(

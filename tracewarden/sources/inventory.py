@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.fmt import expand_tilde
 from tracewarden.functions.paths import SKIP_SCAN_DIRS
+from tracewarden.operators.windows import first_per_group
 from tracewarden.session import cut_lineage
 
 
@@ -81,13 +82,11 @@ def ingest_file_inventory(
     inner = F.split(F.substring(F.col("path"), F.length("root") + 2, F.length("path")), "/")
     between = F.slice(inner, F.lit(1), F.size(inner) - 1)
     skip = F.array(*[F.lit(d) for d in SKIP_SCAN_DIRS])
-    order = Window.partitionBy("agent_id", "root").orderBy("path")
-    return (
-        rows.withColumns({"depth": F.size(inner) - 1, "scannable": ~F.arrays_overlap(between, skip)})
-        .filter(F.col("depth") <= max_depth)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= max_entries)
-        .select("agent_id", "root", *files.columns, "depth", "scannable")
+    near = rows.withColumns(
+        {"depth": F.size(inner) - 1, "scannable": ~F.arrays_overlap(between, skip)}
+    ).filter(F.col("depth") <= max_depth)
+    return first_per_group(near, ["agent_id", "root"], ["path"], max_entries).select(
+        "agent_id", "root", *files.columns, "depth", "scannable"
     )
 
 

@@ -15,10 +15,10 @@ def day_of(ts: Column) -> Column:
 
 
 def append_events(df: DataFrame, path: str, mode: str = "append", ts_col: str = "ts") -> None:
-    """Append rows to a day-partitioned parquet table; rows of one day meet before the write, spread
-    over several files when the day is large."""
+    """Append rows to a day-partitioned parquet table. Rows of one day meet before the write; the
+    rebalance splits a day that is too large for one task and joins days that are small."""
     days = df.withColumn("dt", day_of(F.col(ts_col)))
-    days.repartition("dt", F.pmod(F.xxhash64(*df.columns[:3]), F.lit(8))).write.mode(mode).partitionBy("dt").parquet(path)
+    days.hint("rebalance", "dt").write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def append_findings(findings: DataFrame, path: str) -> None:

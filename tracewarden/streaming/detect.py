@@ -14,7 +14,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tracewarden import schemas
 from tracewarden.operators.windows import rate_limit_reads
@@ -23,6 +22,7 @@ from tracewarden.plans.rules import Increment, all_findings, bulk_reads, read_si
 from tracewarden.session import cut_lineage
 
 SIGNALS = "agent_id string, ts bigint, seq bigint, part int, kind string, summary string, detail string"
+BEGINNING = -(1 << 62)
 # event_type of a stream row -> table
 EVENT_TABLES = {
     "connection": "connections",
@@ -33,29 +33,40 @@ EVENT_TABLES = {
 }
 
 
+PROGRESS = "watermark bigint, low bigint, high bigint"
+
+
 class Store:
-    """Per-batch folders of one streaming job."""
+    """Per-batch folders of one streaming job, and what each batch covered."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _folder(self, table: str, batch_id: int) -> str:
+        return f"{self.path}/{table}/batch={batch_id}"
+
     def write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch_id}")
+        df.write.mode("overwrite").parquet(self._folder(table, batch_id))
 
-    def read(self, table: str, schema: str, before: int) -> DataFrame:
-        """All rows written by batches below ``before``."""
-        typed = StructType.fromDDL(schema + ", batch bigint")
+    def read(self, table: str, schema: str, batches: list[int]) -> DataFrame:
+        """Rows of the given batches; only their folders are listed."""
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._folder(table, b) for b in batches])
+
+    def progress(self, before: int) -> list:
+        """(batch, watermark, low, high) of the batches below ``before``, one small row each."""
         try:
-            rows = self.spark.read.schema(typed).parquet(f"{self.path}/{table}")
+            rows = self.spark.read.schema(f"{PROGRESS}, batch bigint").parquet(f"{self.path}/progress")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], typed)  # nothing written yet
-        return rows.filter(F.col("batch") < before).drop("batch")
+            return []  # the first batch
+        return rows.filter(F.col("batch") < before).orderBy("batch").collect()
 
-    def watermark(self, before: int) -> int | None:
-        row = self.read("progress", "watermark bigint", before).agg(F.max("watermark")).first()
-        return row[0]
+    def finish(self, batch_id: int, watermark: int, low: int, high: int) -> None:
+        row = self.spark.createDataFrame([(watermark, low, high)], PROGRESS)
+        self.write(row.coalesce(1), "progress", batch_id)
 
 
 def tables_of(events: DataFrame) -> dict[str, DataFrame]:
@@ -91,31 +102,33 @@ def stream_detect(
     store = Store(spark, store_path)
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
-        after = store.watermark(batch_id)
-        newest = batch.agg(F.max("ts")).first()[0]
-        if newest is None:
-            return
-        upto = newest - delay_ms if after is None else max(after, newest - delay_ms)
-        on_time = batch if after is None else batch.filter(F.col("ts") > after)
-        store.write(on_time, "events", batch_id)
-        start = -(1 << 62) if after is None else after
-
-        horizon = F.col("ts") > start - lookback_ms(params)
-        history = store.read("events", schemas.STREAM_EVENTS, batch_id + 1)
-        known = history.filter(horizon & (F.col("ts") <= upto))
-        tables = tables_of(known)
-        bulk = cut_lineage(bulk_reads(tables["file_events"], params))
-        fresh = read_signals(tables["file_events"], params, bulk).filter(F.col("ts") > start)
-        store.write(fresh, "signals", batch_id)
-        # sessions may reach back further than any window, though not past retention
-        signals = store.read("signals", SIGNALS, batch_id + 1)
-        signals = signals.filter(F.col("ts") > start - params.retention_days * DAY_MS)
-        emitted = store.read("findings", schemas.FINDINGS, batch_id)
+        done = store.progress(batch_id)
+        start = max([p.watermark for p in done], default=BEGINNING)
+        store.write(batch.filter(F.col("ts") > start), "events", batch_id)
+        fresh = store.read("events", schemas.STREAM_EVENTS, [batch_id])
+        low, high = fresh.agg(F.min("ts"), F.max("ts")).first()
+        if high is None:
+            return  # nothing, or nothing on time
+        upto = max(start, high - delay_ms)
+
+        def since(ts: int) -> list[int]:
+            return [p.batch for p in done if p.high > ts]
+
+        horizon = start - lookback_ms(params)
+        history = store.read("events", schemas.STREAM_EVENTS, [*since(horizon), batch_id])
+        tables = tables_of(history.filter((F.col("ts") > horizon) & (F.col("ts") <= upto)))
         if allow_ips is not None:
             tables["allow_ips"] = allow_ips
-        found = all_findings(tables, profiles, params, Increment(start, emitted), bulk, signals)
-        store.write(found, "findings", batch_id)
-        store.write(spark.range(1).select(F.lit(upto).alias("watermark")), "progress", batch_id)
+        bulk = cut_lineage(bulk_reads(tables["file_events"], params))
+        found = read_signals(tables["file_events"], params, bulk).filter(F.col("ts") > start)
+        store.write(found, "signals", batch_id)
+        # sessions may reach back further than any window, though not past retention
+        kept = since(start - params.retention_days * DAY_MS)
+        signals = store.read("signals", SIGNALS, [*kept, batch_id])
+        emitted = store.read("findings", schemas.FINDINGS, kept)
+        run = Increment(start, emitted)
+        store.write(all_findings(tables, profiles, params, run, bulk, signals), "findings", batch_id)
+        store.finish(batch_id, upto, low, high)
 
     writer = events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -123,7 +136,8 @@ def stream_detect(
 
 def stream_findings(spark: SparkSession, store_path: str) -> DataFrame:
     """Findings written so far."""
-    return Store(spark, store_path).read("findings", schemas.FINDINGS, 1 << 62)
+    store = Store(spark, store_path)
+    return store.read("findings", schemas.FINDINGS, [p.batch for p in store.progress(1 << 62)])
 
 
 def stream_rate_limit(
@@ -133,20 +147,20 @@ def stream_rate_limit(
     its budget never depends on how rows fell into micro-batches; the last second stays pending."""
     spark = file_events.sparkSession
     store = Store(spark, out_path)
-    schema = file_events.schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in file_events.schema)
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
-        after = store.watermark(batch_id)
-        newest = batch.agg(F.max("ts")).first()[0]
-        if newest is None:
-            return
-        start = -(1 << 62) if after is None else after
-        upto = max(start, newest // 1000 * 1000 - 1)
+        done = store.progress(batch_id)
+        start = max([p.watermark for p in done], default=BEGINNING)
         store.write(batch.filter(F.col("ts") > start), "pending", batch_id)
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        rows = store.read("pending", ddl, batch_id + 1).filter((F.col("ts") > start) & (F.col("ts") <= upto))
-        store.write(rate_limit_reads(rows, limit), "kept", batch_id)
-        store.write(spark.range(1).select(F.lit(upto).alias("watermark")), "progress", batch_id)
+        low, high = store.read("pending", ddl, [batch_id]).agg(F.min("ts"), F.max("ts")).first()
+        if high is None:
+            return
+        upto = max(start, high // 1000 * 1000 - 1)
+        rows = store.read("pending", ddl, [*[p.batch for p in done if p.high > start], batch_id])
+        over = rows.filter((F.col("ts") > start) & (F.col("ts") <= upto))
+        store.write(rate_limit_reads(over, limit), "kept", batch_id)
+        store.finish(batch_id, upto, low, high)
 
     writer = file_events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
