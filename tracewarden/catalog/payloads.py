@@ -206,12 +206,30 @@ def ip_predicates(spark, sf_dir):
     )
 
 
+for _name, _column, _tests in (
+    ("is_private_ip", net.is_private_ip, PRIVATE),
+    ("is_reserved_ip", net.is_reserved_ip, RESERVED),
+    ("is_loopback_ip", net.is_loopback_ip, LOOPBACK),
+):
+
+    def _one_predicate(spark, sf_dir, column=_column, name=_name):
+        return T.connections(spark, sf_dir).select("seq", column(F.col("remote_ip")).alias(name))
+
+    query(_name, f"SELECT seq, {ip_test('remote_ip', _tests)} AS {_name} FROM connections")(_one_predicate)
+
+
 @query(
     "parse_addresses",
     """SELECT seq, CASE WHEN seq % 4 != 3 THEN CASE WHEN seq % 4 = 1 THEN '2001:db8::' || (seq % 9) ELSE remote_ip END END AS ip,
         CASE WHEN seq % 4 != 3 THEN CAST(443 AS INT) END AS port, CAST(1024 + seq % 60000 AS INT) AS local_port FROM connections""",
 )
 def parse_addresses(spark, sf_dir):
+    named = _connection_names(spark, sf_dir)
+    remote = net.parse_remote(F.col("name"))
+    return named.select("seq", remote["ip"].alias("ip"), remote["port"].alias("port"), net.parse_local_port(F.col("name")).alias("local_port"))
+
+
+def _connection_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("seq")
     peer = (
         F.when(seq % 4 == 1, F.concat(F.lit("[2001:db8::"), seq % 9, F.lit("]:443")))
@@ -220,9 +238,22 @@ def parse_addresses(spark, sf_dir):
     )
     local = F.when(seq % 2 == 0, "10.0.0.1").otherwise("[fe80::1]")
     name = F.concat(local, F.lit(":"), F.lit(1024) + seq % 60000, F.lit("->"), peer, F.lit(" (ESTABLISHED)"))
-    named = T.connections(spark, sf_dir).select("seq", name.alias("name"))
-    remote = net.parse_remote(F.col("name"))
-    return named.select("seq", remote["ip"].alias("ip"), remote["port"].alias("port"), net.parse_local_port(F.col("name")).alias("local_port"))
+    return T.connections(spark, sf_dir).select("seq", name.alias("name"))
+
+
+@query(
+    "parse_remote",
+    """SELECT seq, CASE WHEN seq % 4 = 1 THEN '2001:db8::' || (seq % 9) ELSE remote_ip END AS ip, CAST(443 AS INT) AS port
+        FROM connections WHERE seq % 4 != 3""",
+)
+def parse_remote(spark, sf_dir):
+    parsed = _connection_names(spark, sf_dir).select("seq", net.parse_remote(F.col("name")).alias("r"))
+    return parsed.filter(F.col("r").isNotNull()).select("seq", "r.ip", "r.port")
+
+
+@query("parse_local_port", "SELECT seq, CAST(1024 + seq % 60000 AS INT) AS local_port FROM connections")
+def parse_local_port(spark, sf_dir):
+    return _connection_names(spark, sf_dir).select("seq", net.parse_local_port(F.col("name")).alias("local_port"))
 
 
 @query(
@@ -296,6 +327,20 @@ def file_kinds(spark, sf_dir):
     )
 
 
+@query("is_known_compressed", f"SELECT seq, path, {_COMPRESSED} AS compressed FROM mixed", _MIXED)
+def known_compressed(spark, sf_dir):
+    return file_kinds(spark, sf_dir).select("seq", "path", "compressed")
+
+
+@query(
+    "is_text_candidate",
+    f"SELECT seq, path, {one_of(extension('path'), paths.TEXT_EXTENSIONS)} OR lower({file_name('path')}) = '.env' AS texty FROM mixed",
+    _MIXED,
+)
+def text_candidate(spark, sf_dir):
+    return file_kinds(spark, sf_dir).select("seq", "path", "texty")
+
+
 _SIZES = "CAST(bytes_out AS BIGINT) * CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 100000000 END // CASE WHEN k % 8 = 0 THEN 1000 ELSE 1 END"
 
 

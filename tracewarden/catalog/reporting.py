@@ -171,6 +171,16 @@ def severity_labels(spark, sf_dir):
     )
 
 
+@query("severity_label", "SELECT rule_id, ts, seq, ['info', 'low', 'medium', 'high', 'critical'][severity + 1] AS label FROM findings")
+def label_of(spark, sf_dir):
+    return severity_labels(spark, sf_dir).select("rule_id", "ts", "seq", "label")
+
+
+@query("severity_rank", "SELECT rule_id, ts, seq, severity AS rank FROM findings")
+def rank_of_label(spark, sf_dir):
+    return severity_labels(spark, sf_dir).select("rule_id", "ts", "seq", "rank")
+
+
 # --- agents ---------------------------------------------------------------------------------
 
 _SEEN = {

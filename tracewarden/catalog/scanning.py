@@ -142,6 +142,17 @@ def detect_unexpected_endpoints(spark, sf_dir):
     return found.select("agent_id", "host", "path", "key")
 
 
+@query(
+    "endpoint_artifacts",
+    f"""SELECT CAST({SCAN_TS} AS BIGINT) AS ts, agent_id, path, CAST(0 AS BIGINT) AS size, 'unexpected_endpoint' AS kind,
+        'setting telemetryendpoint points to ' || host || ' outside the allow list (' || path || ')' AS detail FROM capped""",
+    _CTES,
+)
+def endpoint_artifacts(spark, sf_dir):
+    found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS)
+    return C.endpoint_artifacts(found, SCAN_TS).drop("entropy")
+
+
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.scan_artifacts(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS)
 

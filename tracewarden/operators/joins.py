@@ -11,6 +11,7 @@ from tracewarden.functions.globs import any_glob
 from tracewarden.functions.net import domain_variants, host_suffixes, is_loopback_ip, normalize_host
 from tracewarden.functions.paths import classify_path, is_under
 from tracewarden.operators.slices import as_of
+from tracewarden.session import cut_lineage
 
 # Patterns up to this number travel inside the plan as constants; more of them are joined.
 INLINE_PATTERNS = 5_000
@@ -79,24 +80,26 @@ def attribute_ancestors(
     scope = scope or []
     matched = direct.filter(F.col("agent_id").isNotNull()).select(*scope, "pid", F.col("agent_id").alias("_direct"))
     nodes = processes.drop("agent_id").join(matched, [*scope, "pid"], "left")
-    parents = matched.withColumnsRenamed({"pid": "ppid", "_direct": "_found"})
-    known = nodes.select(*scope, F.col("pid").alias("ppid")).withColumn("_exists", F.lit(True))
-    reach = (
-        nodes.select(*scope, "pid", "ppid")
-        .join(known, [*scope, "ppid"])  # a parent outside the snapshot ends the walk
-        .join(parents, [*scope, "ppid"], "left")
+    # each round joins the reach with itself, so every round is written out and read twice
+    links = cut_lineage(nodes.select(*scope, "pid", "ppid", "_direct"))
+    parents = links.select(*scope, F.col("pid").alias("ppid"), F.col("_direct").alias("_found"))
+    reach = cut_lineage(
+        links.drop("_direct")
+        .join(parents, [*scope, "ppid"])  # a parent outside the snapshot ends the walk
         .select(*scope, "pid", F.col("ppid").alias("_anc"), "_found", F.when(F.col("_found").isNotNull(), 1).alias("_depth"))
     )
     covered = 1
-    while covered < max_levels:
+    while covered < max_levels and not reach.filter("_found is null and _anc is not null").isEmpty():
         further = reach.select(
             *scope, F.col("pid").alias("_anc"), F.col("_anc").alias("_anc2"),
             F.col("_found").alias("_found2"), (F.col("_depth") + covered).alias("_depth2"),
         )
-        reach = reach.join(further, [*scope, "_anc"], "left").select(
-            *scope, "pid", F.col("_anc2").alias("_anc"),
-            F.coalesce("_found", "_found2").alias("_found"),
-            F.coalesce("_depth", "_depth2").alias("_depth"),
+        reach = cut_lineage(
+            reach.join(further, [*scope, "_anc"], "left").select(
+                *scope, "pid", F.col("_anc2").alias("_anc"),
+                F.coalesce("_found", "_found2").alias("_found"),
+                F.coalesce("_depth", "_depth2").alias("_depth"),
+            )
         )
         covered *= 2
     near = reach.filter(F.col("_depth") <= max_levels).select(*scope, "pid", "_found", "_depth")
@@ -131,7 +134,8 @@ def port_owner(
     """Adds ``pid`` (and ``agent_id``) of the process that owned the capture's source port.
 
     ``sockets`` are snapshots (host, ts, seq, port, pid); a newer snapshot replaces the older one
-    entirely, and one older than ``ttl_ms`` no longer counts.
+    entirely, and one older than ``ttl_ms`` no longer counts. Owners are looked up on the captures'
+    keys alone; payloads move once, in the final join on ``seq``.
     """
     times = sockets.select(host_key, "ts").distinct()
     following = F.lead("ts").over(Window.partitionBy(host_key).orderBy("ts"))
@@ -139,18 +143,19 @@ def port_owner(
     right = sockets.join(times, [host_key, "ts"]).select(
         host_key, F.col("port").alias("src_port"), "ts", "seq", "pid", "replaced_at"
     )
-    owned = as_of(captures.drop("pid", "agent_id"), right, [host_key, "src_port"], "_sock", slice_ms)
+    asked = captures.select(host_key, "src_port", "ts", "seq")
+    owned = as_of(asked, right, [host_key, "src_port"], "_sock", slice_ms)
     live = (F.col("ts") - F.col("_sock.ts") < ttl_ms) & (
         F.col("_sock.replaced_at").isNull() | (F.col("ts") < F.col("_sock.replaced_at"))
     )
-    owned = owned.withColumn("pid", F.when(live, F.col("_sock.pid"))).drop("_sock")
+    owners = owned.filter(live).select("ts", "seq", F.col("_sock.pid").alias("pid"))
+    rest = captures.drop("pid", "agent_id")
     if attributed is None:
-        return owned
+        return rest.join(owners.drop("ts"), "seq", "left")
     right = attributed.select("pid", "ts", "seq", "agent_id")
-    known = as_of(owned.filter(F.col("pid").isNotNull()), right, ["pid"], "_proc", slice_ms)
-    known = known.withColumn("agent_id", F.col("_proc.agent_id")).drop("_proc")
-    both = known.unionByName(owned.filter(F.col("pid").isNull()), allowMissingColumns=True)
-    return both.withColumn("agent_id", F.coalesce("agent_id", F.lit(default_agent)))
+    known = as_of(cut_lineage(owners), right, ["pid"], "_proc", slice_ms)
+    known = known.select("seq", "pid", F.col("_proc.agent_id").alias("agent_id"))
+    return rest.join(known, "seq", "left").withColumn("agent_id", F.coalesce("agent_id", F.lit(default_agent)))
 
 
 def repo_root(processes: DataFrame, inventory: DataFrame) -> DataFrame:
