@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewarden.catalog.oracle import with_tables
+from tracewarden.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +18,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_tables(sql, extra)
         return function

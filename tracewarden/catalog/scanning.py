@@ -108,7 +108,7 @@ def agent_inventory(spark, sf_dir):
 
 @query("entropy_of_file", "SELECT path, entropy FROM entropies", _CTES)
 def file_entropy(spark, sf_dir):
-    measured = entropy_of_file(inventory(spark, sf_dir), None)
+    measured = entropy_of_file(inventory(spark, sf_dir))
     return measured.select("path", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,23 @@ def build_session(app: str = "tracewarden", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the application was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tracewarden-")) / "tracewarden.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -55,3 +75,21 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+PORTION_BYTES = 32 << 20
+
+
+def in_portions(items: Iterable, size_of: Callable[[object], int], limit: int = PORTION_BYTES) -> Iterator[list]:
+    """Group the output of an Arrow batch function so that no portion holds much more than ``limit``
+    bytes, whatever its rows inflate to."""
+    part: list = []
+    held = 0
+    for item in items:
+        part.append(item)
+        held += size_of(item)
+        if held >= limit or len(part) >= 10_000:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part

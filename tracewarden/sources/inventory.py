@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions.fmt import expand_tilde
 from tracewarden.functions.paths import SKIP_SCAN_DIRS
 from tracewarden.operators.windows import first_per_group
-from tracewarden.session import cut_lineage
+from tracewarden.session import cut_lineage, in_portions
 
 
 def read_tree(roots: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -90,6 +90,18 @@ def ingest_file_inventory(
     )
 
 
+def read_head(path: str, max_bytes: int) -> bytes | None:
+    """The first bytes of a file, or None when it vanished or became unreadable since the listing."""
+    from pyarrow import fs
+
+    try:
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as handle:
+            return handle.read(max_bytes)
+    except OSError:
+        return None
+
+
 def load_content(files: DataFrame, max_bytes: int, out: str = "content") -> DataFrame:
     """Adds the first ``max_bytes`` of each file, read where the row is processed.
 
@@ -97,20 +109,20 @@ def load_content(files: DataFrame, max_bytes: int, out: str = "content") -> Data
     """
 
     @F.pandas_udf("binary")
-    def head(paths: pd.Series) -> pd.Series:
-        from pyarrow import fs
+    def head(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        contents = (read_head(path, max_bytes) for paths in batches for path in paths)
+        for part in in_portions(contents, lambda c: len(c or b"")):
+            yield pd.Series(part)
 
-        def read(path: str) -> bytes | None:
-            try:
-                system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_file(name) as handle:
-                    return handle.read(max_bytes)
-            except OSError:
-                return None  # vanished or unreadable since the listing
+    return files.withColumn(out, head(F.col("path")))
 
-        return paths.map(read)
 
-    return files.withColumn(out, head(F.col("path")))
+def bits_per_byte(value: bytes | None) -> float:
+    if not value:
+        return 0.0
+    counts = np.bincount(np.frombuffer(value, np.uint8), minlength=256)
+    p = counts[counts > 0] / len(value)
+    return float(-(p * np.log2(p)).sum()) + 0.0
 
 
 def shannon_entropy(df: DataFrame, binary_col: str, out: str = "entropy") -> DataFrame:
@@ -118,22 +130,22 @@ def shannon_entropy(df: DataFrame, binary_col: str, out: str = "entropy") -> Dat
 
     @F.pandas_udf("float")
     def bits(values: pd.Series) -> pd.Series:
-        def one(value: bytes | None) -> float:
-            if not value:
-                return 0.0
-            counts = np.bincount(np.frombuffer(value, np.uint8), minlength=256)
-            p = counts[counts > 0] / len(value)
-            return float(-(p * np.log2(p)).sum()) + 0.0
-
-        return values.map(one).astype("float32")
+        return values.map(bits_per_byte).astype("float32")
 
     return df.withColumn(out, bits(F.col(binary_col)))
 
 
-def entropy_of_file(inventory: DataFrame, sample_bytes: int | None = 1 << 20) -> DataFrame:
-    """Adds ``entropy``, over the file's first ``sample_bytes`` (its definition) or, given a
-    ``content`` column, over that content cut likewise."""
-    if "content" not in inventory.columns:
-        return shannon_entropy(load_content(inventory, sample_bytes), "content").drop("content")
-    head = F.substring("content", 1, sample_bytes) if sample_bytes else F.col("content")
-    return shannon_entropy(inventory.withColumn("_head", head), "_head").drop("_head")
+def entropy_of_file(inventory: DataFrame, sample_bytes: int = 1 << 20) -> DataFrame:
+    """Adds ``entropy`` over the first ``sample_bytes`` of each file, which is its definition.
+
+    With a ``content`` column no file is opened.
+    """
+    if "content" in inventory.columns:
+        head = F.substring("content", 1, sample_bytes)
+        return shannon_entropy(inventory.withColumn("_head", head), "_head").drop("_head")
+
+    @F.pandas_udf("float")
+    def bits(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda path: bits_per_byte(read_head(path, sample_bytes))).astype("float32")
+
+    return inventory.withColumn("entropy", bits(F.col("path")))
