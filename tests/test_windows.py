@@ -126,3 +126,9 @@ def test_window_destinations(spark):
     connections = spark.createDataFrame(peers, "agent_id string, ts bigint, seq bigint, remote_ip string, remote_host string")
     got = windows.window_destinations(hits, connections, 60, tail=16, top=6).collect()
     assert got[0].destinations == ["h4", "h5", "h6", "h7", "2.2.2.8", "h1"]
+
+
+def test_first_per_group_in_salted_parts(spark):
+    rows = spark.range(5000).select(F.lit("k").alias("key"), (4999 - F.col("id")).alias("path"))
+    kept = windows.first_per_group(rows, ["key"], ["path"], 1500, salts=8)
+    assert sorted(r.path for r in kept.collect()) == list(range(1500))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden import telemetry as T
 from tracewarden.catalog.oracle import LOOPBACK, host_allowed, ip_test, path_class
 from tracewarden.catalog.registry import query
+from tracewarden.functions.paths import classify_path
 from tracewarden.operators import joins as J
 from tracewarden.operators import windows as W
 from tracewarden.params import DAY_MS, GLOBAL_ALLOWED_DOMAINS
@@ -130,7 +131,7 @@ def match_process(spark, sf_dir):
 
 @query("exclude_pids", "SELECT seq, pid, name FROM samples WHERE pid NOT IN (SELECT pid FROM base WHERE event_type = 'purchase' AND k % 10 = 0)")
 def exclude_pids(spark, sf_dir):
-    own = T._base(spark, sf_dir, "purchase").filter(F.col("k") % 10 == 0).select("pid")
+    own = T.base(spark, sf_dir, "purchase").filter(F.col("k") % 10 == 0).select("pid")
     return J.exclude_pids(T.process_samples(spark, sf_dir), own).select("seq", "pid", "name")
 
 
@@ -180,12 +181,12 @@ def port_owner(spark, sf_dir):
     host = F.concat(F.lit("h"), F.col("pid") % 3).alias("host_id")
     taken = (F.floor(F.col("ts") / _SNAP) * _SNAP).alias("ts")
     sockets = (
-        T._base(spark, sf_dir, "view")
+        T.base(spark, sf_dir, "view")
         .groupBy(host, taken, (F.col("pid") % 10).cast("int").alias("port"))
         .agg(F.min("pid").alias("pid"))
         .withColumn("seq", F.lit(-1).cast("bigint"))
     )
-    captures = T._base(spark, sf_dir, "error").select("seq", "ts", host, (F.col("pid") % 10).cast("int").alias("src_port"))
+    captures = T.base(spark, sf_dir, "error").select("seq", "ts", host, (F.col("pid") % 10).cast("int").alias("src_port"))
     owned = J.port_owner(captures, sockets, _matched(spark, sf_dir), 2 * _SNAP, "nobody", slice_ms=DAY_MS)
     return owned.select("seq", "host_id", "src_port", "pid", "agent_id")
 
@@ -224,8 +225,6 @@ def scope_file_events(spark, sf_dir):
 )
 def rate_limit_reads(spark, sf_dir):
     """With time slowed down so that a second of the limiter is a day of the view."""
-    from tracewarden.functions.paths import classify_path
-
     events = T.file_events(spark, sf_dir).withColumns(
         {"ts": F.floor(F.col("ts") / 86400), "sensitivity": classify_path(F.col("path"))}
     )
@@ -244,7 +243,7 @@ _COUNTERS = {
 
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    return T._base(spark, sf_dir, "purchase").select(
+    return T.base(spark, sf_dir, "purchase").select(
         "seq", "ts", "pid", F.floor(k / 10).cast("bigint").alias("bytes_in"), (k % 3).cast("bigint").alias("bytes_out")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden import telemetry as T
 from tracewarden.catalog.oracle import GAP, READ_W, VOLUME_W, path_class, suppressed
 from tracewarden.catalog.registry import query
+from tracewarden.functions import paths
 from tracewarden.operators import windows as W
 from tracewarden.operators.suppress import suppress_repeats
 from tracewarden.plans import rules as R
@@ -194,6 +195,4 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("classify_path", f"SELECT seq, path, {path_class('path')} AS sensitivity FROM files")
 def classify_path(spark, sf_dir):
-    from tracewarden.functions.paths import classify_path as column
-
-    return T.file_events(spark, sf_dir).select("seq", "path", column(F.col("path")).alias("sensitivity"))
+    return T.file_events(spark, sf_dir).select("seq", "path", paths.classify_path(F.col("path")).alias("sensitivity"))

@@ -351,7 +351,7 @@ _SIZES = "CAST(bytes_out AS BIGINT) * CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000
 def sizes(spark, sf_dir):
     k = F.col("k")
     scale = F.when(k % 4 == 0, 1).when(k % 4 == 1, 1000).when(k % 4 == 2, 1_000_000).otherwise(100_000_000)
-    rows = T._base(spark, sf_dir, "purchase").withColumn("bytes_out", F.floor(F.col("value") * 100000).cast("bigint"))
+    rows = T.base(spark, sf_dir, "purchase").withColumn("bytes_out", F.floor(F.col("value") * 100000).cast("bigint"))
     n = F.floor(F.col("bytes_out") * scale / F.when(k % 8 == 0, 1000).otherwise(1)).cast("bigint")
     return rows.select("seq", n.alias("n"), fmt.format_bytes(n).alias("size"))
 
@@ -377,7 +377,7 @@ def ansi(spark, sf_dir):
 def name_pid(spark, sf_dir):
     text = F.concat(F.lit("My.Tool "), F.col("k"), F.lit("."), F.col("pid"))
     parsed = listings.split_name_pid(text)
-    return T._base(spark, sf_dir, "signup").select("seq", parsed["name"].alias("name"), parsed["pid"].alias("pid"))
+    return T.base(spark, sf_dir, "signup").select("seq", parsed["name"].alias("name"), parsed["pid"].alias("pid"))
 
 
 @query(
@@ -387,4 +387,4 @@ def name_pid(spark, sf_dir):
 def enums(spark, sf_dir):
     k = F.col("k")
     raw = F.when(k % 3 == 0, "Chmod").otherwise(F.initcap(F.get(F.array(*[F.lit(o) for o in fmt.FILE_OPS]), (k % 5).cast("int"))))
-    return T._base(spark, sf_dir, "click").select("seq", fmt.parse_enum(raw, fmt.FILE_OPS).alias("op"))
+    return T.base(spark, sf_dir, "click").select("seq", fmt.parse_enum(raw, fmt.FILE_OPS).alias("op"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tracewarden.functions.fmt import severity_label, severity_rank
 from tracewarden.params import DAY_MS, GLOBAL_ALLOWED_DOMAINS
 from tracewarden.plans import reports as Q
 from tracewarden.plans import rules as R
+from tracewarden.session import shared_folder
 from tracewarden.sources import tables as S
 from tracewarden.telemetry import VIEW_PARAMS as P
 
@@ -311,9 +314,6 @@ def export_json(spark, sf_dir):
 
 @query("append_findings", f"SELECT {_COLS}, CAST(1 AS BIGINT) AS steps FROM findings WHERE rule_id IN ('fs.sensitive_read')")
 def append_findings(spark, sf_dir):
-    from tracewarden.session import shared_folder
-    import uuid
-
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/findings"
     S.append_findings(R.rule_sensitive_read(T.file_events(spark, sf_dir), P), path)
     stored = S.findings_as_rows(spark.read.parquet(path))
@@ -323,9 +323,6 @@ def append_findings(spark, sf_dir):
 
 @query("append_events", "SELECT seq, ts, agent_id, path, op FROM files")
 def append_events(spark, sf_dir):
-    from tracewarden.session import shared_folder
-    import uuid
-
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/file_events"
     S.append_events(T.file_events(spark, sf_dir), path)
     return spark.read.parquet(path).select("seq", "ts", "agent_id", "path", "op")
@@ -341,7 +338,7 @@ def append_events(spark, sf_dir):
 def upsert_agents(spark, sf_dir):
     first = T.volumes(spark, sf_dir).groupBy(F.col("agent_id").alias("id")).agg(F.min("ts").alias("first_seen"))
     stored = first.select("id", F.lit("old").alias("name"), F.lit("v0").alias("vendor"), "first_seen", F.col("first_seen").alias("last_seen"))
-    views = T._base(spark, sf_dir, "view")
+    views = T.base(spark, sf_dir, "view")
     updates = views.select(
         F.col("agent_id").alias("id"), F.concat(F.lit("name-"), F.col("k")).alias("name"),
         F.concat(F.lit("v"), F.col("k") % 3).alias("vendor"), F.col("ts").alias("first_seen"),
@@ -377,7 +374,7 @@ def upsert_processes(spark, sf_dir):
 )
 def touch_agents(spark, sf_dir):
     stored = agents(spark, sf_dir).select("id", F.col("first_seen").alias("last_seen"))
-    updates = T._base(spark, sf_dir, "signup").select(
+    updates = T.base(spark, sf_dir, "signup").select(
         "agent_id", F.col("ts").alias("last_seen"), F.col("seq").alias("arrival")
     )
     return S.touch_agents(stored, updates)
@@ -385,7 +382,7 @@ def touch_agents(spark, sf_dir):
 
 @query("upsert_meta", "SELECT agent_id AS k, arg_max(CAST(ts AS VARCHAR), seq) AS v FROM base WHERE event_type = 'view' GROUP BY 1")
 def upsert_meta(spark, sf_dir):
-    updates = T._base(spark, sf_dir, "view").select(
+    updates = T.base(spark, sf_dir, "view").select(
         F.col("agent_id").alias("k"), F.col("ts").cast("string").alias("v"), F.col("seq").alias("arrival")
     )
     return S.upsert_meta(spark.createDataFrame([], schemas.META), updates)

@@ -35,10 +35,10 @@ _CTES = {
         CAST(len(string_split(dir, '/')) - 1 AS INT) AS depth FROM stored WHERE doc_id % 5 != 3""",
     "bytes": "SELECT path, unnest(regexp_extract_all(hex(encode(content)), '..')) AS b FROM inventory",
     "counted": "SELECT path, b, count(*) AS n FROM bytes GROUP BY 1, 2",
-    "entropies": """SELECT path, round(-sum(n / t * log2(n / t)), 3) AS entropy FROM (
+    "entropies": """SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
         SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM counted) GROUP BY path""",
-    "blobs": f"""SELECT i.*, entropy FROM inventory i JOIN entropies USING (path) WHERE size >= {PARAMS.hidden_blob_bytes}
-        AND doc_id % 4 != 2 AND entropy >= {PARAMS.hidden_blob_entropy}""",
+    "blobs": f"""SELECT i.* FROM inventory i JOIN entropies USING (path) WHERE size >= {PARAMS.hidden_blob_bytes}
+        AND doc_id % 4 != 2 AND CAST(exact AS FLOAT) >= {PARAMS.hidden_blob_entropy}""",
     "odd": f"""SELECT agent_id, page_host AS host, min(path) AS path FROM inventory i WHERE scannable AND doc_id % 4 IN (0, 3)
         AND size <= {PARAMS.endpoint_file_bytes} AND NOT {host_allowed('i.agent_id', 'i.page_host')} AND NOT {benign('page_host')} GROUP BY 1, 2""",
     "capped": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY path) AS r FROM odd) WHERE r <= 15",
@@ -106,7 +106,7 @@ def agent_inventory(spark, sf_dir):
     return Q.agent_inventory(T.profiles(spark), _installed(spark, sf_dir), usage, running)
 
 
-@query("entropy_of_file", "SELECT path, entropy FROM entropies", _CTES)
+@query("entropy_of_file", "SELECT path, round(exact, 3) AS entropy FROM entropies", _CTES)
 def file_entropy(spark, sf_dir):
     measured = entropy_of_file(inventory(spark, sf_dir))
     return measured.select("path", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))

@@ -129,7 +129,7 @@ def port_owner(
     ttl_ms: int = 6_000,
     default_agent: str | None = None,
     host_key: str = "host_id",
-    slice_ms: int = 60_000,
+    slice_ms: int = 10_000,
 ) -> DataFrame:
     """Adds ``pid`` (and ``agent_id``) of the process that owned the capture's source port.
 

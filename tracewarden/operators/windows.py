@@ -32,20 +32,20 @@ def rolling_sum(
     return summed.filter(F.col("_kind") == 1).select(*df.columns, out)
 
 
-def rolling_volume(volumes: DataFrame, window_ms: int, slice_ms: int = 60_000) -> DataFrame:
+def rolling_volume(volumes: DataFrame, window_ms: int, slice_ms: int = 10_000) -> DataFrame:
     """Adds ``total_out``: bytes the agent sent within the window."""
     known = volumes.filter(F.col("agent_id").isNotNull())
     return rolling_sum(known, ["agent_id"], F.col("bytes_out"), window_ms, "total_out", slice_ms)
 
 
-def rolling_git_reads(file_events: DataFrame, window_ms: int, slice_ms: int = 60_000) -> DataFrame:
+def rolling_git_reads(file_events: DataFrame, window_ms: int, slice_ms: int = 10_000) -> DataFrame:
     """Reads of git metadata with ``git_rows``: how many such rows the agent had in the window."""
     git = file_events.filter(F.col("agent_id").isNotNull() & is_git_path(F.col("path")))
     return rolling_sum(git, ["agent_id"], F.lit(1), window_ms, "git_rows", slice_ms)
 
 
 def rolling_distinct_reads(
-    file_events: DataFrame, window_ms: int, method: str = "sweep", slice_ms: int = 60_000
+    file_events: DataFrame, window_ms: int, method: str = "sweep", slice_ms: int = 10_000
 ) -> DataFrame:
     """Adds ``distinct_paths``: different paths of the (agent, repository) within the window.
 

@@ -70,5 +70,5 @@ class Params:
     retention_days: int = 7
     # physical layout: width of the time slices hot keys are split into, and the
     # group size beyond which repeat suppression switches to its blocked form
-    slice_ms: int = 60_000
+    slice_ms: int = 10_000
     hot_group_rows: int = 200_000

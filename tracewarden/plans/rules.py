@@ -363,7 +363,7 @@ def uploads(volumes: DataFrame, http: DataFrame | None, params: Params) -> DataF
     return out.unionByName(captured.select(*columns))
 
 
-def correlate_exfil(signals: DataFrame, uploads: DataFrame, max_gap_ms: int, slice_ms: int = 60_000) -> DataFrame:
+def correlate_exfil(signals: DataFrame, uploads: DataFrame, max_gap_ms: int, slice_ms: int = 10_000) -> DataFrame:
     """Uploads with ``signal`` (ts, seq): the agent's latest read signal, at most ``max_gap_ms`` old."""
     matched = as_of(uploads, signals.select("agent_id", "ts", "seq"), ["agent_id"], "signal", slice_ms, max_gap_ms)
     return matched.filter(F.col("signal").isNotNull()).withColumn("signal", F.struct("signal.ts", "signal.seq"))

@@ -49,7 +49,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _base(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter(F.col("event_type") == event_type)
     return events.select(
         F.col("event_id").alias("seq"),
@@ -62,7 +62,7 @@ def _base(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _base(spark, sf_dir, "purchase").select(
+    return base(spark, sf_dir, "purchase").select(
         "seq", "ts", "pid", "agent_id",
         F.floor(F.col("value") * 1000).cast("bigint").alias("bytes_in"),
         F.floor(F.col("value") * 100000).cast("bigint").alias("bytes_out"),
@@ -83,7 +83,7 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("/src/f"), k, F.lit(".py")))
     )
     root = repo_of(F.col("pid"))
-    return _base(spark, sf_dir, "click").select(
+    return base(spark, sf_dir, "click").select(
         "seq", "ts", "pid", "agent_id",
         F.concat(root, tail).alias("path"),
         F.lit("open").alias("op"),
@@ -116,7 +116,7 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 1, dotted(198, 18, seq % 250, 1 + seq % 200))
         .otherwise(dotted(20 + k, pid % 200, seq % 250, 1 + seq % 200))
     )
-    rows = _with_page_host(_base(spark, sf_dir, "view"), spark, sf_dir)
+    rows = _with_page_host(base(spark, sf_dir, "view"), spark, sf_dir)
     return rows.select(
         "seq", "ts", "pid", "agent_id",
         F.concat(ip, F.lit(":443")).alias("remote_addr"),
@@ -131,7 +131,7 @@ def http_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured requests before classification; the source port is unique per process and day."""
     bodies = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = bodies.count()
-    rows = _with_page_host(_base(spark, sf_dir, "error"), spark, sf_dir)
+    rows = _with_page_host(base(spark, sf_dir, "error"), spark, sf_dir)
     rows = rows.withColumn("doc_id", F.col("seq") % count).join(bodies, "doc_id")
     return rows.select(
         "seq", "ts", "pid", "agent_id",
@@ -149,7 +149,7 @@ def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("pid")
     root_pid = pid % 5 == 0
     name = F.when(root_pid, F.concat(F.lit("tool-"), pid % AGENTS)).otherwise(F.lit("worker"))
-    return _base(spark, sf_dir, "signup").select(
+    return base(spark, sf_dir, "signup").select(
         "seq", "ts", "pid",
         F.when(~root_pid, pid - 1).alias("ppid"),
         (F.floor(F.col("ts") / (10 * DAY_MS)) * 10 * DAY_MS).alias("start_time"),
