@@ -9,12 +9,13 @@ from tracewarden.functions.fmt import rank_of, severity_label
 from tracewarden.operators.joins import domain_allowed
 from tracewarden.params import DAY_MS
 from tracewarden.sources.inventory import ancestors
+from tracewarden.sources.tables import not_before
 
 DEFAULT_FINDINGS = 200
 
 
 def _since(df: DataFrame, since_ms: int | None) -> DataFrame:
-    return df if since_ms is None else df.filter(F.col("ts") >= since_ms)
+    return df if since_ms is None else not_before(df, "ts", since_ms)
 
 
 # --- listings -------------------------------------------------------------------------------

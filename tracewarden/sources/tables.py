@@ -14,6 +14,12 @@ def day_of(ts: Column) -> Column:
     return F.date_from_unix_date(F.floor(ts / DAY_MS).cast("int"))
 
 
+def not_before(df: DataFrame, ts_col: str, cutoff_ms: int) -> DataFrame:
+    """Rows at or after a time; on a stored table whole days before it are not even listed."""
+    rows = df.filter(F.col(ts_col) >= cutoff_ms)
+    return rows.filter(F.col("dt") >= day_of(F.lit(cutoff_ms))) if "dt" in df.columns else rows
+
+
 def append_events(df: DataFrame, path: str, mode: str = "append", ts_col: str = "ts") -> None:
     """Append rows to a day-partitioned parquet table. Rows of one day meet before the write; the
     rebalance splits a day that is too large for one task and joins days that are small."""
@@ -106,8 +112,7 @@ def prune_retention(
     df: DataFrame, ts_col: str, as_of_ms: int, retention_days: int, minimum_days: int = 0
 ) -> DataFrame:
     """Rows still within retention at ``as_of_ms``; findings pass ``minimum_days=30``."""
-    cutoff = as_of_ms - max(retention_days, minimum_days) * DAY_MS
-    return df.filter(F.col(ts_col) >= cutoff)
+    return not_before(df, ts_col, as_of_ms - max(retention_days, minimum_days) * DAY_MS)
 
 
 def prune_counts(tables: dict[str, DataFrame], as_of_ms: int, retention_days: int) -> DataFrame:

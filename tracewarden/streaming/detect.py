@@ -10,7 +10,6 @@ and are dropped.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,7 +32,7 @@ EVENT_TABLES = {
 }
 
 
-PROGRESS = "watermark bigint, low bigint, high bigint"
+PROGRESS = "batch bigint, watermark bigint, low bigint, high bigint"
 
 
 class Store:
@@ -54,19 +53,18 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self._folder(table, b) for b in batches])
 
-    def progress(self, before: int) -> list:
-        """(batch, watermark, low, high) of the batches below ``before``, one small row each."""
-        try:
-            rows = self.spark.read.schema(f"{PROGRESS}, batch bigint").parquet(f"{self.path}/progress")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []  # the first batch
-        return rows.filter(F.col("batch") < before).orderBy("batch").collect()
+    def progress(self, batch_id: int) -> list:
+        """What the batch before this one knew: one row per batch that still matters."""
+        if batch_id == 0:
+            return []
+        return self.read("progress", PROGRESS, [batch_id - 1]).orderBy("batch").collect()
 
-    def finish(self, batch_id: int, watermark: int, low: int, high: int) -> None:
-        row = self.spark.createDataFrame([(watermark, low, high)], PROGRESS)
-        self.write(row.coalesce(1), "progress", batch_id)
+    def finish(self, batch_id: int, done: list, reached: tuple | None = None, forget_before: int = BEGINNING) -> None:
+        """Hand progress on to the next batch. The newest row is kept, whatever its age: it holds the
+        watermark."""
+        rows = [tuple(p) for p in done] + ([(batch_id, *reached)] if reached else [])
+        rows = [r for r in rows[:-1] if r[3] > forget_before] + rows[-1:]
+        self.write(self.spark.createDataFrame(rows, PROGRESS).coalesce(1), "progress", batch_id)
 
 
 def tables_of(events: DataFrame) -> dict[str, DataFrame]:
@@ -107,8 +105,8 @@ def stream_detect(
         store.write(batch.filter(F.col("ts") > start), "events", batch_id)
         fresh = store.read("events", schemas.STREAM_EVENTS, [batch_id])
         low, high = fresh.agg(F.min("ts"), F.max("ts")).first()
-        if high is None:
-            return  # nothing, or nothing on time
+        if high is None:  # nothing, or nothing on time
+            return store.finish(batch_id, done)
         upto = max(start, high - delay_ms)
 
         def since(ts: int) -> list[int]:
@@ -123,12 +121,13 @@ def stream_detect(
         found = read_signals(tables["file_events"], params, bulk).filter(F.col("ts") > start)
         store.write(found, "signals", batch_id)
         # sessions may reach back further than any window, though not past retention
-        kept = since(start - params.retention_days * DAY_MS)
+        oldest = start - params.retention_days * DAY_MS
+        kept = since(oldest)
         signals = store.read("signals", SIGNALS, [*kept, batch_id])
         emitted = store.read("findings", schemas.FINDINGS, kept)
         run = Increment(start, emitted)
         store.write(all_findings(tables, profiles, params, run, bulk, signals), "findings", batch_id)
-        store.finish(batch_id, upto, low, high)
+        store.finish(batch_id, done, (upto, low, high), oldest)
 
     writer = events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -136,8 +135,8 @@ def stream_detect(
 
 def stream_findings(spark: SparkSession, store_path: str) -> DataFrame:
     """Findings written so far."""
-    store = Store(spark, store_path)
-    return store.read("findings", schemas.FINDINGS, [p.batch for p in store.progress(1 << 62)])
+    typed = f"{schemas.FINDINGS}, batch bigint"
+    return spark.read.schema(typed).parquet(f"{store_path.rstrip('/')}/findings").drop("batch")
 
 
 def stream_rate_limit(
@@ -155,12 +154,12 @@ def stream_rate_limit(
         store.write(batch.filter(F.col("ts") > start), "pending", batch_id)
         low, high = store.read("pending", ddl, [batch_id]).agg(F.min("ts"), F.max("ts")).first()
         if high is None:
-            return
+            return store.finish(batch_id, done)
         upto = max(start, high // 1000 * 1000 - 1)
         rows = store.read("pending", ddl, [*[p.batch for p in done if p.high > start], batch_id])
         over = rows.filter((F.col("ts") > start) & (F.col("ts") <= upto))
         store.write(rate_limit_reads(over, limit), "kept", batch_id)
-        store.finish(batch_id, upto, low, high)
+        store.finish(batch_id, done, (upto, low, high), start)
 
     writer = file_events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
