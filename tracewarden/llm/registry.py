@@ -1,0 +1,30 @@
+"""The corpus queries: name to Spark function, and to its DuckDB counterpart where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewarden.session import ship_package
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return add
