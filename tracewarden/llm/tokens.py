@@ -219,7 +219,7 @@ def apply_edits(
     scripts = (
         narrow(edits, doc_id="doc_id", start="start", stop="stop", replacement="replacement")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct(F.col("start").cast("long"), F.col("stop").cast("long"), F.col("replacement").cast("string"))).alias("edits"))
+        .agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("replacement").cast("string").alias("replacement"))).alias("edits"))
     )
     planted = trees.dropDuplicates(["doc_id", "text_hash"]).join(
         scripts.withColumnRenamed("doc_id", "edit_id"), F.col("doc_id").eqNullSafe(F.col("edit_id")), "left"
