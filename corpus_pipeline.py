@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewarden.llm import decontaminate, langid, mixing, sharding, simhash
-from tracewarden.llm.common import table
+from tracewarden.llm.common import shield, table
 from tracewarden.session import cut_lineage, ship_package
 
 #: Bits of the stage's fingerprints, and how they are searched (see ``near_dedup``).
@@ -16,9 +16,10 @@ BITS, TREES, BLOCK_BITS = 256, 40, 13
 SIMILARITY = 0.8
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The documents whose id is in ``keep`` (column ``kept_id``)."""
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+def _matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The documents whose id is among the ids (``left_semi``) or is not (``left_anti``); null is an id as well."""
+    rows, own, names = shield(docs)
+    return rows.join(ids.select(F.col("doc_id").alias("id")), own["doc_id"].eqNullSafe(F.col("id")), how).toDF(*names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     found = langid.identify(docs, langid.fit(docs))
-    return _only(docs, found.filter("not rejected").select(F.col("doc_id").alias("kept_id")))
+    return _matching(docs, found.filter("not rejected"), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +42,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(
         docs, words=5, bits=BITS, max_distance=simhash.max_distance_for(SIMILARITY, BITS), trees=TREES, block_bits=BLOCK_BITS
     )
-    same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang")
-    single = docs.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
-    found = cut_lineage(found)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return _only(single, chosen)
+    rows, own, names = shield(docs)
+    same = W.partitionBy(own["doc_id"], F.xxhash64(own["text"])).orderBy(F.lit(1))
+    single = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth").toDF(*names)
+    return _matching(single, cut_lineage(found).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     ship_package(spark)
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id"))
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
+    return _matching(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,11 @@ def word_count(text: Column) -> Column:
 def unsigned_part(value: Column) -> Column:
     """A hash as a number from 0 to 2^62 - 1, so that differences fit a long."""
     return F.shiftrightunsigned(value, 2)
+
+
+def shield(df: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """The table with its columns numbered, so that no name an operator uses inside can clash; the columns by their
+    own names; and the names the result keeps, which are all but those it sets itself."""
+    inside = {name: F.col(f"in{i}") for i, name in enumerate(df.columns)}
+    kept = [c for c in df.columns if c.lower() not in replaced]
+    return df.toDF(*[f"in{i}" for i in range(len(df.columns))]), inside, kept

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.llm.common import shield
 from tracewarden.session import cut_lineage
 
 #: Shapes of variable fields.
@@ -78,7 +79,7 @@ def drop_recurring_lines(
     docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7
 ) -> DataFrame:
     """The documents without the lines of recurring templates, with ``n_lines`` and ``n_dropped``."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows, own, kept = shield(docs, ("n_lines", "n_dropped"))
     parsed = _parsed(docs, text_col, depth, min_tokens)
     keys = cut_lineage(parsed.drop("tokens"))
     fixed, general = recurring(parsed, keys, min_docs, similarity)
@@ -88,13 +89,13 @@ def drop_recurring_lines(
         .unionByName(keys.join(general, "leaf", "left_semi").select("text_hash", "number"))
         .groupBy(F.col("text_hash").alias("_hash")).agg(F.collect_set("number").alias("_dropped"))
     )
-    text = F.col(f"`{text_col}`")
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(text).alias("_own")).join(dropped, F.col("_own") == F.col("_hash"), "left")
+    text = own[text_col]
+    joined = rows.select("*", F.xxhash64(text).alias("_own")).join(dropped, F.col("_own") == F.col("_hash"), "left")
     gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
     clean = F.array_join(F.filter(lines(text), lambda _, i: ~F.array_contains(gone, i)), "\n")
     cleaned = F.when(text.isNotNull() & (F.size(gone) > 0), clean).otherwise(text)
     return joined.select(
-        *[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
+        *[(cleaned if c == text_col else own[c]).alias(c) for c in kept],
         F.when(text.isNull(), 0).otherwise(F.size(lines(text))).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
     )

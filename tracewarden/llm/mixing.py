@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import word_count
+from tracewarden.llm.common import shield, word_count
 
 PORTIONS = 64
 
@@ -71,16 +71,11 @@ def systematic_copies(
     seed: int = 17,
 ) -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target`` (its source's) and ``copies`` to take of each."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    ident = F.col(f"`{id_col}`")
+    rows, own, kept = shield(docs, ("size", "source_size", "target", "copies"))
+    ident = own[id_col]
     whole_ids = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     portion = F.coalesce(F.pmod(ident if whole_ids else F.xxhash64(ident), F.lit(PORTIONS)), F.lit(0)).cast("int")
-    sized = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.col(f"`{source_col}`").alias("_source"),
-        portion.alias("_portion"),
-    )
+    sized = rows.select("*", word_count(own[text_col]).alias("size"), own[source_col].alias("_source"), portion.alias("_portion"))
     cells = sized.groupBy("_source", "size", "_portion").agg(F.count(F.lit(1)).alias("_n"))
     levels = cells.groupBy("_source", "size").agg(F.sum("_n").alias("_n"))
     earlier = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
@@ -100,7 +95,7 @@ def systematic_copies(
         .join(goals, F.col("_s0").eqNullSafe(F.col("_s2")))
         .select("_s0", "_z0", "_p0", (F.col("_below") + F.col("_inside")).alias("_start"), "source_size", "target")
     )
-    in_cell = W.partitionBy("_source", "size", "_portion").orderBy(ident.asc_nulls_first(), F.xxhash64(F.col(f"`{text_col}`")))
+    in_cell = W.partitionBy("_source", "size", "_portion").orderBy(ident.asc_nulls_first(), F.xxhash64(own[text_col]))
     placed = sized.withColumn("_row", F.row_number().over(in_cell)).join(
         starts,
         F.col("_source").eqNullSafe(F.col("_s0")) & (F.col("size") == F.col("_z0")) & (F.col("_portion") == F.col("_p0")),
@@ -109,12 +104,15 @@ def systematic_copies(
     rank = F.col("_start") + F.col("_row")
     upto = lambda n: F.floor(rate * n + F.lit(offset_of(seed)))
     return placed.select(
-        *[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (upto(rank) - upto(rank - 1)).cast("long").alias("copies")
+        *[own[c].alias(c) for c in kept], "size", "source_size", "target", (upto(rank) - upto(rank - 1)).cast("long").alias("copies")
     )
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed corpus: the input's own columns, each document as often as it is taken."""
-    counted = systematic_copies(docs, **options)
-    repeated = counted.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, own, _ = shield(docs)
+    names = {role: own[options.pop(role, default)] for role, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    inside = {role: rows.select(column).columns[0] for role, column in names.items()}
+    counted = systematic_copies(rows, **inside, **options).filter("copies > 0")
+    repeated = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[own[c].alias(c) for c in docs.columns])

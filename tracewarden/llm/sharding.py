@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import unsigned_part
+from tracewarden.llm.common import shield, unsigned_part
 from tracewarden.session import cut_lineage
 
 PROBES = 256
@@ -117,10 +117,10 @@ def shard_documents(
     docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005
 ) -> DataFrame:
     """The documents with ``size``, ``shard`` (0 to shards - 1, near equal bytes) and ``slot`` (0.. within it)."""
-    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    rows_in, own, kept = shield(docs, ("size", "shard", "slot"))
+    text, ident = own[text_col], own[id_col]
     key = [unsigned_part(F.xxhash64(text)).alias("_key"), unsigned_part(F.xxhash64(ident)).alias("_second")]
-    keys = cut_lineage(docs.select(key[0].alias("key"), key[1].alias("second"), size_of(text).alias("size")))
+    keys = cut_lineage(rows_in.select(key[0].alias("key"), key[1].alias("second"), size_of(text).alias("size")))
     bounds, rows = splitters(keys, shards, tolerance)
 
     def shard(first: str, second: str) -> Column:
@@ -135,11 +135,11 @@ def shard_documents(
     counts = keys.groupBy(shard("key", "second").alias("_shard"), portion("second").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("_shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    placed = docs.select(*[F.col(f"`{c}`") for c in kept], size_of(text).alias("size"), *key).select(
+    placed = rows_in.select("*", size_of(text).alias("size"), *key).select(
         "*", shard("_key", "_second").alias("_shard"), portion("_second").alias("_part")
     )
     inside = W.partitionBy("_shard", "_part").orderBy("_key", "_second")
     numbered = placed.withColumn("_row", F.row_number().over(inside)).join(starts, ["_shard", "_part"])
     return numbered.select(
-        *[F.col(f"`{c}`") for c in kept], "size", F.col("_shard").alias("shard"), (F.col("_start") + F.col("_row") - 1).cast("long").alias("slot")
+        *[own[c].alias(c) for c in kept], "size", F.col("_shard").alias("shard"), (F.col("_start") + F.col("_row") - 1).cast("long").alias("slot")
     )
