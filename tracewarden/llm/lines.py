@@ -23,7 +23,9 @@ from tracewarden.llm.common import shield
 from tracewarden.session import cut_lineage
 
 #: Shapes of variable fields.
-VARIABLE = r"\S*(?:[0-9@]|://)\S*"
+VARIABLE = r"\S*?(?:[0-9@]|://)\S*"
+#: Leaves to compare position by position are broadcast up to this number (8 bytes each), and joined beyond it.
+BROADCAST_LEAVES = 1_000_000
 
 
 def lines(text: Column) -> Column:
@@ -31,8 +33,10 @@ def lines(text: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    masked = F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), VARIABLE, "<*>")
-    return F.split(masked, " ")
+    """Tokens with variable fields masked; lines without any never reach the second expression."""
+    plain = F.translate(line, "\t\r\f\x0b", "    ")
+    masked = F.when(plain.rlike("[0-9@]|://"), F.regexp_replace(plain, VARIABLE, "<*>")).otherwise(plain)
+    return F.array_remove(F.split(masked, " "), "")
 
 
 def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> DataFrame:
@@ -50,7 +54,9 @@ def recurring(parsed: DataFrame, keys: DataFrame, min_docs: int, similarity: flo
     per_line = cut_lineage(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts")))
     fixed = per_line.filter(F.col("texts") >= min_docs).select("leaf", "line")
     many = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.sum("texts").alias("texts"))
-    open_leaves = many.filter((F.col("variants") > 1) & (F.col("texts") >= min_docs)).select("leaf")
+    open_leaves = cut_lineage(many.filter((F.col("variants") > 1) & (F.col("texts") >= min_docs)).select("leaf"))
+    if open_leaves.count() <= BROADCAST_LEAVES:
+        open_leaves = F.broadcast(open_leaves)
     positions = parsed.join(open_leaves, "leaf", "left_semi").select("leaf", F.posexplode("tokens").alias("position", "token"))
     agreed = positions.groupBy("leaf", "position").agg((F.min("token") == F.max("token")).alias("same"))
     general = agreed.groupBy("leaf").agg(F.avg(F.col("same").cast("int")).alias("share")).filter(F.col("share") >= similarity)
