@@ -44,7 +44,7 @@ ROWS = [(i, " ".join(f"w{(i * j * 7 + j) % 23}" for j in range(i % 40))) for i i
 ROWS += [(200, None), (201, "  "), (202, "Ünï w1 W1 w1 w1 w1"), (203, "never seen anywhere"), (None, "w1 w2"), (7, ROWS[7][1])]
 
 
-@pytest.mark.parametrize(("batch_chars", "partition_grams"), [(4_000_000, 2_000_000), (300, 100)])
+@pytest.mark.parametrize(("batch_chars", "partition_grams"), [(16_000_000, 2_000_000), (300, 100)])
 def test_against_brute_force(spark, batch_chars, partition_grams):
     docs = spark.createDataFrame([(i, t, 1) for i, t in ROWS], "doc_id long, text string, batch int")
     got = lm.score_documents(docs, batch_chars=batch_chars, partition_grams=partition_grams).collect()

@@ -35,6 +35,26 @@ from tracewarden.session import cut_lineage
 ORDERS = 3
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Compressed byte planes: small numbers and small differences cost little."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    count, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(data[8:], decompressed_size=count * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def squeeze_sorted(values: np.ndarray) -> bytes:
+    return squeeze(np.diff(values, prepend=np.uint64(0)))
+
+
+def unsqueeze_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, np.uint64), dtype=np.uint64)
+
+
 def _batches(docs: DataFrame, batch_chars: int) -> DataFrame:
     """(batch, doc_ids, lengths, vocabulary, words): documents as numbers into their batch's vocabulary of word hashes."""
     kind = docs.schema["doc_id"].dataType
@@ -49,7 +69,7 @@ def _batches(docs: DataFrame, batch_chars: int) -> DataFrame:
             columns = [
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(to_arrow_type(kind))), pa.array([lengths], pa.list_(pa.int64())),
                 pa.array([sum(lengths)], pa.int64()), pa.array([hashes.tobytes()], pa.binary()),
-                pa.array([b"".join(words)], pa.binary()),
+                pa.array([squeeze(np.frombuffer(b"".join(words), np.int32))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "lengths", "n_words", "vocabulary", "words"])
 
@@ -81,7 +101,7 @@ class Batch:
 
     @classmethod
     def of(cls, lengths: list[int], vocabulary: bytes, words: bytes) -> Batch:
-        return cls(np.array(lengths, np.int64), np.frombuffer(vocabulary, np.uint64)[np.frombuffer(words, np.int32)])
+        return cls(np.array(lengths, np.int64), np.frombuffer(vocabulary, np.uint64)[unsqueeze(words, np.int32)])
 
     def document(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -123,8 +143,8 @@ def _requests(batches: DataFrame, partitions: int) -> DataFrame:
                         [
                             pa.array([i for i, _, _ in rows], pa.int64()), pa.array([row["batch"]] * len(rows), pa.int64()),
                             pa.array([order] * len(rows), pa.int64()),
-                            pa.array([grams[a:b].tobytes() for _, a, b in rows], pa.binary()),
-                            pa.array([counts[a:b].astype(np.int32).tobytes() for _, a, b in rows], pa.binary()),
+                            pa.array([squeeze_sorted(grams[a:b]) for _, a, b in rows], pa.binary()),
+                            pa.array([squeeze(counts[a:b]) for _, a, b in rows], pa.binary()),
                         ],
                         names=["bucket", "batch", "n", "grams", "counts"],
                     )
@@ -135,15 +155,15 @@ def _requests(batches: DataFrame, partitions: int) -> DataFrame:
 
 def _answer(requests: pa.Table) -> pa.Table:
     """Totals for each request of one bucket and order, in its own order."""
-    asked = [np.frombuffer(g.as_py(), np.uint64) for g in requests["grams"]]
-    counts = [np.frombuffer(c.as_py(), np.int32) for c in requests["counts"]]
+    asked = [unsqueeze_sorted(g.as_py()) for g in requests["grams"]]
+    counts = [unsqueeze(c.as_py(), np.int64) for c in requests["counts"]]
     grams, place = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(grams)).astype(np.int64)[place]
     cuts = np.cumsum([len(a) for a in asked])[:-1]
     return pa.table(
         {
             "batch": requests["batch"], "n": requests["n"], "bucket": requests["bucket"],
-            "totals": pa.array([t.tobytes() for t in np.split(totals, cuts)], pa.binary()),
+            "totals": pa.array([squeeze(t) for t in np.split(totals, cuts)], pa.binary()),
         }
     )
 
@@ -183,7 +203,7 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     alpha: float = 0.4,
-    batch_chars: int = 4_000_000,
+    batch_chars: int = 16_000_000,
     partition_grams: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, trigram_hits), one row per document; logs to base 10."""
@@ -201,7 +221,7 @@ def score_documents(
         by_order: list[list[tuple[int, bytes]]] = [[] for _ in range(ORDERS)]
         for reply in replies.to_pylist():
             by_order[reply["n"] - 1].append((reply["bucket"], reply["totals"]))
-        totals = [np.frombuffer(b"".join(t for _, t in sorted(parts)), np.int64) for parts in by_order]
+        totals = [np.concatenate([np.zeros(0, np.int64), *(unsqueeze(t, np.int64) for _, t in sorted(parts))]) for parts in by_order]
         logs, level = backoff_scores(batch, totals, n_words, alpha)
         document, count = batch.document(), len(batch.lengths)
         sums = np.bincount(document, weights=logs, minlength=count)
