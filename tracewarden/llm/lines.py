@@ -33,10 +33,9 @@ def lines(text: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens with variable fields masked; lines without any never reach the second expression."""
-    plain = F.translate(line, "\t\r\f\x0b", "    ")
-    masked = F.when(plain.rlike("[0-9@]|://"), F.regexp_replace(plain, VARIABLE, "<*>")).otherwise(plain)
-    return F.array_remove(F.split(masked, " "), "")
+    """Tokens with variable fields masked; lines that hold only words and blanks are split as they are."""
+    masked = F.regexp_replace(F.translate(line, "\t\r\f\x0b", "    "), VARIABLE, "<*>")
+    return F.array_remove(F.split(F.when(line.rlike("[0-9@\t\r\f\x0b]|://"), masked).otherwise(line), " "), "")
 
 
 def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> DataFrame:
