@@ -15,7 +15,7 @@ Edits are (doc_id, start, stop, replacement) in characters of the text before, o
 null text counts as empty and has one empty leaf; positions beyond the text are cut to its end, a stop before its
 start is the start; an edit that overlaps an earlier one begins where that one ended; edits of equal start and stop apply in
 order of their replacement; null positions are ignored, a null replacement deletes; edits of unknown documents have no effect;
-rows that repeat a doc_id each get that id's edits; documents without a tree of their text are left out; an empty table gives an empty result; extra columns are not read.
+rows that repeat a doc_id each get that id's edits; a document without a tree of its own text gets one first; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -212,21 +212,21 @@ def apply_edits(
 ) -> DataFrame:
     """(doc_id, text, n_chars, n_tokens, tokens_before, tokens_after, chars_encoded, leaves_encoded) of every document.
 
-    Trees and edits meet first, without texts; the texts are then shuffled once. A document's edits are one row,
-    bounded by what one revision of one text changes.
+    Texts, trees and edits are each shuffled once, by the id. A document's edits are one row, bounded by what one
+    revision of one text changes.
     """
+    # one key for all three, in which null is a value, so that each is shuffled once
+    keyed = lambda df, name: df.withColumn("key", F.to_json(F.struct(F.col(name).alias("id"))))
     rows = narrow(docs, doc_id=id_col, text=text_col)
+    place = lambda c: F.col(c).cast("long").alias(c)
     scripts = (
-        narrow(edits, doc_id="doc_id", start="start", stop="stop", replacement="replacement")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("replacement").cast("string").alias("replacement"))).alias("edits"))
+        keyed(narrow(edits, edit_id="doc_id", start="start", stop="stop", replacement="replacement"), "edit_id")
+        .groupBy("key")
+        .agg(F.collect_list(F.struct(place("start"), place("stop"), F.col("replacement").cast("string").alias("replacement"))).alias("edits"))
     )
-    planted = trees.dropDuplicates(["doc_id", "text_hash"]).join(
-        scripts.withColumnRenamed("doc_id", "edit_id"), F.col("doc_id").eqNullSafe(F.col("edit_id")), "left"
-    )
-    planted = planted.select(F.col("doc_id").alias("tree_id"), "text_hash", "n_chars", "n_tokens", "edits")
-    own_tree = F.col("doc_id").eqNullSafe(F.col("tree_id")) & (F.xxhash64("text") == F.col("text_hash"))
-    joined = rows.join(planted, own_tree)
+    planted = keyed(trees, "doc_id").groupBy("key").agg(F.min_by(F.struct("text_hash", "n_chars", "n_tokens"), "text_hash").alias("tree"))
+    joined = keyed(rows, "doc_id").join(planted, "key", "left").join(scripts, "key", "left")
+    joined = joined.withColumn("tree", F.when(F.col("tree.text_hash") == F.xxhash64("text"), F.col("tree")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
@@ -235,7 +235,7 @@ def apply_edits(
             for batch in batches:
                 for row in range(batch.num_rows):
                     doc_id, text, chars, tokens, script = (batch.column(i)[row].as_py() for i in range(5))
-                    tree = SegmentTree(chars, tokens)
+                    tree = SegmentTree(chars, tokens) if chars else plant(text, count, leaf_chars)
                     before = tree.tokens[1]
                     script = [(e["start"], e["stop"], e["replacement"]) for e in script or []]
                     new, tree, encoded, leaves = revise(text, tree, script, count, leaf_chars)
@@ -253,4 +253,4 @@ def apply_edits(
         f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, {TREE}, tokens_before long, tokens_after long, "
         "chars_encoded long, leaves_encoded long"
     )
-    return joined.select("doc_id", "text", "n_chars", "n_tokens", "edits").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "tree.n_chars", "tree.n_tokens", "edits").mapInArrow(run, schema)
