@@ -30,7 +30,7 @@ def canonical(rows, columns):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in SLOW])
 def test_query(spark, db, name):
     frame = entry.queries()[name](spark, str(SF))
     result = db.execute(entry.oracle_sql()[name])

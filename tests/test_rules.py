@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewarden import schemas
+from tracewarden.operators.suppress import suppress_repeats
 from tracewarden.params import Params
 from tracewarden.plans import rules
 from tracewarden.sources.profiles import load_profiles
@@ -152,7 +155,7 @@ def test_artifact_rules(spark):
 
 
 def test_hot_agents_give_the_same_findings(spark, profiles):
-    """Suppression in blocks and narrow time slices change nothing."""
+    """Narrow time slices change nothing."""
     tables = {
         "file_events": files(spark, READS), "volumes": volumes(spark, [(NOW + i * 1000, 8 << 20) for i in range(900)]),
         "connections": connections(spark, [("zcode", f"1.2.3.{i % 3}", NOW + i * 60_000, None) for i in range(200)]),
@@ -161,4 +164,30 @@ def test_hot_agents_give_the_same_findings(spark, profiles):
         rows = rules.all_findings(tables, profiles, params).select("rule_id", "ts", "dedupe_key", F.to_json("evidence"))
         return sorted(map(tuple, rows.collect()))
 
-    assert keys(P) == keys(Params(hot_group_rows=0, slice_ms=700))
+    assert keys(P) == keys(Params(slice_ms=700))
+
+
+def kept_by_hand(rows, window):
+    last, out = {}, []
+    for key, ts, seq, tag in sorted(rows):
+        if key not in last or ts - last[key] >= window:
+            last[key] = ts
+            out.append((key, ts, seq, tag))
+    return out
+
+
+@pytest.mark.parametrize("window", [0, 1, 50, 100_000])
+@pytest.mark.parametrize("blocks", [2, 64])
+def test_suppression_with_equal_times_and_numbers(spark, window, blocks):
+    rng = random.Random(window + blocks)
+    rows = [(rng.choice("abc"), rng.randint(-300, 3000), rng.randint(0, 2), rng.randint(0, 9)) for _ in range(800)]
+    rows += rows[:50]
+    hits = spark.createDataFrame(rows, "k string, ts long, seq long, tag long")
+    got = sorted(map(tuple, suppress_repeats(hits, ["k"], window, blocks).select("k", "ts", "seq", "tag").collect()))
+    assert got == sorted(kept_by_hand(rows, window))
+
+
+def test_a_million_hits_of_one_key(spark):
+    hits = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * 7).alias("ts"), F.col("id").alias("seq"))
+    kept = suppress_repeats(hits, ["k"], 1000).select("ts").orderBy("ts").collect()
+    assert [r.ts for r in kept] == [i * 1001 for i in range(len(kept))] and len(kept) == -(-7_000_000 // 1001)

@@ -213,7 +213,12 @@ def test_tree_and_inventory(spark, tmp_path):
     roots = spark.createDataFrame([("A", str(base))], "agent_id string, root string")
     found = inventory.ingest_file_inventory(inventory.read_tree(roots), roots)
     rows = {r.path.split("/")[-1]: r for r in inventory.entropy_of_file(found).collect()}
-    assert {n: (r.depth, r.scannable) for n, r in rows.items()} == {"a.json": (0, True), "b.json": (1, False), "ok.txt": (8, True)}
+    near = {"a.json": (0, True), "b.json": (1, False), "ok.txt": (8, True)}
+    assert {n: (r.depth, r.scannable) for n, r in rows.items()} == near | {"too_deep.txt": (9, True)}
+    bounded = inventory.ingest_file_inventory(inventory.read_tree(roots, max_depth=8), roots, max_depth=8).collect()
+    assert {r.path.split("/")[-1] for r in bounded} == set(near)
+    first = inventory.ingest_file_inventory(inventory.read_tree(roots), roots, max_entries=2).collect()
+    assert len(first) == 2
     assert rows["a.json"].entropy == pytest.approx(1.921928) and rows["b.json"].entropy == 0
 
 
@@ -242,3 +247,69 @@ def test_evolve_schema(spark):
     old = spark.createDataFrame([(1, 2)], "seq bigint, ts bigint")
     row = tables.evolve_schema(old, schemas.HTTP_REQUESTS).first()
     assert row.seq == 1 and row.body is None
+
+
+LONG_PROSE = b"plain prose without any secret in it, line after line. " * 95_000
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        gzip.compress(LONG_PROSE + b'token = "0123456789abcdef"'),
+        base64.b64encode(LONG_PROSE + b'token = "0123456789abcdef"'),
+        gzip.compress(gzip.compress(zlib.compress(base64.b64encode(gzip.compress(b'password = "correct horse battery" ' + b' '.join(b'%d' % (i * i * 7919 % 99991) for i in range(900))))))),
+    ],
+)
+def test_bodies_are_inspected_whole(spark, body):
+    row = captures.classify_payload(spark.createDataFrame([(bytearray(body),)], "b binary"), "b").first()
+    assert row["class"] == "secret"
+
+
+def test_bounds_are_arguments(spark):
+    body = gzip.compress(LONG_PROSE + b'token = "0123456789abcdef"')
+    frame = spark.createDataFrame([(bytearray(body),)], "b binary")
+    assert captures.classify_payload(frame, "b", limit_bytes=1 << 20).first()["class"] == "text"
+    assert captures.peel(gzip.compress(gzip.compress(b"x")), max_layers=1)["layers"] == ["gzip"]
+
+
+def test_tar_prefixes_and_long_names():
+    def header(name, size=0, kind=b"0", prefix=b""):
+        block = bytearray(512)
+        block[: len(name)] = name
+        block[124:136] = b"%011o\0" % size
+        block[156:157] = kind
+        block[257:263] = b"ustar\0"
+        block[345 : 345 + len(prefix)] = prefix
+        return bytes(block)
+
+    long_name = b"d/" * 80 + b"file.py"
+    pax = b"27 path=from/pax/header.txt\n"
+    body = header(b"leaf.c", prefix=b"deep/tree") + header(b"././@LongLink", len(long_name), b"L") + long_name.ljust(512, b"\0")
+    body += header(long_name[:100], 3) + b"abc".ljust(512, b"\0") + header(b"x", len(pax), b"x") + pax.ljust(512, b"\0") + header(b"y") + header(b"z")
+    assert captures.tar_names(body + bytes(1024)) == ["deep/tree/leaf.c", long_name.decode(), "from/pax/header.txt", "z"]
+    assert captures.tar_names(body, 1) == ["deep/tree/leaf.c"]
+
+
+def test_contents_move_only_for_chosen_files(spark):
+    files = spark.createDataFrame([("/h/.a/x.json", 9, 1)], "path string, size long, mtime long")
+    roots = spark.createDataFrame([("A", "/h/.a")], "agent_id string, root string")
+    plan = inventory.ingest_file_inventory(files, roots)
+    assert "content" not in plan.columns
+    stored = spark.createDataFrame([("/h/.a/x.json", bytearray(b"hello"))], "path string, content binary")
+    assert inventory.entropy_of_file(plan, stored=stored).first()["entropy"] > 1
+
+
+def test_shared_folder_must_be_named_off_local_masters():
+    from tracewarden import session
+
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]")
+    assert not session.is_local("spark://host:7077")
+
+
+def test_expired_days_are_dropped(spark, tmp_path):
+    day = 86_400_000
+    rows = spark.createDataFrame([(i, i * day // 2) for i in range(40)], "seq long, ts long")
+    path = str(tmp_path / "t")
+    rows.withColumn("dt", F.to_date(F.timestamp_millis("ts"))).write.partitionBy("dt").parquet(path)
+    assert tables.drop_expired(spark, path, 15 * day, 5) == 20
+    assert spark.read.parquet(path).agg(F.min("ts")).first()[0] == 10 * day

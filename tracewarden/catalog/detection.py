@@ -65,9 +65,9 @@ def suppress(spark, sf_dir):
 
 @query("suppress_repeats_blocked", "SELECT agent_id, repo_root, ts, seq FROM click_hits_kept", _CLICKS)
 def suppress_blocked(spark, sf_dir):
-    """The same with every key treated as hot."""
+    """The same in the smallest blocks."""
     hits = T.file_events(spark, sf_dir).select("agent_id", "repo_root", "ts", "seq")
-    return suppress_repeats(hits, ["agent_id", "repo_root"], _DAY, hot_group_rows=0)
+    return suppress_repeats(hits, ["agent_id", "repo_root"], _DAY, block_windows=2)
 
 
 _PEERS = f"""SELECT h.agent_id, h.ts, h.seq, h.total_out, coalesce((SELECT string_agg(label, ', ' ORDER BY first) FROM (

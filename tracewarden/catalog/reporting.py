@@ -120,6 +120,11 @@ _DEST = {
         max(ts) AS last_seen FROM connections WHERE ts >= {SINCE_MS} GROUP BY 1, 2 ORDER BY last_seen DESC, agent_id, host LIMIT 200""",
     "dest_allowed": f"SELECT c.*, {host_allowed('c.agent_id', 'c.host')} AS allowed FROM dest c",
 }
+_EVERY_DEST = {
+    "every_dest": f"""SELECT agent_id, coalesce(remote_host, remote_addr) AS host, count(*) AS connections,
+        max(ts) AS last_seen FROM connections WHERE ts >= {SINCE_MS} GROUP BY 1, 2""",
+    "every_allowed": f"SELECT c.*, {host_allowed('c.agent_id', 'c.host')} AS allowed FROM every_dest c",
+}
 
 
 @query("destinations", "SELECT * FROM dest_allowed", _DEST)
@@ -130,11 +135,12 @@ def destinations(spark, sf_dir):
 @query(
     "destinations_by_host",
     """SELECT host, CAST(sum(connections) AS BIGINT) AS connections, count(DISTINCT agent_id) AS agents, max(last_seen) AS last_seen,
-        bool_or(NOT allowed) AS disallowed FROM dest_allowed GROUP BY host""",
-    _DEST,
+        bool_or(NOT allowed) AS disallowed FROM every_allowed GROUP BY host""",
+    _EVERY_DEST,
 )
 def destinations_by_host(spark, sf_dir):
-    return Q.destinations_by_host(destinations(spark, sf_dir))
+    every = Q.destinations(T.connections(spark, sf_dir), SINCE_MS, None, T.profiles(spark), GLOBAL_ALLOWED_DOMAINS)
+    return Q.destinations_by_host(every)
 
 
 @query(
@@ -231,7 +237,7 @@ def _installed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "overview_stats",
-    f"""SELECT (SELECT count(*) FROM (SELECT * FROM statused WHERE status = 'open' ORDER BY ts DESC, seq DESC, rule_id LIMIT 100) WHERE severity >= 3) AS urgent,
+    f"""SELECT (SELECT count(*) FROM statused WHERE status = 'open' AND severity >= 3) AS urgent,
         (SELECT count(*) FROM summary WHERE {_INSTALLED.replace('agent_id', 'id')}) AS installed,
         (SELECT count(*) FROM summary WHERE bytes_out_24h > 0) AS uploading""",
     _SUMMARY,

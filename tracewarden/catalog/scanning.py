@@ -17,7 +17,7 @@ from tracewarden.catalog.registry import query
 from tracewarden.plans import reports as Q
 from tracewarden.plans import rules as R
 from tracewarden.plans import scan as C
-from tracewarden.sources.inventory import entropy_of_file, ingest_file_inventory, profile_roots, shannon_entropy
+from tracewarden.sources.inventory import entropy_of_file, ingest_file_inventory, profile_configs, profile_roots, shannon_entropy
 from tracewarden.telemetry import VIEW_PARAMS
 
 SCAN_TS = 1_706_745_600_000
@@ -32,21 +32,25 @@ _CTES = {
         page_host, '{{"telemetryEndpoint": "https://' || page_host || '/v1"}}' || chr(10) || text AS content
         FROM documents JOIN hosts ON page_id = doc_id % (SELECT count(*) FROM pages)""",
     "inventory": """SELECT *, root || dir || name AS path, CAST(strlen(content) AS BIGINT) AS size, doc_id % 5 != 0 AS scannable,
-        CAST(len(string_split(dir, '/')) - 1 AS INT) AS depth FROM stored WHERE doc_id % 5 != 3""",
+        CAST(len(string_split(dir, '/')) - 1 AS INT) AS depth FROM stored""",
     "bytes": "SELECT path, unnest(regexp_extract_all(hex(encode(content)), '..')) AS b FROM inventory",
     "counted": "SELECT path, b, count(*) AS n FROM bytes GROUP BY 1, 2",
     "entropies": """SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
         SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM counted) GROUP BY path""",
-    "blobs": f"""SELECT i.* FROM inventory i JOIN entropies USING (path) WHERE size >= {PARAMS.hidden_blob_bytes}
-        AND doc_id % 4 != 2 AND CAST(exact AS FLOAT) >= {PARAMS.hidden_blob_entropy}""",
+    "big": f"SELECT * FROM inventory WHERE size >= {PARAMS.hidden_blob_bytes} AND doc_id % 4 != 2",
+    "big_bytes": "SELECT path, b, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(hex(encode(content)), '..')) AS b FROM big) GROUP BY 1, 2",
+    "blobs": f"""SELECT big.* FROM big JOIN (SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
+        SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM big_bytes) GROUP BY path) USING (path)
+        WHERE CAST(exact AS FLOAT) >= {PARAMS.hidden_blob_entropy}""",
+    "configured": """SELECT * FROM inventory WHERE doc_id < 400 AND doc_id % 20 = 1""",
+    "odd_configured": f"""SELECT agent_id, page_host AS host, min(path) AS path FROM (SELECT * FROM inventory WHERE scannable AND doc_id % 4 IN (0, 3)
+        UNION SELECT * FROM configured) i WHERE NOT {host_allowed('i.agent_id', 'i.page_host')} AND NOT {benign('page_host')} GROUP BY 1, 2""",
     "odd": f"""SELECT agent_id, page_host AS host, min(path) AS path FROM inventory i WHERE scannable AND doc_id % 4 IN (0, 3)
-        AND size <= {PARAMS.endpoint_file_bytes} AND NOT {host_allowed('i.agent_id', 'i.page_host')} AND NOT {benign('page_host')} GROUP BY 1, 2""",
-    "capped": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY path) AS r FROM odd) WHERE r <= 15",
+        AND NOT {host_allowed('i.agent_id', 'i.page_host')} AND NOT {benign('page_host')} GROUP BY 1, 2""",
 }
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, size, mtime, content) of the stored documents."""
+def _landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = T.documents(spark, sf_dir)
     pages = T.page_hosts(spark, sf_dir)
     count = pages.count()
@@ -55,23 +59,40 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.get(F.array(*[F.lit(d) for d in _DIRS]), (doc % 5).cast("int"))
     end = F.get(F.array(*[F.lit(e) for e in _ENDS]), (doc % 4).cast("int"))
     content = F.concat(F.lit('{"telemetryEndpoint": "https://'), "page_host", F.lit('/v1"}\n'), "text").cast("binary")
-    return rows.select(
-        F.concat(F.lit("/home/u/.agent-"), doc % T.AGENTS, folder, F.lit("/f"), doc, end).alias("path"),
-        F.octet_length(content).cast("bigint").alias("size"),
-        doc.alias("mtime"),
-        content.alias("content"),
-    )
+    path = F.concat(F.lit("/home/u/.agent-"), doc % T.AGENTS, folder, F.lit("/f"), doc, end)
+    return rows.select(path.alias("path"), F.octet_length(content).cast("bigint").alias("size"), doc.alias("mtime"), content.alias("content"))
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    homes = spark.createDataFrame([("/home/u",)], "home string")
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, size, mtime) of the stored documents."""
+    return _landed_files(spark, sf_dir).drop("content")
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of the stored documents; joined only to files chosen on metadata."""
+    return _landed_files(spark, sf_dir).select("path", "content")
+
+
+def _homes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     profiles = T.profiles(spark).withColumn("data_dirs", F.transform("data_dirs", lambda d: F.replace(d, F.lit("/home/u/"), F.lit("~/"))))
-    return ingest_file_inventory(files(spark, sf_dir), profile_roots(profiles, homes))
+    return profiles, spark.createDataFrame([("/home/u",)], "home string")
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest_file_inventory(files(spark, sf_dir), profile_roots(*_homes(spark)))
+
+
+def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles' config files: one of the stored documents each, of an ending that the text search skips."""
+    profiles, homes = _homes(spark)
+    names = files(spark, sf_dir).filter((F.col("mtime") < 400) & (F.col("mtime") % 20 == 1))
+    own = names.groupBy(F.regexp_extract("path", r"\.(agent-\d+)/", 1).alias("id")).agg(F.collect_list(F.regexp_replace("path", "^/home/u/", "~/")).alias("config_files"))
+    return profile_configs(profiles.drop("config_files").join(own, "id"), homes)
 
 
 @query("ingest_file_inventory", "SELECT agent_id, root, path, size, doc_id AS mtime, depth, scannable FROM inventory", _CTES)
 def file_inventory(spark, sf_dir):
-    return inventory(spark, sf_dir).drop("content")
+    return inventory(spark, sf_dir)
 
 
 @query("dir_usage", "SELECT agent_id, root, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM inventory GROUP BY 1, 2", _CTES)
@@ -108,7 +129,7 @@ def agent_inventory(spark, sf_dir):
 
 @query("entropy_of_file", "SELECT path, round(exact, 3) AS entropy FROM entropies", _CTES)
 def file_entropy(spark, sf_dir):
-    measured = entropy_of_file(inventory(spark, sf_dir))
+    measured = entropy_of_file(inventory(spark, sf_dir), stored=contents(spark, sf_dir))
     return measured.select("path", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))
 
 
@@ -125,42 +146,49 @@ def entropy(spark, sf_dir):
 
 @query("detect_hidden_blobs", "SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs", _CTES)
 def detect_hidden_blobs(spark, sf_dir):
-    found = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS)
+    found = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, stored=contents(spark, sf_dir))
     return found.select("agent_id", "path", "size", "kind")
 
 
 @query("incremental_scan", "SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs WHERE doc_id % 3 != 0", _CTES)
 def incremental_scan(spark, sf_dir):
     previous = files(spark, sf_dir).filter(F.col("mtime") % 3 == 0)
-    found = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, previous)
+    found = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, previous, contents(spark, sf_dir))
     return found.select("agent_id", "path", "size", "kind")
 
 
-@query("detect_unexpected_endpoints", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM capped", _CTES)
+@query("detect_unexpected_endpoints", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM odd", _CTES)
 def detect_unexpected_endpoints(spark, sf_dir):
-    found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS)
+    found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, stored=contents(spark, sf_dir))
+    return found.select("agent_id", "host", "path", "key")
+
+
+@query("scan_config_files", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM odd_configured", _CTES)
+def scan_config_files(spark, sf_dir):
+    configs = config_files(spark, sf_dir)
+    found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, configs, contents(spark, sf_dir))
     return found.select("agent_id", "host", "path", "key")
 
 
 @query(
     "endpoint_artifacts",
     f"""SELECT CAST({SCAN_TS} AS BIGINT) AS ts, agent_id, path, CAST(0 AS BIGINT) AS size, 'unexpected_endpoint' AS kind,
-        'setting telemetryendpoint points to ' || host || ' outside the allow list (' || path || ')' AS detail FROM capped""",
+        'setting telemetryendpoint points to ' || host || ' outside the allow list (' || path || ')' AS detail FROM odd""",
     _CTES,
 )
 def endpoint_artifacts(spark, sf_dir):
-    found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS)
+    found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, stored=contents(spark, sf_dir))
     return C.endpoint_artifacts(found, SCAN_TS).drop("entropy")
 
 
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.scan_artifacts(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS)
+    return C.scan_artifacts(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS, stored=contents(spark, sf_dir))
 
 
 @query(
     "list_artifacts",
     """SELECT * FROM (SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs UNION ALL
-        SELECT agent_id, path, CAST(0 AS BIGINT), 'unexpected_endpoint' FROM capped) ORDER BY size DESC, path LIMIT 200""",
+        SELECT agent_id, path, CAST(0 AS BIGINT), 'unexpected_endpoint' FROM odd) ORDER BY size DESC, path LIMIT 200""",
     _CTES,
 )
 def list_artifacts(spark, sf_dir):
@@ -168,22 +196,22 @@ def list_artifacts(spark, sf_dir):
 
 
 _BLOB_FINDINGS = "SELECT 'artifact.hidden_blob' AS rule_id, CAST(2 AS INT) AS severity, agent_id, path AS dedupe_key FROM blobs"
-_ENDPOINT_FINDINGS = "SELECT DISTINCT 'artifact.unexpected_endpoint' AS rule_id, CAST(1 AS INT) AS severity, agent_id, path AS dedupe_key FROM capped"
+_ENDPOINT_FINDINGS = "SELECT DISTINCT 'artifact.unexpected_endpoint' AS rule_id, CAST(1 AS INT) AS severity, agent_id, path AS dedupe_key FROM odd"
 _SHOWN = ["rule_id", "severity", "agent_id", "dedupe_key"]
 
 
 @query("rule_hidden_blob", _BLOB_FINDINGS, _CTES)
 def rule_hidden_blob(spark, sf_dir):
-    blobs = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS)
+    blobs = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, stored=contents(spark, sf_dir))
     return R.rule_hidden_blob(blobs, PARAMS).select(*_SHOWN)
 
 
 @query("rule_unexpected_endpoint", _ENDPOINT_FINDINGS, _CTES)
 def rule_unexpected_endpoint(spark, sf_dir):
-    endpoints = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS)
+    endpoints = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, stored=contents(spark, sf_dir))
     return R.rule_unexpected_endpoint(C.endpoint_artifacts(endpoints, SCAN_TS), PARAMS).select(*_SHOWN)
 
 
 @query("scan_findings", f"{_BLOB_FINDINGS} UNION ALL {_ENDPOINT_FINDINGS}", _CTES)
 def scan_findings(spark, sf_dir):
-    return C.scan_findings(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS).select(*_SHOWN)
+    return C.scan_findings(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS, stored=contents(spark, sf_dir)).select(*_SHOWN)

@@ -14,7 +14,7 @@ from tracewarden.catalog.oracle import path_class
 from tracewarden.catalog.registry import query
 from tracewarden.functions.paths import classify_path
 from tracewarden.session import shared_folder
-from tracewarden.streaming.detect import stream_detect, stream_findings, stream_rate_limit
+from tracewarden.streaming.detect import flush_rate_limit, stream_detect, stream_findings, stream_rate_limit
 from tracewarden.streaming.series import stream_store_sink, stream_volume_series, stream_watch_summary
 from tracewarden.telemetry import VIEW_PARAMS as P
 
@@ -63,15 +63,16 @@ def detect(spark, sf_dir):
     "stream_rate_limit",
     f"""SELECT seq, pid, path FROM (SELECT *, CASE WHEN {path_class('path')} IS NULL THEN row_number() OVER (
         PARTITION BY pid, ts // 86400 // 1000, {path_class('path')} IS NULL ORDER BY ts // 86400, seq) ELSE 0 END AS r FROM files)
-        WHERE r <= 1 AND ts // 86400 < (SELECT max(ts) // 86400 // 1000 * 1000 FROM files)""",
+        WHERE r <= 1""",
 )
 def rate_limit(spark, sf_dir):
-    """A second of the limiter is a day of the view; the last, unfinished one stays pending."""
+    """A second of the limiter is a day of the view; the last one is flushed when the stream has ended."""
     events = T.file_events(spark, sf_dir).withColumns(
         {"ts": F.floor(F.col("ts") / 86400), "sensitivity": classify_path(F.col("path"))}
     )
     out = _folder(spark)
     stream_rate_limit(_land(spark, events), out, f"{out}/checkpoint", 1).awaitTermination()
+    flush_rate_limit(spark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema), out, 1)
     return spark.read.parquet(f"{out}/kept").select("seq", "pid", "path")
 
 

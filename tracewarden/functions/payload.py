@@ -41,6 +41,8 @@ BOUND_URL_PATTERN = (
     r"""(?i)(?<![a-z0-9_])([a-z0-9_]++)["']?\s*[:=]\s*["'](https?://([a-z0-9][a-z0-9._-]{2,253}))"""
 )
 PREVIEW_BYTES = 8192
+#: Fixed value: shorter bodies are words, not base64.
+BASE64_MIN_BYTES = 256
 _SPECIALS = str.maketrans({c: "\\" + c for c in r"\.()[]{}#@/+*?^$|"})
 CODE_LINE_PATTERN = (
     r"(?m)^[ \t\r\f\x0B]*(?:" + "|".join(p.translate(_SPECIALS) for p in CODE_PREFIXES) + ")"
@@ -167,17 +169,20 @@ def _latin1(body: Column) -> Column:
     return F.decode(body, "ISO-8859-1")
 
 
-def looks_base64(body: Column, limit_bytes: int = 4 << 20) -> Column:
-    """256 bytes to 4 MiB of which at least 98 % of the first 4096 are alphabet characters."""
+def looks_base64(body: Column, limit_bytes: int | None = None) -> Column:
+    """At least 256 bytes of which 98 in 100 are alphabet characters, over the whole body."""
     size = F.octet_length(body)
-    head = _latin1(F.substring(body, 1, 4096))
+    text = _latin1(body)
     # fails at the first character that could not be decoded, for most texts within a word or two
-    decodable = head.rlike(r"^[A-Za-z0-9+/ \t\n\r\f]*+(?:=|$)")
-    allowed = F.length(F.regexp_replace(head, r"[^A-Za-z0-9+/=\n\r]", ""))
-    return size.between(256, limit_bytes) & decodable & (F.floor(allowed * 100 / F.length(head)) >= 98)
+    decodable = text.rlike(r"^[A-Za-z0-9+/ \t\n\r\f]*+(?:=|$)")
+    allowed = F.length(F.regexp_replace(text, r"[^A-Za-z0-9+/=\n\r]", ""))
+    fits = size >= BASE64_MIN_BYTES
+    if limit_bytes is not None:
+        fits &= size <= limit_bytes
+    return fits & decodable & (F.floor(allowed * 100 / F.length(text)) >= 98)
 
 
-def decode_base64(body: Column, limit_bytes: int = 4 << 20) -> Column:
+def decode_base64(body: Column, limit_bytes: int | None = None) -> Column:
     """Decoded bytes of a base64 payload (white space skipped, padding optional), else null."""
     compact = F.regexp_replace(_latin1(body), r"[ \t\n\r\f]", "")
     digits = F.substring_index(compact, "=", 1)
@@ -194,10 +199,10 @@ def utf8_text(body: Column) -> Column:
 
 
 def mostly_printable(body: Column) -> Column:
-    """More than 90 % of the first 4096 bytes are visible ASCII or white space."""
-    head = _latin1(F.substring(body, 1, 4096))
-    printable = F.length(F.regexp_replace(head, r"[^\x21-\x7E \t\n\r\f]", ""))
-    return (F.length(head) > 0) & (F.floor(printable * 100 / F.length(head)) > 90)
+    """More than 90 % of the bytes are visible ASCII or white space."""
+    text = _latin1(body)
+    printable = F.length(F.regexp_replace(text, r"[^\x21-\x7E \t\n\r\f]", ""))
+    return (F.length(text) > 0) & (F.floor(printable * 100 / F.length(text)) > 90)
 
 
 def stored_body(body: Column, max_bytes: int) -> Column:
@@ -217,7 +222,7 @@ def body_sha256(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def extract_endpoints(text: Column, max_hosts: int = 101) -> Column:
+def extract_endpoints(text: Column) -> Column:
     """``array<struct<key,host,url,pos>>``: the first endpoint per host, in text order.
 
     A key counts if its name is endpoint-shaped; one that merely ends in ``url`` counts as ``url``,
@@ -238,11 +243,10 @@ def extract_endpoints(text: Column, max_hosts: int = 101) -> Column:
     def keep(e: Column) -> Column:
         return e["word"].rlike(shaped) | (e["word"].endswith("url") & e["host"].rlike("api|upload|ingest"))
 
-    def add(acc: Column, e: Column) -> Column:
+    def named(e: Column) -> Column:
         key = F.when(e["word"].rlike(shaped), e["word"]).otherwise("url")
-        item = F.struct(key.alias("key"), e["host"].alias("host"), e["url"].alias("url"), e["pos"].alias("pos"))
-        seen = F.exists(acc, lambda a: a["host"] == e["host"])
-        return F.when(seen | (F.size(acc) >= max_hosts), acc).otherwise(F.concat(acc, F.array(item)))
+        return F.struct(key.alias("key"), e["host"].alias("host"), e["url"].alias("url"), e["pos"].alias("pos"))
 
-    empty = F.array().cast("array<struct<key:string,host:string,url:string,pos:int>>")
-    return F.aggregate(F.filter(found, keep), empty, add)
+    kept = F.transform(F.filter(found, keep), named)
+    hosts = F.transform(kept, lambda e: e["host"])
+    return F.filter(kept, lambda e, i: F.array_position(hosts, e["host"]) == i + 1)

@@ -2,141 +2,136 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.session import cut_lineage
+from tracewarden.session import cut_lineage, ship_package
 
 # A block spans at most this many windows, and about this many milliseconds: the distinct
 # instants of a block, and with them a task's memory, are bounded by its duration.
 BLOCK_WINDOWS = 64
-BLOCK_MS = 16_000_000
+BLOCK_MS = 8_000_000
+NEVER = 1 << 60
 
 
 def suppress_repeats(
-    hits: DataFrame,
-    keys: list[str],
-    window_ms: int | dict[str, int],
-    hot_group_rows: int = 200_000,
+    hits: DataFrame, keys: list[str], window_ms: int | dict[str, int], block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
-    """Rows of ``hits`` that survive suppression; order within a key is ``(ts, seq)``.
-
-    ``window_ms`` may differ by the value of the first key: then it is a mapping from its values.
-
-    Keys with few hits are folded in one JVM expression over their sorted hits. Keys with more
-    than ``hot_group_rows`` hits are cut into time blocks and solved block by block, so no task
-    ever holds such a key. Hits are counted and then read again, so they are written out first:
-    they are few beside the rows that were searched for them.
+    """Rows of ``hits`` that survive suppression; order within a key is ``(ts, seq)``, then the other columns.
+
+    ``window_ms`` may differ by the value of the first key: then it is a mapping from its values; a value it lacks
+    keeps its first row only. Rows with a null key are left out. A window of 0 keeps every row.
+
+    Whatever its number of hits, a key is solved in time blocks that different tasks may hold. From a time ``t`` on,
+    the next kept hit is the first one at or after ``t``, and the search resumes ``window_ms`` later. It
+    enters a block less than one window after the block's start, so only the hits of its first window, and the first
+    hit after that, can be the block's first kept hit. For each of these entries the block's last kept hit
+    (its exit) is found; following entry to exit runs over that small table; a second pass lists the kept
+    hits per block. All passes stream over sorted rows and hold one block at a time. Rows are identified by a number of
+    their own, so equal times and sequence numbers do no harm. The hits are written out first, as they are read twice.
     """
+    ship_package(hits.sparkSession)
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
-    keyed = cut_lineage(hits.filter(known))
-    hot = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_group_rows)
-    hot = hot.select(*keys)
-    if hot.isEmpty():
-        return _fold_small(keyed, keys, window_ms).select(*hits.columns)
-    out = _fold_small(keyed.join(hot, keys, "left_anti"), keys, window_ms).select(*hits.columns)
-    heavy = keyed.join(hot, keys, "left_semi")
-    windows = window_ms if isinstance(window_ms, dict) else {None: window_ms}
-    for width in sorted(set(windows.values())):
-        part = heavy
-        if isinstance(window_ms, dict):
-            part = heavy.filter(F.col(keys[0]).isin([k for k, w in windows.items() if w == width]))
-        out = out.unionByName(_solve_blocks(part, keys, width).select(*hits.columns))
-    return out
-
-
-def _fold_small(hits: DataFrame, keys: list[str], window_ms: int | dict[str, int]) -> DataFrame:
+    rows = cut_lineage(hits.filter(known).withColumn("_rid", F.monotonically_increasing_id()))
+    window = F.lit(NEVER) if isinstance(window_ms, dict) else F.lit(window_ms)
+    for value, width in window_ms.items() if isinstance(window_ms, dict) else ():
+        window = F.when(F.col(keys[0]) == value, F.lit(width)).otherwise(window)
+    rows = rows.withColumn("_w", window.cast("bigint"))
     rest = [c for c in hits.columns if c not in (*keys, "ts", "seq")]
-    row = F.struct("ts", "seq", *rest)
-    grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    row_type = grouped.schema["_rows"].dataType.simpleString()
-    width = F.lit(window_ms) if isinstance(window_ms, int) else F.lit(None).cast("bigint")
-    if isinstance(window_ms, dict):
-        for value, part in window_ms.items():
-            width = F.when(F.col(keys[0]) == value, F.lit(part)).otherwise(width)
-
-    def step(acc, x):
-        due = acc["last"].isNull() | (x["ts"] - acc["last"] >= width)
-        return F.when(
-            due, F.struct(x["ts"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        ).otherwise(acc)
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(row_type).alias("kept"))
-    kept = F.aggregate("_rows", start, step, lambda acc: acc["kept"])
-    return grouped.select(*keys, F.inline(kept))
-
-
-# --- hot keys -------------------------------------------------------------------------------
-#
-# From a time ``t`` on, the next kept hit is the first one at or after ``t``, and the search
-# resumes ``window_ms`` later. A block is several windows long. Whatever happened before a block,
-# the search enters it less than one window after its start, so only the hits of its first
-# window, and the first hit after that, can be the block's first kept hit. For each of these
-# entries one task finds the block's last kept hit (its exit). Following entry -> exit across the
-# blocks of a key needs only that small table; a second pass then lists the kept hits per block.
-
-
-def _solve_blocks(hits: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    span = window_ms * max(2, min(BLOCK_WINDOWS, BLOCK_MS // max(window_ms, 1)))
     # a burst of hits at one instant can keep only its first row
-    instants = (
-        hits.groupBy(*keys, "ts")
-        .agg(F.min("seq").alias("seq"))
-        .withColumn("_block", F.floor(F.col("ts") / F.lit(span)).cast("bigint"))
+    first = F.min_by("_rid", F.struct("seq", *rest, "_rid")).alias("_rid")
+    instants = rows.filter("_w > 0").groupBy(F.to_json(F.struct(*keys)).alias("_key"), "_w", "ts").agg(first)
+    width = F.greatest(F.col("_w"), F.lit(1))
+    span = width * F.greatest(F.lit(2), F.least(F.lit(block_windows), F.floor(F.lit(BLOCK_MS) / width)))
+    block = F.when(F.col("_w") >= NEVER, 0).otherwise(F.floor(F.col("ts") / span))
+    instants = instants.withColumn("_start", (block * span).cast("bigint")).withColumn("_block", block.cast("bigint"))
+    parts = ["_key", "_w", "_block", "_start"]
+    exits = _sorted(instants.select(*parts, "ts"), ["_key", "_block"], "ts").mapInArrow(
+        _exits, "_key string, _w bigint, _block bigint, _entry bigint, _exit bigint"
     )
-    key_ddl = ", ".join(f"`{k}` {hits.schema[k].dataType.simpleString()}" for k in keys)
-    group = [*keys, "_block"]
-
-    def exits(rows: pa.Table) -> pa.Table:
-        t = np.sort(rows["ts"].to_numpy())
-        first_window_end = rows["_block"][0].as_py() * span + window_ms
-        entries = np.arange(min(np.searchsorted(t, first_window_end) + 1, len(t)))
-        last = t[_follow(t, entries, window_ms)[-1]]
+    picks = _sorted(exits, ["_key"], "_block", "_entry").mapInArrow(_chain, "_key string, _block bigint, _free bigint")
+    entered = instants.join(picks, ["_key", "_block"]).select(*parts, "ts", "_rid", "_free")
+    # a third column: a repartition by the join's own keys would be taken for done, and a join turned broadcast undoes it
+    kept = _sorted(entered, ["_key", "_block", "_start"], "ts").mapInArrow(_list_kept, "_rid bigint")
+    kept = kept.unionByName(rows.filter("_w <= 0").select("_rid"))
+    return rows.join(kept, "_rid", "left_semi").select(*hits.columns)
+
+
+def _sorted(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Consecutive rows of one (key, block): its constants and its columns as arrays, one group at a time."""
+    held: list[pa.RecordBatch] = []
+    current = None
+
+    def close() -> dict:
+        table = pa.Table.from_batches(held)
+        columns = {name: table[name].to_numpy() for name in table.column_names if name != "_key"}
+        return columns | {"_key": current[0], "_w": int(columns["_w"][0]), "_start": int(columns["_start"][0])}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        labels = list(zip(batch["_key"].to_pylist(), batch["_block"].to_pylist(), strict=True))
+        cuts = [0, *[i for i in range(1, len(labels)) if labels[i] != labels[i - 1]], len(labels)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if labels[a] != current:
+                if held:
+                    yield close()
+                held, current = [], labels[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield close()
+
+
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches):
+        t, window = group["ts"], group["_w"]
+        entries = np.arange(min(np.searchsorted(t, group["_start"] + window) + 1, len(t)))
+        last = t[_follow(t, entries, window)[-1]]
         # neighbours with one exit are interchangeable: keep the latest entry of each run
         keep = np.append(last[1:] != last[:-1], True)
-        return _keyed(rows, group, {"_entry": t[entries][keep], "_exit": last[keep]})
-
-    table = instants.groupBy(*group).applyInArrow(exits, f"{key_ddl}, _block bigint, _entry bigint, _exit bigint")
-    steps = table.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_block", "_entry", "_exit"))).alias("_steps")
-    )
-
-    def step(acc, x):
-        take = (x["_block"] > acc["block"]) & (x["_entry"] >= acc["free"])
-        pick = F.struct(x["_block"].alias("_block"), acc["free"].alias("_free"))
-        return F.when(
-            take,
-            F.struct(
-                x["_block"].alias("block"),
-                (x["_exit"] + window_ms).alias("free"),
-                F.concat(acc["picks"], F.array(pick)).alias("picks"),
-            ),
-        ).otherwise(acc)
-
-    low = F.lit(-(1 << 62)).cast("bigint")
-    start = F.struct(
-        low.alias("block"), low.alias("free"),
-        F.array().cast("array<struct<_block:bigint,_free:bigint>>").alias("picks"),
-    )
-    picks = steps.select(*keys, F.inline(F.aggregate("_steps", start, step, lambda acc: acc["picks"])))
-
-    def list_kept(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("ts")
-        t = rows["ts"].to_numpy()
-        first = np.searchsorted(t, rows["_free"][0].as_py())
-        kept = np.unique(np.concatenate(_follow(t, np.array([first]), window_ms)))
-        return _keyed(rows, keys, {"ts": t[kept], "seq": rows["seq"].to_numpy()[kept]})
-
-    kept = (
-        instants.join(picks, group)
-        .groupBy(*group)
-        .applyInArrow(list_kept, f"{key_ddl}, ts bigint, seq bigint")
-    )
-    return hits.join(kept, [*keys, "ts", "seq"], "left_semi")
+        size = int(keep.sum())
+        yield pa.RecordBatch.from_pydict(
+            {
+                "_key": [group["_key"]] * size, "_w": np.full(size, window), "_block": np.full(size, group["_block"][0]),
+                "_entry": t[entries][keep], "_exit": last[keep],
+            }
+        )
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the search enters each block; rows come by key, block and entry, and only the last step is remembered."""
+    key, block, free = None, None, -NEVER
+    for batch in batches:
+        out: list[tuple] = []
+        for row_key, window, row_block, entry, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row_key != key:
+                key, block, free = row_key, None, -NEVER
+            if (block is None or row_block > block) and entry >= free:
+                out.append((key, row_block, free))
+                block, free = row_block, last + window
+        keys, blocks, frees = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array(blocks, pa.int64()), pa.array(frees, pa.int64())], names=["_key", "_block", "_free"]
+        )
+
+
+def _list_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches):
+        t = group["ts"]
+        first = np.searchsorted(t, group["_free"][0])
+        if first < len(t):
+            kept = np.unique(np.concatenate(_follow(t, np.array([first]), group["_w"])))
+            yield pa.RecordBatch.from_pydict({"_rid": group["_rid"][kept]})
 
 
 def _follow(t: np.ndarray, at: np.ndarray, window_ms: int) -> list[np.ndarray]:
@@ -148,9 +143,3 @@ def _follow(t: np.ndarray, at: np.ndarray, window_ms: int) -> list[np.ndarray]:
         if not going.any():
             return path
         path.append(np.where(going, following, path[-1]))
-
-
-def _keyed(rows: pa.Table, keys: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
-    size = len(next(iter(columns.values())))
-    constant = {k: pa.array([rows[k][0].as_py()] * size, rows.schema.field(k).type) for k in keys}
-    return pa.table({**constant, **columns})

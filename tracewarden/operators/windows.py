@@ -211,13 +211,17 @@ def rate_limit_reads(file_events: DataFrame, limit: int = 400, keys: list[str] |
     return limited.unionByName(file_events.filter(F.col("sensitivity").isNotNull()))
 
 
-def endpoint_cap(endpoints: DataFrame, per_agent: int = 15) -> DataFrame:
-    """Per agent the first occurrence of each host, at most ``per_agent`` hosts, in (path, pos) order."""
+def first_endpoints(endpoints: DataFrame) -> DataFrame:
+    """Per agent the first occurrence of each host, in (path, pos) order."""
     first = endpoints.groupBy("agent_id", "host").agg(
         F.min_by(F.struct("path", "pos", "url", "key"), F.struct("path", "pos")).alias("_first")
     )
-    rows = first.select("agent_id", "host", "_first.*")
-    return first_per_group(rows, ["agent_id"], ["path", "pos"], per_agent)
+    return first.select("agent_id", "host", "_first.*")
+
+
+def endpoint_cap(endpoints: DataFrame, per_agent: int = 15) -> DataFrame:
+    """Per agent the first occurrence of each host, at most ``per_agent`` hosts, in (path, pos) order."""
+    return first_per_group(first_endpoints(endpoints), ["agent_id"], ["path", "pos"], per_agent)
 
 
 def window_destinations(

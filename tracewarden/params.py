@@ -44,7 +44,6 @@ class Params:
     # repeat suppression
     repeat_ms: int = 3_600_000
     alert_repeat_ms: int = 600_000
-    alert_floor: str = "high"
     # sizes of evidence lists (part of the finding's definition)
     evidence_limit: int = 8
     destination_tail: int = 64
@@ -55,20 +54,11 @@ class Params:
     file_ops: tuple[str, ...] | None = None  # None: every operation counts as a read
     sensitive_globs: tuple[str, ...] = ()
     global_allowed_domains: tuple[str, ...] = tuple(GLOBAL_ALLOWED_DOMAINS)
-    # inventory scan
-    max_depth: int = 8
-    max_entries: int = 60_000
-    entropy_sample_bytes: int = MIB
-    endpoint_file_bytes: int = 2 * MIB
-    endpoints_per_agent: int = 15
-    # capture and audit collection
-    max_body_chars: int = 65_536
-    inflate_limit_bytes: int = 4 * MIB
-    reads_per_second: int = 400
-    port_ttl_ms: int = 6_000
+    # static scan; None: whole files, every host
+    entropy_sample_bytes: int | None = None
+    endpoint_file_bytes: int | None = None
+    endpoints_per_agent: int | None = None
     # maintenance
     retention_days: int = 7
-    # physical layout: width of the time slices hot keys are split into, and the
-    # group size beyond which repeat suppression switches to its blocked form
+    # physical layout: width of the time slices hot keys are split into
     slice_ms: int = 10_000
-    hot_group_rows: int = 200_000

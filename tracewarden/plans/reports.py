@@ -116,12 +116,12 @@ def _not_negative(value: Column) -> Column:
 def destinations(
     connections: DataFrame,
     since_ms: int,
-    limit: int,
+    limit: int | None,
     profiles: DataFrame | None = None,
     global_domains: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per (agent, host): connections, first and last seen, newest first; with profiles also whether
-    the host is allowed, tested on the listed rows only."""
+    """Per (agent, host): connections, first and last seen, newest first, the first ``limit`` or all of them;
+    with profiles also whether the host is allowed, tested on the rows listed."""
     top = (
         _since(connections, since_ms)
         .groupBy("agent_id", F.coalesce("remote_host", "remote_addr").alias("host"))
@@ -130,16 +130,16 @@ def destinations(
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),
         )
-        .orderBy(F.desc("last_seen"), "agent_id", "host")
-        .limit(limit)
     )
+    if limit is not None:
+        top = top.orderBy(F.desc("last_seen"), "agent_id", "host").limit(limit)
     if profiles is None:
         return top.withColumn("allowed", F.lit(False))
     return domain_allowed(top, "host", profiles, global_domains)
 
 
 def destinations_by_host(destination_rows: DataFrame) -> DataFrame:
-    """Destinations of all agents merged per host, most connections first."""
+    """Destinations of all agents merged per host, most connections first; give it all of them, not a list cut short."""
     return (
         destination_rows.groupBy("host")
         .agg(
@@ -217,7 +217,9 @@ def installed_agents(profile_paths: DataFrame, inventory: DataFrame) -> DataFram
     ``profile_paths`` are (agent_id, path); a directory exists if the inventory holds it or
     anything below it.
     """
-    present = inventory.select(F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("path")).distinct()
+    every = inventory.select(F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("path"))
+    # few of the folders are a profile's: only those are made distinct
+    present = every.join(profile_paths.select("path").distinct(), "path", "left_semi").distinct()
     return profile_paths.join(present, "path", "left_semi").select("agent_id").distinct()
 
 
@@ -275,13 +277,13 @@ def overview(
         "volume": volume_series(tables["volumes"], since_ms=since_ms, bucket_ms=15 * 60_000),
         "destinations": destinations(tables["connections"], since_ms, 200, profiles, global_domains),
         "artifacts": list_artifacts(tables["artifacts"], 0, 100),
-        "stats": overview_stats(agent_rows, listed),
+        "stats": overview_stats(agent_rows, findings),
     }
 
 
-def overview_stats(agent_rows: DataFrame, listed_findings: DataFrame) -> DataFrame:
-    """One row: urgent findings, installed agents, agents that uploaded."""
-    urgent = listed_findings.select(
+def overview_stats(agent_rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: urgent findings among all of them, installed agents, agents that uploaded."""
+    urgent = findings.select(
         F.when((F.col("status") == "open") & (F.col("severity") >= 3), 1).otherwise(0).alias("urgent"),
         F.lit(0).alias("installed"), F.lit(0).alias("uploading"),
     )

@@ -85,7 +85,7 @@ def keep_first(hits: DataFrame, params: Params, run: Increment | None = None) ->
     """
     windows = _windows(params)
     if run is None:
-        return suppress_repeats(hits, KEYS, windows, params.hot_group_rows)
+        return suppress_repeats(hits, KEYS, windows)
     fresh = hits.filter(F.col("ts") > run.after_ts).withColumn("_seed", F.lit(False))
     seeds = (
         run.emitted.filter(F.col("ts") > run.after_ts - max(windows.values()))
@@ -93,7 +93,7 @@ def keep_first(hits: DataFrame, params: Params, run: Increment | None = None) ->
         .select(*KEYS, "_at.ts", "_at.seq", F.lit(True).alias("_seed"))
     )
     both = fresh.unionByName(seeds, allowMissingColumns=True)
-    return suppress_repeats(both, KEYS, windows, params.hot_group_rows).filter(~F.col("_seed")).drop("_seed")
+    return suppress_repeats(both, KEYS, windows).filter(~F.col("_seed")).drop("_seed")
 
 
 def _findings(hits: DataFrame, severity: Column | str, title: Column, detail: Column, evidence: Column) -> DataFrame:

@@ -10,11 +10,12 @@ from tracewarden.functions.net import is_benign_host
 from tracewarden.functions.paths import is_known_compressed, is_text_candidate
 from tracewarden.functions.payload import extract_endpoints, utf8_text
 from tracewarden.operators.joins import domain_allowed
-from tracewarden.operators.windows import endpoint_cap
+from tracewarden.operators.windows import endpoint_cap, first_endpoints
 from tracewarden.params import Params
 from tracewarden.plans.rules import rule_artifacts
 from tracewarden.schemas import ARTIFACTS
-from tracewarden.sources.inventory import entropy_of_file, load_content
+from tracewarden.session import cut_lineage
+from tracewarden.sources.inventory import entropy_of_file, with_content
 
 _ARTIFACT_COLUMNS = [c.split()[0] for c in ARTIFACTS.split(", ")]
 
@@ -33,10 +34,17 @@ def blob_candidates(inventory: DataFrame, params: Params, previous: DataFrame |
 
 
 def detect_hidden_blobs(
-    inventory: DataFrame, params: Params, scan_ts: int, previous: DataFrame | None = None
+    inventory: DataFrame,
+    params: Params,
+    scan_ts: int,
+    previous: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Artifacts of big, not known-compressed files whose entropy reaches the threshold."""
-    measured = entropy_of_file(blob_candidates(inventory, params, previous), params.entropy_sample_bytes)
+    """Artifacts of big, not known-compressed files whose entropy reaches the threshold.
+
+    Contents come from ``stored`` (path, content) or from the files; either way only those of candidates.
+    """
+    measured = entropy_of_file(blob_candidates(inventory, params, previous), params.entropy_sample_bytes, stored)
     blobs = measured.filter(F.col("entropy") >= F.lit(params.hidden_blob_entropy).cast("float"))
     detail = F.concat(
         format_bytes(F.col("size")),
@@ -53,26 +61,28 @@ def detect_hidden_blobs(
 def endpoint_candidates(
     inventory: DataFrame, params: Params, config_files: DataFrame | None = None
 ) -> DataFrame:
-    """Text files worth searching: small, scannable, of a text format; plus profile config files."""
-    texts = inventory.filter(
-        F.col("scannable")
-        & F.col("size").between(1, params.endpoint_file_bytes)
-        & is_text_candidate(F.col("path"))
-    )
-    columns = ["agent_id", "path"] + (["content"] if "content" in inventory.columns else [])
-    texts = texts.select(*columns)
+    """(agent_id, path) of text files worth searching: scannable and of a text format; plus profile config files."""
+    worth = F.col("scannable") & (F.col("size") >= 1) & is_text_candidate(F.col("path"))
+    if params.endpoint_file_bytes is not None:
+        worth &= F.col("size") <= params.endpoint_file_bytes
+    texts = inventory.filter(worth).select("agent_id", "path")
     if config_files is not None:
-        texts = texts.unionByName(config_files.select(*columns)).dropDuplicates(["agent_id", "path"])
-    return texts
+        texts = texts.unionByName(config_files.select("agent_id", "path"))
+    return texts.distinct()
 
 
 def detect_unexpected_endpoints(
-    inventory: DataFrame, profiles: DataFrame, params: Params, config_files: DataFrame | None = None
+    inventory: DataFrame,
+    profiles: DataFrame,
+    params: Params,
+    config_files: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """(agent_id, host, path, pos, url, key) of configured endpoints outside every allow list."""
-    texts = endpoint_candidates(inventory, params, config_files)
-    if "content" not in texts.columns:
-        texts = load_content(texts, params.endpoint_file_bytes)
+    """(agent_id, host, path, pos, url, key) of configured endpoints outside every allow list.
+
+    One row per agent and host, its first occurrence; ``params.endpoints_per_agent`` may bound the hosts.
+    """
+    texts = with_content(endpoint_candidates(inventory, params, config_files), stored, params.endpoint_file_bytes)
     text = utf8_text(F.col("content"))
     found = (
         texts.select("agent_id", "path", text.alias("_text"))
@@ -81,7 +91,9 @@ def detect_unexpected_endpoints(
     )
     flagged = domain_allowed(found, "host", profiles, params.global_allowed_domains)
     odd = flagged.filter(~F.col("allowed") & ~is_benign_host(F.col("host"))).drop("allowed")
-    return endpoint_cap(odd, params.endpoints_per_agent)
+    if params.endpoints_per_agent is not None:
+        return endpoint_cap(odd, params.endpoints_per_agent)
+    return first_endpoints(odd)
 
 
 def endpoint_artifacts(endpoints: DataFrame, scan_ts: int) -> DataFrame:
@@ -101,9 +113,11 @@ def scan_artifacts(
     scan_ts: int,
     previous: DataFrame | None = None,
     config_files: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    blobs = detect_hidden_blobs(inventory, params, scan_ts, previous)
-    endpoints = detect_unexpected_endpoints(inventory, profiles, params, config_files)
+    inventory = cut_lineage(inventory)  # both branches choose their files from it
+    blobs = detect_hidden_blobs(inventory, params, scan_ts, previous, stored)
+    endpoints = detect_unexpected_endpoints(inventory, profiles, params, config_files, stored)
     return blobs.select(*_ARTIFACT_COLUMNS).unionByName(endpoint_artifacts(endpoints, scan_ts))
 
 
@@ -114,7 +128,8 @@ def scan_findings(
     scan_ts: int,
     previous: DataFrame | None = None,
     config_files: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of a scan, worst first."""
-    artifacts = scan_artifacts(inventory, profiles, params, scan_ts, previous, config_files)
+    artifacts = scan_artifacts(inventory, profiles, params, scan_ts, previous, config_files, stored)
     return rule_artifacts(artifacts, params).orderBy(F.desc("severity"), "rule_id", "agent_id", "dedupe_key")

@@ -26,7 +26,9 @@ def build_session(app: str = "tracewarden", master: str | None = None, **conf: s
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 _shipped: set[str] = set()
@@ -47,14 +49,29 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master, whose tasks all see this machine's disk, gets a temporary one where none is set.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tracewarden-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder; call it when no frame is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that several later branches read, and read it back.
 

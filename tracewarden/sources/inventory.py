@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from tracewarden.operators.windows import first_per_group
 from tracewarden.session import cut_lineage, in_portions
 
 
-def read_tree(roots: DataFrame, max_depth: int = 8) -> DataFrame:
+def read_tree(roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(path, size, mtime) of every file below the (agent_id, root) folders, hidden ones included.
 
     Folders are listed level by level. Each level is a frame of folders spread over the cluster,
@@ -41,7 +41,9 @@ def read_tree(roots: DataFrame, max_depth: int = 8) -> DataFrame:
 
     folders = roots.select("root", F.col("root").alias("folder")).distinct()
     files = None
-    for _ in range(max_depth + 1):
+    depth = 0
+    while max_depth is None or depth <= max_depth:
+        depth += 1
         level = cut_lineage(folders.repartition(F.col("folder")).mapInPandas(children, listing))
         part = level.filter(~F.col("is_dir")).select("path", "size", "mtime")
         files = part if files is None else files.unionByName(part)
@@ -51,12 +53,30 @@ def read_tree(roots: DataFrame, max_depth: int = 8) -> DataFrame:
     return files.distinct()
 
 
+def _per_home(profiles: DataFrame, homes: DataFrame, column: str, out: str) -> DataFrame:
+    """(agent_id, out) of every path in a profile column, once per home directory.
+
+    Only paths that begin with a tilde depend on the home. The patterns are collected into one array, as they are
+    settings; the homes, of which there may be as many as hosts, stay where they are.
+    """
+    paths = profiles.select(F.col("id").alias("agent_id"), F.explode(column).alias("path")).distinct()
+    fixed = paths.filter(~F.col("path").startswith("~")).select("agent_id", F.col("path").alias(out))
+    own = paths.filter(F.col("path").startswith("~")).agg(F.collect_list(F.struct("agent_id", "path")).alias("own")).first()["own"]
+    pairs = F.array(*[F.struct(F.lit(p["agent_id"]).alias("agent_id"), F.lit(p["path"]).alias("path")) for p in own])
+    if not own:
+        return fixed
+    spread_out = homes.select("home", F.inline(pairs))
+    return fixed.unionByName(spread_out.select("agent_id", expand_tilde(F.col("path"), F.col("home")).alias(out))).distinct()
+
+
 def profile_roots(profiles: DataFrame, homes: DataFrame) -> DataFrame:
     """(agent_id, root) of every profile's data directories, once per home directory."""
-    dirs = profiles.select(F.col("id").alias("agent_id"), F.explode("data_dirs").alias("dir"))
-    # homes is joined on a constant: both sides are settings
-    roots = dirs.withColumn("_one", F.lit(1)).join(homes.select("home").withColumn("_one", F.lit(1)), "_one")
-    return roots.select("agent_id", expand_tilde(F.col("dir"), F.col("home")).alias("root")).distinct()
+    return _per_home(profiles, homes, "data_dirs", "root")
+
+
+def profile_configs(profiles: DataFrame, homes: DataFrame) -> DataFrame:
+    """(agent_id, path) of every profile's own config files, once per home directory."""
+    return _per_home(profiles, homes, "config_files", "path")
 
 
 def ancestors(path: Column) -> Column:
@@ -69,29 +89,41 @@ def ancestors(path: Column) -> Column:
 
 
 def ingest_file_inventory(
-    files: DataFrame, roots: DataFrame, max_depth: int = 8, max_entries: int = 60_000
+    files: DataFrame, roots: DataFrame, max_depth: int | None = None, max_entries: int | None = None
 ) -> DataFrame:
-    """(agent_id, root, path, size, mtime, depth, scannable) of the files below the roots.
+    """(agent_id, root, path, size, mtime, depth, scannable) of the files below the roots: metadata only.
 
-    ``depth`` counts directories between root and file and is at most ``max_depth``; a file is
-    scannable unless one of these is a bundle or cache directory. Per root the first
-    ``max_entries`` paths count. Roots are found by equality on the file's own ancestors.
+    ``depth`` counts directories between root and file; a file is scannable unless one of these is a bundle
+    or cache directory. ``max_depth`` and, per root, ``max_entries`` (first paths) bound the inventory where
+    asked to. Roots are found by equality on the file's own ancestors; contents never take part, see
+    ``with_content``.
     """
-    keyed = files.withColumn("root", F.explode(ancestors(F.col("path"))))
+    keyed = files.select("path", "size", "mtime", F.explode(ancestors(F.col("path"))).alias("root"))
     rows = keyed.join(roots, "root")
     inner = F.split(F.substring(F.col("path"), F.length("root") + 2, F.length("path")), "/")
     between = F.slice(inner, F.lit(1), F.size(inner) - 1)
     skip = F.array(*[F.lit(d) for d in SKIP_SCAN_DIRS])
-    near = rows.withColumns(
-        {"depth": F.size(inner) - 1, "scannable": ~F.arrays_overlap(between, skip)}
-    ).filter(F.col("depth") <= max_depth)
-    return first_per_group(near, ["agent_id", "root"], ["path"], max_entries).select(
-        "agent_id", "root", *files.columns, "depth", "scannable"
-    )
+    found = rows.withColumns({"depth": F.size(inner) - 1, "scannable": ~F.arrays_overlap(between, skip)})
+    if max_depth is not None:
+        found = found.filter(F.col("depth") <= max_depth)
+    if max_entries is not None:
+        found = first_per_group(found, ["agent_id", "root"], ["path"], max_entries)
+    return found.select("agent_id", "root", "path", "size", "mtime", "depth", "scannable")
+
+
+def with_content(chosen: DataFrame, stored: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Adds ``content`` to rows chosen on metadata: from a table (path, content), or by opening each file.
+
+    The table is filtered to the chosen paths before anything of it moves.
+    """
+    if stored is None:
+        return load_content(chosen, max_bytes)
+    content = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
+    return chosen.join(stored.select("path", content.alias("content")), "path")
 
 
-def read_head(path: str, max_bytes: int) -> bytes | None:
-    """The first bytes of a file, or None when it vanished or became unreadable since the listing."""
+def read_head(path: str, max_bytes: int | None) -> bytes | None:
+    """A file, or its first bytes; None when it vanished or became unreadable since the listing."""
     from pyarrow import fs
 
     try:
@@ -102,8 +134,8 @@ def read_head(path: str, max_bytes: int) -> bytes | None:
         return None
 
 
-def load_content(files: DataFrame, max_bytes: int, out: str = "content") -> DataFrame:
-    """Adds the first ``max_bytes`` of each file, read where the row is processed.
+def load_content(files: DataFrame, max_bytes: int | None = None, out: str = "content") -> DataFrame:
+    """Adds each file, or its first ``max_bytes``, read where the row is processed.
 
     Filter before calling: only the rows that remain are opened, and only that much is read.
     """
@@ -118,13 +150,35 @@ def load_content(files: DataFrame, max_bytes: int, out: str = "content") -> Data
 
 
 def bits_per_byte(value: bytes | None) -> float:
-    if not value:
+    return _bits(_histogram([value] if value else []))
+
+
+def _histogram(chunks: Iterable[bytes]) -> np.ndarray:
+    return sum((np.bincount(np.frombuffer(c, np.uint8), minlength=256) for c in chunks), np.zeros(256, np.int64))
+
+
+def _bits(counts: np.ndarray) -> float:
+    if not counts.any():
         return 0.0
-    counts = np.bincount(np.frombuffer(value, np.uint8), minlength=256)
-    p = counts[counts > 0] / len(value)
+    p = counts[counts > 0] / counts.sum()
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
+def _chunks(path: str, max_bytes: int | None, size: int = 4 << 20) -> Iterator[bytes]:
+    """A file piece by piece; nothing when it vanished or became unreadable since the listing."""
+    from pyarrow import fs
+
+    try:
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(name) as handle:
+            left = max_bytes
+            while piece := handle.read(size if left is None else min(size, left)):
+                yield piece
+                left = None if left is None else left - len(piece)
+    except OSError:
+        return
+
+
 def shannon_entropy(df: DataFrame, binary_col: str, out: str = "entropy") -> DataFrame:
     """Adds bits per byte (float) of a binary column; empty or missing content gives 0."""
 
@@ -135,17 +189,17 @@ def shannon_entropy(df: DataFrame, binary_col: str, out: str = "entropy") -> Dat
     return df.withColumn(out, bits(F.col(binary_col)))
 
 
-def entropy_of_file(inventory: DataFrame, sample_bytes: int = 1 << 20) -> DataFrame:
-    """Adds ``entropy`` over the first ``sample_bytes`` of each file, which is its definition.
+def entropy_of_file(inventory: DataFrame, sample_bytes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Adds ``entropy`` of each file, whole unless ``sample_bytes`` bounds it to the first bytes.
 
-    With a ``content`` column no file is opened.
+    Files are opened where their rows are and read in pieces whose byte counts add up; with a ``stored`` table
+    (path, content) no file is opened.
     """
-    if "content" in inventory.columns:
-        head = F.substring("content", 1, sample_bytes)
-        return shannon_entropy(inventory.withColumn("_head", head), "_head").drop("_head")
+    if stored is not None:
+        return shannon_entropy(with_content(inventory, stored, sample_bytes), "content").drop("content")
 
     @F.pandas_udf("float")
     def bits(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda path: bits_per_byte(read_head(path, sample_bytes))).astype("float32")
+        return paths.map(lambda path: _bits(_histogram(_chunks(path, sample_bytes)))).astype("float32")
 
     return inventory.withColumn("entropy", bits(F.col("path")))

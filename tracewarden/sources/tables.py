@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden import schemas
@@ -115,6 +115,22 @@ def prune_retention(
     return not_before(df, ts_col, as_of_ms - max(retention_days, minimum_days) * DAY_MS)
 
 
+def drop_expired(spark: SparkSession, path: str, as_of_ms: int, retention_days: int, minimum_days: int = 0) -> int:
+    """Delete the day partitions of a stored table that lie wholly before retention; the number of rows removed.
+
+    Only folders go, nothing is rewritten. The day that retention ends in stays until it is over; readers filter it
+    with ``prune_retention``.
+    """
+    cutoff = as_of_ms - max(retention_days, minimum_days) * DAY_MS
+    last_day = F.to_date(F.timestamp_millis(F.lit(cutoff)))
+    stored = spark.read.parquet(path)
+    expired = stored.filter(F.col("dt") < last_day).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    for day in expired:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/dt={day['dt']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return sum(day["rows"] for day in expired)
+
+
 def prune_counts(tables: dict[str, DataFrame], as_of_ms: int, retention_days: int) -> DataFrame:
     """(table, removed): how many rows retention removes per table."""
     out = None

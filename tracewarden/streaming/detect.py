@@ -143,7 +143,8 @@ def stream_rate_limit(
     file_events: DataFrame, out_path: str, checkpoint: str, limit: int = 400, trigger: dict | None = None
 ) -> StreamingQuery:
     """Rate-limited file events per process and second. A second is evaluated once it is over, so
-    its budget never depends on how rows fell into micro-batches; the last second stays pending."""
+    its budget never depends on how rows fell into micro-batches. When the stream has ended, the last second is
+    still pending: ``flush_rate_limit`` evaluates it."""
     spark = file_events.sparkSession
     store = Store(spark, out_path)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in file_events.schema)
@@ -163,3 +164,13 @@ def stream_rate_limit(
 
     writer = file_events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def flush_rate_limit(spark: SparkSession, schema: str, out_path: str, limit: int = 400) -> None:
+    """Evaluate what an ended rate-limit stream left pending. Only for a stream that will not go on."""
+    store = Store(spark, out_path)
+    batches = spark.read.schema(f"{PROGRESS}").parquet(f"{store.path}/progress").agg(F.max("batch")).first()[0]
+    done = store.progress(0 if batches is None else batches + 1)
+    start = max([p.watermark for p in done], default=BEGINNING)
+    rows = store.read("pending", schema, [p.batch for p in done if p.high > start]).filter(F.col("ts") > start)
+    store.write(rate_limit_reads(rows, limit), "kept", (batches or 0) + 1)
