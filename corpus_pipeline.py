@@ -35,8 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest id; rows that repeat go as well.
 
-    256-bit fingerprints of five-word shingles link where they differ in no more bits than documents of Jaccard
-    similarity 0.8 do on average. Forty random blocks of 13 bits find such a pair in about 99.5 of 100 cases.
+    256-bit fingerprints of five-word shingles link where they differ in at most 45 bits: what documents of Jaccard
+    similarity 0.8 differ in on average, and one standard deviation more. Forty random blocks of 13 bits find such a
+    pair in about 99.5 of 100 cases.
     """
     ship_package(spark)
     found = simhash.near_duplicates(

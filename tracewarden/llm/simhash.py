@@ -264,6 +264,8 @@ def near_duplicates(
     return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def max_distance_for(similarity: float, bits: int) -> int:
-    """Bits in which documents of that Jaccard similarity differ on average: the angle between their shingle sets."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / float(np.pi))
+def max_distance_for(similarity: float, bits: int, deviations: float = 1.0) -> int:
+    """How many bits documents of that Jaccard similarity differ in: the mean, which is the angle between their shingle
+    sets, and as many standard deviations more, so that few at the similarity itself are missed."""
+    share = float(np.arccos(2 * similarity / (1 + similarity))) / float(np.pi)
+    return round(bits * share + deviations * float(np.sqrt(bits * share * (1 - share))))
