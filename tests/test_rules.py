@@ -191,3 +191,11 @@ def test_a_million_hits_of_one_key(spark):
     hits = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * 7).alias("ts"), F.col("id").alias("seq"))
     kept = suppress_repeats(hits, ["k"], 1000).select("ts").orderBy("ts").collect()
     assert [r.ts for r in kept] == [i * 1001 for i in range(len(kept))] and len(kept) == -(-7_000_000 // 1001)
+
+
+def test_bulk_evidence_takes_paths_of_the_whole_window(spark):
+    """A hit just after the border of a time cell still names five paths."""
+    border = (NOW // 60_000 + 1) * 60_000
+    reads = files(spark, [(f"/r/f{i}.py", border - 400 + i) for i in range(399)] + [("/r/last.py", border + 5)])
+    hits = rules.bulk_reads(reads, P).filter(F.col("ts") == border + 5).select("samples").collect()
+    assert [len(set(r.samples.split("\n"))) for r in hits] == [5]

@@ -185,10 +185,18 @@ CTES = {
         AND w.ts >= f.ts - {READ_W} AND (w.ts, w.seq) <= (f.ts, f.seq)) AS git_rows FROM files f WHERE contains(path, '/.git/')""",
     "distinct_rolled": f"""SELECT f.*, (SELECT count(DISTINCT w.path) FROM files w WHERE w.agent_id = f.agent_id AND w.repo_root = f.repo_root
         AND w.ts >= f.ts - {READ_W} AND (w.ts, w.seq) <= (f.ts, f.seq)) AS distinct_paths FROM files f""",
-    "bulk": f"""SELECT d.*, (SELECT string_agg(path, chr(10) ORDER BY first_at) FROM (SELECT path, first_at, row_number() OVER (ORDER BY first_at) AS r FROM (
-            SELECT w.path, min((w.ts, w.seq)) AS first_at FROM files w WHERE w.agent_id = d.agent_id AND w.repo_root = d.repo_root
-            AND w.ts // {READ_W} = d.ts // {READ_W} AND (w.ts, w.seq) <= (d.ts, d.seq) GROUP BY w.path)) WHERE r <= {P.sample_paths}) AS samples
-        FROM distinct_rolled d WHERE distinct_paths >= {P.bulk_read_files}""",
+    "cell_paths": f"""SELECT agent_id, repo_root, ts // {READ_W} AS cell, path, min((ts, seq)) AS first_at, max((ts, seq)) AS last_at,
+        max(ts) AS last_ts FROM files GROUP BY 1, 2, 3, 4""",
+    "cell_ends": """SELECT *, row_number() OVER (PARTITION BY agent_id, repo_root, cell ORDER BY first_at) AS from_start,
+        row_number() OVER (PARTITION BY agent_id, repo_root, cell ORDER BY last_at DESC) AS from_end FROM cell_paths""",
+    "window_paths": f"""SELECT d.seq, c.path, c.first_at AS moment FROM distinct_rolled d JOIN cell_ends c ON c.agent_id = d.agent_id AND c.repo_root = d.repo_root
+            AND c.cell = d.ts // {READ_W} AND c.from_start <= {P.sample_paths} AND c.first_at <= (d.ts, d.seq) WHERE d.distinct_paths >= {P.bulk_read_files}
+        UNION ALL SELECT d.seq, c.path, c.last_at FROM distinct_rolled d JOIN cell_ends c ON c.agent_id = d.agent_id AND c.repo_root = d.repo_root
+            AND c.cell = d.ts // {READ_W} - 1 AND c.from_end <= {2 * P.sample_paths} AND c.last_ts >= d.ts - {READ_W} WHERE d.distinct_paths >= {P.bulk_read_files}""",
+    "bulk_evidence": f"""SELECT seq, string_agg(path, chr(10) ORDER BY moment, path) AS samples FROM (
+        SELECT seq, path, moment, row_number() OVER (PARTITION BY seq ORDER BY moment, path) AS r FROM (
+            SELECT seq, path, min(moment) AS moment FROM window_paths GROUP BY 1, 2)) WHERE r <= {P.sample_paths} GROUP BY seq""",
+    "bulk": f"SELECT d.*, samples FROM distinct_rolled d JOIN bulk_evidence USING (seq) WHERE distinct_paths >= {P.bulk_read_files}",
     "signals": f"""SELECT agent_id, ts, seq, 0 AS part, 'file-read' AS kind FROM files WHERE {path_class('path')} = 'secret'
         UNION ALL SELECT agent_id, ts, seq, 0, 'git-read' FROM git_rolled WHERE git_rows >= {P.git_read_rows}
         UNION ALL SELECT agent_id, ts, seq, 1, 'bulk-read' FROM bulk""",

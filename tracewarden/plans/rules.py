@@ -260,10 +260,12 @@ def _show_sensitive_read(hits: DataFrame) -> DataFrame:
 
 
 def bulk_reads(file_events: DataFrame, params: Params) -> DataFrame:
-    """Reads at which the distinct paths of the window reach the threshold, with up to
-    ``sample_paths`` of the window's paths.
+    """Reads at which the distinct paths of the window reach the threshold, with ``sample_paths`` of the window's
+    paths, or all if it has fewer.
 
-    Samples are the first paths read in the hit's window-wide time cell, one small row per cell.
+    A window ends in the hit's window-wide time cell and begins in the one before. Per cell one small row keeps
+    the first paths, of which those up to the hit count, and the last ones, of which those since the window's start
+    count for a hit in the next cell. Twice as many last paths are kept, as up to that many may be the same.
     """
     reads = _reads(file_events, params)
     window = params.bulk_read_window_ms
@@ -271,21 +273,29 @@ def bulk_reads(file_events: DataFrame, params: Params) -> DataFrame:
     bulk = counted.filter(F.col("distinct_paths") >= params.bulk_read_files)
     cell = F.floor(F.col("ts") / F.lit(window))
     keys = ["agent_id", "repo_root", "_cell"]
-    order = Window.partitionBy(*keys).orderBy("first")
-    samples = (
-        reads.groupBy("agent_id", "repo_root", cell.alias("_cell"), "path")
-        .agg(F.min(F.struct("ts", "seq")).alias("first"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= params.sample_paths)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("first", "path"))).alias("_samples"))
+    at = F.struct("ts", "seq")
+    per_path = reads.groupBy("agent_id", "repo_root", cell.alias("_cell"), "path").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    few, more = params.sample_paths, 2 * params.sample_paths
+
+    def ends(order: Column, moment: str, count: int, out: str) -> DataFrame:
+        ranked = per_path.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+        kept = ranked.filter(F.col("_rank") <= count).groupBy(*keys)
+        return kept.agg(F.collect_list(F.struct(F.col(moment).alias("at"), "path")).alias(out))
+
+    this = ends(F.col("first").asc(), "first", few, "_this")
+    before = ends(F.col("last").desc(), "last", more, "_before").withColumn("_cell", F.col("_cell") + 1)
+    moment = F.struct(F.col("ts"), F.col("seq"))
+    none = F.array().cast("array<struct<at:struct<ts:bigint,seq:bigint>,path:string>>")
+    in_window = F.concat(
+        F.filter(F.coalesce("_before", none), lambda s: s["at"]["ts"] >= F.col("ts") - window),
+        F.filter(F.coalesce("_this", none), lambda s: s["at"] <= moment),
     )
-    known = F.filter("_samples", lambda s: s["first"] <= F.struct(F.col("ts"), F.col("seq")))
+    paths = F.slice(F.array_distinct(F.transform(F.array_sort(in_window), lambda s: s["path"])), 1, few)
     return (
         bulk.withColumn("_cell", cell)
-        .join(samples, keys)
-        .withColumn("samples", F.array_join(F.transform(known, lambda s: s["path"]), "\n"))
-        .drop("_samples", "_cell")
+        .join(this, keys, "left").join(before, keys, "left")
+        .withColumn("samples", F.array_join(paths, "\n"))
+        .drop("_this", "_before", "_cell")
     )
 
 
