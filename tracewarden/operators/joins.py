@@ -135,7 +135,9 @@ def port_owner(
 
     ``sockets`` are snapshots (host, ts, seq, port, pid); a newer snapshot replaces the older one
     entirely, and one older than ``ttl_ms`` no longer counts. Owners are looked up on the captures'
-    keys alone; payloads move once, in the final join on ``seq``.
+    keys alone; payloads move once, in the final join on host and ``seq``, as hosts number their rows themselves.
+    Where ``attributed`` carries the host too, pids are looked up per host. ``default_agent`` stands in for captures
+    without a known agent.
     """
     times = sockets.select(host_key, "ts").distinct()
     following = F.lead("ts").over(Window.partitionBy(host_key).orderBy("ts"))
@@ -148,14 +150,16 @@ def port_owner(
     live = (F.col("ts") - F.col("_sock.ts") < ttl_ms) & (
         F.col("_sock.replaced_at").isNull() | (F.col("ts") < F.col("_sock.replaced_at"))
     )
-    owners = owned.filter(live).select("ts", "seq", F.col("_sock.pid").alias("pid"))
+    owners = owned.filter(live).select(host_key, "ts", "seq", F.col("_sock.pid").alias("pid"))
     rest = captures.drop("pid", "agent_id")
     if attributed is None:
-        return rest.join(owners.drop("ts"), "seq", "left")
-    right = attributed.select("pid", "ts", "seq", "agent_id")
-    known = as_of(cut_lineage(owners), right, ["pid"], "_proc", slice_ms)
-    known = known.select("seq", "pid", F.col("_proc.agent_id").alias("agent_id"))
-    return rest.join(known, "seq", "left").withColumn("agent_id", F.coalesce("agent_id", F.lit(default_agent)))
+        found = rest.join(owners.drop("ts"), [host_key, "seq"], "left")
+        return found if default_agent is None else found.withColumn("agent_id", F.lit(default_agent))
+    keys = [host_key, "pid"] if host_key in attributed.columns else ["pid"]
+    right = attributed.select(*keys, "ts", "seq", "agent_id")
+    known = as_of(cut_lineage(owners), right, keys, "_proc", slice_ms)
+    known = known.select(host_key, "seq", "pid", F.col("_proc.agent_id").alias("agent_id"))
+    return rest.join(known, [host_key, "seq"], "left").withColumn("agent_id", F.coalesce("agent_id", F.lit(default_agent)))
 
 
 def repo_root(processes: DataFrame, inventory: DataFrame) -> DataFrame:
