@@ -181,6 +181,10 @@ def test_port_owner(spark):
     )
     got = {r.seq: r.pid for r in joins.port_owner(captures_, sockets).collect()}
     assert got == {10: 7, 11: None, 12: 8, 13: None, 14: 9, 15: None}
+    # hosts number their rows themselves
+    twice = spark.createDataFrame([("h", 1000, 10, 50), ("g", 1000, 10, 50)], "host_id string, ts bigint, seq bigint, src_port int")
+    owners = joins.port_owner(twice, sockets, default_agent="nobody").collect()
+    assert sorted((r.host_id, r.pid, r.agent_id) for r in owners) == [("g", 9, "nobody"), ("h", 7, "nobody")]
 
 
 def test_repo_root(spark):
