@@ -8,7 +8,8 @@ nowhere else takes another ``alpha`` over the number of words. A document's own
 Documents are packed into batches of about ``batch_chars`` characters. A batch explodes its n-grams, combined to
 distinct ones with their counts, and sends them to hash partitions; each partition sums its count table, joins it to
 what the batches asked for and answers in the same order; a batch then sums the scores per document. However
-frequent an n-gram, it is sent once per batch, so no partition is hot, and no document leaves its batch. The number
+frequent an n-gram, it is sent once per batch, so no partition is hot, and no document leaves its batch: batches are
+written in buckets and only answers travel to them. The number
 of partitions follows the number of words, so that each holds about ``partition_grams`` entries.
 
 Words are runs of non-space, ASCII letters lower-cased. Edge cases: a null text, or one without words, has 0 words,
@@ -18,6 +19,7 @@ documents; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewarden.llm.common import narrow
-from tracewarden.session import cut_lineage
+from tracewarden.session import shared_folder
 
 ORDERS = 3
 
@@ -92,6 +94,19 @@ def _batches(docs: DataFrame, batch_chars: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _stored(batches: DataFrame) -> DataFrame:
+    """The batches written out, in buckets by batch, so that they meet their answers without being shuffled."""
+    spark = batches.sparkSession
+    name = f"lm_batches_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches.write.format("parquet").option("path", path).bucketBy(buckets, "batch").saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # noqa: B018  resolved now: the name can go, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 @dataclass
 class Batch:
     """One batch unpacked: the document and the n-gram hash of each position that has a whole n-gram."""
@@ -170,8 +185,13 @@ def _answer(requests: pa.Table) -> pa.Table:
 
 def _own(document: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """How often each position's n-gram occurs in its own document."""
-    _, place, counts = np.unique(document * (gram.max() + 1 if len(gram) else 1) + gram, return_inverse=True, return_counts=True)
-    return counts[place]
+    both = document * (int(gram.max()) + 1 if len(gram) else 1) + gram
+    order = np.argsort(both)
+    starts = np.flatnonzero(np.diff(both[order], prepend=-1))
+    counts = np.diff(starts, append=len(both)).astype(np.int32)
+    out = np.empty(len(both), np.int32)
+    out[order] = np.repeat(counts, counts)
+    return out
 
 
 def backoff_scores(batch: Batch, totals: list[np.ndarray], n_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +202,7 @@ def backoff_scores(batch: Batch, totals: list[np.ndarray], n_words: int, alpha:
         whole = place >= order - 1
         count = np.zeros(len(place), np.int64)
         if whole.any():
-            _, gram = np.unique(batch.grams(order)[whole], return_inverse=True)
+            gram = np.unique(batch.grams(order)[whole], return_inverse=True)[1].astype(np.int32)
             count[whole] = totals[order - 1][gram] - _own(document[whole], gram)
         found.append(count)
     others = n_words - batch.lengths[document]
@@ -203,13 +223,13 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     alpha: float = 0.4,
-    batch_chars: int = 16_000_000,
+    batch_chars: int = 8_000_000,
     partition_grams: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, trigram_hits), one row per document; logs to base 10."""
     rows = narrow(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
-    batches = cut_lineage(_batches(rows, batch_chars))
+    batches = _stored(_batches(rows, batch_chars))
     n_words = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     partitions = max(1, -(-ORDERS * n_words // partition_grams))
     requests = _requests(batches, partitions)
