@@ -163,12 +163,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     return files.select("content").mapInArrow(parse, READ_SCHEMA)
 
 
-def referred_keys(records: DataFrame) -> DataFrame:
-    """Read-back records with ``refers_to``: the key of the response each revisit names."""
-    responses = (
-        records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("key").alias("refers_to"))
-    )
-    return records.join(responses, "refers_to_id", "left")
+def referred_keys(records: DataFrame, salts: int = 32) -> DataFrame:
+    """Read-back records with ``refers_to``: the key of the response each revisit names.
+
+    Only responses that are named take part, each ``salts`` times, so the revisits of one response are spread.
+    """
+    revisits, others = records.filter("record_type = 'revisit'"), records.filter("record_type != 'revisit'")
+    named = revisits.select(F.col("refers_to_id").alias("record_id")).distinct()
+    originals = others.join(named, "record_id").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("key").alias("refers_to"))
+    originals = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = revisits.withColumn("salt", F.pmod(F.xxhash64("key", "record_id"), F.lit(salts)).cast("int"))
+    found = salted.join(originals, ["refers_to_id", "salt"], "left").drop("salt")
+    return found.unionByName(others.withColumn("refers_to", F.lit(None).cast("string")))
 
 
 def dedup_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 1000, key_type: str = "long") -> None:
