@@ -124,13 +124,14 @@ def fit(
     rows = narrow(labelled, doc_id=id_col, text=text_col, lang=lang_col).filter("lang is not null")
     seen = _document_frequency(rows)
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
-    # the hash is uniform: a cut at four times the share wanted leaves a bounded number of rows to rank
+    # the hash is uniform: a cut at four times the share wanted leaves a bounded number of rows to rank;
+    # one row per language is broadcast, no more than the model that is collected below
     sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     low = F.col("pick") < F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.col("n"))
     by_hash = W.partitionBy("lang").orderBy("pick", "doc_id")
     picked = (
         rows.select("lang", "doc_id", unsigned_part(F.xxhash64("doc_id")).alias("pick"))
-        .join(sizes, F.col("lang") == F.col("of")).filter(low)
+        .join(F.broadcast(sizes), F.col("lang") == F.col("of")).filter(low)
         .withColumn("rank", F.row_number().over(by_hash))
         .filter(F.col("rank") <= sample_rows)
         .select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
