@@ -74,3 +74,38 @@ def test_nulls_everywhere_and_ids_that_repeat(spark, folder):
     mixed = p.source_mix(spark, both, folder)
     assert p.shards(spark, mixed, folder).count() == mixed.count()
     assert p.decontamination(spark, both, folder).filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_near_copies_are_those_of_the_similarity(spark):
+    rng = random.Random(9)
+    rows, shingles = [], lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    gone = set()
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        other = list(words)
+        for at in range(10, 10 + 10 * (1 + i % 3), 10):  # 1 to 3 changed words: similarities 0.90, 0.82, 0.74
+            other[at] = "changed"
+        a, b = shingles(words), shingles(other)
+        if len(a & b) / len(a | b) >= 0.8:
+            gone.add(2 * i + 1)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert len(gone) == 40
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], SCHEMA)
+    kept = {r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - gone
+
+
+def test_set_forest_is_exact_in_chunks_of_any_size(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:k], *[f"v{rng.randrange(999)}" for _ in range(60 - k)]]) for k in range(30, 61, 2)] + ["", None, "one", "ONE"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [{tuple(r) for r in p.simhash.near_copies(docs, 0.8, task_shingles=n).collect()} for n in (1_000_000, 60)]
+    sets = [set(p.simhash.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    root[j] = min(root[j], root[i])
+    assert got[0] == got[1] == set(enumerate(root))

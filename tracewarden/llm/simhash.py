@@ -264,6 +264,124 @@ def near_duplicates(
     return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect whatever pairs of sets of at least that Jaccard similarity connect; exact.
+
+    As in ``forest``, each set taken up is compared with all not yet reached.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(ids), bool)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    rest = np.flatnonzero(sizes)  # the empty set is like no other
+    entries = ids
+    links = []
+    while len(rest):
+        queue, entries, rest = [rest[0]], entries[sizes[rest[0]] :], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            own = ids[bounds[at] : bounds[at + 1]]
+            mark[own] = True
+            starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
+            shared = np.add.reduceat(mark[entries], starts, dtype=np.int64)
+            mark[own] = False
+            near = shared * (1 + similarity) + 1e-9 >= similarity * (sizes[rest] + len(own))
+            if near.any():
+                links += [(at, x) for x in rest[near]]
+                queue += list(rest[near])
+                entries, rest = entries[np.repeat(~near, sizes[rest])], rest[~near]
+    return links
+
+
+def _set_links(tasks: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between sets (set_key, shingles) within each task (root, i, j); tasks arrive sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[bytes] = []
+        sets: list[np.ndarray] = []
+        current = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1 and (links := set_forest(sets, similarity)):
+                a, b = ([keys[x] for x in side] for side in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for root, i, j, key, shingles in zip(*[batch.column(n) for n in range(5)], strict=True):
+                if (task := (root.as_py(), i.as_py(), j.as_py())) != current:
+                    yield from close()
+                    keys, sets, current = [], [], task
+                keys.append(key.as_py())
+                sets.append(np.frombuffer(shingles.as_py(), "<u8"))
+        yield from close()
+
+    return tasks.mapInArrow(run, "a binary, b binary")
+
+
+def near_copies(
+    docs: DataFrame,
+    similarity: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    bits: int = 256,
+    deviations: float = 3.0,
+    trees: int = 96,
+    block_bits: int = 13,
+    task_shingles: int = 1_000_000,
+) -> DataFrame:
+    """(doc_id, component_id), one row per document: groups that links of Jaccard similarity ``similarity`` and more connect.
+
+    The similarity is that of the sets of word shingles, compared exactly. Fingerprints only tell what to compare: those
+    that differ in no more bits than documents at the threshold do, ``deviations`` standard deviations more than on average,
+    form candidate groups, and inside a candidate group every set meets every other. Equal sets are one. A group of more than
+    ``task_shingles`` shingles is cut into chunks that meet in pairs.
+    """
+    hashed = narrow(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
+    prints = cut_lineage(fingerprints(hashed, "text_hash", "text", words, bits).withColumnRenamed("doc_id", "text_hash").distinct())
+    distance = max_distance_for(similarity, bits, deviations)
+    points = cut_lineage(prints.select("fingerprint").distinct())
+    near = components(links(points, distance, random_blocks(bits, trees, block_bits), 0))
+    rooted = prints.join(near.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "text_hash", F.coalesce("root", "fingerprint").alias("root")
+    )
+    several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("root")
+    members = cut_lineage(rooted.join(several, "root", "left_semi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words).astype("<u8").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["text_hash", "shingles"])
+
+    texts = hashed.join(members.select("text_hash"), "text_hash", "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
+    found = texts.mapInArrow(run, "text_hash long, shingles binary").withColumn("set_key", F.unhex(F.md5("shingles")))
+    found = cut_lineage(found.join(members.withColumnRenamed("text_hash", "of"), F.col("text_hash") == F.col("of")).drop("of"))
+    sets = found.groupBy("root", "set_key").agg(F.first("shingles").alias("shingles"))
+    sizes = found.select("root", "set_key", F.length("shingles").alias("bytes")).distinct().groupBy("root").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("bytes").alias("bytes")
+    )
+    parts = sizes.filter("sets > 1").select("root", F.ceil(F.col("bytes") / (8 * task_shingles)).cast("long").alias("parts"))
+    cut = sets.join(parts.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("set_key"), F.greatest("parts", F.lit(1))))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1)))
+    tasks = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key", "shingles")
+    linked = components(_set_links(tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), similarity))
+    keyed = found.select("text_hash", "set_key").join(linked.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+        "text_hash", F.coalesce("root", "set_key").alias("group")
+    )
+    ids = hashed.select("doc_id", "text_hash").join(keyed.withColumnRenamed("text_hash", "of"), F.col("text_hash") == F.col("of"), "left").select(
+        "doc_id", F.coalesce("group", F.to_binary(F.hex("text_hash"), F.lit("hex"))).alias("group")
+    )
+    ids = cut_lineage(ids)
+    least = ids.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(least, "group").select("doc_id", "component_id")
+
+
 def max_distance_for(similarity: float, bits: int, deviations: float = 1.0) -> int:
     """How many bits documents of that Jaccard similarity differ in: the mean, which is the angle between their shingle
     sets, and as many standard deviations more, so that few at the similarity itself are missed."""
