@@ -73,3 +73,15 @@ def test_cells_are_visited_by_falling_probability():
     assert (keys[:, 0] != 0).all() and visit[:, 0].all()
     assert (np.diff(visit.astype(int), axis=1) <= 0).all()  # a first stretch of the order
     assert all(k in row for k, row in zip(model.cells(queries, 0), keys))
+
+
+def test_recall_outside_a_dense_cluster(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    raw = [centre + 0.3 * rng.standard_normal(32) if i % 3 == 0 else rng.standard_normal(32) for i in range(12000)]
+    rows = [(i, as_floats(v / np.linalg.norm(v))) for i, v in enumerate(raw)]
+    want = brute(rows, range(0, 12000, 200), 20)
+    got = results(ann.nearest(frame(spark, rows), F.col("vec_id") % 200 == 0, shard_rows=4000))
+    for outside in (True, False):
+        asked = [q for q in want if (q % 3 > 0) == outside]
+        assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in asked) / (20 * len(asked)) >= 0.9

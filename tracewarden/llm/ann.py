@@ -7,7 +7,9 @@ into cells of equal width hash near points alike. Each of ``tables`` tables has
 A query visits the cells around its own in the order of the probability that a neighbour at the expected distance
 lies there, until the tables together reach ``success``. The expected distance of the k-th neighbour is estimated
 on a bounded sample (``sample_rows``); every row is indexed. Candidates of all tables are merged and ranked by
-their inner product in double precision; a query that found fewer than k is searched again over all cells.
+their inner product in double precision. The expected distance fits the table as a whole, not every query: where the
+k-th point a query found lies so far that the visited cells hold a neighbour at that distance with a chance below
+``vouch``, and where it found fewer than k, the query is searched again over all cells.
 
 Rows are dealt to shards by (table, cell), a shard of more rows than ``shard_rows`` is cut into chunks that each
 answer for themselves, and every shard returns only its best per query. Equal vectors are one point that
@@ -69,13 +71,8 @@ class Tables:
         """Keys of the cells around each query's own, most promising first, and which of them to visit."""
         at = self.place(queries, table)
         own = np.floor(at)
-        steps = np.array(list(product((-1, 0, 1), repeat=at.shape[1])), np.int64)
-        spread = self.radius / self.width
-        edges = np.stack([own + s for s in (-1, 0, 1, 2)], axis=-1) - at[..., None]
-        chance = np.diff(_normal(edges / max(spread, 1e-9)), axis=-1)
-        odds = np.ones((len(queries), len(steps)))
-        for i in range(at.shape[1]):
-            odds *= chance[:, i, steps[:, i] + 1]
+        steps = self.steps()
+        odds = self.odds(at, np.full(len(at), self.radius))
         order = np.argsort(-odds, axis=1, kind="stable")
         ranked = np.take_along_axis(odds, order, axis=1)
         wanted = 1 - (1 - self.success) ** (1 / len(self.weights))
@@ -83,6 +80,29 @@ class Tables:
         keys = cell_keys((own.astype(np.int64)[:, None] + steps[order]).reshape(-1, at.shape[1])).reshape(order.shape)
         return keys, visit
 
+    def steps(self) -> np.ndarray:
+        return np.array(list(product((-1, 0, 1), repeat=self.weights.shape[2])), np.int64)
+
+    def odds(self, at: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """The chance that a neighbour at each query's distance lies in each cell around its own."""
+        steps, spread = self.steps(), np.maximum(distance / self.width, 1e-9)
+        edges = np.stack([np.floor(at) + s for s in (-1, 0, 1, 2)], axis=-1) - at[..., None]
+        chance = np.diff(_normal(edges / spread[:, None, None]), axis=-1)
+        odds = np.ones((len(at), len(steps)))
+        for i in range(at.shape[1]):
+            odds *= chance[:, i, steps[:, i] + 1]
+        return odds
+
+    def vouched(self, queries: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """The chance that the visited cells of the tables hold a neighbour at each query's distance."""
+        missed = np.ones(len(queries))
+        for table in range(len(self.weights)):
+            at = self.place(queries, table)
+            order = np.argsort(-self.odds(at, np.full(len(at), self.radius)), axis=1, kind="stable")
+            _, visit = self.visits(queries, table)
+            missed *= 1 - (np.take_along_axis(self.odds(at, distance), order, axis=1) * visit).sum(axis=1)
+        return 1 - missed
+
 
 def _normal(x: np.ndarray) -> np.ndarray:
     """Cumulative normal distribution (Abramowitz and Stegun 7.1.26, error below 2e-7)."""
@@ -188,6 +208,22 @@ def _probes(queries: DataFrame, model: Tables, shards: int, everything: bool) ->
     return queries.select("query_id", "vector").mapInArrow(run, "shard long, query_id long, vector array<double>")
 
 
+def _sure(reached: DataFrame, model: Tables, vouch: float) -> DataFrame:
+    """The queries (query_id, vector, score of the k-th found) whose visited cells vouch for what they found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, score = matrix(batch.column("vector")), batch.column("score").to_numpy()
+            distance = np.sqrt(np.maximum(2 - 2 * score / (np.linalg.norm(vectors, axis=1) * model.scale), 0))
+            parts = range(0, len(vectors), QUERIES_AT_ONCE)
+            chance = [model.vouched(model.lift_queries(vectors[i : i + QUERIES_AT_ONCE]), distance[i : i + QUERIES_AT_ONCE]) for i in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").filter(pa.array(np.concatenate(chance) >= vouch))], names=["query_id"])
+
+    return reached.select("query_id", "vector", "score").mapInArrow(run, "query_id long")
+
+
 def _radius(model: Tables, sample: np.ndarray, rows: int, k: int) -> float:
     """Distance of the k-th neighbour among ``rows`` points, from the distances between sampled ones."""
     against = model.lift_queries(sample[:200])
@@ -208,6 +244,7 @@ def nearest(
     tables: int = 2,
     projections: int = 6,
     success: float = 0.97,
+    vouch: float = 0.9,
     sample_rows: int = 2000,
     shard_rows: int = 16_000,
     seed: int = 5,
@@ -246,8 +283,8 @@ def nearest(
         return _search(index.drop("parts"), probes.drop("parts"), model, k, everything).distinct()
 
     first = cut_lineage(found(queries, False))
-    enough = first.groupBy("query_id").count().filter(F.col("count") >= min(k, total["rows"] - 1)).select("query_id")
-    short = queries.join(enough, "query_id", "left_anti")
-    both = first.unionByName(found(short, True)).distinct() if not short.isEmpty() else first
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    last = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == min(k, total["rows"] - 1)).select("query_id", "score")
+    short = cut_lineage(queries.join(_sure(queries.join(last, "query_id"), model, vouch), "query_id", "left_anti"))
+    both = first.unionByName(found(short, True)).distinct() if not short.isEmpty() else first
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
