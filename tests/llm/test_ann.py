@@ -85,3 +85,10 @@ def test_recall_outside_a_dense_cluster(spark):
     for outside in (True, False):
         asked = [q for q in want if (q % 3 > 0) == outside]
         assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in asked) / (20 * len(asked)) >= 0.9
+
+
+def test_many_ties_at_the_cut_go_to_the_smaller_ids():
+    points = np.concatenate([[[1.0, 1.0, 0.0]], np.column_stack([np.zeros((500, 2)), np.arange(1, 501)])])
+    ids = [np.array([1000]), *[np.array([500 - i]) for i in range(500)]]
+    got = list(ann._best(np.array([[1.0, 1.0, 0.0]]), [1000], None, points, ids, 20))
+    assert got == [(1000, i, 0.0) for i in range(1, 21)]

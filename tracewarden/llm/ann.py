@@ -38,7 +38,8 @@ from tracewarden.llm.common import narrow
 from tracewarden.session import cut_lineage
 
 QUERIES_AT_ONCE = 128
-MARGIN = 5
+#: Relative error allowed to a product when points are preselected.
+ROUNDING = 1e-12
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -135,13 +136,18 @@ def _best(queries: np.ndarray, own: np.ndarray, member: np.ndarray | None, point
     scores = queries @ points.T
     if member is not None:
         scores[~member] = -np.inf
-    width = min(k + 1 + MARGIN, len(points))
-    top = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-    for i, picks in enumerate(top):
-        picks = picks[scores[i, picks] > -np.inf]
+    width = min(k + 1, len(points))
+    least = -np.partition(-scores, width - 1, axis=1)[:, width - 1]
+    # products of one matrix multiplication and of another may differ by rounding; all that tie at the cut stay
+    slack = ROUNDING * np.linalg.norm(queries, axis=1) * np.linalg.norm(points, axis=1).max()
+    for i in range(len(queries)):
+        picks = np.flatnonzero((scores[i] >= least[i] - slack[i]) & (scores[i] > -np.inf))
         exact = np.einsum("ij,j->i", points[picks], queries[i])
-        rows = [(-s, v) for s, p in zip(exact.tolist(), picks, strict=True) for v in ids[p].tolist() if v != own[i]]
-        yield from ((own[i], v, -s) for s, v in sorted(rows)[:k])
+        every = np.concatenate([ids[p] for p in picks]) if len(picks) else np.zeros(0, np.int64)
+        score = np.repeat(exact, [len(ids[p]) for p in picks])
+        order = np.lexsort((every, -score))
+        order = order[every[order] != own[i]][:k]
+        yield from ((own[i], v, s) for v, s in zip(every[order].tolist(), score[order].tolist(), strict=True))
 
 
 def _search(index: DataFrame, probes: DataFrame, model: Tables, k: int, everything: bool) -> DataFrame:
