@@ -90,3 +90,13 @@ def test_documents(spark):
     assert d.contaminated(docs, items.limit(0)).count() == 0
     sliced = d.contaminated(docs, items, slice_chars=60)
     assert {(r["doc_id"], r["item_id"]) for r in sliced.collect()} == set(got)
+
+
+def test_parts_of_items_and_short_items(spark):
+    middle = " ".join(f"clause {i} of the medium item treats matter {i * 7 % 31}" for i in range(4))[:180]
+    texts = ["x " + LONG[100:220] + " y", "x " + LONG[50:169] + " y", "x " + middle[30:150] + " y", "x " + LONG[100:150] + " y"]
+    texts += ["is it red-brown fox? ", "is it red-brown foxes", " Yes\n", "yes and no"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, LONG), (2, middle), (3, "Red-brown fox"), (4, "yes")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs, items).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2), (4, 3), (6, 4)}

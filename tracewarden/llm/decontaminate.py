@@ -6,21 +6,22 @@ scanned once against an index of the benchmark's q-grams; hits are counted in ov
 enough that every such occurrence lies whole in one; bands that reach the lemma's count are aligned within the
 band, and kept if the passage fits with at most k edits. Nothing is shuffled.
 
-Letters of ASCII and Latin-1 are lower-cased and runs of white space count as one space. Items longer than
-``window`` characters are searched in overlapping windows, so that a part of one is found too. k is
-``error_rate`` of the passage.
+Letters of ASCII and Latin-1 are lower-cased and runs of white space count as one space. An item is searched whole, or
+in overlapping windows of ``window`` characters if it is longer, and besides in windows of ``part`` characters that begin
+every ``stride``: any ``part + stride - 1`` characters of an item hold one of them. k is ``error_rate`` of the passage.
 
 The benchmark is read in slices of at most ``slice_chars`` characters, each broadcast with its index and scanned
 in turn, so its size is bounded whatever it holds.
 
-Edge cases: null or empty texts and items have no matches; items of fewer than ``min_chars`` characters are no
-evidence of a leak and are not searched; repeated items and documents are matched each; an
+Edge cases: null or empty texts and items have no matches; items of fewer than ``min_chars`` characters match without
+edits and between other characters than letters and digits, and items of fewer than ``least_chars`` ("yes", "42") match
+only a document that holds nothing else; repeated items and documents are matched each; an
 empty benchmark gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,6 +69,8 @@ class Unit:
     edits: int
     q: int
     least: int
+    apart: bool = False  # letters and digits around it are no match
+    alone: bool = False  # nothing else may be in the text
 
 
 @dataclass
@@ -110,6 +113,32 @@ def units_of(item: object, text: str | None, error_rate: float, window: int, min
     return out
 
 
+def all_units(item: object, text: str | None, error_rate: float, window: int, part: int, stride: int, min_chars: int, least_chars: int) -> list[Unit]:
+    """The units of a whole item and of its parts."""
+    codes, _ = normal((text or "").strip())
+    if len(codes) < min_chars:
+        units = units_of(item, text, 0.0, window)
+        for unit in units:
+            unit.apart, unit.alone = True, len(codes) < least_chars
+        return units
+    units = units_of(item, text, error_rate, window)
+    if len(codes) > part:
+        edits = int(error_rate * part)
+        q = next(q for q in GRAMS if part + 1 - q * (edits + 1) >= max(1, part // 8))
+        for start in [*range(0, len(codes) - part, stride), len(codes) - part]:
+            units.append(Unit(item, start, codes[start : start + part], edits, q, part + 1 - q * (edits + 1)))
+    return units
+
+
+def _stands(unit: Unit, codes: np.ndarray, start: int, stop: int) -> bool:
+    """Whether what surrounds a match of a short item allows it. Texts are joined by zeros."""
+    if unit.alone:
+        before, after = codes[:start][::-1], codes[stop:]
+        rest = [side[side != 32][:1] for side in (before[:64], after[:64])]
+        return all(not len(x) or x[0] == 0 for x in rest)
+    return not any(chr(codes[i]).isalnum() for i in (start - 1, stop) if 0 <= i < len(codes))
+
+
 def align(pattern: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits to fit the whole pattern into each text of equal width, and where the fit ends.
 
@@ -195,7 +224,7 @@ def _matches(index: Index, codes: np.ndarray) -> Iterator[tuple[Unit, int, int,
         length = length - unit.edits
         seen = set()
         for stop, size, edits in zip(ends.tolist(), length.tolist(), cost[fits].tolist(), strict=True):
-            if stop not in seen:
+            if stop not in seen and (not unit.apart or _stands(unit, codes, stop - size, stop)):
                 seen.add(stop)
                 yield unit, stop - size, stop, edits
 
@@ -225,7 +254,10 @@ def passages(
     item_text_col: str = "text",
     error_rate: float = 0.1,
     window: int = 200,
+    part: int = 84,
+    stride: int = 36,
     min_chars: int = 20,
+    least_chars: int = 8,
     slice_chars: int = 4_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, item_offset, start, stop, edits): where documents hold a passage of the benchmark."""
@@ -239,16 +271,16 @@ def passages(
     slices = max(1, -(-chars // slice_chars))
     found = None
     for number in range(slices):
-        part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == number)
-        one = _scan_slice(rows, part, schema, error_rate, window, min_chars)
+        chosen = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == number)
+        one = _scan_slice(rows, chosen, schema, lambda i, t: all_units(i, t, error_rate, window, part, stride, min_chars, least_chars))
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _scan_slice(rows: DataFrame, items: DataFrame, schema: str, error_rate: float, window: int, min_chars: int) -> DataFrame:
+def _scan_slice(rows: DataFrame, items: DataFrame, schema: str, units_in: Callable[[object, str], list[Unit]]) -> DataFrame:
     by_q: dict[int, list[Unit]] = {}
     for item in items.distinct().collect():
-        for unit in units_of(item["item_id"], item["text"], error_rate, window, min_chars):
+        for unit in units_in(item["item_id"], item["text"]):
             by_q.setdefault(unit.q, []).append(unit)
     units = rows.sparkSession.sparkContext.broadcast(by_q)
 
