@@ -75,3 +75,16 @@ def test_empty_table_and_plan(spark):
     assert lines.drop_recurring_lines(docs.limit(0)).count() == 0
     plan = lines.drop_recurring_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "ArrowEval"))
+
+
+def dropped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["n_dropped"] for r in lines.drop_recurring_lines(docs).collect()}
+
+
+NAMES = "ada bob cyd dan eve fay gus hal ida jon kay lee".split()
+
+
+def test_leading_tokens_are_no_agreement_and_one_text_is_no_crowd(spark):
+    assert set(dropped(spark, [f"own {n}\nI want to {n}" for n in NAMES]).values()) == {0}
+    assert dropped(spark, ["\n".join(f"see you at {n} for tea and cake" for n in NAMES), "other"]) == {0: 0, 1: 0}

@@ -47,16 +47,17 @@ def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> Data
     return tokens.select("text_hash", "number", path.alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
 
 
-def recurring(parsed: DataFrame, keys: DataFrame, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def recurring(parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Masked lines (leaf, line) and whole leaves (leaf) that are templates. ``keys`` is ``parsed`` without tokens."""
     once = keys.groupBy("leaf", "line", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     per_line = cut_lineage(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts")))
     fixed = per_line.filter(F.col("texts") >= min_docs).select("leaf", "line")
-    many = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.sum("texts").alias("texts"))
+    pairs = once.groupBy("leaf", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
+    many = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants")).join(pairs, "leaf")
     open_leaves = cut_lineage(many.filter((F.col("variants") > 1) & (F.col("texts") >= min_docs)).select("leaf"))
     if open_leaves.count() <= BROADCAST_LEAVES:
         open_leaves = F.broadcast(open_leaves)
-    positions = parsed.join(open_leaves, "leaf", "left_semi").select("leaf", F.posexplode("tokens").alias("position", "token"))
+    positions = parsed.join(open_leaves, "leaf", "left_semi").select("leaf", F.posexplode("tokens").alias("position", "token")).filter(F.col("position") >= depth)
     agreed = positions.groupBy("leaf", "position").agg((F.min("token") == F.max("token")).alias("same"))
     general = agreed.groupBy("leaf").agg(F.avg(F.col("same").cast("int")).alias("share")).filter(F.col("share") >= similarity)
     return fixed, general.select("leaf")
@@ -66,7 +67,7 @@ def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_token
     """(template, variants): the recurring templates as text, for reading."""
     parsed = _parsed(docs, text_col, depth, min_tokens)
     keys = cut_lineage(parsed.drop("tokens"))
-    fixed, general = recurring(parsed, keys, min_docs, similarity)
+    fixed, general = recurring(parsed, keys, depth, min_docs, similarity)
     shown = parsed.join(fixed, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     exact = shown.select(F.array_join("tokens", " ").alias("template"), F.lit(1).cast("long").alias("variants"))
     positions = parsed.join(general, "leaf", "left_semi").select("leaf", "line", F.posexplode("tokens").alias("position", "token"))
@@ -87,7 +88,7 @@ def drop_recurring_lines(
     rows, own, kept = shield(docs, ("n_lines", "n_dropped"))
     parsed = _parsed(docs, text_col, depth, min_tokens)
     keys = cut_lineage(parsed.drop("tokens"))
-    fixed, general = recurring(parsed, keys, min_docs, similarity)
+    fixed, general = recurring(parsed, keys, depth, min_docs, similarity)
     general = cut_lineage(general)
     dropped = (
         keys.join(fixed, ["leaf", "line"], "left_semi").select("text_hash", "number")
