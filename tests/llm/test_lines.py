@@ -88,3 +88,10 @@ NAMES = "ada bob cyd dan eve fay gus hal ida jon kay lee".split()
 def test_leading_tokens_are_no_agreement_and_one_text_is_no_crowd(spark):
     assert set(dropped(spark, [f"own {n}\nI want to {n}" for n in NAMES]).values()) == {0}
     assert dropped(spark, ["\n".join(f"see you at {n} for tea and cake" for n in NAMES), "other"]) == {0: 0, 1: 0}
+
+
+def test_long_lines_need_two_texts(spark):
+    long, short = (" ".join(f"{a}{b}" for a in NAMES for b in NAMES[:n]) for n in (5, 2))
+    numbers = " ".join(str(i) for i in range(60))
+    texts = [f"{long}\n{short}\n{numbers}\nfirst", f"{long}\n{short}\n{numbers}\nsecond", "third"]
+    assert dropped(spark, texts) == {0: 1, 1: 1, 2: 0}

@@ -44,14 +44,16 @@ def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> Data
     exploded = docs.select(F.xxhash64(text).alias("text_hash"), F.posexplode(lines(text)).alias("number", "raw"))
     tokens = exploded.select("text_hash", "number", _tokens(F.col("raw")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
     path = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    return tokens.select("text_hash", "number", path.alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+    words = F.size("tokens") - F.size(F.filter("tokens", lambda t: t == "<*>"))
+    return tokens.select("text_hash", "number", path.alias("leaf"), F.xxhash64("tokens").alias("line"), words.alias("words"), "tokens")
 
 
-def recurring(parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def recurring(parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, similarity: float, long_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Masked lines (leaf, line) and whole leaves (leaf) that are templates. ``keys`` is ``parsed`` without tokens."""
-    once = keys.groupBy("leaf", "line", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    per_line = cut_lineage(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts")))
-    fixed = per_line.filter(F.col("texts") >= min_docs).select("leaf", "line")
+    once = keys.groupBy("leaf", "line", "text_hash").agg(F.max("words").alias("words"))
+    per_line = cut_lineage(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.max("words").alias("words")))
+    needed = F.when(F.col("words") >= long_tokens, min(2, min_docs)).otherwise(min_docs)
+    fixed = per_line.filter(F.col("texts") >= needed).select("leaf", "line")
     pairs = once.groupBy("leaf", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
     many = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants")).join(pairs, "leaf")
     open_leaves = cut_lineage(many.filter((F.col("variants") > 1) & (F.col("texts") >= min_docs)).select("leaf"))
@@ -63,11 +65,11 @@ def recurring(parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, sim
     return fixed, general.select("leaf")
 
 
-def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7) -> DataFrame:
+def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7, long_tokens: int = 50) -> DataFrame:
     """(template, variants): the recurring templates as text, for reading."""
     parsed = _parsed(docs, text_col, depth, min_tokens)
     keys = cut_lineage(parsed.drop("tokens"))
-    fixed, general = recurring(parsed, keys, depth, min_docs, similarity)
+    fixed, general = recurring(parsed, keys, depth, min_docs, similarity, long_tokens)
     shown = parsed.join(fixed, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     exact = shown.select(F.array_join("tokens", " ").alias("template"), F.lit(1).cast("long").alias("variants"))
     positions = parsed.join(general, "leaf", "left_semi").select("leaf", "line", F.posexplode("tokens").alias("position", "token"))
@@ -82,13 +84,13 @@ def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_token
 
 
 def drop_recurring_lines(
-    docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7
+    docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7, long_tokens: int = 50
 ) -> DataFrame:
     """The documents without the lines of recurring templates, with ``n_lines`` and ``n_dropped``."""
     rows, own, kept = shield(docs, ("n_lines", "n_dropped"))
     parsed = _parsed(docs, text_col, depth, min_tokens)
     keys = cut_lineage(parsed.drop("tokens"))
-    fixed, general = recurring(parsed, keys, depth, min_docs, similarity)
+    fixed, general = recurring(parsed, keys, depth, min_docs, similarity, long_tokens)
     general = cut_lineage(general)
     dropped = (
         keys.join(fixed, ["leaf", "line"], "left_semi").select("text_hash", "number")
