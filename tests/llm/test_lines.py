@@ -85,6 +85,16 @@ def dropped(spark, texts):
 NAMES = "ada bob cyd dan eve fay gus hal ida jon kay lee".split()
 
 
+def test_a_template_is_found_beside_other_lines_of_its_leaf(spark):
+    texts = [f"own {n}\nthe order of {n} was shipped on time to {m}" for n in NAMES for m in NAMES[:3]]
+    texts += [f"own {n}\nthe order of {n} {n}ing stars {n}er far {n}ish above {n}ly" for n in NAMES]
+    got = dropped(spark, texts)
+    assert [got[i] for i in range(36)] == [1] * 36
+    mixed = [f"x {n}\nthe order of things here was {n} shipped on time" for n in NAMES] + ["the order of things never said what was really meant"]
+    got = dropped(spark, mixed)
+    assert [got[i] for i in range(13)] == [1] * 12 + [0]
+
+
 def test_leading_tokens_are_no_agreement_and_one_text_is_no_crowd(spark):
     assert set(dropped(spark, [f"own {n}\nI want to {n}" for n in NAMES]).values()) == {0}
     assert dropped(spark, ["\n".join(f"see you at {n} for tea and cake" for n in NAMES), "other"]) == {0: 0, 1: 0}

@@ -1,13 +1,21 @@
 """Line dedup by a fixed-depth tree of line templates.
 
 A line is split at white space; tokens with a digit, an at sign or a scheme are variable fields and read ``<*>``. The
-tree's levels are the number of tokens and the first ``depth`` of them; what shares that path is a leaf. A template
-is found in two ways, both over all lines: a masked line that occurs in at least ``min_docs`` different texts, and a leaf
-with that many whose lines agree in at least ``similarity`` of their positions, the others becoming variable fields as
-well. Lines of a recurring template are dropped from every document; copies of one text count as one.
+tree's levels are the number of tokens and the first ``depth`` of them; what shares that path is a leaf. Templates
+are found in three ways, all over all lines:
+
+* a masked line that occurs in at least ``min_docs`` different texts, or in two if it has ``long_tokens`` fixed words;
+* a leaf of at least ``min_docs`` different texts whose lines agree in at least ``similarity`` of their positions after the
+  first ``depth``, the others becoming variable fields as well;
+* a group within a leaf: tokens rarer at their position than a threshold become variable fields, and the lines that then
+  read the same, with a share of ``similarity`` of fixed positions after the first ``depth``, are one group. Thresholds
+  are ``min_docs`` and the shares ``LEVELS`` of the leaf, so groups of any size are found beside whatever else is there.
+
+Lines of a recurring template are dropped from every document; copies of one text count as one.
 
 Counting goes over (leaf, line, text) combinations, combined before the shuffle, so a line that stands in a third of
-all documents is one row per text until it is a number. Only leaves with enough texts are compared position by position.
+all documents is one row per text until it is a number. Only leaves with enough texts are compared position by position,
+on distinct lines and hashed tokens.
 
 Edge cases: a null text stays null with 0 lines; lines of fewer than ``min_tokens`` tokens are never dropped; an empty
 text has one (empty) line; rows that repeat are cleaned alike; an empty table gives an empty result; other
@@ -24,6 +32,8 @@ from tracewarden.session import cut_lineage
 
 #: Shapes of variable fields.
 VARIABLE = r"\S*?(?:[0-9@]|://)\S*"
+#: Shares of a leaf's lines below which a token counts as a variable field.
+LEVELS = (0.0, 0.02, 0.1, 0.4)
 #: Leaves to compare position by position are broadcast up to this number (8 bytes each), and joined beyond it.
 BROADCAST_LEAVES = 1_000_000
 
@@ -39,7 +49,7 @@ def _tokens(line: Column) -> Column:
 
 
 def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(text_hash, number, leaf, line, tokens) of the lines long enough."""
+    """(text_hash, number, leaf, line, words, tokens) of the lines long enough; words counts the fixed tokens."""
     text = F.col(f"`{text_col}`")
     exploded = docs.select(F.xxhash64(text).alias("text_hash"), F.posexplode(lines(text)).alias("number", "raw"))
     tokens = exploded.select("text_hash", "number", _tokens(F.col("raw")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
@@ -48,21 +58,51 @@ def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> Data
     return tokens.select("text_hash", "number", path.alias("leaf"), F.xxhash64("tokens").alias("line"), words.alias("words"), "tokens")
 
 
-def recurring(parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, similarity: float, long_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Masked lines (leaf, line) and whole leaves (leaf) that are templates. ``keys`` is ``parsed`` without tokens."""
-    once = keys.groupBy("leaf", "line", "text_hash").agg(F.max("words").alias("words"))
+def recurring(
+    parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, similarity: float, long_tokens: int
+) -> tuple[DataFrame, DataFrame]:
+    """Masked lines (leaf, line) that are templates, and lines of generalised ones (leaf, line, template). ``keys`` is
+    ``parsed`` without tokens."""
+    once = cut_lineage(keys.groupBy("leaf", "line", "text_hash").agg(F.max("words").alias("words")))
     per_line = cut_lineage(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.max("words").alias("words")))
     needed = F.when(F.col("words") >= long_tokens, min(2, min_docs)).otherwise(min_docs)
     fixed = per_line.filter(F.col("texts") >= needed).select("leaf", "line")
-    pairs = once.groupBy("leaf", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
-    many = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants")).join(pairs, "leaf")
-    open_leaves = cut_lineage(many.filter((F.col("variants") > 1) & (F.col("texts") >= min_docs)).select("leaf"))
+    # texts of a leaf are counted once each, whatever number of its lines they hold
+    likely = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants"), F.sum("texts").alias("texts"))
+    likely = likely.filter((F.col("variants") > 1) & (F.col("texts") >= min_docs)).select("leaf", "texts")
+    pairs = once.join(likely.select("leaf"), "leaf", "left_semi").select("leaf", "text_hash").distinct()
+    enough = pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("own")).filter(F.col("own") >= min_docs).select("leaf")
+    open_leaves = cut_lineage(likely.join(enough, "leaf", "left_semi"))
     if open_leaves.count() <= BROADCAST_LEAVES:
         open_leaves = F.broadcast(open_leaves)
-    positions = parsed.join(open_leaves, "leaf", "left_semi").select("leaf", F.posexplode("tokens").alias("position", "token")).filter(F.col("position") >= depth)
-    agreed = positions.groupBy("leaf", "position").agg((F.min("token") == F.max("token")).alias("same"))
-    general = agreed.groupBy("leaf").agg(F.avg(F.col("same").cast("int")).alias("share")).filter(F.col("share") >= similarity)
-    return fixed, general.select("leaf")
+    hashed = F.transform(F.slice("tokens", depth + 1, 1 << 30), lambda t: F.xxhash64(t))
+    shapes = parsed.join(open_leaves.select("leaf"), "leaf", "left_semi").select("leaf", "line", hashed.alias("rest"))
+    shapes = shapes.groupBy("leaf", "line").agg(F.first("rest").alias("rest")).filter(F.size("rest") > 0)
+    shapes = cut_lineage(shapes.join(per_line.select("leaf", "line", "texts"), ["leaf", "line"]))
+    cells = shapes.select("leaf", "line", "texts", F.posexplode("rest").alias("position", "token"))
+    counts = cut_lineage(
+        cells.groupBy("leaf", "position", "token").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("variants"))
+    )
+    agreed = counts.groupBy("leaf", "position").agg((F.count(F.lit(1)) == 1).alias("same"))
+    whole = agreed.groupBy("leaf").agg(F.avg(F.col("same").cast("int")).alias("share")).filter(F.col("share") >= similarity)
+    general = per_line.join(whole.select("leaf"), "leaf", "left_semi").select("leaf", "line", F.col("leaf").alias("template"))
+
+    frequent = counts.filter(F.col("n") >= min_docs).select("leaf", "position", "token", "n")
+    known = cells.join(frequent, ["leaf", "position", "token"]).groupBy("leaf", "line").agg(
+        F.array_sort(F.collect_list(F.struct("position", "token", "n"))).alias("known")
+    )
+    sized = known.join(shapes.select("leaf", "line", F.size("rest").alias("size")), ["leaf", "line"]).join(open_leaves, "leaf")
+    sized = sized.filter(F.size("known") >= similarity * F.col("size"))
+    levels = sized.select("leaf", "line", "size", "known", "texts", F.explode(F.array(*map(F.lit, LEVELS))).alias("level"))
+    fixed_at = F.transform(
+        F.filter("known", lambda x: x["n"] >= F.col("level") * F.col("texts")), lambda x: F.struct(x["position"], x["token"])
+    )
+    grouped = levels.withColumn("fixed_at", fixed_at).filter(F.size("fixed_at") >= similarity * F.col("size"))
+    grouped = cut_lineage(grouped.select("leaf", "line", F.xxhash64("leaf", "fixed_at").alias("template")).distinct())
+    found = grouped.groupBy("template").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1").select("template")
+    texts = once.join(grouped.join(found, "template", "left_semi"), ["leaf", "line"]).select("template", "text_hash").distinct()
+    often = texts.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+    return fixed, general.unionByName(grouped.join(often.select("template"), "template", "left_semi").select("leaf", "line", "template"))
 
 
 def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7, long_tokens: int = 50) -> DataFrame:
@@ -72,29 +112,29 @@ def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_token
     fixed, general = recurring(parsed, keys, depth, min_docs, similarity, long_tokens)
     shown = parsed.join(fixed, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     exact = shown.select(F.array_join("tokens", " ").alias("template"), F.lit(1).cast("long").alias("variants"))
-    positions = parsed.join(general, "leaf", "left_semi").select("leaf", "line", F.posexplode("tokens").alias("position", "token"))
-    merged = positions.groupBy("leaf", "position").agg(
+    positions = parsed.join(general, ["leaf", "line"]).select("template", "line", F.posexplode("tokens").alias("position", "token"))
+    merged = positions.groupBy("template", "position").agg(
         F.when(F.min("token") == F.max("token"), F.min("token")).otherwise("<*>").alias("token"), F.count_distinct("line").alias("variants")
     )
-    whole = merged.groupBy("leaf").agg(
+    whole = merged.groupBy(F.col("template").alias("of")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]), " ").alias("template"),
         F.max("variants").alias("variants"),
     )
-    return exact.unionByName(whole.drop("leaf"))
+    return exact.unionByName(whole.drop("of"))
 
 
 def drop_recurring_lines(
-    docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7, long_tokens: int = 50
+    docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7,
+    long_tokens: int = 50,
 ) -> DataFrame:
     """The documents without the lines of recurring templates, with ``n_lines`` and ``n_dropped``."""
     rows, own, kept = shield(docs, ("n_lines", "n_dropped"))
     parsed = _parsed(docs, text_col, depth, min_tokens)
     keys = cut_lineage(parsed.drop("tokens"))
     fixed, general = recurring(parsed, keys, depth, min_docs, similarity, long_tokens)
-    general = cut_lineage(general)
+    gone = cut_lineage(fixed.unionByName(general.select("leaf", "line")).distinct())
     dropped = (
-        keys.join(fixed, ["leaf", "line"], "left_semi").select("text_hash", "number")
-        .unionByName(keys.join(general, "leaf", "left_semi").select("text_hash", "number"))
+        keys.join(gone, ["leaf", "line"], "left_semi").select("text_hash", "number")
         .groupBy(F.col("text_hash").alias("_hash")).agg(F.collect_set("number").alias("_dropped"))
     )
     text = own[text_col]
