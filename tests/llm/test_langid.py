@@ -56,3 +56,13 @@ def test_nothing_to_learn_from(spark, docs):
     model = langid.fit(docs.limit(0))
     assert {r["lang_pred"] for r in langid.identify(docs, model).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_rows_of_one_id_do_not_exceed_the_sample(spark, monkeypatch):
+    clustered = []
+    grouped = type(spark.range(1).groupBy("id"))
+    original = grouped.applyInPandas
+    monkeypatch.setattr(grouped, "applyInPandas", lambda self, *a: (clustered.append(self._df.count()), original(self, *a))[1])
+    rows = [(None if i % 2 else 7, f"word{chr(97 + i % 26)} {'abcdefghij'[i // 26 % 10] * 3} text", "en") for i in range(260)] + [(1, "equal rows", "de")] * 300
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20)
+    assert clustered == [21] and set(model.langs) == {"en", "de"}

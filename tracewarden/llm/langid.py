@@ -2,8 +2,8 @@
 
 Texts become TF-IDF vectors of hashed character n-grams (1 to 3) over their lower-cased letters, everything else
 counting as one space, with length 1. Each language has several centroids, found by spherical k-means in one task
-per language over a bounded sample of its labelled rows (``sample_rows`` per language, the rows of smallest id
-hash). Document frequencies come from all labelled rows given. A text takes the language of the centroid of largest
+per language over a bounded sample of its labelled rows (``sample_rows`` different rows per language, those of
+smallest hash of id and text). Document frequencies come from all labelled rows given. A text takes the language of the centroid of largest
 cosine; it is rejected if its cosine distance exceeds what ``reject_quantile`` of the sample of that centroid
 reached, by ``reject_factor``.
 
@@ -124,20 +124,21 @@ def fit(
     rows = narrow(labelled, doc_id=id_col, text=text_col, lang=lang_col).filter("lang is not null")
     seen = _document_frequency(rows)
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
-    # the hash is uniform: a cut at four times the share wanted leaves a bounded number of rows to rank;
-    # one row per language is broadcast, no more than the model that is collected below
-    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    # rows that repeat count once; the hash is uniform: a cut at four times the share wanted leaves a bounded number to
+    # rank; one row per language is broadcast, no more than the model that is collected below
+    hashed = rows.withColumn("pick", unsigned_part(F.xxhash64("doc_id", "text")))
+    sizes = hashed.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("pick").alias("n"))
     low = F.col("pick") < F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.col("n"))
-    by_hash = W.partitionBy("lang").orderBy("pick", "doc_id")
+    by_hash = W.partitionBy("lang").orderBy("pick")
     picked = (
-        rows.select("lang", "doc_id", unsigned_part(F.xxhash64("doc_id")).alias("pick"))
-        .join(F.broadcast(sizes), F.col("lang") == F.col("of")).filter(low)
+        hashed.select("lang", "pick").join(F.broadcast(sizes), F.col("lang") == F.col("of")).filter(low)
+        .select("lang", "pick").distinct()
         .withColumn("rank", F.row_number().over(by_hash))
         .filter(F.col("rank") <= sample_rows)
-        .select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
-        .distinct()
+        .select(F.col("pick").alias("picked"), F.col("lang").alias("picked_lang"))
     )
-    sample = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi")
+    sample = hashed.join(picked, (F.col("pick") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")), "left_semi")
+    sample = sample.dropDuplicates(["lang", "pick"]).select("lang", "text")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         counts = [c for c in map(features, group["text"]) if c is not None]
