@@ -54,7 +54,7 @@ def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> Data
     exploded = docs.select(F.xxhash64(text).alias("text_hash"), F.posexplode(lines(text)).alias("number", "raw"))
     tokens = exploded.select("text_hash", "number", _tokens(F.col("raw")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
     path = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    words = F.size("tokens") - F.size(F.filter("tokens", lambda t: t == "<*>"))
+    words = F.size(F.array_remove("tokens", "<*>"))
     return tokens.select("text_hash", "number", path.alias("leaf"), F.xxhash64("tokens").alias("line"), words.alias("words"), "tokens")
 
 
