@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near copies have five-word shingles of Jaccard similarity 0.8 and more, compared exactly. 256-bit fingerprints within 56
     bits tell what to compare: documents at the threshold differ in 39 bits on average, and in more than 56 with chance 0.002.
-    Of 96 random blocks of 13 bits one agrees for a pair at 50 bits in 99.7 of 100 cases, at 45 bits in 99.97.
+    Of 96 random blocks of 13 bits one agrees for a pair at 50 bits in 99.6 of 100 cases, at 45 bits in 99.95.
     """
     ship_package(spark)
     found = simhash.near_copies(docs, SIMILARITY)
