@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import ann, decontaminate, langid, lines, lm, mixing, sharding, simhash, tokens, warc
+from tracewarden.llm import ann, decontaminate, fim, langid, lines, lm, mixing, sharding, simhash, tokens, warc
 from tracewarden.llm.common import table
 from tracewarden.llm.registry import query
 from tracewarden.session import cut_lineage, shared_folder
@@ -116,3 +116,22 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                      sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                          WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        s AS (SELECT *, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+                     coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS x FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM s""",
+)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut_lineage(fim.store_frames(table(spark, sf_dir, "documents")))
+    return fim.digests(fim.fill_in_middle(stored, seed=7, fim_percent=100, spm_percent=50))
