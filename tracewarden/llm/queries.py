@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import ann, decontaminate, fim, langid, lines, lm, mixing, sharding, simhash, tokens, warc
+from tracewarden.llm import ann, decontaminate, divergence, fim, langid, lines, lm, mixing, sharding, simhash, tokens, warc
 from tracewarden.llm.common import table
 from tracewarden.llm.registry import query
 from tracewarden.session import cut_lineage, shared_folder
@@ -135,3 +135,30 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut_lineage(fim.store_frames(table(spark, sf_dir, "documents")))
     return fim.digests(fim.fill_in_middle(stored, seed=7, fim_percent=100, spm_percent=50))
+
+
+@query(
+    "op12_source_divergence",
+    r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        kept AS (SELECT lang, item FROM (SELECT lang, unnest(list_distinct(terms)) AS item FROM d) GROUP BY ALL HAVING count(*) >= 30),
+        v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, item, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS item FROM d) JOIN kept USING (lang, item) GROUP BY ALL),
+        g AS (SELECT * FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+              LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)),
+        p AS (SELECT g.lang, g.source, kept.item, coalesce(n, 0) AS n, 1 + 1000000000 * CAST(coalesce(n, 0) + 5 AS HUGEINT) // (coalesce(total, 0) + 5 * v) AS p
+              FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.item = kept.item),
+        l AS (SELECT lang, item, 1 + 1000000000 * CAST(n + 5 AS HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+              FROM (SELECT lang, item, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+        term AS (SELECT lang, source, 'term' AS part, item, p - q AS value FROM p JOIN l USING (lang, item) WHERE n > 0 AND p > q),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.item = y.item GROUP BY ALL) s
+                   ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM term UNION ALL FROM pair))
+        WHERE part = 'pair' OR rank <= 50""",
+)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, prior=5, top=50)
