@@ -10,6 +10,7 @@ from test_ann import brute as nearest_by_hand
 from test_lines import brute as lines_by_hand
 from test_lm import brute as scores_by_hand
 from test_simhash import brute_components, brute_fingerprint
+from test_tokenfiles import check as check_token_files
 
 import __spark_entry__ as entry
 from tracewarden.llm import decontaminate, tokens
@@ -111,3 +112,7 @@ def test_languages(spark, documents):
 def test_lines(spark, documents):
     want = {(i, n, gone, zlib.crc32(t.encode())) for i, t, n, gone in lines_by_hand([(d.doc_id, d.text) for d in documents])}
     assert {(r.doc_id, r.n_lines, r.n_dropped, r.text_crc32) for r in rows(spark, "op9_line_dedup")} == want
+
+
+def test_token_files(spark, documents):
+    check_token_files([(d.doc_id, d.text) for d in documents], rows(spark, "op13_token_files"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import ann, decontaminate, divergence, fim, langid, lines, lm, mixing, sharding, simhash, tokens, warc
+from tracewarden.llm import ann, decontaminate, divergence, fim, langid, lines, lm, mixing, sharding, simhash, tokenfiles, tokens, warc
 from tracewarden.llm.common import table
 from tracewarden.llm.registry import query
 from tracewarden.session import cut_lineage, shared_folder
@@ -162,3 +163,12 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, prior=5, top=50)
+
+
+@query("op13_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
+    tokenfiles.write_shards(docs, path, vocabulary=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    tokenfiles.write_index(spark, path)
+    return tokenfiles.fetch(spark, tokenfiles.lookup(spark, docs, path), path, with_ids=False)
