@@ -101,4 +101,13 @@ def test_held_pieces_are_bounded(monkeypatch):
     for i in range(20):
         text = f"w{i} v{i} again"
         assert np.frombuffer(encoder([text.encode()])[0], encoder.kind).tolist() == ids_of(text)[:-1]
-        assert encoder.held < 1200
+        assert encoder.held < 2400
+
+
+def test_words_apart_from_marks(spark):
+    words = ["Don't", "'tis", "(x)", "«x»", "x,", "x.'s", "'s", "''s", "<|endoftext|>", "<|ENDOFTEXT|>", "|x|>", "É,", "e\u0301,", "(ÀÉ)", "ªx", "ÿ!", "İ.", "\u0958,",
+             "<\u0338x", "a<\u0338", "x1,", "µm.", "H\u0331", "ﬁn.", "'", "--", "x'", "x'll", "ßA", "ſ,", "K"]
+    texts = [*words, " ".join(words), *[a + b for a in words for b in words]]
+    encoder = tokenfiles.Encoder(tokenfiles.VOCABULARY)
+    for text, ids in zip(texts, encoder([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == ids_of(text)[:-1], text

@@ -11,7 +11,7 @@ in slot order: fingerprint, shard, position in the shard, and how many documents
 the key, compares the fingerprint and has the shard's offset; only the bytes of the document are read.
 
 Encoding. The vocabulary drops white space before it splits, so pieces between ASCII white space are encoded by themselves, each
-distinct piece once per task while it is held. The vocabulary's path must exist on every worker, the path of the files must be one
+distinct piece once while it is held; a word of Latin letters up to U+00FF also apart from the marks around it. The vocabulary's path must exist on every worker, the path of the files must be one
 that Spark and the Arrow file systems both open.
 
 Edge cases: a null text is empty and an empty document consists of the end id; null ids come first and are found by the key
@@ -35,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from tracewarden.llm.common import narrow
 from tracewarden.llm.mphf import PerfectHash
@@ -46,7 +47,9 @@ TAIL, TAIL_BYTES = "<QQ8s", 24
 ENTRY = np.dtype([("first", "<u8"), ("second", "<u8"), ("n", "<u4")])
 SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<u4"), ("position", "<u4"), ("copies", "<u4"), ("more", "<u4")])
 #: Text bytes encoded at once, bytes of encoded pieces that a task holds, and what a document counts besides its text.
-TEXT_BYTES, HELD_BYTES, OVERHEAD = 1 << 20, 48 << 20, 64
+TEXT_BYTES, HELD_BYTES, OVERHEAD = 4 << 20, 128 << 20, 64
+#: Every ASCII mark: neither letter nor digit nor white space.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 @lru_cache(maxsize=2)
@@ -54,31 +57,107 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> tuple[Tokenizer, np.ndarray]:
+    """The vocabulary for words of lower-case Latin letters alone, which need no further splitting; which ids end a word."""
+    words = Tokenizer.from_file(path)
+    words.normalizer = None
+    words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(words.get_vocab_size(), bool)
+    ends[[i for token, i in words.get_vocab().items() if token.endswith(words.model.end_of_word_suffix)]] = True
+    return words, ends
+
+
 def id_type(vocabulary: str) -> np.dtype:
     return np.dtype("<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
 
 
+def bare_word(piece: bytes) -> tuple[bytes, bytes, bytes] | None:
+    """A piece as (marks before, letters in lower case, marks behind), if its parts encode by themselves.
+
+    Letters are those up to U+00FF, which no mark changes; an apostrophe before letters may be a contraction, and
+    the names of special tokens begin with ``<|``.
+    """
+    core = piece.strip(MARKS)
+    if not core.isalpha():  # ASCII letters only
+        try:
+            word = core.decode()
+        except UnicodeDecodeError:
+            return None
+        if not word.isalpha() or max(word) > "\xff":
+            return None
+        core_lower = word.lower().encode()
+    else:
+        core_lower = core.lower()
+    if len(core) == len(piece):
+        return b"", core_lower, b""
+    at = piece.index(core)
+    before = piece[:at]
+    return None if before.endswith((b"'", b"<|")) else (before, core_lower, piece[at + len(core):])
+
+
 class Encoder:
-    """Ids of texts as bytes; holds what it encoded for pieces that come again."""
+    """Ids of texts as bytes; holds what it encoded for pieces and words that come again, the latest in two halves."""
 
     def __init__(self, vocabulary: str):
         self.library, self.kind = tokenizer(vocabulary), id_type(vocabulary)
+        self.words, self.ends = word_tokenizer(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.held = 0
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
-        if self.held > HELD_BYTES:
-            self.known, self.held = {}, 0
-        new = list(set().union(*split).difference(self.known))
-        for start in range(0, len(new), 4096):
-            pieces = new[start:start + 4096]
-            found = self.library.encode_batch_fast([p.decode(errors="replace") for p in pieces], add_special_tokens=False)
-            for piece, one in zip(pieces, found, strict=True):
-                ids = self.known[piece] = np.array(one.ids, self.kind).tobytes()
-                self.held += 150 + len(piece) + len(ids)
+        if self.held > HELD_BYTES // 2:
+            self.known, self.before, self.held = {}, self.known, 0
+        self._learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
+    def _hold(self, piece: bytes, ids: bytes) -> None:
+        self.known[piece] = ids
+        self.held += 180 + len(piece) + len(ids)
+
+    def _unknown(self, pieces: set[bytes]) -> list[bytes]:
+        """Pieces to encode; those held from before are taken over."""
+        missing = pieces.difference(self.known)
+        again = missing.intersection(self.before)
+        for piece in again:
+            self._hold(piece, self.before[piece])
+        return list(missing - again)
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        new = self._unknown(pieces)
+        parts = list(map(bare_word, new))
+        split = [(piece, found) for piece, found in zip(new, parts, strict=True) if found]
+        marks = {m for _, (before, _, behind) in split for m in (before, behind) if m}
+        self._learn_whole(self._unknown(marks.union(piece for piece, found in zip(new, parts, strict=True) if not found)))
+        self._learn_words(self._unknown({word for _, (_, word, _) in split}))
+        known = self.known
+        for piece, (before, word, behind) in split:
+            if before or behind or piece != word:
+                self._hold(piece, (known[before] if before else b"") + known[word] + (known[behind] if behind else b""))
+
+    def _learn_whole(self, pieces: list[bytes]) -> None:
+        for start in range(0, len(pieces), 1024):
+            part = pieces[start:start + 1024]
+            encoded = self.library.encode_batch_fast([p.decode(errors="replace") for p in part], add_special_tokens=False)
+            for piece, one in zip(part, encoded, strict=True):
+                self._hold(piece, np.array(one.ids, self.kind).tobytes())
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Encodes words many at a time; each ends with an id that only ends of words have."""
+        width = self.kind.itemsize
+        for start in range(0, len(words), 1024):
+            part = words[start:start + 1024]
+            ids = np.array(self.words.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("words and their ends differ in number")
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(part, (stops * width).tolist(), strict=True):
+                self._hold(word, raw[at:stop])
+                at = stop
+
 
 def key_hashes(ident: Column) -> list[Column]:
     """Two independent 64-bit hashes of a key; null is a key as well."""
