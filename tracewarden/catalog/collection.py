@@ -323,7 +323,7 @@ def is_telemetry_domain(spark, sf_dir):
     return flagged.select("seq", "agent_id", "remote_host", "telemetry")
 
 
-@query("allowed_ip_filter", "SELECT seq, remote_ip FROM connections WHERE remote_ip NOT IN (SELECT remote_ip FROM connections WHERE seq % 3 = 0)")
+@query("allowed_ip_filter", "SELECT c.seq, c.remote_ip FROM connections c ANTI JOIN (SELECT DISTINCT remote_ip FROM connections WHERE seq % 3 = 0) k ON c.remote_ip = k.remote_ip")
 def allowed_ip_filter(spark, sf_dir):
     connections = T.connections(spark, sf_dir)
     resolved = connections.filter(F.col("seq") % 3 == 0).select(F.col("remote_ip").alias("ip"))

@@ -38,10 +38,12 @@ _CTES = {
     "entropies": """SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
         SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM counted) GROUP BY path""",
     "big": f"SELECT * FROM inventory WHERE size >= {PARAMS.hidden_blob_bytes} AND doc_id % 4 != 2",
-    "big_bytes": "SELECT path, b, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(hex(encode(content)), '..')) AS b FROM big) GROUP BY 1, 2",
-    "blobs": f"""SELECT big.* FROM big JOIN (SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
-        SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM big_bytes) GROUP BY path) USING (path)
-        WHERE CAST(exact AS FLOAT) >= {PARAMS.hidden_blob_entropy}""",
+    "big_chars": """SELECT path, c, (strlen(content) - strlen(replace(content, c, ''))) // strlen(c) AS n FROM (
+        SELECT path, content, unnest(list_distinct(string_split(content, ''))) AS c FROM big)""",
+    "big_bytes": """SELECT path, b, sum(n) AS n FROM (SELECT path, n, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM big_chars) GROUP BY 1, 2""",
+    "big_entropies": """SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
+        SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM big_bytes) GROUP BY path""",
+    "blobs": f"""SELECT big.* FROM big JOIN big_entropies USING (path) WHERE CAST(exact AS FLOAT) >= {PARAMS.hidden_blob_entropy}""",
     "configured": """SELECT * FROM inventory WHERE doc_id < 400 AND doc_id % 20 = 1""",
     "odd_configured": f"""SELECT agent_id, page_host AS host, min(path) AS path FROM (SELECT * FROM inventory WHERE scannable AND doc_id % 4 IN (0, 3)
         UNION SELECT * FROM configured) i WHERE NOT {host_allowed('i.agent_id', 'i.page_host')} AND NOT {benign('page_host')} GROUP BY 1, 2""",
