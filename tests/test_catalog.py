@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="driver tables are not present")
-SLOW = {"stream_detect"}  # compared with the batch rules in test_plans
+SLOW = {"stream_detect", "stream_detect_late"}  # compared with the batch rules in test_plans
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewarden import schemas
+from tracewarden.operators import windows
 from tracewarden.params import Params
 from tracewarden.plans import reports, rules, scan
 from tracewarden.sources import inventory, tables
@@ -122,33 +123,111 @@ def shown(found):
     return sorted(map(tuple, found.select("rule_id", "agent_id", "ts", "seq", "dedupe_key", F.to_json("evidence")).collect()))
 
 
-def land(rows, folder, cuts):
+def land(rows, folder, cuts, mark=True):
     low = -1
     for high in [*cuts, 1 << 60]:
         rows.filter((F.col("ts") > low) & (F.col("ts") <= high)).coalesce(1).write.mode("append").parquet(folder)
         low = high
+    if mark:
+        land_mark(rows, folder)
+
+
+def land_mark(rows, folder, ts=10**9):
+    mark = rows.sparkSession.createDataFrame([{"ts": ts}], schemas.STREAM_EVENTS)
+    mark.coalesce(1).write.mode("append").parquet(folder)
+
+
+def opened(spark, folder, files=1):
+    return spark.readStream.schema(schemas.STREAM_EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def detected(spark, folder, tmp_path, **options):
+    query = detect.stream_detect(opened(spark, folder), load_profiles(spark), PARAMS, str(tmp_path / "store"), str(tmp_path / "ckpt"), **options)
+    query.awaitTermination()
+    return query
 
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = events(spark)
-    profiles = load_profiles(spark)
     land(rows, str(tmp_path / "in"), [10_500_000, 10_900_000, 11_700_000])
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    detect.stream_detect(stream, profiles, PARAMS, str(tmp_path / "store"), str(tmp_path / "ckpt")).awaitTermination()
-    batch = rules.all_findings(detect.tables_of(rows), profiles, PARAMS)
-    expected = shown(batch)
+    query = detected(spark, str(tmp_path / "in"), tmp_path)
+    expected = shown(rules.all_findings(detect.tables_of(rows), load_profiles(spark), PARAMS))
     assert len(expected) > 20
-    assert shown(detect.stream_findings(spark, str(tmp_path / "store"))) == expected
+    assert shown(detect.stream_findings(spark, str(tmp_path / "store"), PARAMS)) == expected
+    assert detect.stream_late(spark, str(tmp_path / "store")).count() == 0
+    # nothing is remembered once no window can look back on it
+    sizes = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert max(sizes) > 20 and sizes[-1] == 0
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    rows = events(spark)
+    folder = str(tmp_path / "in")
+    for low in range(10_000_000, 12_000_001, 170_000):
+        part = rows.filter((F.col("ts") >= low) & (F.col("ts") < low + 170_000))
+        part.coalesce(1).write.mode("append").parquet(folder)
+        if (low // 170_000) % 4 == 0:
+            detected(spark, folder, tmp_path)
+    land_mark(rows, folder)
+    detected(spark, folder, tmp_path)
+    expected = shown(rules.all_findings(detect.tables_of(rows), load_profiles(spark), PARAMS))
+    assert shown(detect.stream_findings(spark, str(tmp_path / "store"), PARAMS)) == expected
+
+
+def test_findings_and_late_rows_account_for_every_row(spark, tmp_path):
+    """Rows in any order: what is not late gives the findings of the batch rules over just those rows."""
+    rows = events(spark).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(6)))
+    folder = str(tmp_path / "in")
+    for i in range(6):
+        rows.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    land_mark(rows, folder)
+    detected(spark, folder, tmp_path, delay_ms=1_500_000)
+    late = detect.stream_late(spark, str(tmp_path / "store"))
+    numbers = {r.seq for r in late.collect()}
+    assert 0 < len(numbers) < 200 and late.join(rows.drop("part"), rows.columns[:-1]).count() <= len(numbers)
+    assert {tuple(r) for r in late.collect()} <= {tuple(r) for r in rows.drop("part").collect()}
+    on_time = rows.filter(~F.col("seq").isin(*numbers)).drop("part")
+    expected = shown(rules.all_findings(detect.tables_of(on_time), load_profiles(spark), PARAMS))
+    assert len(expected) > 10
+    assert shown(detect.stream_findings(spark, str(tmp_path / "store"), PARAMS)) == expected
+
+
+def test_rows_of_the_last_instant_wait(spark, tmp_path):
     rows = events(spark, 60)
-    early = rows.filter("ts <= 10400000")
-    rows.filter("ts > 10400000").coalesce(1).write.parquet(str(tmp_path / "in"))
-    early.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    detect.stream_detect(stream, load_profiles(spark), PARAMS, str(tmp_path / "store"), str(tmp_path / "ckpt")).awaitTermination()
-    assert detect.stream_findings(spark, str(tmp_path / "store")).filter("ts <= 10400000").count() == 0
+    land(rows, str(tmp_path / "in"), [], mark=False)
+    detected(spark, str(tmp_path / "in"), tmp_path)
+    last = rows.agg(F.max("ts")).first()[0]
+    assert detect.stream_findings(spark, str(tmp_path / "store"), PARAMS).filter(F.col("ts") >= last).count() == 0
+    land_mark(rows, str(tmp_path / "in"))
+    detected(spark, str(tmp_path / "in"), tmp_path)
+    expected = shown(rules.all_findings(detect.tables_of(rows), load_profiles(spark), PARAMS))
+    assert shown(detect.stream_findings(spark, str(tmp_path / "store"), PARAMS)) == expected
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    rows = [(i, 1000 + i * 130 % 5000, i % 3, f"/p/{i}", "secret" if i % 9 == 0 else None) for i in range(120)]
+    frame = spark.createDataFrame(rows, "seq long, ts long, pid long, path string, sensitivity string")
+    folder = str(tmp_path / "in")
+    for i in range(4):
+        frame.filter(F.col("seq") % 4 == i).coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([(None, 10**8, None, None, None)], frame.schema).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    detect.stream_rate_limit(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), 3, delay_ms=9000).awaitTermination()
+    got = detect.rate_limited(spark, str(tmp_path / "out"), frame.schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, windows.rate_limit_reads(frame, 3).collect()))
+    assert detect.rate_limited(spark, str(tmp_path / "out"), frame.schema, "late").count() == 0
+
+
+def test_rate_limit_lists_late_rows(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 9000, 1, "/a", None), (2, 1000, 1, "/b", "secret"), (3, 9100, 1, "/c", None)], "seq long, ts long, pid long, path string, sensitivity string")
+    folder = str(tmp_path / "in")
+    for i in (1, 2, 3):
+        frame.filter(F.col("seq") == i).coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([(None, 10**8, None, None, None)], frame.schema).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    detect.stream_rate_limit(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), 3).awaitTermination()
+    read = lambda what: sorted(r.seq for r in detect.rate_limited(spark, str(tmp_path / "out"), frame.schema, what).collect())
+    assert (read("kept"), read("late")) == ([1, 3], [2])
 
 
 def test_store_sink(spark, tmp_path):

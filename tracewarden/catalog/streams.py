@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden import schemas
@@ -14,11 +14,12 @@ from tracewarden.catalog.oracle import path_class
 from tracewarden.catalog.registry import query
 from tracewarden.functions.paths import classify_path
 from tracewarden.session import shared_folder
-from tracewarden.streaming.detect import flush_rate_limit, stream_detect, stream_findings, stream_rate_limit
+from tracewarden.streaming.detect import rate_limited, stream_detect, stream_findings, stream_late, stream_rate_limit
 from tracewarden.streaming.series import stream_store_sink, stream_volume_series, stream_watch_summary
 from tracewarden.telemetry import VIEW_PARAMS as P
 
-BATCHES = 3
+BATCHES = 12
+SPAN = 400 * 86_400_000
 
 
 def _folder(spark: SparkSession) -> str:
@@ -40,23 +41,55 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _land(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Write rows in ``BATCHES`` consecutive stretches of time and open them as a stream."""
+def _land(spark: SparkSession, rows: DataFrame, stretch: Column | None = None, mark: bool = False) -> DataFrame:
+    """Write rows as ``BATCHES`` files, by stretches of time if not told otherwise, and open them as a stream.
+
+    With ``mark`` a row follows that only moves the watermark beyond all windows.
+    """
     folder = _folder(spark)
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = (high - low) // BATCHES + 1
+    if stretch is None:
+        width = (high - low) // BATCHES + 1
+        stretch = F.floor((F.col("ts") - low) / width)
     for i in range(BATCHES):
-        part = rows.filter((F.col("ts") >= low + i * width) & (F.col("ts") < low + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        rows.filter(stretch == i).repartition(1).write.mode("append").parquet(folder)
+    if mark:
+        end = spark.createDataFrame([(high + SPAN,)], "ts long")
+        end.select([F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("stream_detect", f"SELECT {', '.join(FINDING)} FROM findings")
 def detect(spark, sf_dir):
+    """Started, stopped half way and started again."""
+    events = landed(spark, sf_dir, "events", lambda: _tagged(spark, sf_dir))
+    store = _folder(spark)
+    stream = _land(spark, events, mark=True)
+    half = stream_detect(stream, T.profiles(spark), P, store, f"{store}/checkpoint", trigger={"processingTime": "0 seconds"})
+    while half.isActive and (half.lastProgress is None or half.lastProgress["batchId"] < BATCHES // 2):
+        half.awaitTermination(1)
+    half.stop()
+    stream_detect(stream, T.profiles(spark), P, store, f"{store}/checkpoint").awaitTermination()
+    return stream_findings(spark, store, P).select(*FINDING)
+
+
+_ARRIVED = {
+    "arrivals": f"""SELECT seq, ts, (seq * 7 + ts // 86400000) % {BATCHES} AS batch FROM (
+        SELECT seq, ts FROM connections UNION ALL SELECT seq, ts FROM volumes UNION ALL SELECT seq, ts FROM files UNION ALL SELECT seq, ts FROM raw)""",
+    "marks": f"""SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {20 * 86_400_000} AS mark
+        FROM arrivals GROUP BY batch""",
+}
+
+
+@query("stream_detect_late", "SELECT seq, ts FROM arrivals JOIN marks USING (batch) WHERE ts < mark", _ARRIVED)
+def detect_late(spark, sf_dir):
+    """Rows arrive in any order, up to twenty days are waited for; what comes later is listed."""
     events = landed(spark, sf_dir, "events", lambda: _tagged(spark, sf_dir))
     store = _folder(spark)
-    stream_detect(_land(spark, events), T.profiles(spark), P, store, f"{store}/checkpoint").awaitTermination()
-    return stream_findings(spark, store).select(*FINDING)
+    batch = F.pmod(F.col("seq") * 7 + F.floor(F.col("ts") / 86_400_000), F.lit(BATCHES))
+    stream = _land(spark, events, batch, mark=True)
+    stream_detect(stream, T.profiles(spark), P, store, f"{store}/checkpoint", delay_ms=20 * 86_400_000).awaitTermination()
+    return stream_late(spark, store).select("seq", "ts")
 
 
 @query(
@@ -66,14 +99,13 @@ def detect(spark, sf_dir):
         WHERE r <= 1""",
 )
 def rate_limit(spark, sf_dir):
-    """A second of the limiter is a day of the view; the last one is flushed when the stream has ended."""
+    """A second of the limiter is a day of the view."""
     events = T.file_events(spark, sf_dir).withColumns(
         {"ts": F.floor(F.col("ts") / 86400), "sensitivity": classify_path(F.col("path"))}
     )
     out = _folder(spark)
-    stream_rate_limit(_land(spark, events), out, f"{out}/checkpoint", 1).awaitTermination()
-    flush_rate_limit(spark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema), out, 1)
-    return spark.read.parquet(f"{out}/kept").select("seq", "pid", "path")
+    stream_rate_limit(_land(spark, events, mark=True), out, f"{out}/checkpoint", 1, delay_ms=1000).awaitTermination()
+    return rate_limited(spark, out, events.schema).select("seq", "pid", "path")
 
 
 _BUCKET = 3_600_000

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.fmt import format_bytes, rank_of
 from tracewarden.functions.net import is_private_ip, is_reserved_ip
-from tracewarden.functions.paths import classify_path
+from tracewarden.functions.paths import classify_path, is_git_path
 from tracewarden.operators.joins import allowed_ip_filter, domain_allowed, is_telemetry_domain
 from tracewarden.operators.slices import as_of
 from tracewarden.operators.suppress import suppress_repeats
@@ -70,7 +70,8 @@ def _hit(rows: DataFrame, rule_id: str, dedupe_key: Column) -> DataFrame:
     return rows.withColumns({"rule_id": F.lit(rule_id), "dedupe_key": dedupe_key.cast("string")})
 
 
-def _windows(params: Params) -> dict[str, int]:
+def repeat_windows(params: Params) -> dict[str, int]:
+    """How long a reported key of each rule stays quiet."""
     hourly = [UNKNOWN_DOMAIN, SENSITIVE_PAYLOAD, SENSITIVE_READ, HIDDEN_BLOB, UNEXPECTED_ENDPOINT]
     return {
         **dict.fromkeys(hourly, params.repeat_ms),
@@ -83,7 +84,7 @@ def keep_first(hits: DataFrame, params: Params, run: Increment | None = None) ->
 
     In an incremental run the last emitted finding of each key takes part as its first hit.
     """
-    windows = _windows(params)
+    windows = repeat_windows(params)
     if run is None:
         return suppress_repeats(hits, KEYS, windows)
     fresh = hits.filter(F.col("ts") > run.after_ts).withColumn("_seed", F.lit(False))
@@ -167,9 +168,13 @@ def rule_volume_spike(
 
 
 def _show_volume_spike(hits: DataFrame, connections: DataFrame, params: Params) -> DataFrame:
-    hits = window_destinations(
+    named = window_destinations(
         hits, connections, params.volume_spike_window_ms, params.destination_tail, params.destination_top
     )
+    return _describe_volume_spike(named, params)
+
+
+def _describe_volume_spike(hits: DataFrame, params: Params) -> DataFrame:
     size = format_bytes(F.col("total_out"))
     upload = evidence_item(F.col("ts"), "upload", _text("sent ", size, " within the window"))
     peers = F.transform("destinations", lambda d: evidence_item(F.col("ts"), "destination", d))
@@ -299,6 +304,14 @@ def bulk_reads(file_events: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def _secret_summary(path: Column) -> Column:
+    return _text("read sensitive file ", path)
+
+
+def _git_summary(rows: Column, params: Params) -> Column:
+    return _text(rows, f" .git files read within {params.bulk_read_window_ms // 1000} s")
+
+
 def _bulk_summary(params: Params) -> Column:
     root = F.when(F.col("repo_root") == "-", "unknown").otherwise(F.col("repo_root"))
     return _text(
@@ -339,7 +352,6 @@ def read_signals(file_events: DataFrame, params: Params, bulk: DataFrame | None
     bulk = bulk_reads(file_events, params) if bulk is None else bulk
     reads = _reads(file_events, params)
     git = rolling_git_reads(reads, params.bulk_read_window_ms, params.slice_ms)
-    seconds = params.bulk_read_window_ms // 1000
 
     def signal(rows: DataFrame, part: int, kind: str, summary: Column, detail: Column | None = None) -> DataFrame:
         return rows.select(
@@ -348,11 +360,10 @@ def read_signals(file_events: DataFrame, params: Params, bulk: DataFrame | None
         )
 
     return (
-        signal(secret_reads(file_events, params), 0, "file-read", _text("read sensitive file ", F.col("path")))
+        signal(secret_reads(file_events, params), 0, "file-read", _secret_summary(F.col("path")))
         .unionByName(
             signal(
-                git.filter(F.col("git_rows") >= params.git_read_rows), 0, "git-read",
-                _text(F.col("git_rows"), f" .git files read within {seconds} s"),
+                git.filter(F.col("git_rows") >= params.git_read_rows), 0, "git-read", _git_summary(F.col("git_rows"), params)
             )
         )
         .unionByName(signal(bulk, 1, "bulk-read", _bulk_summary(params), F.col("samples")))
@@ -414,8 +425,11 @@ def _show_exfil_chain(hits: DataFrame, signals: DataFrame, params: Params) -> Da
         .join(wanted, ["agent_id", "session_start"], "left_semi")
     )
     heads = session_evidence(keyed, params.evidence_limit).withColumnRenamed("evidence", "_head")
-    hits = hits.join(heads, ["agent_id", "session_start"])
+    return _describe_exfil_chain(hits.join(heads, ["agent_id", "session_start"]))
 
+
+def _describe_exfil_chain(hits: DataFrame) -> DataFrame:
+    """``_head`` holds the first signals of the session; those up to the upload are shown."""
     before = F.filter("_head", lambda e: F.struct(e["ts"], e["seq"]) <= F.struct(F.col("ts"), F.col("seq")))
     reads = F.transform(before, lambda e: evidence_item(e["ts"], e["kind"], e["summary"], e["detail"]))
     elapsed = F.floor((F.col("ts") - F.col("signal.ts")) / 1000)
@@ -477,6 +491,95 @@ def rule_unexpected_endpoint(artifacts: DataFrame, params: Params, run: Incremen
     return rule_artifacts(artifacts.filter(F.col("kind") == "unexpected_endpoint"), params, run)
 
 
+# --- rows of a stream -----------------------------------------------------------------------
+
+
+def stream_facts(events: DataFrame, profiles: DataFrame, params: Params, allow_ips: DataFrame | None = None) -> DataFrame:
+    """What detection over time needs to know about each stream row, and the hits that need no history.
+
+    Adds agent_id (as the rules see it), peer, telemetry, and the flags ``rolls`` (counts for the upload volume), ``reads``,
+    ``git``, ``secret``, ``peers`` (a destination) and ``uploads``; rule_id and dedupe_key are set for hits of the row alone.
+    """
+    of = F.col("event_type")
+    size, agent = F.col("bytes_out"), F.col("agent_id")
+    rows = events.withColumns({
+        "agent_id": F.when(of == "http", F.coalesce(agent, F.lit("unknown"))).otherwise(agent),
+        "peer": F.when(of == "http", F.col("host")).otherwise(F.col("remote_host")),
+    })
+    rows = domain_allowed(rows, "peer", profiles, params.global_allowed_domains)
+    rows = is_telemetry_domain(rows, "peer", profiles)
+    if allow_ips is not None:
+        listed = allow_ips.select(F.col("ip").alias("_ip"), F.lit(True).alias("_listed")).distinct()
+        rows = rows.join(listed, F.col("remote_ip") == F.col("_ip"), "left").drop("_ip")
+    else:
+        rows = rows.withColumn("_listed", F.lit(None).cast("boolean"))
+    known, ip = agent.isNotNull(), F.col("remote_ip")
+    sensitive = F.col("class").isin("secret", "source_code")
+    big = size >= params.significant_upload_bytes
+    reads = (of == "file") & known
+    if params.file_ops is not None:
+        reads = reads & F.col("op").isin(*params.file_ops)
+    secret = reads & (classify_path(F.col("path"), params.sensitive_globs) == "secret")
+    unknown = (of == "connection") & known & ip.isNotNull() & ~is_private_ip(ip) & ~is_reserved_ip(ip) & ~F.col("allowed") & F.col("_listed").isNull()
+    leak = (of == "http") & sensitive & (F.col("telemetry") | ~F.col("allowed"))
+    endpoint = F.col("kind") == "unexpected_endpoint"
+    rule = (
+        F.when(unknown, UNKNOWN_DOMAIN).when(leak, SENSITIVE_PAYLOAD).when(secret, SENSITIVE_READ)
+        .when((of == "artifact") & known, F.when(endpoint, UNEXPECTED_ENDPOINT).otherwise(HIDDEN_BLOB))
+    )
+    key = F.when(of == "connection", _text(agent, "|", ip)).when(of == "http", F.col("host")).otherwise(F.col("path"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return rows.withColumns({
+        "repo_root": F.when(of == "file", F.coalesce("repo_root", F.lit("-"))).otherwise(F.col("repo_root")),
+        "rolls": flag((of == "volume") & known),
+        "reads": flag(reads),
+        "git": flag(reads & is_git_path(F.col("path"))),
+        "secret": flag(secret),
+        "peers": flag((of == "connection") & known & ip.isNotNull()),
+        "uploads": flag(F.when(of == "volume", known & big).when(of == "http", F.coalesce(sensitive, F.lit(False)) | F.coalesce(big, F.lit(False)))),
+        "rule_id": rule,
+        "dedupe_key": F.when(rule.isNotNull(), key),
+    }).drop("allowed", "_listed", "peer")
+
+
+def describe_stream_hits(hits: DataFrame, params: Params) -> DataFrame:
+    """Findings of hits a stream kept: its rows with total (bytes or paths), samples, destinations, signal_ts and head.
+
+    ``head`` is an array of (ts, seq, kind, n, subject, samples), the first signals of the session."""
+    shows = {
+        (UNKNOWN_DOMAIN,): _show_unknown_domain,
+        (VOLUME_SPIKE,): lambda h: _describe_volume_spike(h.withColumn("total_out", F.col("total")), params),
+        (SENSITIVE_PAYLOAD,): _show_sensitive_payload,
+        (SENSITIVE_READ,): _show_sensitive_read,
+        (BULK_READ,): lambda h: _show_bulk_read(h.withColumn("distinct_paths", F.col("total")), params),
+        (EXFIL_CHAIN,): lambda h: _describe_exfil_chain(_chain_of_stream(h, params)),
+        (HIDDEN_BLOB, UNEXPECTED_ENDPOINT): _show_artifacts,
+    }
+    out = None
+    for rule_ids, show in shows.items():
+        part = show(hits.filter(F.col("rule_id").isin(*rule_ids)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _chain_of_stream(hits: DataFrame, params: Params) -> DataFrame:
+    seconds = params.bulk_read_window_ms // 1000
+
+    def item(e: Column) -> Column:
+        root = F.when(e["subject"] == "-", "unknown").otherwise(e["subject"])
+        summary = (
+            F.when(e["kind"] == "file-read", _secret_summary(e["subject"]))
+            .when(e["kind"] == "git-read", _git_summary(e["n"], params))
+            .otherwise(_text(e["n"], f" different files read within {seconds} s (repository ", root, ")"))
+        )
+        return F.struct(e["ts"].alias("ts"), e["seq"].alias("seq"), e["kind"].alias("kind"), summary.alias("summary"), e["samples"].alias("detail"))
+
+    return hits.withColumns({
+        "_head": F.transform("head", item), "signal": F.struct(F.col("signal_ts").alias("ts")),
+        "kind": F.when(F.col("event_type") == "http", "http-upload").otherwise("upload"),
+    })
+
+
 # --- everything -----------------------------------------------------------------------------
 
 

@@ -1,27 +1,33 @@
-"""Streaming detection: the batch rules, run over event-time increments.
-
-Every micro-batch is stored first. Then the rows between the previous and the new watermark are
-evaluated by the same plans as in batch, over those rows plus the history the windows look back
-on. What a long-running detector would keep in memory (recent rows, signals, last emission per
-key) are tables below ``store``, one folder per micro-batch, so a replayed batch overwrites its own
-output and a lost executor loses no state. Rows arriving after the watermark passed them are late
-and are dropped.
+"""Streaming detection: the batch rules over rows as they arrive, with their memory in the engine's keyed state.
+
+Rows are flagged by the same expressions as in batch. Then one processor per agent holds rows until the watermark has passed
+them, takes them in the order of their time, and keeps what windows still look back on: recent rows, the
+session of read signals, and the last time each key was reported. State is versioned with the checkpoint, so a restart goes on
+where the last committed micro-batch ended. The driver does nothing but start micro-batches.
+
+A row is late if the watermark of its micro-batch is after it; late rows are written to a table of their own, whole. Rows
+wait until the watermark passes them, those of the stream's last ``delay_ms`` until later rows come. A row without
+``seq`` is a mark: it moves the watermark, as a heartbeat or at the end of a stream, and gives nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+import json
+from collections import Counter, deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
 from tracewarden import schemas
-from tracewarden.operators.windows import rate_limit_reads
-from tracewarden.params import DAY_MS, Params
-from tracewarden.plans.rules import Increment, all_findings, bulk_reads, read_signals
-from tracewarden.session import cut_lineage
+from tracewarden.params import Params
+from tracewarden.plans import rules
+from tracewarden.streaming.state import folder_sink, start, timed, written
 
-SIGNALS = "agent_id string, ts bigint, seq bigint, part int, kind string, summary string, detail string"
-BEGINNING = -(1 << 62)
 # event_type of a stream row -> table
 EVENT_TABLES = {
     "connection": "connections",
@@ -30,41 +36,21 @@ EVENT_TABLES = {
     "http": "http_requests",
     "artifact": "artifacts",
 }
-
-
-PROGRESS = "batch bigint, watermark bigint, low bigint, high bigint"
-
-
-class Store:
-    """Per-batch folders of one streaming job, and what each batch covered."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, table: str, batch_id: int) -> str:
-        return f"{self.path}/{table}/batch={batch_id}"
-
-    def write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(table, batch_id))
-
-    def read(self, table: str, schema: str, batches: list[int]) -> DataFrame:
-        """Rows of the given batches; only their folders are listed."""
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self._folder(table, b) for b in batches])
-
-    def progress(self, batch_id: int) -> list:
-        """What the batch before this one knew: one row per batch that still matters."""
-        if batch_id == 0:
-            return []
-        return self.read("progress", PROGRESS, [batch_id - 1]).orderBy("batch").collect()
-
-    def finish(self, batch_id: int, done: list, reached: tuple | None = None, forget_before: int = BEGINNING) -> None:
-        """Hand progress on to the next batch. The newest row is kept, whatever its age: it holds the
-        watermark."""
-        rows = [tuple(p) for p in done] + ([(batch_id, *reached)] if reached else [])
-        rows = [r for r in rows[:-1] if r[3] > forget_before] + rows[-1:]
-        self.write(self.spark.createDataFrame(rows, PROGRESS).coalesce(1), "progress", batch_id)
+#: Flags of a row, as bits.
+FLAGS = ("rolls", "reads", "git", "secret", "peers", "uploads")
+ROLLS, READS, GIT, SECRET, PEERS, UPLOADS = (1 << i for i in range(6))
+MARK = -1
+#: A row in state: strings are never null there. ``row`` is the whole stream row.
+FACT = "ts bigint, seq bigint, flags int, amount bigint, subject string, repo string, rule_id string, dedupe_key string, row string"
+FIELDS = [part.split()[0] for part in FACT.split(", ")]
+RECENT = "flags int, ts bigint, seq bigint, amount bigint, subject string, repo string"
+OUT = (
+    "what string, agent_id string, ts bigint, seq bigint, rule_id string, dedupe_key string, total bigint, samples string, "
+    "destinations string, signal_ts bigint, head string, row string"
+)
+OUT_FIELDS = [part.split()[0] for part in OUT.split(", ")]
+HEAD = "array<struct<ts:bigint,seq:bigint,kind:string,n:bigint,subject:string,samples:string>>"
+ROW = f"{schemas.STREAM_EVENTS}, telemetry boolean"
 
 
 def tables_of(events: DataFrame) -> dict[str, DataFrame]:
@@ -76,13 +62,278 @@ def tables_of(events: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def lookback_ms(params: Params) -> int:
-    """How far before its own rows an increment reads: a read window before the oldest signal an
-    upload may refer to, or the upload window with its destinations."""
-    return max(
-        params.exfil_correlation_ms + 2 * params.bulk_read_window_ms,
-        2 * params.volume_spike_window_ms,
-    )
+class Reads:
+    """Reads of one repository: how many paths the window holds, and examples of them."""
+
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
+        self.inside: deque[tuple[int, str]] = deque()
+        self.paths: Counter[str] = Counter()
+        self.rows: deque[tuple[int, int, str]] = deque()  # since the start of the cell before this one
+
+    def add(self, ts: int, seq: int, path: str) -> int:
+        self.inside.append((ts, path))
+        self.paths[path] += 1
+        while self.inside[0][0] < ts - self.window_ms:
+            _, old = self.inside.popleft()
+            self.paths[old] -= 1
+            if not self.paths[old]:
+                del self.paths[old]
+        self.rows.append((ts, seq, path))
+        while self.rows[0][0] < (ts // self.window_ms - 1) * self.window_ms:
+            self.rows.popleft()
+        return len(self.paths)
+
+    def samples(self, ts: int, few: int) -> str:
+        """As in ``rules.bulk_reads``: the last paths of the cell before that the window holds, then the first of this one."""
+        cell = ts // self.window_ms
+        last: dict[str, tuple[int, int]] = {}
+        first: dict[str, tuple[int, int]] = {}
+        for at, seq, path in self.rows:
+            if at // self.window_ms == cell:
+                first.setdefault(path, (at, seq))
+            else:
+                last[path] = (at, seq)
+        before = heapq.nlargest(2 * few, ((moment, path) for path, moment in last.items()))
+        before = [(moment, path) for moment, path in before if moment[0] >= ts - self.window_ms]
+        this = heapq.nsmallest(few, ((moment, path) for path, moment in first.items()))
+        return "\n".join(list(dict.fromkeys(path for _, path in sorted([*before, *this])))[:few])
+
+
+class Recent:
+    """What the windows of one agent hold. Rows come in the order of their time."""
+
+    def __init__(self, params: Params):
+        self.params = params
+        self.volumes: deque[tuple[int, int, int]] = deque()
+        self.total = 0
+        self.git: deque[tuple[int, int]] = deque()
+        self.peers: deque[tuple[int, int, str]] = deque()
+        self.reads: dict[str, Reads] = {}
+
+    def volume(self, ts: int, seq: int, amount: int) -> int:
+        self.volumes.append((ts, seq, amount))
+        self.total += amount
+        while self.volumes[0][0] < ts - self.params.volume_spike_window_ms:
+            self.total -= self.volumes.popleft()[2]
+        return self.total
+
+    def git_read(self, ts: int, seq: int) -> int:
+        self.git.append((ts, seq))
+        while self.git[0][0] < ts - self.params.bulk_read_window_ms:
+            self.git.popleft()
+        return len(self.git)
+
+    def peer(self, ts: int, seq: int, label: str) -> None:
+        self.peers.append((ts, seq, label))
+        while self.peers[0][0] < ts - self.params.volume_spike_window_ms:
+            self.peers.popleft()
+
+    def read(self, ts: int, seq: int, repo: str, path: str) -> int:
+        return self.reads.setdefault(repo, Reads(self.params.bulk_read_window_ms)).add(ts, seq, path)
+
+    def destinations(self, ts: int) -> list[str]:
+        inside = [label for at, _, label in self.peers if at >= ts - self.params.volume_spike_window_ms]
+        return list(dict.fromkeys(inside[-self.params.destination_tail:]))[:self.params.destination_top]
+
+    def replay(self, row: tuple) -> None:
+        flags, ts, seq, amount, subject, repo = row
+        if flags == ROLLS:
+            self.volume(ts, seq, amount)
+        elif flags == GIT:
+            self.git_read(ts, seq)
+        elif flags == PEERS:
+            self.peer(ts, seq, subject)
+        else:
+            self.read(ts, seq, repo, subject)
+
+    def rows(self, after: int) -> list[tuple]:
+        """What rows from ``after`` on may still look back on, in the order of their time."""
+        far = after - self.params.volume_spike_window_ms
+        near = after - self.params.bulk_read_window_ms
+        cells = (after // self.params.bulk_read_window_ms - 1) * self.params.bulk_read_window_ms
+        out = [(ROLLS, ts, seq, amount, "", "") for ts, seq, amount in self.volumes if ts >= far]
+        out += [(GIT, ts, seq, 0, "", "") for ts, seq in self.git if ts >= near]
+        out += [(PEERS, ts, seq, 0, label, "") for ts, seq, label in self.peers if ts >= far]
+        for repo, reads in self.reads.items():
+            out += [(READS, ts, seq, 0, path, repo) for ts, seq, path in reads.rows if ts >= cells]
+        return sorted(out, key=lambda r: r[1:3])
+
+
+class Detector(StatefulProcessor):
+    """Rules over time for one agent."""
+
+    def __init__(self, params: Params, windows: dict[str, int]):
+        self.params, self.windows = params, windows
+        self.widest = max(windows.values())
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", FACT)
+        self.recent = handle.getListState("recent", RECENT)
+        self.session = handle.getValueState("session", "last_ts bigint, head string")
+        self.reported = handle.getMapState("reported", "rule_id string, dedupe_key string", "ts bigint")
+        self.clock = handle.getValueState("clock", "wake bigint")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting, late = [], []
+        for frame in rows:
+            for row in frame[FIELDS].itertuples(index=False, name=None):
+                if row[2] == MARK:
+                    continue
+                if row[0] < mark:
+                    late.append(self._out("late", key[0], row))
+                elif row[2] or row[6]:
+                    waiting.append(row)
+        if waiting:
+            self.pending.appendList(waiting)
+            self._wake(min(row[0] for row in waiting) + 1)
+        if late:
+            yield _frame(late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        clock = self.clock.get()
+        if clock is None or clock[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return  # an earlier timer took its place
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(row) for row in self.pending.get()]
+        due = sorted((row for row in waiting if row[0] < mark), key=lambda r: (r[0], r[1], bool(r[2] & UPLOADS)))
+        hits = list(self._evaluate(key[0], due))
+        rest = [row for row in waiting if row[0] >= mark]
+        self.pending.put(rest) if rest else self.pending.clear()
+        self.clock.clear()
+        if rest:
+            self._wake(min(row[0] for row in rest) + 1)
+        else:
+            self._forget(mark)
+        if hits:
+            yield _frame(hits)
+
+    def _wake(self, at: int) -> None:
+        clock = self.clock.get()
+        if clock is None or at < clock[0]:
+            self.clock.update((at,))
+            self.handle.registerTimer(at)
+
+    def _forget(self, mark: int) -> None:
+        """Drop what no later row can look back on, and come again when more has grown old."""
+        recent = Recent(self.params)
+        for row in self.recent.get():
+            recent.replay(tuple(row))
+        left = recent.rows(mark)
+        self.recent.put(left) if left else self.recent.clear()
+        ages = [row[1] + 2 * max(self.params.volume_spike_window_ms, self.params.bulk_read_window_ms) for row in left[-1:]]
+        old = []
+        for (rule, dedupe), (ts,) in self.reported.iterator():
+            if ts + self.windows[rule] <= mark:
+                old.append((rule, dedupe))
+            else:
+                ages.append(ts + self.windows[rule])
+        for entry in old:
+            self.reported.removeKey(entry)
+        session = self.session.get()
+        if session is not None and session[0] + self.params.exfil_correlation_ms < mark:
+            self.session.clear()
+        elif session is not None:
+            ages.append(session[0] + self.params.exfil_correlation_ms)
+        if ages:
+            self._wake(max(max(ages), mark) + 1)
+
+    def _out(self, what: str, agent: str, row: tuple, rule: str = "", dedupe: str = "", **more) -> tuple:
+        ts, seq, *_, raw = row
+        return (
+            what, agent, ts, seq, rule or None, dedupe if rule else None, more.get("total"), more.get("samples"),
+            json.dumps(more.get("destinations", [])), more.get("signal_ts"), json.dumps(more.get("head", [])), raw,
+        )
+
+    def _evaluate(self, agent: str, due: list[tuple]) -> Iterator[tuple]:
+        """The hits that are reported, for rows in the order of their time."""
+        if not due:
+            return
+        params = self.params
+        recent = Recent(params)
+        for row in self.recent.get():
+            recent.replay(tuple(row))
+        session = self.session.get()
+        last, head = (session[0], json.loads(session[1])) if session is not None else (None, [])
+        known: dict[tuple[str, str], int | None] = {}
+        changed: set[tuple[str, str]] = set()
+
+        def first(rule: str, dedupe: str, ts: int) -> bool:
+            """Whether the key was not reported within its window; then it is now."""
+            entry = (rule, dedupe)
+            if entry not in known:
+                found = self.reported.getValue(entry)
+                known[entry] = None if found is None else found[0]
+            before, window = known[entry], self.windows[rule]
+            if before is not None and ts - before < window:
+                return False
+            known[entry] = ts
+            changed.add(entry)
+            return True
+
+        def signal(ts: int, seq: int, kind: str, n: int, subject: str, samples=None) -> None:
+            nonlocal last, head
+            if last is None or ts - last > params.exfil_correlation_ms:
+                head = []
+            if len(head) < params.evidence_limit:
+                head.append({"ts": ts, "seq": seq, "kind": kind, "n": n, "subject": subject, "samples": samples() if samples else None})
+            last = ts
+
+        for row in due:
+            ts, seq, flags, amount, subject, repo, rule, dedupe, _ = row
+            if rule and first(rule, dedupe, ts):
+                yield self._out("hit", agent, row, rule, dedupe)
+            if flags & PEERS:
+                recent.peer(ts, seq, subject)
+            if flags & SECRET:
+                signal(ts, seq, "file-read", 1, subject)
+            if flags & GIT and (count := recent.git_read(ts, seq)) >= params.git_read_rows:
+                signal(ts, seq, "git-read", count, subject)
+            if flags & READS and (paths := recent.read(ts, seq, repo, subject)) >= params.bulk_read_files:
+                shown = lambda repo=repo, ts=ts: recent.reads[repo].samples(ts, params.sample_paths)
+                dedupe = repo if params.bulk_key == "repo" else str(paths)
+                if first(rules.BULK_READ, dedupe, ts):
+                    yield self._out("hit", agent, row, rules.BULK_READ, dedupe, total=paths, samples=shown())
+                signal(ts, seq, "bulk-read", paths, repo, shown)
+            if flags & ROLLS and (total := recent.volume(ts, seq, amount)) >= params.volume_spike_bytes:
+                if first(rules.VOLUME_SPIKE, agent, ts):
+                    yield self._out("hit", agent, row, rules.VOLUME_SPIKE, agent, total=total, destinations=recent.destinations(ts))
+            if flags & UPLOADS and last is not None and ts - last <= params.exfil_correlation_ms:
+                if first(rules.EXFIL_CHAIN, agent, ts):
+                    yield self._out("hit", agent, row, rules.EXFIL_CHAIN, agent, signal_ts=last, head=list(head))
+
+        kept = recent.rows(due[-1][0])
+        self.recent.put(kept) if kept else self.recent.clear()
+        if last is not None:
+            self.session.update((last, json.dumps(head)))
+        for entry in changed:
+            self.reported.updateValue(entry, (known[entry],))
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=OUT_FIELDS, dtype=object)
+
+
+def _facts(events: DataFrame, profiles: DataFrame, params: Params, delay_ms: int, allow_ips: DataFrame | None) -> DataFrame:
+    flagged = rules.stream_facts(events, profiles, params, allow_ips)
+    bits = F.lit(0)
+    for i, name in enumerate(FLAGS):
+        bits = bits + F.col(name).cast("int") * (1 << i)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    label = F.when(F.col("event_type") == "connection", F.coalesce("remote_host", "remote_ip")).otherwise(F.col("path"))
+    whole = F.to_json(F.struct(*[F.col(part.split()[0]) for part in ROW.split(", ")]))
+    columns: list[Column] = [
+        F.col("agent_id"), F.col("ts"), F.coalesce("seq", F.lit(0)).alias("seq"),
+        F.when(F.col("seq").isNull(), MARK).otherwise(bits).cast("int").alias("flags"), F.coalesce("bytes_out", F.lit(0)).alias("amount"),
+        text(label).alias("subject"), text(F.col("repo_root")).alias("repo"), text(F.col("rule_id")).alias("rule_id"),
+        text(F.col("dedupe_key")).alias("dedupe_key"), whole.alias("row"),
+    ]
+    return timed(flagged, F.col("ts"), delay_ms, columns)
 
 
 def stream_detect(
@@ -95,82 +346,95 @@ def stream_detect(
     allow_ips: DataFrame | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start detection over a stream of ``STREAM_EVENTS`` rows; findings land in ``store/findings``."""
-    spark = events.sparkSession
-    store = Store(spark, store_path)
-
-    def evaluate(batch: DataFrame, batch_id: int) -> None:
-        done = store.progress(batch_id)
-        start = max([p.watermark for p in done], default=BEGINNING)
-        store.write(batch.filter(F.col("ts") > start), "events", batch_id)
-        fresh = store.read("events", schemas.STREAM_EVENTS, [batch_id])
-        low, high = fresh.agg(F.min("ts"), F.max("ts")).first()
-        if high is None:  # nothing, or nothing on time
-            return store.finish(batch_id, done)
-        upto = max(start, high - delay_ms)
-
-        def since(ts: int) -> list[int]:
-            return [p.batch for p in done if p.high > ts]
-
-        horizon = start - lookback_ms(params)
-        history = store.read("events", schemas.STREAM_EVENTS, [*since(horizon), batch_id])
-        tables = tables_of(history.filter((F.col("ts") > horizon) & (F.col("ts") <= upto)))
-        if allow_ips is not None:
-            tables["allow_ips"] = allow_ips
-        bulk = cut_lineage(bulk_reads(tables["file_events"], params))
-        found = read_signals(tables["file_events"], params, bulk).filter(F.col("ts") > start)
-        store.write(found, "signals", batch_id)
-        # sessions may reach back further than any window, though not past retention
-        oldest = start - params.retention_days * DAY_MS
-        kept = since(oldest)
-        signals = store.read("signals", SIGNALS, [*kept, batch_id])
-        emitted = store.read("findings", schemas.FINDINGS, kept)
-        run = Increment(start, emitted)
-        store.write(all_findings(tables, profiles, params, run, bulk, signals), "findings", batch_id)
-        store.finish(batch_id, done, (upto, low, high), oldest)
-
-    writer = events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def stream_findings(spark: SparkSession, store_path: str) -> DataFrame:
-    """Findings written so far."""
-    typed = f"{schemas.FINDINGS}, batch bigint"
-    return spark.read.schema(typed).parquet(f"{store_path.rstrip('/')}/findings").drop("batch")
+    """Start detection over a stream of ``STREAM_EVENTS`` rows; ``stream_findings`` and ``stream_late`` read what it writes."""
+    facts = _facts(events, profiles, params, delay_ms, allow_ips)
+    detector = Detector(params, rules.repeat_windows(params))
+    out = facts.groupBy("agent_id").transformWithStateInPandas(detector, OUT, "append", "eventTime")
+    return start(out, folder_sink(f"{store_path.rstrip('/')}/hits"), checkpoint, trigger)
+
+
+def _written(spark: SparkSession, store_path: str, what: str) -> DataFrame:
+    rows = written(spark, f"{store_path.rstrip('/')}/hits", OUT).filter(F.col("what") == what)
+    own = [F.col(f"_row.{part.split()[0]}") for part in ROW.split(", ")]
+    kept = ["rule_id", "dedupe_key", "total", "samples", "signal_ts"]
+    return rows.withColumn("_row", F.from_json("row", ROW)).select(
+        *own, *kept, F.from_json("destinations", "array<string>").alias("destinations"), F.from_json("head", HEAD).alias("head")
+    )
+
+
+def stream_findings(spark: SparkSession, store_path: str, params: Params) -> DataFrame:
+    """Findings reported so far."""
+    return rules.describe_stream_hits(_written(spark, store_path, "hit"), params)
+
+
+def stream_late(spark: SparkSession, store_path: str) -> DataFrame:
+    """The rows that came too late to be evaluated, whole."""
+    return _written(spark, store_path, "late").select(*[part.split()[0] for part in schemas.STREAM_EVENTS.split(", ")])
+
+
+LIMITED = "what string, row string"
+
+
+class RateLimit(StatefulProcessor):
+    """The first rows of one process in one second; the state holds at most ``limit`` rows."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "ts bigint, seq bigint, row string")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        end = key[-1] * 1000 + 1000
+        over = timerValues.getCurrentWatermarkInMs() >= end
+        at_once, plain = [], []
+        for frame in rows:
+            for ts, seq, kind, row in frame[["ts", "seq", "kind", "row"]].itertuples(index=False, name=None):
+                if kind == "mark":
+                    continue
+                if over or kind == "sensitive":
+                    at_once.append(("late" if over else "kept", row))
+                else:
+                    plain.append((ts, seq, row))
+        if plain:
+            held = [tuple(r) for r in self.kept.get()]
+            if not held:
+                self.handle.registerTimer(end)
+            self.kept.put(heapq.nsmallest(self.limit, [*held, *plain]))
+        if at_once:
+            yield pd.DataFrame(at_once, columns=["what", "row"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = [("kept", row[2]) for row in self.kept.get()]
+        self.kept.clear()
+        yield pd.DataFrame(rows, columns=["what", "row"])
 
 
 def stream_rate_limit(
-    file_events: DataFrame, out_path: str, checkpoint: str, limit: int = 400, trigger: dict | None = None
+    file_events: DataFrame, out_path: str, checkpoint: str, limit: int = 400, keys: list[str] | None = None, delay_ms: int = 0,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Rate-limited file events per process and second. A second is evaluated once it is over, so
-    its budget never depends on how rows fell into micro-batches. When the stream has ended, the last second is
-    still pending: ``flush_rate_limit`` evaluates it."""
-    spark = file_events.sparkSession
-    store = Store(spark, out_path)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in file_events.schema)
-
-    def evaluate(batch: DataFrame, batch_id: int) -> None:
-        done = store.progress(batch_id)
-        start = max([p.watermark for p in done], default=BEGINNING)
-        store.write(batch.filter(F.col("ts") > start), "pending", batch_id)
-        low, high = store.read("pending", ddl, [batch_id]).agg(F.min("ts"), F.max("ts")).first()
-        if high is None:
-            return store.finish(batch_id, done)
-        upto = max(start, high // 1000 * 1000 - 1)
-        rows = store.read("pending", ddl, [*[p.batch for p in done if p.high > start], batch_id])
-        over = rows.filter((F.col("ts") > start) & (F.col("ts") <= upto))
-        store.write(rate_limit_reads(over, limit), "kept", batch_id)
-        store.finish(batch_id, done, (upto, low, high), start)
-
-    writer = file_events.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def flush_rate_limit(spark: SparkSession, schema: str, out_path: str, limit: int = 400) -> None:
-    """Evaluate what an ended rate-limit stream left pending. Only for a stream that will not go on."""
-    store = Store(spark, out_path)
-    batches = spark.read.schema(f"{PROGRESS}").parquet(f"{store.path}/progress").agg(F.max("batch")).first()[0]
-    done = store.progress(0 if batches is None else batches + 1)
-    start = max([p.watermark for p in done], default=BEGINNING)
-    rows = store.read("pending", schema, [p.batch for p in done if p.high > start]).filter(F.col("ts") > start)
-    store.write(rate_limit_reads(rows, limit), "kept", (batches or 0) + 1)
+    """Rate-limited file events per process and second, read by ``rate_limited``.
+
+    A second is decided by a timer at its end, so its budget never depends on how rows fell into micro-batches;
+    sensitive rows pass at once. Rows of a second that is over are late; a row without ``seq`` is a mark, as in ``stream_detect``.
+    """
+    kind = F.when(F.col("seq").isNull(), "mark").when(F.col("sensitivity").isNotNull(), "sensitive").otherwise("plain")
+    columns = [
+        *[F.col(k) for k in keys or ["pid"]], F.floor(F.col("ts") / 1000).cast("bigint").alias("second"), F.col("ts"),
+        F.coalesce("seq", F.lit(0)).alias("seq"), kind.alias("kind"), F.to_json(F.struct(*file_events.columns)).alias("row"),
+    ]
+    limited = timed(file_events, F.col("ts"), delay_ms, columns).groupBy(*(keys or ["pid"]), "second").transformWithStateInPandas(
+        RateLimit(limit), LIMITED, "append", "eventTime"
+    )
+    return start(limited, folder_sink(f"{out_path.rstrip('/')}/limited"), checkpoint, trigger)
+
+
+def rate_limited(spark: SparkSession, out_path: str, schema: str | StructType, what: str = "kept") -> DataFrame:
+    """What a rate limit stream wrote: the rows it kept, or those that were ``late``."""
+    rows = written(spark, f"{out_path.rstrip('/')}/limited", LIMITED).filter(F.col("what") == what)
+    return rows.select(F.from_json("row", schema).alias("_row")).select("_row.*")
