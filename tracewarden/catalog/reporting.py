@@ -17,7 +17,9 @@ from tracewarden.params import DAY_MS, GLOBAL_ALLOWED_DOMAINS
 from tracewarden.plans import reports as Q
 from tracewarden.plans import rules as R
 from tracewarden.session import shared_folder
+from tracewarden.sources import stored
 from tracewarden.sources import tables as S
+from tracewarden.sources.stored import KeyedTable
 from tracewarden.telemetry import VIEW_PARAMS as P
 
 _COLS = ", ".join(FINDING)
@@ -342,6 +344,7 @@ def append_events(spark, sf_dir):
         UNION ALL SELECT agent_id, 'name-' || k, 'v' || (k % 3), ts, ts, seq FROM base WHERE event_type = 'view') GROUP BY 1""",
 )
 def upsert_agents(spark, sf_dir):
+    """Into a stored table: the agents known first, then the updates in two halves."""
     first = T.volumes(spark, sf_dir).groupBy(F.col("agent_id").alias("id")).agg(F.min("ts").alias("first_seen"))
     stored = first.select("id", F.lit("old").alias("name"), F.lit("v0").alias("vendor"), "first_seen", F.col("first_seen").alias("last_seen"))
     views = T.base(spark, sf_dir, "view")
@@ -350,7 +353,20 @@ def upsert_agents(spark, sf_dir):
         F.concat(F.lit("v"), F.col("k") % 3).alias("vendor"), F.col("ts").alias("first_seen"),
         F.col("ts").alias("last_seen"), F.col("seq").alias("arrival"),
     )
-    return S.upsert_agents(stored, updates)
+    table = KeyedTable(spark, _folder(spark), ["id"], schemas.AGENTS, buckets=8)
+    middle = updates.agg(F.avg("arrival")).first()[0]
+    for part in (stored.withColumn("arrival", F.lit(-1).cast("bigint")), updates.filter(F.col("arrival") <= middle), updates.filter(F.col("arrival") > middle)):
+        table.upsert(part, S.upsert_agents)
+    return table.read()
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _process_table(spark: SparkSession) -> KeyedTable:
+    schema = "pid bigint, start_time bigint, agent_id string, name string, exe string, cwd string, last_seen bigint"
+    return KeyedTable(spark, _folder(spark), ["pid", "start_time"], schema, buckets=16)
 
 
 def _process_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,9 +383,13 @@ def _process_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         arg_max(cwd || '/--slot=' || k, seq) AS cwd, arg_max(ts, seq) AS last_seen FROM samples GROUP BY pid, start_time""",
 )
 def upsert_processes(spark, sf_dir):
+    """Into a stored table, in two halves."""
     updates = _process_updates(spark, sf_dir)
-    nothing = spark.createDataFrame([], updates.drop("arrival").schema)
-    return S.upsert_processes(nothing, updates)
+    table = _process_table(spark)
+    middle = updates.agg(F.avg("arrival")).first()[0]
+    table.upsert(updates.filter(F.col("arrival") <= middle), S.upsert_processes)
+    table.upsert(updates.filter(F.col("arrival") > middle), S.upsert_processes)
+    return table.read()
 
 
 @query(
@@ -409,6 +429,36 @@ def prune_retention(spark, sf_dir):
     return kept.select("seq", "ts", "agent_id", "path")
 
 
+_STORED_PROCESSES = "SELECT pid, start_time, max_by(ts, seq) AS last_seen FROM samples GROUP BY 1, 2"
+
+
+@query(
+    "prune_stored",
+    f"""SELECT 'connections' AS "table", count(*) FILTER (ts < {_PRUNE_AS_OF - 7 * DAY_MS}) AS removed, count(*) FILTER (ts >= {_PRUNE_AS_OF - 7 * DAY_MS}) AS kept,
+            CAST(coalesce(sum(seq) FILTER (ts >= {_PRUNE_AS_OF - 7 * DAY_MS}), 0) AS BIGINT) AS check_sum FROM connections
+        UNION ALL SELECT 'findings', count(*) FILTER (ts < {_PRUNE_AS_OF - 30 * DAY_MS}), count(*) FILTER (ts >= {_PRUNE_AS_OF - 30 * DAY_MS}),
+            CAST(coalesce(sum(seq) FILTER (ts >= {_PRUNE_AS_OF - 30 * DAY_MS}), 0) AS BIGINT) FROM findings
+        UNION ALL SELECT 'processes', count(*) FILTER (last_seen < {_PRUNE_AS_OF - 7 * DAY_MS}), count(*) FILTER (last_seen >= {_PRUNE_AS_OF - 7 * DAY_MS}),
+            CAST(coalesce(sum(pid) FILTER (last_seen >= {_PRUNE_AS_OF - 7 * DAY_MS}), 0) AS BIGINT) FROM ({_STORED_PROCESSES})""",
+)
+def prune_stored(spark, sf_dir):
+    """Retention on stored tables, written in several appends: how much went, and what is left."""
+    out = None
+    for name, rows, minimum in (("connections", T.connections(spark, sf_dir), 0), ("findings", findings(spark, sf_dir), 30)):
+        path = _folder(spark)
+        for part in range(3):
+            S.append_events(rows.filter(F.col("seq") % 3 == part), path)
+        removed = stored.prune_stored(spark, path, _PRUNE_AS_OF, 7, minimum, most_files=2)
+        left = spark.read.schema(rows.schema).parquet(path).agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("seq"), F.lit(0)).alias("check_sum"))
+        one = left.select(F.lit(name).alias("table"), F.lit(removed).cast("bigint").alias("removed"), "kept", "check_sum")
+        out = one if out is None else out.unionByName(one)
+    processes = _process_table(spark)
+    processes.upsert(_process_updates(spark, sf_dir), S.upsert_processes)
+    removed = processes.delete(F.col("last_seen") < _PRUNE_AS_OF - 7 * DAY_MS)
+    left = processes.read().agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("pid"), F.lit(0)).alias("check_sum"))
+    return out.unionByName(left.select(F.lit("processes").alias("table"), F.lit(removed).cast("bigint").alias("removed"), "kept", "check_sum"))
+
+
 @query(
     "prune_counts",
     f"""SELECT 'connections' AS "table", count(*) AS removed FROM connections WHERE ts < {_PRUNE_AS_OF - 7 * DAY_MS}

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tracewarden import schemas
 from tracewarden import telemetry as T
-from tracewarden.catalog.detection import FINDING, http_requests, landed
+from tracewarden.catalog.detection import FINDING, findings, http_requests, landed
 from tracewarden.catalog.oracle import path_class
 from tracewarden.catalog.registry import query
 from tracewarden.functions.paths import classify_path
 from tracewarden.session import shared_folder
+from tracewarden.sources.stored import Folders
 from tracewarden.streaming.detect import rate_limited, stream_detect, stream_findings, stream_late, stream_rate_limit
+from tracewarden.streaming import series as L
 from tracewarden.streaming.series import stream_store_sink, stream_volume_series, stream_watch_summary
 from tracewarden.telemetry import VIEW_PARAMS as P
 
@@ -108,6 +110,53 @@ def rate_limit(spark, sf_dir):
     return rate_limited(spark, out, events.schema).select("seq", "pid", "path")
 
 
+_SCANS = {
+    "scans": """SELECT doc_id, 1 + i * 1000 AS scan_ts, i AS scan, 'agent-' || (doc_id % 17) AS agent_id, '/f' || doc_id AS path,
+        CAST(strlen(text) AS BIGINT) AS size, doc_id + CASE WHEN i >= 1 AND doc_id % 5 = 0 THEN 7 ELSE 0 END AS mtime
+        FROM documents, range(3) t(i) WHERE i = 0 AND doc_id % 3 = 0 OR i = 1 AND doc_id % 7 != 0 OR i = 2 AND doc_id % 11 != 0""",
+    "stepped": """SELECT *, lag(scan) OVER w AS before, lag(mtime) OVER w AS old, lead(scan) OVER w AS after FROM scans
+        WINDOW w AS (PARTITION BY doc_id ORDER BY scan)""",
+}
+
+
+@query(
+    "stream_incremental_scan",
+    """SELECT path, scan_ts, size, mtime, CASE WHEN before IS NULL OR before < scan - 1 THEN 'new' ELSE 'changed' END AS change FROM stepped
+        WHERE before IS NULL OR before < scan - 1 OR old != mtime
+        UNION ALL SELECT path, scan_ts, size, mtime, 'vanished' FROM stepped WHERE scan < 2 AND (after IS NULL OR after > scan + 1)""",
+    _SCANS,
+)
+def incremental_scan_stream(spark, sf_dir):
+    """Three scans of the stored documents, each a file of the stream: some appear, some change, some go."""
+    doc = F.col("doc_id")
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
+    there = [doc % 3 == 0, doc % 7 != 0, doc % 11 != 0]
+    folder, out = _folder(spark), _folder(spark)
+    for i, present in enumerate(there):
+        changed = F.when(doc % 5 == 0, 7).otherwise(0) if i else F.lit(0)
+        scan = docs.filter(present).select(
+            F.concat(F.lit("agent-"), doc % T.AGENTS).alias("agent_id"), F.concat(F.lit("/f"), doc).alias("path"), "size",
+            (doc + changed).cast("bigint").alias("mtime"), F.lit(1 + i * 1000).cast("bigint").alias("scan_ts"),
+        )
+        scan.repartition(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("agent_id string, path string, size bigint, mtime bigint, scan_ts bigint")
+    L.stream_inventory(stream.option("maxFilesPerTrigger", 1).parquet(folder), out, f"{out}/checkpoint").awaitTermination()
+    return L.inventory_changes(spark, out).drop("agent_id")
+
+
+@query("stream_alerts", f"SELECT {', '.join(FINDING)} FROM findings WHERE severity >= 3")
+def alert_sink(spark, sf_dir):
+    """The findings as a stream; the last micro-batch is run a second time."""
+    found = findings(spark, sf_dir)
+    out = _folder(spark)
+    stream = _land(spark, found)
+    L.stream_alerts(stream, out, f"{out}/checkpoint").awaitTermination()
+    commits = Folders(spark, f"{out}/checkpoint/commits")
+    commits.delete(max((n for n in commits.names() if n.isdigit()), key=int))
+    L.stream_alerts(stream, out, f"{out}/checkpoint").awaitTermination()
+    return L.alerts(spark, out).select(*FINDING)
+
+
 _BUCKET = 3_600_000
 
 

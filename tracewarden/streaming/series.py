@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from tracewarden.plans.reports import alert_route
+from tracewarden.schemas import FINDINGS
 from tracewarden.streaming.detect import EVENT_TABLES
+from tracewarden.streaming.state import folder_sink, start, timed, written
 
 
 def stream_volume_series(volumes: DataFrame, bucket_ms: int, delay: str = "1 minute") -> DataFrame:
@@ -48,3 +54,70 @@ def incremental_scan(inventory: DataFrame, previous: DataFrame) -> tuple[DataFra
     stamp = ["path", "mtime", "size"]
     changed = inventory.join(previous.select(*stamp), stamp, "left_anti")
     return changed, inventory.select(*stamp)
+
+
+class Snapshot(StatefulProcessor):
+    """The last scan's view of one file."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "scan_ts bigint, size bigint, mtime bigint")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = sorted(r for frame in rows for r in frame[["scan_ts", "size", "mtime"]].itertuples(index=False, name=None))
+        seen, out = self.seen.get(), []
+        seen = None if seen is None else tuple(seen)
+        if seen is not None and seen[0] < min(found[-1][0], timerValues.getCurrentWatermarkInMs()):
+            out.append((*key, *seen, "vanished"))  # a scan in between came without it
+            seen = None
+        for scan_ts, size, mtime in found:
+            if seen is not None and scan_ts < seen[0]:
+                continue  # an older scan that came late
+            if seen is None or seen[1:] != (size, mtime):
+                out.append((*key, scan_ts, size, mtime, "new" if seen is None else "changed"))
+            seen = (scan_ts, size, mtime)
+        self.seen.update(seen)
+        self.handle.registerTimer(seen[0] + 1)
+        if out:
+            yield pd.DataFrame(out, columns=CHANGE_FIELDS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get()
+        if seen is not None and seen[0] + 1 == expiredTimerInfo.getExpiryTimeInMs():
+            self.seen.clear()
+            yield pd.DataFrame([(*key, *seen, "vanished")], columns=CHANGE_FIELDS)
+
+
+CHANGES = "agent_id string, path string, scan_ts bigint, size bigint, mtime bigint, change string"
+CHANGE_FIELDS = [part.split()[0] for part in CHANGES.split(", ")]
+
+
+def stream_inventory(inventories: DataFrame, out_path: str, checkpoint: str, delay_ms: int = 0, trigger: dict | None = None) -> StreamingQuery:
+    """Changes between scans: a stream of inventory rows (agent_id, path, size, mtime, scan_ts), read by ``inventory_changes``.
+
+    The snapshot is in keyed state, one entry per file. A file whose time or size differs is ``changed``, one that was
+    not there ``new``. When the watermark passes the scan that saw a file last, a later scan has come without it: it
+    ``vanished``, with the scan that saw it last. ``delay_ms`` is how long the rows of one scan may take to arrive.
+    """
+    columns = [F.col(c) for c in ("agent_id", "path", "scan_ts", "size", "mtime")]
+    changes = timed(inventories, F.col("scan_ts"), delay_ms, columns).groupBy("agent_id", "path").transformWithStateInPandas(
+        Snapshot(), CHANGES, "append", "eventTime"
+    )
+    return start(changes, folder_sink(f"{out_path.rstrip('/')}/changes"), checkpoint, trigger)
+
+
+def inventory_changes(spark: SparkSession, out_path: str) -> DataFrame:
+    return written(spark, f"{out_path.rstrip('/')}/changes", CHANGES)
+
+
+def stream_alerts(findings: DataFrame, out_path: str, checkpoint: str, min_severity: str = "high", trigger: dict | None = None) -> StreamingQuery:
+    """Append findings of at least a severity to the alert table, each once: a micro-batch that is run again replaces its own rows."""
+    writer = alert_route(findings, min_severity).writeStream.foreachBatch(folder_sink(f"{out_path.rstrip('/')}/alerts"))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def alerts(spark: SparkSession, out_path: str) -> DataFrame:
+    return written(spark, f"{out_path.rstrip('/')}/alerts", FINDINGS)
