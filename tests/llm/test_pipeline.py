@@ -100,7 +100,9 @@ def test_set_forest_is_exact_in_chunks_of_any_size(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join([*base[:k], *[f"v{rng.randrange(999)}" for _ in range(60 - k)]]) for k in range(30, 61, 2)] + ["", None, "one", "ONE"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [{tuple(r) for r in p.simhash.near_copies(docs, 0.8, task_shingles=n).collect()} for n in (1_000_000, 60)]
+    found = [p.simhash.near_copies(docs, 0.8, task_shingles=n).collect() for n in (1_000_000, 60)]
+    got = [{(r["doc_id"], r["component_id"]) for r in one} for one in found]
+    assert all({r["component_id"] for r in one} == {r["doc_id"] for r in one if r["first"]} for one in found)
     sets = [set(p.simhash.shingle_set(t, 5).tolist()) for t in texts]
     root = list(range(len(texts)))
     for _ in texts:

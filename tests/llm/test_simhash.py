@@ -71,10 +71,28 @@ def test_links_are_exact(spark, blocks, levels, shard_points):
     frame = spark.createDataFrame([(p.to_bytes(8, "big"),) for p in points], "fingerprint binary")
     links = simhash.links(frame, 4, simhash.disjoint_blocks(64, blocks), 4 // blocks, levels, shard_points)
     pairs = [(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in links.collect()]
-    assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    want = brute_components(points, 4)
+    assert all(want[a] == want[b] for a, b in pairs)  # stars: the ends need not be near each other
     roots = {p: p for p in points}
     found = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in components(links).collect()}
-    assert roots | found == brute_components(points, 4)
+    assert roots | found == want
+
+
+def test_a_dense_group_gives_few_links(spark):
+    """Whatever the number of trees and chunks that see it."""
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 2**63))
+    points = sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (900, 2))})
+    frame = spark.createDataFrame([(p.to_bytes(8, "big"),) for p in points], "fingerprint binary")
+    for shard_points in (20_000, 100):
+        links = simhash.links(frame, 4, simhash.disjoint_blocks(64, 5), 0, 24, shard_points).distinct()
+        assert len(points) - 1 <= links.count() <= 5 * len(points)  # one per tree, at most
+        assert components(links).select("root").distinct().count() == 1
+        known = frame.withColumn("label", F.lit(7))
+        assert simhash.links(known, 4, simhash.disjoint_blocks(64, 5), 0, 24, shard_points).count() == 0
+        halves = frame.withColumn("label", F.pmod(F.xxhash64("fingerprint"), F.lit(2)))
+        few = simhash.links(halves, 4, simhash.disjoint_blocks(64, 5), 0, 24, shard_points).distinct()
+        assert 1 <= few.count() <= len(points) / 4
 
 
 def test_border_points_visit_the_other_side():

@@ -14,8 +14,8 @@ points are copied; that is exact too. For distances too wide for that, ``trees``
 drawn at random find partners with the probability that one of them agrees.
 
 A shard of more than ``shard_points`` points is cut into chunks that meet in pairs, each pair in its own task.
-Tasks return a spanning forest of the links they find, not all pairs. Only what is linked enters the
-component rounds.
+Tasks return stars around the first fingerprint of each component they find, not all pairs; trees that see one group
+return the same links. Only what is linked enters the component rounds.
 
 Edge cases: a null text, like one without words, has fingerprint zero, and all of those link; rows that repeat
 have one fingerprint and one component; a null id never becomes a component's id unless it has no other; an
@@ -24,7 +24,7 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -38,6 +38,8 @@ from tracewarden.llm.components import components
 from tracewarden.session import cut_lineage
 
 SEED = 42
+#: Random trees whose links are joined before the other trees look for more.
+FIRST_TREES = 4
 HASHES_AT_ONCE = 1 << 15
 BITS_OF_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -146,22 +148,23 @@ def route(points: np.ndarray, mask: np.ndarray, tree: int, levels: int, radius:
     return rows, node
 
 
-def _shards(points: DataFrame, masks: np.ndarray, levels: int, radius: int) -> DataFrame:
-    """(shard, fingerprint): where each point is compared."""
+def _shards(points: DataFrame, masks: np.ndarray, levels: int, radius: int, first_tree: int) -> DataFrame:
+    """(shard, label, fingerprint): where each point is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = to_points(batch.column(0))
-            for tree, mask in enumerate(masks):
+            for tree, mask in enumerate(masks, first_tree):
                 rows, leaf = route(own, mask, tree, levels, radius)
                 shard = ((np.uint64(tree) << np.uint64(48)) | leaf).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(rows))], names=["shard", "fingerprint"])
+                taken = [batch.column(i).take(pa.array(rows)) for i in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *taken], names=["shard", "label", "fingerprint"])
 
-    return points.select("fingerprint").mapInArrow(run, "shard long, fingerprint binary")
+    return points.select("fingerprint", F.col("label").cast("long")).mapInArrow(run, "shard long, label long, fingerprint binary")
 
 
-def forest(points: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect whatever the links of at most ``distance`` bits connect.
+def clusters(points: np.ndarray, distance: int) -> np.ndarray:
+    """For each point the number of its component under links of at most ``distance`` bits.
 
     Each point taken up is compared with the points not yet reached, so a dense group costs little more than
     one comparison per point, and no pair list is built.
@@ -169,31 +172,73 @@ def forest(points: np.ndarray, distance: int) -> list[tuple[int, int]]:
     if len(points) <= 512:
         apart = np.bitwise_count(points[:, None] ^ points[None]).sum(axis=2, dtype=np.int64)
         if np.count_nonzero(apart <= distance) == len(points):
-            return []
-    links, rest = [], np.arange(len(points))
+            return np.arange(len(points))
+    labels, rest, label = np.zeros(len(points), np.int64), np.arange(len(points)), 0
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
+        labels[queue] = label
         while queue and len(rest):
             at = queue.pop()
             near = np.bitwise_count(points[rest] ^ points[at]).sum(axis=1, dtype=np.int64) <= distance
             if near.any():
-                links += [(at, x) for x in rest[near]]
+                labels[rest[near]] = label
                 queue += list(rest[near])
                 rest = rest[~near]
-    return links
+        label += 1
+    return labels
+
+
+def heads(labels: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each member the member of its component that ranks first."""
+    first = np.zeros(labels.max() + 1, np.int64)
+    order = np.argsort(rank)[::-1]
+    first[labels[order]] = order
+    return first[labels]
+
+
+def star_links(
+    own: np.ndarray, rank: np.ndarray, cluster: Callable[[np.ndarray], np.ndarray], label: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever a task's links connect, each to the first member of a component.
+
+    The member that ranks first is often the same wherever a group is seen, so trees repeat links. A task of two chunks (``own``
+    tells them apart) only links the first members of components its chunks have by themselves, as the chunks' own tasks link
+    the rest: fewer links than both have components. Members of one ``label`` are connected already: one of them is linked.
+    """
+    everyone = np.arange(len(own))
+    head = heads(cluster(everyone), rank)
+    members = everyone
+    if len(chunks := np.unique(own)) > 1:
+        inner = []
+        for chunk in chunks:
+            part = np.flatnonzero(own == chunk)
+            inner.append(part[heads(cluster(part), rank[part])])
+        members = np.unique(np.concatenate(inner))
+    if label is not None:
+        members = members[np.argsort(rank[members])]
+        members = members[np.unique(np.stack([head[members], label[members]]), axis=1, return_index=True)[1]]
+        members = members[label[members] != label[head[members]]]
+    members = members[head[members] != members]
+    return head[members], members
 
 
 def _compare(tasks: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) within each task; tasks arrive sorted, one after the other."""
+    """Links (a, b) within each task (shard, i, j) of the chunks ``own``; tasks arrive sorted, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        owned: list[np.ndarray] = []
+        labels: list[np.ndarray] = []
         current = None
 
         def close() -> Iterator[pa.RecordBatch]:
             points = np.concatenate(held) if held else np.zeros((0, 1), np.uint64)
-            if len(points) > 1 and (links := forest(points, distance)):
-                a, b = np.array(links).T
+            if len(points) < 2:
+                return
+            rank = np.empty(len(points), np.int64)
+            rank[np.lexsort(points.T[::-1])] = np.arange(len(points))
+            a, b = star_links(np.concatenate(owned), rank, lambda part: clusters(points[part], distance), np.concatenate(labels))
+            if len(a):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to_bytes(points[a]), pa.binary()), pa.array(to_bytes(points[b]), pa.binary())], names=["a", "b"]
                 )
@@ -202,30 +247,36 @@ def _compare(tasks: DataFrame, distance: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            points = to_points(batch.column(3))
+            own, label, points = batch.column(3).to_numpy(), batch.column(4).to_numpy(), to_points(batch.column(5))
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, end in zip([0, *cuts], [*cuts, len(points)], strict=True):
                 key = tuple(keys[start])
                 if key != current:
                     yield from close()
-                    held, current = [], key
+                    held, owned, labels, current = [], [], [], key
                 held.append(points[start:end])
+                owned.append(own[start:end])
+                labels.append(label[start:end])
         yield from close()
 
     return tasks.mapInArrow(run, "a binary, b binary")
 
 
 def links(
-    points: DataFrame, max_distance: int, masks: np.ndarray, radius: int, levels: int = 24, shard_points: int = 20_000
+    points: DataFrame, max_distance: int, masks: np.ndarray, radius: int, levels: int = 24, shard_points: int = 20_000, first_tree: int = 0
 ) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all pairs the trees bring together."""
-    routed = _shards(points, masks, levels, radius)
+    """Links (a, b) between distinct fingerprints that connect all pairs the trees bring together.
+
+    Points may carry a ``label``, a number that connected points share; without it each is alone."""
+    if "label" not in points.columns:
+        points = points.withColumn("label", F.monotonically_increasing_id())
+    routed = _shards(points, masks, levels, radius, first_tree)
     large = routed.groupBy("shard").count().filter(F.col("count") > shard_points)
     parts = large.select("shard", F.ceil(F.col("count") / shard_points).cast("long").alias("parts"))
     cut = routed.join(parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("parts"))
     met = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tasks = met.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint")
+    tasks = met.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "fingerprint")
     tasks = tasks.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
     return _compare(tasks, max_distance)
 
@@ -270,20 +321,20 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect whatever pairs of sets of at least that Jaccard similarity connect; exact.
+def set_clusters(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the number of its component under links of at least that Jaccard similarity; exact.
 
-    As in ``forest``, each set taken up is compared with all not yet reached.
+    As in ``clusters``, each set taken up is compared with all not yet reached.
     """
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(ids), bool)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     rest = np.flatnonzero(sizes)  # the empty set is like no other
+    labels = np.arange(len(sets))
     entries = ids
-    links = []
     while len(rest):
-        queue, entries, rest = [rest[0]], entries[sizes[rest[0]] :], rest[1:]
+        first, queue, entries, rest = rest[0], [rest[0]], entries[sizes[rest[0]] :], rest[1:]
         while queue and len(rest):
             at = queue.pop()
             own = ids[bounds[at] : bounds[at + 1]]
@@ -293,31 +344,37 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
             mark[own] = False
             near = shared * (1 + similarity) + 1e-9 >= similarity * (sizes[rest] + len(own))
             if near.any():
-                links += [(at, x) for x in rest[near]]
+                labels[rest[near]] = first
                 queue += list(rest[near])
                 entries, rest = entries[np.repeat(~near, sizes[rest])], rest[~near]
-    return links
+    return labels
 
 
 def _set_links(tasks: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between sets (set_key, shingles) within each task (root, i, j); tasks arrive sorted."""
+    """Links (a, b) between sets (set_key, shingles) within each task (root, i, j) of the chunks ``own``; tasks arrive sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
         sets: list[np.ndarray] = []
+        owned: list[int] = []
         current = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(sets) > 1 and (links := set_forest(sets, similarity)):
-                a, b = ([keys[x] for x in side] for side in zip(*links, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            if len(sets) < 2:
+                return
+            rank = np.empty(len(keys), np.int64)
+            rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+            links = star_links(np.array(owned), rank, lambda part: set_clusters([sets[x] for x in part], similarity))
+            if len(links[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in side], pa.binary()) for side in links], names=["a", "b"])
 
         for batch in batches:
-            for root, i, j, key, shingles in zip(*[batch.column(n) for n in range(5)], strict=True):
+            for root, i, j, own, key, shingles in zip(*[batch.column(n) for n in range(6)], strict=True):
                 if (task := (root.as_py(), i.as_py(), j.as_py())) != current:
                     yield from close()
-                    keys, sets, current = [], [], task
+                    keys, sets, owned, current = [], [], [], task
                 keys.append(key.as_py())
+                owned.append(own.as_py())
                 sets.append(np.frombuffer(shingles.as_py(), "<u8"))
         yield from close()
 
@@ -336,7 +393,8 @@ def near_copies(
     block_bits: int = 13,
     task_shingles: int = 1_000_000,
 ) -> DataFrame:
-    """(doc_id, component_id), one row per document: groups that links of Jaccard similarity ``similarity`` and more connect.
+    """(doc_id, component_id, text_hash, first), one row per document: groups that links of Jaccard similarity ``similarity`` and
+    more connect. ``first`` marks the rows of smallest id, then text hash, of their group; null ids come last.
 
     The similarity is that of the sets of word shingles, compared exactly. Fingerprints only tell what to compare: those
     that differ in no more bits than documents at the threshold do, ``deviations`` standard deviations more than on average,
@@ -346,8 +404,15 @@ def near_copies(
     hashed = narrow(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
     prints = cut_lineage(fingerprints(hashed, "text_hash", "text", words, bits).withColumnRenamed("doc_id", "text_hash").distinct())
     distance = max_distance_for(similarity, bits, deviations)
-    points = cut_lineage(prints.select("fingerprint").distinct())
-    near = components(links(points, distance, random_blocks(bits, trees, block_bits), 0))
+    points = cut_lineage(prints.select("fingerprint").distinct().withColumn("label", F.monotonically_increasing_id()))
+    masks = random_blocks(bits, trees, block_bits)
+    # a few trees connect most of a group; the others then add only what is not connected yet
+    known = components(links(points, distance, masks[:FIRST_TREES], 0))
+    rooted = points.join(known.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    shared = rooted.filter("root is not null").groupBy("root").agg(F.min("label").alias("shared"))
+    labelled = cut_lineage(rooted.join(shared, "root", "left").select("fingerprint", F.coalesce("shared", "label").alias("label")))
+    more = links(labelled, distance, masks[FIRST_TREES:], 0, first_tree=FIRST_TREES)
+    near = components(more.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = prints.join(near.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "text_hash", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -369,17 +434,18 @@ def near_copies(
     parts = sizes.filter("sets > 1").select("root", F.ceil(F.col("bytes") / (8 * task_shingles)).cast("long").alias("parts"))
     cut = sets.join(parts.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("set_key"), F.greatest("parts", F.lit(1))))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1)))
-    tasks = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key", "shingles")
+    tasks = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "shingles")
     linked = components(_set_links(tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), similarity))
     keyed = found.select("text_hash", "set_key").join(linked.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "text_hash", F.coalesce("root", "set_key").alias("group")
     )
     ids = hashed.select("doc_id", "text_hash").join(keyed.withColumnRenamed("text_hash", "of"), F.col("text_hash") == F.col("of"), "left").select(
-        "doc_id", F.coalesce("group", F.to_binary(F.hex("text_hash"), F.lit("hex"))).alias("group")
+        "doc_id", "text_hash", F.coalesce("group", F.to_binary(F.hex("text_hash"), F.lit("hex"))).alias("group")
     )
     ids = cut_lineage(ids)
-    least = ids.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(least, "group").select("doc_id", "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = ids.groupBy("group").agg(F.min(place).alias("least"))
+    return ids.join(least, "group").select("doc_id", F.col("least.doc_id").alias("component_id"), "text_hash", (place == F.col("least")).alias("first"))
 
 
 def max_distance_for(similarity: float, bits: int, deviations: float = 1.0) -> int:
