@@ -31,33 +31,51 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest id; rows that repeat go as well.
+    """One document of each group of near copies: the row of smallest id, then text hash; rows that repeat go as well.
+
+    Rows are told apart by id and text: of an id with several texts each is kept or goes by itself. Null ids come last in
+    their group; null and empty texts are one group of equal texts each; ties go to the smaller text hash; texts of any length are
+    whole; an empty table stays empty; other columns stay as they are, whatever their names.
 
     Near copies have five-word shingles of Jaccard similarity 0.8 and more, compared exactly. 256-bit fingerprints within 56
     bits tell what to compare: documents at the threshold differ in 39 bits on average, and in more than 56 with chance 0.002.
     Of 96 random blocks of 13 bits one agrees for a pair at 50 bits in 99.6 of 100 cases, at 45 bits in 99.95.
     """
     ship_package(spark)
-    found = simhash.near_copies(docs, SIMILARITY)
+    found = cut_lineage(simhash.near_copies(docs, SIMILARITY).filter("first").select("doc_id", "text_hash").distinct())
     rows, own, names = shield(docs)
-    same = W.partitionBy(own["doc_id"], F.xxhash64(own["text"])).orderBy(F.lit(1))
-    single = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth").toDF(*names)
-    return _matching(single, cut_lineage(found).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+    hashed = rows.withColumn("text_hash", F.xxhash64(own["text"]))
+    same = W.partitionBy(own["doc_id"], "text_hash").orderBy(F.lit(1))
+    single = hashed.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth")
+    kept = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of"))
+    return single.join(kept, own["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("of")), "left_semi").drop("text_hash").toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    An id goes with all its rows if one of them holds a passage, null ids alike; null and empty texts hold none and stay; texts of any
+    length are searched whole; an empty benchmark keeps everything; other columns stay as they are.
+    """
     ship_package(spark)
     return _matching(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the weights of the sources ask for."""
+    """Each document as often as the weights of the sources ask for.
+
+    A null source is a source of its own, the last; null and empty texts have size 0 and are drawn at the rate of their source; rows
+    that repeat are drawn each for itself, ties in size go by id; an empty table stays empty; other columns stay as they are.
+    """
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with size, shard and slot."""
+    """Documents with size, shard and slot; columns of those names are replaced, others stay.
+
+    A null text has size 1; null ids and rows that repeat have places of their own; ties are placed by text and id; an empty
+    table stays empty.
+    """
     return sharding.shard_documents(docs, shards=8)
 
 
