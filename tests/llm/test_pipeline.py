@@ -111,3 +111,11 @@ def test_set_forest_is_exact_in_chunks_of_any_size(spark):
                 if a == b or len(a & b) >= 0.8 * len(a | b):
                     root[j] = min(root[j], root[i])
     assert got[0] == got[1] == set(enumerate(root))
+
+
+def test_rows_of_one_id_are_kept_by_their_text(spark):
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(0, words("a")), (5, words("b")), (5, words("a") + " more"), (None, words("c")), (None, words("d")), (7, words("d")), (8, words("e")), (8, words("e") + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], SCHEMA)
+    kept = sorted(((r["doc_id"], r["text"][:2]) for r in p.near_dedup(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(0, "a0"), (5, "b0"), (None, "c0"), (7, "d0"), (8, "e0")], key=repr)
