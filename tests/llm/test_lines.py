@@ -6,36 +6,55 @@ from tracewarden.llm import lines
 SCHEMA = "doc_id long, text string, n_lines string, leaf long"
 
 
-def brute(rows, depth=3, min_tokens=4, min_docs=5, similarity=0.7):
-    texts = {t for _, t in rows if t is not None}
+def masked(line):
+    tokens = re.sub(r"[ \t\x0b\f\r]+", " ", line).split(" ")
+    return tuple("<*>" if re.search(r"[0-9@]|://", t) else t for t in tokens if t)
 
-    def tokens(line):
-        line = re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ")
-        return re.sub(r"[^ ]*(?:[0-9@]|://)[^ ]*", "<*>", line).split(" ")
 
-    seen, leaves = defaultdict(set), defaultdict(set)
+def recurring_by_hand(texts, depth, min_tokens, min_docs, similarity, long_tokens):
+    """The masked lines of recurring templates: equal lines, leaves that agree, and groups within leaves."""
+    seen = defaultdict(set)
     for text in texts:
         for line in text.split("\n"):
-            parsed = tuple(tokens(line))
-            if len(parsed) >= min_tokens:
-                seen[parsed].add(text)
-                leaves[(len(parsed), parsed[:depth])].add(parsed)
-    fixed = {line for line, where in seen.items() if len(where) >= min_docs}
-    general = set()
-    for leaf, own in leaves.items():
-        agree = [len({line[i] for line in own}) == 1 for i in range(leaf[0])]
-        if len(own) > 1 and sum(len(seen[line]) for line in own) >= min_docs and sum(agree) / len(agree) >= similarity:
-            general.add(leaf)
+            if len(tokens := masked(line)) >= min_tokens:
+                seen[tokens].add(text)
+    leaves = defaultdict(list)
+    for tokens in seen:
+        leaves[len(tokens), tokens[:depth]].append(tokens)
+    gone = {t for t, where in seen.items() if len(where) >= (min(2, min_docs) if sum(x != "<*>" for x in t) >= long_tokens else min_docs)}
+    for (size, _), own in leaves.items():
+        if len(own) < 2 or len(set().union(*(seen[t] for t in own))) < min_docs:
+            continue
+        positions = range(depth, size)
+        if not positions:
+            continue
+        texts_at = [defaultdict(int) for _ in range(size)]
+        for t in own:
+            for i in positions:
+                texts_at[i][t[i]] += len(seen[t])
+        if sum(len(texts_at[i]) == 1 for i in positions) >= similarity * len(positions):
+            gone.update(own)
+        total = sum(len(seen[t]) for t in own)
+        groups = defaultdict(set)
+        for share in lines.LEVELS:
+            for t in own:
+                kept = tuple((i, t[i]) for i in positions if texts_at[i][t[i]] >= max(min_docs, share * total))
+                if len(kept) >= similarity * len(positions):
+                    groups[kept].add(t)
+        for group in groups.values():
+            if len(group) > 1 and len(set().union(*(seen[t] for t in group))) >= min_docs:
+                gone.update(group)
+    return gone
+
+
+def brute(rows, depth=3, min_tokens=4, min_docs=5, similarity=0.7, long_tokens=50):
+    gone = recurring_by_hand({t for _, t in rows if t is not None}, depth, min_tokens, min_docs, similarity, long_tokens)
     out = []
     for i, text in rows:
         if text is None:
             out.append((i, None, 0, 0))
             continue
-        keep = []
-        for line in text.split("\n"):
-            parsed = tuple(tokens(line))
-            if not (len(parsed) >= min_tokens and (parsed in fixed or (len(parsed), parsed[:depth]) in general)):
-                keep.append(line)
+        keep = [line for line in text.split("\n") if masked(line) not in gone]
         n = len(text.split("\n"))
         out.append((i, "\n".join(keep), n, n - len(keep)))
     return sorted(out, key=repr)
