@@ -189,3 +189,11 @@ def test_bodies(spark):
     preview = values(spark, rows, payload.text_preview, "binary")
     assert preview[4] == "é" * 4096 and preview[5] is None and preview[6] is None
     assert values(spark, [bytearray(b"\xc3\xa9" * 3)], lambda c: payload.stored_body(c, 3), "binary") == ["é�"]
+
+
+def test_many_endpoints_of_one_file(spark):
+    """First per host in text order, for a file of thousands of settings."""
+    text = "\n".join(f'"api_url": "https://h{i * 7 % 900}.example.org/p{i}"' for i in range(4000))
+    (found,) = values(spark, [text], payload.extract_endpoints)
+    assert [e.host for e in found] == [f"h{i * 7 % 900}.example.org" for i in range(900)]
+    assert [e.pos for e in found] == list(range(900))

@@ -317,3 +317,12 @@ def test_expired_days_are_dropped(spark, tmp_path):
     rows.withColumn("dt", F.to_date(F.timestamp_millis("ts"))).write.partitionBy("dt").parquet(path)
     assert tables.drop_expired(spark, path, 15 * day, 5) == 20
     assert spark.read.parquet(path).agg(F.min("ts")).first()[0] == 10 * day
+
+
+def test_links_to_folders_are_not_followed(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "f.txt").write_text("x")
+    (tmp_path / "a" / "b" / "up").symlink_to(tmp_path / "a")
+    (tmp_path / "a" / "again").symlink_to(tmp_path / "a")
+    roots = spark.createDataFrame([("x", str(tmp_path / "a"))], "agent_id string, root string")
+    assert [r.path.rsplit("/", 1)[1] for r in inventory.read_tree(roots).collect()] == ["f.txt"]

@@ -222,8 +222,8 @@ def body_sha256(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def extract_endpoints(text: Column) -> Column:
-    """``array<struct<key,host,url,pos>>``: the first endpoint per host, in text order.
+def endpoint_matches(text: Column) -> Column:
+    """``array<struct<key,host,url,pos>>``: every endpoint setting of a text, in order.
 
     A key counts if its name is endpoint-shaped; one that merely ends in ``url`` counts as ``url``,
     and only for hosts that look like an API.
@@ -247,6 +247,19 @@ def extract_endpoints(text: Column) -> Column:
         key = F.when(e["word"].rlike(shaped), e["word"]).otherwise("url")
         return F.struct(key.alias("key"), e["host"].alias("host"), e["url"].alias("url"), e["pos"].alias("pos"))
 
-    kept = F.transform(F.filter(found, keep), named)
-    hosts = F.transform(kept, lambda e: e["host"])
-    return F.filter(kept, lambda e, i: F.array_position(hosts, e["host"]) == i + 1)
+    return F.transform(F.filter(found, keep), named)
+
+
+def extract_endpoints(text: Column) -> Column:
+    """The first of ``endpoint_matches`` per host, in text order.
+
+    Sorted by host and position, a match is its host's first if the one before it has another host; each is compared with its
+    neighbour only. Where rows are grouped anyway, group ``endpoint_matches`` instead.
+    """
+    by_host = F.array_sort(
+        F.transform(endpoint_matches(text), lambda e: F.struct(e["host"].alias("host"), e["pos"].alias("pos"), e["key"].alias("key"), e["url"].alias("url")))
+    )
+    before = F.concat(F.array(F.lit(None).cast("struct<host:string,pos:int,key:string,url:string>")), by_host)
+    first = F.filter(F.arrays_zip(by_host.alias("own"), before.alias("before")), lambda p: p["own"].isNotNull() & ~p["own"]["host"].eqNullSafe(p["before"]["host"]))
+    in_order = F.array_sort(F.transform(first, lambda p: F.struct(p["own"]["pos"].alias("pos"), p["own"]["key"].alias("key"), p["own"]["host"].alias("host"), p["own"]["url"].alias("url"))))
+    return F.transform(in_order, lambda e: F.struct(e["key"].alias("key"), e["host"].alias("host"), e["url"].alias("url"), e["pos"].alias("pos")))

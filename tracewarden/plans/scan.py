@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions.fmt import format_bytes
 from tracewarden.functions.net import is_benign_host
 from tracewarden.functions.paths import is_known_compressed, is_text_candidate
-from tracewarden.functions.payload import extract_endpoints, utf8_text
+from tracewarden.functions.payload import endpoint_matches, utf8_text
 from tracewarden.operators.joins import domain_allowed
 from tracewarden.operators.windows import endpoint_cap, first_endpoints
 from tracewarden.params import Params
@@ -87,7 +87,7 @@ def detect_unexpected_endpoints(
     found = (
         texts.select("agent_id", "path", text.alias("_text"))
         .filter(F.col("_text").contains("http"))
-        .select("agent_id", "path", F.inline(extract_endpoints(F.col("_text"))))
+        .select("agent_id", "path", F.inline(endpoint_matches(F.col("_text"))))
     )
     flagged = domain_allowed(found, "host", profiles, params.global_allowed_domains)
     odd = flagged.filter(~F.col("allowed") & ~is_benign_host(F.col("host"))).drop("allowed")

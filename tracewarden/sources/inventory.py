@@ -19,11 +19,14 @@ def read_tree(roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(path, size, mtime) of every file below the (agent_id, root) folders, hidden ones included.
 
     Folders are listed level by level. Each level is a frame of folders spread over the cluster,
-    so neither one deep root nor one broad folder list ends up in a single task.
+    so neither one deep root nor one broad folder list ends up in a single task. On a local file system a link to a
+    folder is not followed, so links that lead back to a folder above end the listing instead of repeating it.
     """
     listing = "root string, path string, size bigint, mtime bigint, is_dir boolean"
 
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
         from pyarrow import fs
 
         for batch in batches:
@@ -36,6 +39,7 @@ def read_tree(roots: DataFrame, max_depth: int | None = None) -> DataFrame:
                 rows = [
                     (root, f.path, f.size or 0, int((f.mtime_ns or 0) // 1_000_000_000), f.type == fs.FileType.Directory)
                     for f in found
+                    if not (isinstance(system, fs.LocalFileSystem) and f.type == fs.FileType.Directory and os.path.islink(f.path))
                 ]
                 yield pd.DataFrame(rows, columns=["root", "path", "size", "mtime", "is_dir"])
 
