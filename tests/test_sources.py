@@ -1,5 +1,6 @@
 import base64
 import gzip
+import random
 import zlib
 
 import pytest
@@ -326,3 +327,24 @@ def test_links_to_folders_are_not_followed(spark, tmp_path):
     (tmp_path / "a" / "again").symlink_to(tmp_path / "a")
     roots = spark.createDataFrame([("x", str(tmp_path / "a"))], "agent_id string, root string")
     assert [r.path.rsplit("/", 1)[1] for r in inventory.read_tree(roots).collect()] == ["f.txt"]
+
+
+def test_a_big_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(4)
+    data = bytes(rng.choice(b"abcdefgh\x00\xff") for _ in range(100_001))
+    (tmp_path / "big.bin").write_bytes(data)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    rows = [(str(tmp_path / "big.bin"), len(data)), (str(tmp_path / "empty.bin"), 0), (str(tmp_path / "gone.bin"), 7)]
+    files = spark.createDataFrame(rows, "path string, size bigint")
+    ranges = inventory.file_ranges(files, 1000).filter("path like '%big.bin'")
+    assert ranges.count() == 101
+    counted = inventory.byte_counts(files, 1000)
+    assert counted.agg(F.sum("n")).first()[0] == len(data)
+    assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().executedPlan().toString()  # many tasks, whatever the size of the rows
+    whole = {r.path.rsplit("/", 1)[1]: r.entropy for r in inventory.entropy_of_file(files, range_bytes=1000).collect()}
+    assert whole["big.bin"] == pytest.approx(inventory.bits_per_byte(data), abs=1e-6) and whole["empty.bin"] == whole["gone.bin"] == 0
+    for sample in (1, 999, 2500):
+        head = {r.path.rsplit("/", 1)[1]: r.entropy for r in inventory.entropy_of_file(files, sample, range_bytes=1000).collect()}
+        assert head["big.bin"] == pytest.approx(inventory.bits_per_byte(data[:sample]), abs=1e-6)
+    plan = inventory.entropy_of_file(files, range_bytes=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and "REPARTITION_BY_NUM" in plan

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,21 +169,52 @@ def _bits(counts: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-def _chunks(path: str, max_bytes: int | None, size: int = 4 << 20) -> Iterator[bytes]:
-    """A file piece by piece; nothing when it vanished or became unreadable since the listing."""
+def _chunks(path: str, start: int, length: int | None, size: int = 4 << 20) -> Iterator[bytes]:
+    """A stretch of a file piece by piece, to its end without a length; nothing when it vanished or became unreadable
+    since the listing."""
     from pyarrow import fs
 
     try:
         system, name = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(name) as handle:
-            left = max_bytes
-            while piece := handle.read(size if left is None else min(size, left)):
+        with system.open_input_file(name) as handle:
+            handle.seek(start)
+            while piece := handle.read(size if length is None else min(size, length)):
                 yield piece
-                left = None if left is None else left - len(piece)
+                length = None if length is None else length - len(piece)
     except OSError:
         return
 
 
+def file_ranges(files: DataFrame, range_bytes: int, sample_bytes: int | None = None) -> DataFrame:
+    """(path, start, length) of stretches that cover each file, or its first ``sample_bytes``; the last of a whole file is open."""
+    size = F.col("size") if sample_bytes is None else F.least("size", F.lit(sample_bytes))
+    last = F.greatest(F.ceil(size / range_bytes) - 1, F.lit(0))
+    cut = files.select("path", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i"), last.alias("last"))
+    rest = F.lit(None).cast("bigint") if sample_bytes is None else F.col("size") - F.col("i") * range_bytes
+    return cut.select(
+        "path", (F.col("i") * range_bytes).alias("start"), F.when(F.col("i") < F.col("last"), F.lit(range_bytes)).otherwise(rest).alias("length")
+    )
+
+
+def byte_counts(files: DataFrame, range_bytes: int, sample_bytes: int | None = None) -> DataFrame:
+    """(path, byte, n): how often each byte value stands in a file. Stretches of one file are counted by different tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _histogram(_chunks(path, start, length))
+                values = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(values), pa.string()), pa.array(values, pa.int32()), pa.array(found[values], pa.int64())], names=["path", "byte", "n"]
+                )
+
+    ranges = file_ranges(files.select("path", "size").distinct(), range_bytes, sample_bytes)
+    # the rows are tiny but their work is not: a number of its own keeps the engine from joining them into one task
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    counted = ranges.repartition(tasks, "path", "start").mapInArrow(count, "path string, byte int, n bigint")
+    return counted.groupBy("path", "byte").agg(F.sum("n").alias("n"))
+
+
 def shannon_entropy(df: DataFrame, binary_col: str, out: str = "entropy") -> DataFrame:
     """Adds bits per byte (float) of a binary column; empty or missing content gives 0."""
 
@@ -193,17 +225,18 @@ def shannon_entropy(df: DataFrame, binary_col: str, out: str = "entropy") -> Dat
     return df.withColumn(out, bits(F.col(binary_col)))
 
 
-def entropy_of_file(inventory: DataFrame, sample_bytes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """Adds ``entropy`` of each file, whole unless ``sample_bytes`` bounds it to the first bytes.
+def entropy_of_file(
+    inventory: DataFrame, sample_bytes: int | None = None, stored: DataFrame | None = None, range_bytes: int = 64 << 20
+) -> DataFrame:
+    """Adds ``entropy`` (bits per byte) of each file, whole unless ``sample_bytes`` bounds it to the first bytes.
 
-    Files are opened where their rows are and read in pieces whose byte counts add up; with a ``stored`` table
-    (path, content) no file is opened.
+    Files are read in stretches of ``range_bytes``, dealt to the tasks one by one, so a big file is the work of many; their byte
+    counts add up. With a ``stored`` table (path, content) no file is opened.
     """
     if stored is not None:
         return shannon_entropy(with_content(inventory, stored, sample_bytes), "content").drop("content")
-
-    @F.pandas_udf("float")
-    def bits(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda path: _bits(_histogram(_chunks(path, sample_bytes)))).astype("float32")
-
-    return inventory.withColumn("entropy", bits(F.col("path")))
+    counts = byte_counts(inventory, range_bytes, sample_bytes)
+    measured = counts.groupBy("path").agg(F.sum("n").alias("_total"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("_logs"))
+    bits = F.log2(F.col("_total").cast("double")) - F.col("_logs") / F.col("_total")
+    measured = measured.select("path", F.greatest(bits, F.lit(0.0)).cast("float").alias("entropy"))
+    return inventory.join(measured, "path", "left").select(*inventory.columns, F.coalesce("entropy", F.lit(0.0).cast("float")).alias("entropy"))
