@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden import schemas
 from tracewarden import telemetry as T
+from tracewarden.catalog import scanning
 from tracewarden.catalog.detection import FINDING, findings, http_requests, tables
 from tracewarden.catalog.oracle import END_MS, SINCE_MS, host_allowed, one_of
 from tracewarden.catalog.registry import query
@@ -249,31 +250,53 @@ def overview_stats(spark, sf_dir):
 
 
 def overview(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    artifacts = spark.createDataFrame([], schemas.ARTIFACTS)
+    artifacts = scanning.artifacts(spark, sf_dir)
     return Q.overview(
         {**tables(spark, sf_dir), "artifacts": artifacts}, agents(spark, sf_dir), statused(spark, sf_dir),
         T.profiles(spark), _installed(spark, sf_dir), SINCE_MS, _SUMMARY_AS_OF, tuple(GLOBAL_ALLOWED_DOMAINS),
     )
 
 
-def _panels(frames: dict[str, DataFrame]) -> DataFrame:
-    """A composition as (panel, document) rows."""
-    out = None
-    for name, frame in sorted(frames.items()):
-        part = S.export_json(frame).select(F.lit(name).alias("panel"), F.col("value").alias("document"))
-        out = part if out is None else out.unionByName(part)
-    return out
+_SINCE = f"WHERE ts >= {SINCE_MS}"
+_OVERVIEW = " UNION ALL ".join(
+    [
+        "SELECT 'agents' AS panel, id AS item, CAST(bytes_out_24h AS BIGINT) AS number FROM summary",
+        """SELECT 'artifacts', kind || '|' || path, size FROM (SELECT * FROM (SELECT path, size, 'hidden_blob' AS kind FROM blobs
+            UNION ALL SELECT path, CAST(0 AS BIGINT), 'unexpected_endpoint' FROM odd) ORDER BY size DESC, path, kind LIMIT 100)""",
+        f"SELECT 'bytes_out', 'bytes_out', (SELECT CAST(coalesce(sum(bytes_out), 0) AS BIGINT) FROM volumes {_SINCE})",
+        *[
+            f"SELECT 'counts', '{name}', (SELECT count(*) FROM {cte} {_SINCE})"
+            for cte, name in (("connections", "connections"), ("files", "file_events"), ("raw", "http_requests"), ("volumes", "volumes"))
+        ],
+        "SELECT 'destinations', agent_id || '|' || host, connections FROM dest",
+        """SELECT 'findings', rule_id || '|' || dedupe_key, ts FROM (
+            SELECT * FROM statused WHERE status = 'open' ORDER BY ts DESC, seq DESC, rule_id LIMIT 100)""",
+        "SELECT 'stats', 'urgent', (SELECT count(*) FROM statused WHERE status = 'open' AND severity >= 3)",
+        f"SELECT 'stats', 'installed', (SELECT count(*) FROM summary WHERE {_INSTALLED.replace('agent_id', 'id')})",
+        "SELECT 'stats', 'uploading', (SELECT count(*) FROM summary WHERE bytes_out_24h > 0)",
+        f"SELECT 'volume', CAST(ts // 900000 * 900000 AS VARCHAR), CAST(sum(bytes_out) AS BIGINT) FROM volumes {_SINCE} GROUP BY 2",
+    ]
+)
 
 
-@query(
-    "overview",
-    f"""SELECT 'agents' AS panel, (SELECT count(*) FROM seen) AS documents UNION ALL SELECT 'bytes_out', 1 UNION ALL SELECT 'counts', 1
-        UNION ALL SELECT 'destinations', (SELECT count(*) FROM dest) UNION ALL SELECT 'findings', (SELECT least(100, count(*)) FROM statused WHERE status = 'open')
-        UNION ALL SELECT 'stats', 1 UNION ALL SELECT 'volume', (SELECT count(DISTINCT ts // 900000) FROM volumes WHERE ts >= {SINCE_MS})""",
-    {**_SUMMARY, **_DEST},
-)
+@query("overview", _OVERVIEW, {**scanning.TABLES, **_SUMMARY, **_DEST})
 def overview_panels(spark, sf_dir):
-    return _panels(overview(spark, sf_dir)).groupBy("panel").agg(F.count(F.lit(1)).alias("documents"))
+    """Every panel's contents, as (panel, item, number)."""
+    shown = {
+        "agents": ("id", "bytes_out_24h"), "artifacts": (F.concat_ws("|", "kind", "path"), "size"),
+        "destinations": (F.concat_ws("|", "agent_id", "host"), "connections"),
+        "findings": (F.concat_ws("|", "rule_id", "dedupe_key"), "ts"), "volume": ("bucket", "bytes_out"),
+    }
+    out = None
+    for panel, frame in overview(spark, sf_dir).items():
+        if panel not in shown:  # one row, a number per column
+            pairs = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("bigint").alias("number")) for c in frame.columns])
+            part = frame.select(F.lit(panel).alias("panel"), F.inline(pairs))
+        else:
+            item, number = shown[panel]
+            part = frame.select(F.lit(panel).alias("panel"), (F.col(item) if isinstance(item, str) else item).cast("string").alias("item"), F.col(number).cast("bigint").alias("number"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

@@ -25,7 +25,7 @@ PARAMS = replace(VIEW_PARAMS, hidden_blob_bytes=1500, hidden_blob_entropy=4.25)
 
 _DIRS = ["/cache", "/a/b/c", "", "/1/2/3/4/5/6/7/8/9", "/conf"]
 _ENDS = [".json", ".bin", ".zip", ".txt"]
-_CTES = {
+TABLES = {
     "stored": f"""SELECT doc_id, 'agent-' || (doc_id % 17) AS agent_id, '/home/u/.agent-' || (doc_id % 17) AS root,
         CASE doc_id % 5 {' '.join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(_DIRS))} END AS dir,
         '/f' || doc_id || CASE doc_id % 4 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDS))} END AS name,
@@ -92,12 +92,12 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_configs(profiles.drop("config_files").join(own, "id"), homes)
 
 
-@query("ingest_file_inventory", "SELECT agent_id, root, path, size, doc_id AS mtime, depth, scannable FROM inventory", _CTES)
+@query("ingest_file_inventory", "SELECT agent_id, root, path, size, doc_id AS mtime, depth, scannable FROM inventory", TABLES)
 def file_inventory(spark, sf_dir):
     return inventory(spark, sf_dir)
 
 
-@query("dir_usage", "SELECT agent_id, root, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM inventory GROUP BY 1, 2", _CTES)
+@query("dir_usage", "SELECT agent_id, root, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM inventory GROUP BY 1, 2", TABLES)
 def dir_usage(spark, sf_dir):
     return Q.dir_usage(inventory(spark, sf_dir))
 
@@ -105,7 +105,7 @@ def dir_usage(spark, sf_dir):
 _RUNNING = "(SELECT count(*) FROM latest p WHERE p.pid % 5 = 0 AND 'agent-' || (p.pid % 17) = a.agent_id)"
 
 
-@query("installed_agents", "SELECT DISTINCT agent_id FROM inventory WHERE doc_id % 3 = 0", _CTES)
+@query("installed_agents", "SELECT DISTINCT agent_id FROM inventory WHERE doc_id % 3 = 0", TABLES)
 def installed_agents(spark, sf_dir):
     return _installed(spark, sf_dir)
 
@@ -119,7 +119,7 @@ def _installed(spark: SparkSession, sf_dir: str) -> DataFrame:
     "agent_inventory",
     f"""SELECT agent_id AS id, 'Agent ' || i AS name, 'vendor-' || (i % 4) AS vendor, agent_id IN (SELECT agent_id FROM stored WHERE doc_id % 3 = 0) AS installed,
         CAST(coalesce((SELECT sum(size) FROM inventory v WHERE v.agent_id = a.agent_id), 0) AS BIGINT) AS data_dir_bytes, {_RUNNING} AS running_processes FROM agents a""",
-    _CTES,
+    TABLES,
 )
 def agent_inventory(spark, sf_dir):
     running = T.processes(spark, sf_dir).filter(F.col("pid") % 5 == 0).withColumn(
@@ -129,7 +129,7 @@ def agent_inventory(spark, sf_dir):
     return Q.agent_inventory(T.profiles(spark), _installed(spark, sf_dir), usage, running)
 
 
-@query("entropy_of_file", "SELECT path, round(exact, 3) AS entropy FROM entropies", _CTES)
+@query("entropy_of_file", "SELECT path, round(exact, 3) AS entropy FROM entropies", TABLES)
 def file_entropy(spark, sf_dir):
     measured = entropy_of_file(inventory(spark, sf_dir), stored=contents(spark, sf_dir))
     return measured.select("path", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))
@@ -146,26 +146,26 @@ def entropy(spark, sf_dir):
     return measured.select("doc_id", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))
 
 
-@query("detect_hidden_blobs", "SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs", _CTES)
+@query("detect_hidden_blobs", "SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs", TABLES)
 def detect_hidden_blobs(spark, sf_dir):
     found = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, stored=contents(spark, sf_dir))
     return found.select("agent_id", "path", "size", "kind")
 
 
-@query("incremental_scan", "SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs WHERE doc_id % 3 != 0", _CTES)
+@query("incremental_scan", "SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs WHERE doc_id % 3 != 0", TABLES)
 def incremental_scan(spark, sf_dir):
     previous = files(spark, sf_dir).filter(F.col("mtime") % 3 == 0)
     found = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, previous, contents(spark, sf_dir))
     return found.select("agent_id", "path", "size", "kind")
 
 
-@query("detect_unexpected_endpoints", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM odd", _CTES)
+@query("detect_unexpected_endpoints", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM odd", TABLES)
 def detect_unexpected_endpoints(spark, sf_dir):
     found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, stored=contents(spark, sf_dir))
     return found.select("agent_id", "host", "path", "key")
 
 
-@query("scan_config_files", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM odd_configured", _CTES)
+@query("scan_config_files", "SELECT agent_id, host, path, 'telemetryendpoint' AS key FROM odd_configured", TABLES)
 def scan_config_files(spark, sf_dir):
     configs = config_files(spark, sf_dir)
     found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, configs, contents(spark, sf_dir))
@@ -176,14 +176,14 @@ def scan_config_files(spark, sf_dir):
     "endpoint_artifacts",
     f"""SELECT CAST({SCAN_TS} AS BIGINT) AS ts, agent_id, path, CAST(0 AS BIGINT) AS size, 'unexpected_endpoint' AS kind,
         'setting telemetryendpoint points to ' || host || ' outside the allow list (' || path || ')' AS detail FROM odd""",
-    _CTES,
+    TABLES,
 )
 def endpoint_artifacts(spark, sf_dir):
     found = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, stored=contents(spark, sf_dir))
     return C.endpoint_artifacts(found, SCAN_TS).drop("entropy")
 
 
-def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.scan_artifacts(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS, stored=contents(spark, sf_dir))
 
 
@@ -191,10 +191,10 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "list_artifacts",
     """SELECT * FROM (SELECT agent_id, path, size, 'hidden_blob' AS kind FROM blobs UNION ALL
         SELECT agent_id, path, CAST(0 AS BIGINT), 'unexpected_endpoint' FROM odd) ORDER BY size DESC, path LIMIT 200""",
-    _CTES,
+    TABLES,
 )
 def list_artifacts(spark, sf_dir):
-    return Q.list_artifacts(_artifacts(spark, sf_dir), 0, 200).select("agent_id", "path", "size", "kind")
+    return Q.list_artifacts(artifacts(spark, sf_dir), 0, 200).select("agent_id", "path", "size", "kind")
 
 
 _BLOB_FINDINGS = "SELECT 'artifact.hidden_blob' AS rule_id, CAST(2 AS INT) AS severity, agent_id, path AS dedupe_key FROM blobs"
@@ -202,18 +202,18 @@ _ENDPOINT_FINDINGS = "SELECT DISTINCT 'artifact.unexpected_endpoint' AS rule_id,
 _SHOWN = ["rule_id", "severity", "agent_id", "dedupe_key"]
 
 
-@query("rule_hidden_blob", _BLOB_FINDINGS, _CTES)
+@query("rule_hidden_blob", _BLOB_FINDINGS, TABLES)
 def rule_hidden_blob(spark, sf_dir):
     blobs = C.detect_hidden_blobs(inventory(spark, sf_dir), PARAMS, SCAN_TS, stored=contents(spark, sf_dir))
     return R.rule_hidden_blob(blobs, PARAMS).select(*_SHOWN)
 
 
-@query("rule_unexpected_endpoint", _ENDPOINT_FINDINGS, _CTES)
+@query("rule_unexpected_endpoint", _ENDPOINT_FINDINGS, TABLES)
 def rule_unexpected_endpoint(spark, sf_dir):
     endpoints = C.detect_unexpected_endpoints(inventory(spark, sf_dir), T.profiles(spark), PARAMS, stored=contents(spark, sf_dir))
     return R.rule_unexpected_endpoint(C.endpoint_artifacts(endpoints, SCAN_TS), PARAMS).select(*_SHOWN)
 
 
-@query("scan_findings", f"{_BLOB_FINDINGS} UNION ALL {_ENDPOINT_FINDINGS}", _CTES)
+@query("scan_findings", f"{_BLOB_FINDINGS} UNION ALL {_ENDPOINT_FINDINGS}", TABLES)
 def scan_findings(spark, sf_dir):
     return C.scan_findings(inventory(spark, sf_dir), T.profiles(spark), PARAMS, SCAN_TS, stored=contents(spark, sf_dir)).select(*_SHOWN)
