@@ -44,7 +44,7 @@ TABLES = {
     "big_entropies": """SELECT path, -sum(n / t * log2(n / t)) AS exact FROM (
         SELECT path, n, sum(n) OVER (PARTITION BY path) AS t FROM big_bytes) GROUP BY path""",
     "blobs": f"""SELECT big.* FROM big JOIN big_entropies USING (path) WHERE CAST(exact AS FLOAT) >= {PARAMS.hidden_blob_entropy}""",
-    "configured": """SELECT * FROM inventory WHERE doc_id < 400 AND doc_id % 20 = 1""",
+    "configured": """SELECT * FROM inventory WHERE doc_id % 40 = 1""",
     "odd_configured": f"""SELECT agent_id, page_host AS host, min(path) AS path FROM (SELECT * FROM inventory WHERE scannable AND doc_id % 4 IN (0, 3)
         UNION SELECT * FROM configured) i WHERE NOT {host_allowed('i.agent_id', 'i.page_host')} AND NOT {benign('page_host')} GROUP BY 1, 2""",
     "odd": f"""SELECT agent_id, page_host AS host, min(path) AS path FROM inventory i WHERE scannable AND doc_id % 4 IN (0, 3)
@@ -87,7 +87,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profiles' config files: one of the stored documents each, of an ending that the text search skips."""
     profiles, homes = _homes(spark)
-    names = files(spark, sf_dir).filter((F.col("mtime") < 400) & (F.col("mtime") % 20 == 1))
+    names = files(spark, sf_dir).filter(F.col("mtime") % 40 == 1)
     own = names.groupBy(F.regexp_extract("path", r"\.(agent-\d+)/", 1).alias("id")).agg(F.collect_list(F.regexp_replace("path", "^/home/u/", "~/")).alias("config_files"))
     return profile_configs(profiles.drop("config_files").join(own, "id"), homes)
 
