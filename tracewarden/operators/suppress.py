@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from tracewarden.session import cut_lineage, in_portions, ship_package
 
-# A block spans at most this many windows, and about this many milliseconds: the distinct
-# instants of a block, and with them a task's memory, are bounded by its duration.
+# A block spans at most this many windows, and about this many rows, or one window of more: a task holds the distinct instants of a block.
 BLOCK_WINDOWS = 64
-BLOCK_MS = 8_000_000
+BLOCK_ROWS = 1_000_000
 NEVER = 1 << 60
 
 
@@ -45,15 +44,16 @@ def suppress_repeats(
     rows = cut_lineage(rows.withColumn("_cell", F.floor(F.col("ts") / F.greatest("_w", F.lit(1))).cast("bigint")))
     limited = rows.filter("_w > 0")
     rest = [c for c in hits.columns if c not in (*keys, "ts", "seq")]
-    cells = limited.groupBy(*keys, "_w", "_cell").agg(F.min(F.struct("ts", "seq", *rest)).alias("_row"), F.max("ts").alias("_last"))
+    cells = limited.groupBy(*keys, "_w", "_cell").agg(F.min(F.struct("ts", "seq", *rest)).alias("_row"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_n"))
     cells = cut_lineage(_runs(cells, keys, block_windows))
     kept = cells.filter("_begins").select(*keys, "_row.*").select(*hits.columns)
     kept = kept.unionByName(rows.filter("_w <= 0").select(*hits.columns))
-    linked = cells.filter("not _alone").drop("_row", "_last")
-    if linked.isEmpty():
+    linked = cells.filter("not _alone").drop("_row", "_last", "_n")
+    most = linked.agg(F.max("_blocks")).first()[0]
+    if most is None:
         return kept
     times = limited.select(*keys, "_cell", "ts").join(linked, [*keys, "_cell"]).select(*RUN, "ts").distinct()
-    later = _follow_runs(times).join(linked.select(*keys, "_run", "_cell"), ["_run", "_cell"]).select(*keys, "_cell", "ts")
+    later = _follow_runs(times, most > 0).join(linked.select(*keys, "_run", "_cell"), ["_run", "_cell"]).select(*keys, "_cell", "ts")
     # several hits at one instant: only the first may stay
     found = limited.join(later, [*keys, "_cell", "ts"], "left_semi").groupBy(*keys, "ts").agg(F.min(F.struct("seq", *rest)).alias("_row"))
     return kept.unionByName(found.select(*keys, "ts", "_row.*").select(*hits.columns))
@@ -75,16 +75,17 @@ def _runs(cells: DataFrame, keys: list[str], block_windows: int) -> DataFrame:
     marked = marked.withColumn("_alone", F.col("_begins") & F.coalesce(F.lead("_begins").over(by_key), F.lit(True)))
     first = F.when(F.col("_begins"), F.struct(F.monotonically_increasing_id().alias("run"), F.col("_cell").alias("cell"), F.col("_row.ts").alias("ts")))
     marked = marked.withColumn("_first", first).withColumn("_first", F.last("_first", ignorenulls=True).over(so_far))
-    width = F.greatest(F.lit(2), F.least(F.lit(block_windows), F.floor(F.lit(BLOCK_MS) / F.col("_w"))))
-    block = F.floor((F.col("_cell") - F.col("_first.cell")) / width)
-    marked = marked.withColumns({
-        "_run": F.col("_first.run"), "_begin": F.col("_first.ts"), "_block": block.cast("bigint"),
-        "_start": ((F.col("_first.cell") + block * width) * F.col("_w")).cast("bigint"),
-    })
+    marked = marked.withColumns({"_run": F.col("_first.run"), "_begin": F.col("_first.ts")})
+    in_run = Window.partitionBy(*keys, "_run").orderBy("_cell")
+    earlier = F.coalesce(F.sum("_n").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # both parts only grow along a run, so their sum changes where either does
+    by_windows = F.floor((F.col("_cell") - F.col("_first.cell")) / F.lit(max(block_windows, 2)))
+    marked = marked.withColumn("_block", (by_windows + F.floor(earlier / F.lit(BLOCK_ROWS))).cast("bigint"))
+    marked = marked.withColumn("_start", F.min("_cell").over(Window.partitionBy(*keys, "_run", "_block")) * F.col("_w"))
     return marked.withColumn("_blocks", F.max("_block").over(Window.partitionBy(*keys, "_run"))).drop("_first")
 
 
-def _follow_runs(times: DataFrame) -> DataFrame:
+def _follow_runs(times: DataFrame, blocked: bool) -> DataFrame:
     """(_run, _cell, ts) of the kept hits of runs after their first, from the distinct times of their hits.
 
     From a time ``t`` on, the next kept hit is the first one at or after ``t``, and the search resumes a window later. Runs are
@@ -92,17 +93,18 @@ def _follow_runs(times: DataFrame) -> DataFrame:
     enters a further block less than one window after the block's start, so only the hits of its first window, and the
     first hit after that, can be the block's first kept hit. For each of these entries the block's last kept hit (its exit)
     is found; following entry to exit runs over that small table. A last pass lists the kept hits per block. All passes stream
-    over sorted rows and hold one block at a time; runs of one block, the usual case, take part in the last pass only.
+    over sorted rows and hold one block at a time; runs of one block, the usual case, take part in the last pass only, and the
+    others are left out of the plan unless a run is ``blocked``.
     """
     parts = ["_run", "_w", "_block", "_start"]
-    long_runs = times.filter("_blocks > 0").select(*parts, "ts")
-    exits = _sorted(long_runs, ["_run", "_block"], "ts").mapInArrow(_exits, "_run bigint, _w bigint, _block bigint, _entry bigint, _exit bigint")
-    picks = _sorted(exits, ["_run"], "_block", "_entry").mapInArrow(_chain, "_run bigint, _block bigint, _free bigint")
-    entered = times.filter("_block > 0").join(picks, ["_run", "_block"]).select(*parts, "ts", "_free")
-    entered = times.filter("_block = 0").select(*parts, "ts", (F.col("_begin") + F.col("_w")).alias("_free")).unionByName(entered)
+    entered = times.filter("_block = 0").select(*parts, "ts", (F.col("_begin") + F.col("_w")).alias("_free"))
+    if blocked:
+        long_runs = times.filter("_blocks > 0").select(*parts, "ts")
+        exits = _sorted(long_runs, ["_run", "_block"], "ts").mapInArrow(_exits, "_run bigint, _w bigint, _block bigint, _entry bigint, _exit bigint")
+        picks = _sorted(exits, ["_run"], "_block", "_entry").mapInArrow(_chain, "_run bigint, _block bigint, _free bigint")
+        entered = entered.unionByName(times.filter("_block > 0").join(picks, ["_run", "_block"]).select(*parts, "ts", "_free"))
     # a third column: a repartition by the join's own keys would be taken for done, and a join turned broadcast undoes it
-    kept = _sorted(entered, ["_run", "_block", "_start"], "ts").mapInArrow(_list_kept, "_run bigint, _cell bigint, ts bigint")
-    return kept
+    return _sorted(entered, ["_run", "_block", "_start"], "ts").mapInArrow(_list_kept, "_run bigint, _cell bigint, ts bigint")
 
 
 def _sorted(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -144,7 +146,7 @@ def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def of(group: dict) -> dict[str, np.ndarray]:
         t, window = group["ts"], group["_w"]
         entries = np.arange(min(np.searchsorted(t, group["_start"] + window) + 1, len(t)))
-        last = t[_follow(t, entries, window)[-1]]
+        last = t[_ends(t, entries, window)]
         # neighbours with one exit are interchangeable: keep the latest entry of each run
         keep = np.append(last[1:] != last[:-1], True)
         size = int(keep.sum())
@@ -172,19 +174,26 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _list_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def of(group: dict) -> dict[str, np.ndarray]:
         t = group["ts"]
-        first = np.searchsorted(t, group["_free"][0])
-        kept = t[np.unique(np.concatenate(_follow(t, np.array([first]), group["_w"])))] if first < len(t) else t[:0]
+        kept = t[_follow(t, int(np.searchsorted(t, group["_free"][0])), group["_w"])]
         return {"_run": np.full(len(kept), group["_run"], np.int64), "_cell": kept // group["_w"], "ts": kept}
 
     yield from _portions(map(of, _groups(batches)))
 
 
-def _follow(t: np.ndarray, at: np.ndarray, window_ms: int) -> list[np.ndarray]:
-    """Positions visited from ``at``, one array per step; chains that end stay where they are."""
-    path = [at]
+def _ends(t: np.ndarray, at: np.ndarray, window_ms: int) -> np.ndarray:
+    """Positions at which the chains from ``at`` end."""
     while True:
-        following = np.searchsorted(t, t[path[-1]] + window_ms)
+        following = np.searchsorted(t, t[at] + window_ms)
         going = following < len(t)
         if not going.any():
-            return path
-        path.append(np.where(going, following, path[-1]))
+            return at
+        at = np.where(going, following, at)
+
+
+def _follow(t: np.ndarray, at: int, window_ms: int) -> np.ndarray:
+    """Positions visited from ``at``."""
+    path = []
+    while at < len(t):
+        path.append(at)
+        at = int(np.searchsorted(t, t[at] + window_ms))
+    return np.array(path, np.int64)

@@ -264,22 +264,34 @@ def _show_sensitive_read(hits: DataFrame) -> DataFrame:
     )
 
 
+def bulk_counts(file_events: DataFrame, params: Params) -> DataFrame:
+    """Reads at which the distinct paths of the window reach the threshold."""
+    counted = rolling_distinct_reads(_reads(file_events, params), params.bulk_read_window_ms, slice_ms=params.slice_ms)
+    return counted.filter(F.col("distinct_paths") >= params.bulk_read_files)
+
+
 def bulk_reads(file_events: DataFrame, params: Params) -> DataFrame:
-    """Reads at which the distinct paths of the window reach the threshold, with ``sample_paths`` of the window's
-    paths, or all if it has fewer.
+    """Reads at which the distinct paths of the window reach the threshold, with ``samples``."""
+    # counted once: the samples need the cells of these reads besides
+    return with_samples(cut_lineage(bulk_counts(file_events, params)), file_events, params)
+
+
+def with_samples(bulk: DataFrame, file_events: DataFrame, params: Params) -> DataFrame:
+    """Adds ``samples``: ``sample_paths`` of the window's paths, or all if it has fewer.
 
     A window ends in the hit's window-wide time cell and begins in the one before. Per cell one small row keeps
     the first paths, of which those up to the hit count, and the last ones, of which those since the window's start
-    count for a hit in the next cell. Twice as many last paths are kept, as up to that many may be the same.
+    count for a hit in the next cell. Twice as many last paths are kept, as up to that many may be the same. Only reads
+    of cells that a hit looks at are ranked.
     """
     reads = _reads(file_events, params)
     window = params.bulk_read_window_ms
-    counted = rolling_distinct_reads(reads, window, slice_ms=params.slice_ms)
-    bulk = counted.filter(F.col("distinct_paths") >= params.bulk_read_files)
     cell = F.floor(F.col("ts") / F.lit(window))
     keys = ["agent_id", "repo_root", "_cell"]
+    hit_cells = bulk.select("agent_id", "repo_root", F.explode(F.array(cell, cell - 1)).alias("_cell")).distinct()
     at = F.struct("ts", "seq")
-    per_path = reads.groupBy("agent_id", "repo_root", cell.alias("_cell"), "path").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    near = reads.withColumn("_cell", cell).join(hit_cells, keys, "left_semi")
+    per_path = near.groupBy(*keys, "path").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     few, more = params.sample_paths, 2 * params.sample_paths
 
     def ends(order: Column, moment: str, count: int, out: str) -> DataFrame:
@@ -328,8 +340,11 @@ def bulk_read_hits(bulk: DataFrame, params: Params) -> DataFrame:
 def rule_bulk_read(
     file_events: DataFrame, params: Params, bulk: DataFrame | None = None, run: Increment | None = None
 ) -> DataFrame:
-    bulk = bulk_reads(file_events, params) if bulk is None else bulk
-    return _show_bulk_read(keep_first(bulk_read_hits(bulk, params), params, run), params)
+    if bulk is not None:
+        return _show_bulk_read(keep_first(bulk_read_hits(bulk, params), params, run), params)
+    # only hits that are reported need samples
+    kept = cut_lineage(keep_first(bulk_read_hits(bulk_counts(file_events, params), params), params, run))
+    return _show_bulk_read(with_samples(kept, file_events, params), params)
 
 
 def _show_bulk_read(hits: DataFrame, params: Params) -> DataFrame:
