@@ -34,7 +34,7 @@ from tracewarden.llm.common import narrow
 
 GRAMS = (12, 8, 5, 3, 2, 1)
 CHARS_AT_ONCE = 1 << 20
-SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
+ALIGNED_AT_ONCE = 2048
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     capital = ((codes >= 65) & (codes <= 90)) | ((codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7))
     codes = np.where(capital, codes + 32, codes).astype(np.uint32)
-    space = np.isin(codes, SPACES)
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     codes[space] = 32
     keep = np.ones(len(codes), bool)
     keep[1:] = ~(space[1:] & space[:-1])
@@ -75,7 +75,7 @@ class Unit:
 
 @dataclass
 class Index:
-    """The units of one q, their q-grams sorted by hash, and a filter on the hash's top bits."""
+    """The units of one q, their q-grams sorted by hash, and a filter on the hash's top bits, 16 or more for each q-gram."""
 
     q: int
     units: list[Unit]
@@ -83,6 +83,10 @@ class Index:
     unit: np.ndarray = field(init=False)
     at: np.ndarray = field(init=False)
     maybe: np.ndarray = field(init=False)
+    bits: int = field(init=False)
+    size: np.ndarray = field(init=False)
+    edits: np.ndarray = field(init=False)
+    least: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         grams = [rolling(u.codes, self.q) for u in self.units]
@@ -91,12 +95,16 @@ class Index:
         self.hashes = hashes[order]
         self.unit = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.at = np.concatenate([np.arange(len(g)) for g in grams])[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[_top(self.hashes)] = True
+        self.bits = max(20, (16 * len(hashes)).bit_length())
+        self.maybe = np.zeros(1 << self.bits, bool)
+        self.maybe[_top(self.hashes, self.bits)] = True
+        self.size = np.array([len(u.codes) for u in self.units])
+        self.edits = np.array([u.edits for u in self.units])
+        self.least = np.array([u.least for u in self.units])
 
 
-def _top(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def units_of(item: object, text: str | None, error_rate: float, window: int, min_chars: int = 1) -> list[Unit]:
@@ -140,20 +148,30 @@ def _stands(unit: Unit, codes: np.ndarray, start: int, stop: int) -> bool:
 
 
 def align(pattern: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits to fit the whole pattern into each text of equal width, and where the fit ends.
+    """Least edits to fit a whole pattern into each text of equal width, and where the fit ends.
 
     Only cells within the band are computed: row i of the table covers the text positions i to i + band.
-    ``texts`` (count x (len(pattern) + band)) are padded with zeros.
+    ``texts`` (count x (length of the pattern + band)) are padded with zeros; ``pattern`` is one for all or one for each.
     """
-    count, band = len(texts), texts.shape[1] - len(pattern)
-    slope = np.arange(band + 1, dtype=np.int32)
-    row = np.zeros((count, band + 1), np.int32)
-    for i, code in enumerate(pattern):
-        step = row + (texts[:, i : i + band + 1] != code)
-        np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])  # a character of the pattern is missing
-        row = np.minimum.accumulate(step - slope, axis=1) + slope  # a character of the text is extra
+    patterns = np.atleast_2d(pattern)
+    size = patterns.shape[1]
+    count, band = len(texts), texts.shape[1] - size
+    kind = np.int16 if texts.shape[1] + size < 1 << 14 else np.int32
+    slope = np.arange(band + 1, dtype=kind)
+    row = np.zeros((count, band + 1), kind)
+    for i in range(size):
+        step = row + (texts[:, i : i + band + 1] != patterns[:, i : i + 1])
+        np.minimum(step[:, :-1], row[:, 1:] + kind(1), out=step[:, :-1])  # a character of the pattern is missing
+        step -= slope
+        row = np.minimum.accumulate(step, axis=1, out=step)  # a character of the text is extra
+        row += slope
     best = row.argmin(axis=1)
-    return row[np.arange(count), best], best + len(pattern)
+    return row[np.arange(count), best].astype(np.int64), best + size
+
+
+def _cut(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The codes at the places, zero outside of the text."""
+    return np.where((at >= 0) & (at < len(codes)), codes[np.clip(at, 0, len(codes) - 1)], 0)
 
 
 def _pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -182,51 +200,73 @@ def _blocks(pieces: Iterator[tuple], gap: int) -> Iterator[tuple[np.ndarray, lis
         yield np.concatenate([*parts, np.zeros(gap, np.uint32)]), marks
 
 
-def _candidates(index: Index, codes: np.ndarray) -> Iterator[tuple[Unit, np.ndarray]]:
-    """Each unit with the first diagonals of the bands that hold enough of its q-grams."""
+def _candidates(index: Index, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit and first diagonal of each band that holds enough of the unit's q-grams, and the least diagonal within reach of the
+    band's alignment on which the unit stands without edits, or -1."""
     hashes = rolling(codes, index.q)
-    places = np.flatnonzero(index.maybe[_top(hashes)])
+    places = np.flatnonzero(index.maybe[_top(hashes, index.bits)])
     low = np.searchsorted(index.hashes, hashes[places], "left")
     many = np.searchsorted(index.hashes, hashes[places], "right") - low
     places, low, many = places[many > 0], low[many > 0], many[many > 0]
     if not len(places):
-        return
+        return (np.zeros(0, np.int64),) * 3
     entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     unit, diagonal = index.unit[entry], np.repeat(places, many) - index.at[entry]
-    step = np.array([u.edits + 1 for u in index.units])[unit]
-    band = diagonal // step
+    band = diagonal // (index.edits[unit] + 1)
     reach = len(codes) + 2
     key = unit * reach + band + 1  # bands of two steps: each hit lies in the one that begins here and in the one before
     found, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    least = np.array([u.least for u in index.units])
-    found = found[counts >= least[found // reach]]
-    for u in np.unique(found // reach):
-        one = index.units[u]
-        yield one, (found[found // reach == u] % reach - 1) * (one.edits + 1)
+    found = found[counts >= index.least[found // reach]]
+    of, first = found // reach, (found % reach - 1) * (index.edits[found // reach] + 1)
+    # where all q-grams of a unit lie on one diagonal it stands there as it is, codes compared
+    wanted = np.isin(unit, of) & (diagonal >= 0)
+    same, counts = np.unique(unit[wanted] * reach + diagonal[wanted], return_counts=True)
+    same = same[counts == index.size[same // reach] - index.q + 1]
+    stands = [np.array_equal(codes[k % reach : k % reach + index.size[k // reach]], index.units[k // reach].codes) for k in same]
+    same = np.append(same[np.array(stands, bool)], np.iinfo(np.int64).max)
+    start = of * reach + np.maximum(first - index.edits[of], 0)
+    next_same = same[np.searchsorted(same, start)]
+    last = of * reach + np.minimum(first + 3 * index.edits[of] + 2, reach - 1)
+    return of, first, np.where(next_same <= last, next_same - of * reach, -1)
+
+
+def _aligned(index: Index, codes: np.ndarray, of: np.ndarray, first: np.ndarray, width: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Cost and length of the best fit of unit ``of`` into the ``width`` characters and its own length after, or before, ``first``."""
+    cost, length = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    shapes, shape = np.unique(np.stack([index.size[of], width], axis=1), axis=0, return_inverse=True)
+    for number, (size, band) in enumerate(shapes.tolist()):
+        chosen = np.flatnonzero(shape.reshape(-1) == number)
+        for begin in range(0, len(chosen), ALIGNED_AT_ONCE):
+            part = chosen[begin : begin + ALIGNED_AT_ONCE]
+            along = np.arange(size + band)
+            patterns = np.stack([index.units[u].codes[::-1] if back else index.units[u].codes for u in of[part].tolist()])
+            texts = _cut(codes, first[part, None] + (-along if back else along))
+            cost[part], length[part] = align(patterns, texts)
+    return cost, length
 
 
 def _matches(index: Index, codes: np.ndarray) -> Iterator[tuple[Unit, int, int, int]]:
-    """(unit, start, end, edits) of every fit."""
-    for unit, diagonals in _candidates(index, codes):
-        m, band = len(unit.codes), 2 * (unit.edits + 1) + 2 * unit.edits
-        first = diagonals - unit.edits
-        at = first[:, None] + np.arange(m + band)
-        texts = np.where((at >= 0) & (at < len(codes)), codes[np.clip(at, 0, len(codes) - 1)], 0)
-        cost, end = align(unit.codes, texts)
-        fits = cost <= unit.edits
-        ends = (first + end)[fits]
-        if not len(ends):
-            continue
-        # the same band alignment from the end backwards gives the start
-        back = ends[:, None] + unit.edits - 1 - np.arange(m + 2 * unit.edits)
-        turned = np.where((back >= 0) & (back < len(codes)), codes[np.clip(back, 0, len(codes) - 1)], 0)
-        _, length = align(unit.codes[::-1], turned)
-        length = length - unit.edits
-        seen = set()
-        for stop, size, edits in zip(ends.tolist(), length.tolist(), cost[fits].tolist(), strict=True):
-            if stop not in seen and (not unit.apart or _stands(unit, codes, stop - size, stop)):
-                seen.add(stop)
-                yield unit, stop - size, stop, edits
+    """(unit, start, end, edits) of every fit; bands that hold the unit as it is need no alignment."""
+    of, first, same = _candidates(index, codes)
+    edits = index.edits[of]
+    cost, end = np.zeros(len(of), np.int64), same + index.size[of]
+    open_ = np.flatnonzero(same < 0)
+    begin = (first - edits)[open_]
+    cost[open_], length = _aligned(index, codes, of[open_], begin, (4 * edits + 2)[open_], False)
+    end[open_] = begin + length
+    fits = np.flatnonzero(cost <= edits)
+    _, once = np.unique(np.stack([of[fits], end[fits]], axis=1), axis=0, return_index=True)
+    fits = fits[np.sort(once)]
+    # the same band alignment from the end backwards gives the start
+    size = index.size[of[fits]]
+    back = np.flatnonzero(same[fits] < 0)
+    chosen = fits[back]
+    _, length = _aligned(index, codes, of[chosen], end[chosen] + edits[chosen] - 1, 2 * edits[chosen], True)
+    size[back] = length - edits[chosen]
+    for u, length, stop, least in zip(of[fits].tolist(), size.tolist(), end[fits].tolist(), cost[fits].tolist(), strict=True):
+        unit = index.units[u]
+        if not unit.apart or _stands(unit, codes, stop - length, stop):
+            yield unit, stop - length, stop, least
 
 
 def _scan(texts: list[str | None], indexes: list[Index]) -> list[tuple]:
