@@ -3,10 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import slices, windows
+from tracewarden.operators import slices, suppress, windows
 from tracewarden.operators.suppress import suppress_repeats
 
 SCHEMA = "seq bigint, ts bigint, agent_id string, bytes_out bigint, path string, repo_root string"
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def make(seed, n, span, agents=("a", "a", "a", "b", "c")):
@@ -75,6 +76,33 @@ def test_suppression_across_many_blocks(spark):
         assert {r.seq for r in got.collect()} == greedy(rows, window)
 
 
+@pytest.mark.parametrize("block_rows", [1, 40])
+def test_suppression_in_blocks_of_few_rows(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(suppress, "BLOCK_ROWS", block_rows)
+    rows = make(4, 1500, 30_000)
+    for window in (20, 300):
+        got = suppress_repeats(shuffled(spark, rows), ["agent_id"], window)
+        assert {r.seq for r in got.collect()} == greedy(rows, window)
+
+
+def test_suppression_of_single_cells_of_gaps_and_of_bursts(spark):
+    # alone; exactly one window later; a run over an empty stretch of its cells; many hits at one instant; a null key
+    times = [-25, -15, 0, 9, 10, 19, 40, 40, 40, 49, 51, 59, 61, 100, 109, 110, 111, 120]
+    rows = [(i, t, a, 0, "/p", None) for a, first in (("a", 0), ("b", 100)) for i, t in enumerate(times, first)]
+    got = suppress_repeats(shuffled(spark, [*rows, (999, 5, None, 0, "/p", None)]), ["agent_id"], 10)
+    assert {r.seq for r in got.collect()} == greedy(rows, 10)
+    assert got.columns == SCHEMA_NAMES
+    assert suppress_repeats(shuffled(spark, rows).limit(0), ["agent_id"], 10).count() == 0
+
+
+def test_suppression_with_a_window_for_each_rule(spark):
+    rows = make(5, 400, 3000)
+    windows_of = {"a": 50, "b": 0}
+    got = suppress_repeats(shuffled(spark, rows), ["agent_id"], windows_of)
+    by_hand = {w: {i for i in greedy([r for r in rows if r[2] == w], windows_of.get(w, 1 << 60))} for w in ("a", "c")}
+    assert {r.seq for r in got.collect()} == by_hand["a"] | by_hand["c"] | {r[0] for r in rows if r[2] == "b"}
+
+
 def test_as_of(spark):
     right = spark.createDataFrame([("k", 10, 1, "x"), ("k", 20, 5, "y"), ("j", 1, 2, "z")], "key string, ts bigint, seq bigint, v string")
     left = spark.createDataFrame([("k", 9, 0), ("k", 10, 3), ("k", 20, 4), ("k", 20, 6), ("k", 95, 9), ("m", 5, 7)], "key string, ts bigint, seq bigint")
