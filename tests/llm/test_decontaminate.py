@@ -100,3 +100,41 @@ def test_parts_of_items_and_short_items(spark):
     items = spark.createDataFrame([(1, LONG), (2, middle), (3, "Red-brown fox"), (4, "yes")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs, items).collect()}
     assert got == {(0, 1), (1, 1), (2, 2), (4, 3), (6, 4)}
+
+
+def units(items):
+    return [u for i, t in items for u in d.all_units(i, t, 0.1, 200, 84, 36, 20, 8)]
+
+
+def found(text, of_items):
+    return d._scan([text], [d.Index(q, [u for u in of_items if u.q == q]) for q in sorted({u.q for u in of_items})])
+
+
+def test_every_part_of_119_characters_is_found():
+    of_items = units([(1, ITEM), (2, LONG)])
+    for start in range(0, len(LONG) - 119, 7):
+        assert 2 in {h[1] for h in found("before it " + LONG[start : start + 119] + " after it", of_items)}, start
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_are_found_as_by_brute_force(seed):
+    """Verbatim, edited and foreign stretches: a unit is reported if and only if it fits somewhere with its edits."""
+    rng = np.random.default_rng(seed)
+    of_items = units([(1, ITEM), (2, LONG)])
+    text = "an introduction without any relation, "
+    for edits in (0, 4, 9, 25):
+        start = int(rng.integers(0, len(LONG) - 150))
+        piece = list(LONG[start : start + 150])
+        for _ in range(edits):
+            piece[int(rng.integers(len(piece)))] = "#"
+        text += "".join(piece) + " and then something else, "
+    plain = "".join(map(chr, d.normal(text)[0]))
+    want = {(u.item, u.offset, len(u.codes)) for u in of_items if distance([chr(c) for c in u.codes], plain) <= u.edits}
+    matches = []
+    codes = np.concatenate([np.zeros(300, np.uint32), d.normal(text)[0], np.zeros(300, np.uint32)])
+    for q in sorted({u.q for u in of_items}):
+        matches += d._matches(d.Index(q, [u for u in of_items if u.q == q]), codes)
+    assert {(u.item, u.offset, len(u.codes)) for u, *_ in matches} == want and want
+    for unit, start, stop, edits in matches:
+        stretch = "".join(map(chr, codes[start:stop]))
+        assert distance([chr(c) for c in unit.codes], stretch) <= edits <= unit.edits
