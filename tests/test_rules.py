@@ -199,3 +199,20 @@ def test_bulk_evidence_takes_paths_of_the_whole_window(spark):
     reads = files(spark, [(f"/r/f{i}.py", border - 400 + i) for i in range(399)] + [("/r/last.py", border + 5)])
     hits = rules.bulk_reads(reads, P).filter(F.col("ts") == border + 5).select("samples").collect()
     assert [len(set(r.samples.split("\n"))) for r in hits] == [5]
+
+
+def test_samples_are_taken_of_reported_bulk_reads_alone(spark, profiles, monkeypatch):
+    """Hits that are suppressed need no samples; findings and their evidence are those of samples taken for all."""
+    reads = files(spark, [(f"/r/f{i}.py", NOW + i) for i in range(240)] + [(f"/r/f{i}.py", NOW + 1000 + i) for i in range(240)])
+    tables = {"file_events": reads, "volumes": volumes(spark, [(NOW + 5000, 30 << 20)]), "connections": connections(spark, [])}
+    shown = lambda found: sorted((f.rule_id, f.ts, f.dedupe_key, f.detail, str(f.evidence)) for f in found.collect())
+    expected = shown(rules.all_findings(tables, profiles, P, bulk=rules.bulk_reads(reads, P)))
+    taken, with_samples = [], rules.with_samples
+
+    def counted(bulk, *rest):
+        taken.append(bulk.count())
+        return with_samples(bulk, *rest)
+
+    monkeypatch.setattr(rules, "with_samples", counted)
+    assert shown(rules.all_findings(tables, profiles, P)) == expected
+    assert rules.bulk_counts(reads, P).count() == 281 and sorted(taken) == [8, 41]

@@ -178,10 +178,11 @@ def all_findings(spark, sf_dir):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The telemetry tables, as collectors leave them: the rules read each several times."""
     return {
-        "connections": T.connections(spark, sf_dir),
-        "volumes": T.volumes(spark, sf_dir),
-        "file_events": T.file_events(spark, sf_dir),
+        "connections": landed(spark, sf_dir, "connections", lambda: T.connections(spark, sf_dir)),
+        "volumes": landed(spark, sf_dir, "volumes", lambda: T.volumes(spark, sf_dir)),
+        "file_events": landed(spark, sf_dir, "file_events", lambda: T.file_events(spark, sf_dir)),
         "http_requests": http_requests(spark, sf_dir),
     }
 

@@ -176,13 +176,17 @@ def read_signal_sessions(signals: DataFrame, gap_ms: int, max_evidence: int = 8)
     totals = keyed.groupBy("agent_id", "session_start").agg(
         F.max("ts").alias("anchor_ts"), F.count(F.lit(1)).alias("signals")
     )
-    return totals.join(session_evidence(keyed, max_evidence), ["agent_id", "session_start"])
+    return totals.join(session_evidence(session_heads(keyed, max_evidence)), ["agent_id", "session_start"])
 
 
-def session_evidence(keyed: DataFrame, max_evidence: int) -> DataFrame:
-    """First evidences of each (agent, session_start); ranks are cut before the shuffle."""
+def session_heads(keyed: DataFrame, max_evidence: int) -> DataFrame:
+    """First signals of each (agent, session_start) with ``_rank``; ranks are cut before the shuffle."""
     order = Window.partitionBy("agent_id", "session_start").orderBy("ts", "seq", "part")
-    head = keyed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_evidence)
+    return keyed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_evidence)
+
+
+def session_evidence(head: DataFrame) -> DataFrame:
+    """The signals of ``session_heads`` as one list per (agent, session_start)."""
     item = F.struct("_rank", "ts", "seq", "part", "kind", "summary", "detail")
     return head.groupBy("agent_id", "session_start").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
 

@@ -19,6 +19,7 @@ from tracewarden.operators.windows import (
     rolling_volume,
     session_cells,
     session_evidence,
+    session_heads,
     window_destinations,
 )
 from tracewarden.params import Params
@@ -246,9 +247,10 @@ def secret_reads(file_events: DataFrame, params: Params) -> DataFrame:
     return _reads(file_events, params).filter(kind == "secret")
 
 
-def sensitive_read_hits(file_events: DataFrame, params: Params) -> DataFrame:
+def sensitive_read_hits(file_events: DataFrame, params: Params, secrets: DataFrame | None = None) -> DataFrame:
     """Reads of credential files."""
-    return _hit(secret_reads(file_events, params).drop("repo_root"), SENSITIVE_READ, F.col("path"))
+    secrets = secret_reads(file_events, params) if secrets is None else secrets
+    return _hit(secrets.drop("repo_root"), SENSITIVE_READ, F.col("path"))
 
 
 def rule_sensitive_read(file_events: DataFrame, params: Params, run: Increment | None = None) -> DataFrame:
@@ -365,26 +367,38 @@ def read_signals(file_events: DataFrame, params: Params, bulk: DataFrame | None
     ``part`` orders the signals one read gives: the secret or git signal, then the bulk signal.
     """
     bulk = bulk_reads(file_events, params) if bulk is None else bulk
+    return _signals(file_events, params, bulk, secret_reads(file_events, params)).drop("repo_root")
+
+
+def _signals(file_events: DataFrame, params: Params, bulk: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Read signals with ``repo_root``; those of bulk reads without ``samples`` have no detail yet, see ``_detailed``."""
     reads = _reads(file_events, params)
     git = rolling_git_reads(reads, params.bulk_read_window_ms, params.slice_ms)
 
     def signal(rows: DataFrame, part: int, kind: str, summary: Column, detail: Column | None = None) -> DataFrame:
         return rows.select(
             "agent_id", "ts", "seq", F.lit(part).alias("part"), F.lit(kind).alias("kind"), summary.alias("summary"),
-            (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
+            (F.lit(None) if detail is None else detail).cast("string").alias("detail"), "repo_root",
         )
 
     return (
-        signal(secret_reads(file_events, params), 0, "file-read", _secret_summary(F.col("path")))
+        signal(secrets, 0, "file-read", _secret_summary(F.col("path")))
         .unionByName(
             signal(
                 git.filter(F.col("git_rows") >= params.git_read_rows), 0, "git-read", _git_summary(F.col("git_rows"), params)
             )
         )
-        .unionByName(signal(bulk, 1, "bulk-read", _bulk_summary(params), F.col("samples")))
+        .unionByName(signal(bulk, 1, "bulk-read", _bulk_summary(params), F.col("samples") if "samples" in bulk.columns else None))
     )
 
 
+def _detailed(heads: DataFrame, file_events: DataFrame, params: Params) -> DataFrame:
+    """The first signals of sessions, those of bulk reads with their samples."""
+    is_bulk = F.col("kind") == "bulk-read"
+    bulk = with_samples(cut_lineage(heads.filter(is_bulk)), file_events, params)
+    return heads.filter(~is_bulk).unionByName(bulk.withColumn("detail", F.col("samples")).drop("samples"))
+
+
 def uploads(volumes: DataFrame, http: DataFrame | None, params: Params) -> DataFrame:
     """Significant uploads: big volume rows, and captures that are sensitive or big."""
     columns = ["agent_id", "ts", "seq", "pid", "bytes_out", "kind"]
@@ -422,13 +436,16 @@ def rule_exfil_chain(
     signals: DataFrame | None = None,
     run: Increment | None = None,
 ) -> DataFrame:
-    # hits and evidence both read the signals: compute them once
-    signals = cut_lineage(read_signals(file_events, params)) if signals is None else signals
+    # hits and evidence both read the signals: compute them once, samples only for those that are shown
+    files = file_events if signals is None else None
+    if signals is None:
+        signals = cut_lineage(_signals(file_events, params, bulk_counts(file_events, params), secret_reads(file_events, params)))
     hits = keep_first(exfil_chain_hits(signals, volumes, http, params), params, run)
-    return _show_exfil_chain(hits, signals, params)
+    return _show_exfil_chain(hits, signals, params, files)
 
 
-def _show_exfil_chain(hits: DataFrame, signals: DataFrame, params: Params) -> DataFrame:
+def _show_exfil_chain(hits: DataFrame, signals: DataFrame, params: Params, file_events: DataFrame | None = None) -> DataFrame:
+    """With ``file_events`` the signals are those of ``_signals``, and the ones shown get their samples here."""
     gap = params.exfil_correlation_ms
     # evidence: the first signals of the session the matched signal belongs to, up to the upload
     cells = session_cells(signals, gap)
@@ -439,7 +456,10 @@ def _show_exfil_chain(hits: DataFrame, signals: DataFrame, params: Params) -> Da
         .join(cells, ["agent_id", "cell"])
         .join(wanted, ["agent_id", "session_start"], "left_semi")
     )
-    heads = session_evidence(keyed, params.evidence_limit).withColumnRenamed("evidence", "_head")
+    heads = session_heads(keyed, params.evidence_limit)
+    if file_events is not None:
+        heads = _detailed(cut_lineage(heads), file_events, params)
+    heads = session_evidence(heads).withColumnRenamed("evidence", "_head")
     return _describe_exfil_chain(hits.join(heads, ["agent_id", "session_start"]))
 
 
@@ -626,13 +646,17 @@ def all_findings(
     if http is not None:
         add(sensitive_payload_hits(http, profiles, params), [SENSITIVE_PAYLOAD], _show_sensitive_payload)
     if files is not None:
-        bulk = cut_lineage(bulk_reads(files, params)) if bulk is None else bulk
-        add(sensitive_read_hits(files, params), [SENSITIVE_READ], _show_sensitive_read)
-        add(bulk_read_hits(bulk, params), [BULK_READ], lambda h: _show_bulk_read(h, params))
+        # samples are taken for what is reported alone: repeats are told by (ts, seq), repository and count
+        bulk = cut_lineage(bulk_counts(files, params)) if bulk is None else bulk
+        secrets = cut_lineage(secret_reads(files, params))
+        add(sensitive_read_hits(files, params, secrets), [SENSITIVE_READ], _show_sensitive_read)
+        sampled = "samples" in bulk.columns
+        add(bulk_read_hits(bulk, params), [BULK_READ], lambda h: _show_bulk_read(h if sampled else with_samples(h, files, params), params))
         if volumes is not None:
-            signals = cut_lineage(read_signals(files, params, bulk)) if signals is None else signals
+            detailed = sampled or signals is not None
+            signals = cut_lineage(_signals(files, params, bulk, secrets)) if signals is None else signals
             found = exfil_chain_hits(signals, volumes, http, params)
-            add(found, [EXFIL_CHAIN], lambda h: _show_exfil_chain(h, signals, params))
+            add(found, [EXFIL_CHAIN], lambda h: _show_exfil_chain(h, signals, params, None if detailed else files))
     if artifacts is not None:
         add(artifact_hits(artifacts), [HIDDEN_BLOB, UNEXPECTED_ENDPOINT], _show_artifacts)
 

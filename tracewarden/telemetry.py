@@ -131,8 +131,10 @@ def http_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured requests before classification; the source port is unique per process and day."""
     bodies = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = bodies.count()
-    rows = _with_page_host(base(spark, sf_dir, "error"), spark, sf_dir)
-    rows = rows.withColumn("doc_id", F.col("seq") % count).join(bodies, "doc_id")
+    rows = _with_page_host(base(spark, sf_dir, "error"), spark, sf_dir).withColumn("doc_id", F.col("seq") % count)
+    # what reads the bodies is bound by CPU, not by size: the rows are dealt out before they carry them
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "doc_id").join(bodies, "doc_id")
     return rows.select(
         "seq", "ts", "pid", "agent_id",
         (F.lit(1024) + F.col("pid") % 60000).cast("int").alias("src_port"),
