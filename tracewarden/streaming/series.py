@@ -56,54 +56,92 @@ def incremental_scan(inventory: DataFrame, previous: DataFrame) -> tuple[DataFra
     return changed, inventory.select(*stamp)
 
 
+SEEN = "scan_ts bigint, agents array<string>, paths array<string>, sizes array<bigint>, mtimes array<bigint>"
+
+
 class Snapshot(StatefulProcessor):
-    """The last scan's view of one file."""
+    """The last scan's view of one bucket of files, by the scan that saw a file last: its state is read and written once a batch."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "scan_ts bigint, size bigint, mtime bigint")
+        self.scans = handle.getMapState("scans", "scan_ts bigint", SEEN)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = sorted(r for frame in rows for r in frame[["scan_ts", "size", "mtime"]].itertuples(index=False, name=None))
-        seen, out = self.seen.get(), []
-        seen = None if seen is None else tuple(seen)
-        if seen is not None and seen[0] < min(found[-1][0], timerValues.getCurrentWatermarkInMs()):
-            out.append((*key, *seen, "vanished"))  # a scan in between came without it
-            seen = None
-        for scan_ts, size, mtime in found:
-            if seen is not None and scan_ts < seen[0]:
-                continue  # an older scan that came late
-            if seen is None or seen[1:] != (size, mtime):
-                out.append((*key, scan_ts, size, mtime, "new" if seen is None else "changed"))
-            seen = (scan_ts, size, mtime)
-        self.seen.update(seen)
-        self.handle.registerTimer(seen[0] + 1)
+        arrived: dict[tuple, list[tuple]] = {}
+        for frame in rows:
+            columns = [frame[c].tolist() for c in ("agent_id", "path", "scan_ts", "size", "mtime", "missing")]
+            for agent, path, *scan in zip(*columns, strict=True):
+                arrived.setdefault((_known(agent), _known(path)), []).append(scan)
+        scans: dict[int, dict[tuple, tuple]] = {}
+        held: dict[tuple, tuple] = {}
+        for (at,), (_, *columns) in list(self.scans.iterator()):
+            scans[at] = {(agent, path): (size, mtime) for agent, path, size, mtime in zip(*columns, strict=True)}
+            held.update((file, (at, *stamp)) for file, stamp in scans[at].items() if file in arrived)
+        changed, out = set(), []
+        for file, found in arrived.items():
+            found = [(ts, None if missing & 1 else size, None if missing & 2 else mtime) for ts, size, mtime, missing in sorted(found)]
+            before = seen = held.get(file)
+            if seen is not None and seen[0] < min(found[-1][0], timerValues.getCurrentWatermarkInMs()):
+                out.append((*file, *seen, "vanished"))  # a scan in between came without it
+                seen = None
+            for scan_ts, size, mtime in found:
+                if seen is not None and scan_ts < seen[0]:
+                    continue  # an older scan that came late
+                if seen is None or seen[1:] != (size, mtime) or size is None or mtime is None:
+                    out.append((*file, scan_ts, size, mtime, "new" if seen is None else "changed"))
+                seen = (scan_ts, size, mtime)
+            if before is not None:
+                del scans[before[0]][file]
+                changed.add(before[0])
+            scans.setdefault(seen[0], {})[file] = seen[1:]
+            changed.add(seen[0])
+        for at in sorted(changed):
+            if files := scans[at]:
+                agents, paths = zip(*files, strict=True)
+                sizes, mtimes = zip(*files.values(), strict=True)
+                self.scans.updateValue((at,), (at, list(agents), list(paths), list(sizes), list(mtimes)))
+                self.handle.registerTimer(at + 1)
+            elif self.scans.containsKey((at,)):
+                self.scans.removeKey((at,))
         if out:
-            yield pd.DataFrame(out, columns=CHANGE_FIELDS)
+            yield pd.DataFrame(out, columns=CHANGE_FIELDS, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()
-        if seen is not None and seen[0] + 1 == expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
-            yield pd.DataFrame([(*key, *seen, "vanished")], columns=CHANGE_FIELDS)
+        at = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
+        if self.scans.containsKey(at):
+            scan_ts, *columns = self.scans.getValue(at)
+            self.scans.removeKey(at)
+            out = [(agent, path, scan_ts, size, mtime, "vanished") for agent, path, size, mtime in zip(*columns, strict=True)]
+            yield pd.DataFrame(out, columns=CHANGE_FIELDS, dtype=object)
+
+
+def _known(name):
+    """A name as the state returns it: a missing one is None, however its frame wrote it."""
+    return name if isinstance(name, str) else None
 
 
 CHANGES = "agent_id string, path string, scan_ts bigint, size bigint, mtime bigint, change string"
 CHANGE_FIELDS = [part.split()[0] for part in CHANGES.split(", ")]
 
 
-def stream_inventory(inventories: DataFrame, out_path: str, checkpoint: str, delay_ms: int = 0, trigger: dict | None = None) -> StreamingQuery:
+def stream_inventory(
+    inventories: DataFrame, out_path: str, checkpoint: str, delay_ms: int = 0, trigger: dict | None = None, buckets: int = 256
+) -> StreamingQuery:
     """Changes between scans: a stream of inventory rows (agent_id, path, size, mtime, scan_ts), read by ``inventory_changes``.
 
-    The snapshot is in keyed state, one entry per file. A file whose time or size differs is ``changed``, one that was
+    The snapshot is in keyed state, by bucket of files: give as many ``buckets`` as let a task hold one of them; their number
+    is fixed by the checkpoint. A file whose time or size differs is ``changed``, one that was
     not there ``new``. When the watermark passes the scan that saw a file last, a later scan has come without it: it
     ``vanished``, with the scan that saw it last. ``delay_ms`` is how long the rows of one scan may take to arrive.
     """
-    columns = [F.col(c) for c in ("agent_id", "path", "scan_ts", "size", "mtime")]
-    changes = timed(inventories, F.col("scan_ts"), delay_ms, columns).groupBy("agent_id", "path").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("agent_id", "path"), F.lit(buckets)).cast("int").alias("bucket")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)  # noqa: E731  a null would make a frame's numbers floats
+    missing = (F.col("size").isNull().cast("int") + 2 * F.col("mtime").isNull().cast("int")).alias("missing")
+    columns = [bucket, F.col("agent_id"), F.col("path"), F.col("scan_ts"), zero("size"), zero("mtime"), missing]
+    changes = timed(inventories, F.col("scan_ts"), delay_ms, columns).groupBy("bucket").transformWithStateInPandas(
         Snapshot(), CHANGES, "append", "eventTime"
     )
     return start(changes, folder_sink(f"{out_path.rstrip('/')}/changes"), checkpoint, trigger)
