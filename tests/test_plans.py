@@ -218,6 +218,26 @@ def test_rate_limit_stream(spark, tmp_path):
     assert detect.rate_limited(spark, str(tmp_path / "out"), frame.schema, "late").count() == 0
 
 
+def test_rate_limit_of_processes_in_one_bucket(spark, tmp_path):
+    rows = [(i, 1000 + i * 7 % 1000, i % 5 or None, "/p", None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "seq long, ts long, pid long, path string, sensitivity string")
+    folder = str(tmp_path / "in")
+    frame.unionByName(spark.createDataFrame([(None, 10**8, None, None, None)], frame.schema)).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(frame.schema).parquet(folder)
+    detect.stream_rate_limit(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), 3, buckets=1).awaitTermination()
+    got = detect.rate_limited(spark, str(tmp_path / "out"), frame.schema)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, windows.rate_limit_reads(frame, 3).collect()))
+
+
+def test_hits_of_single_rows_are_dealt_to_parts(spark):
+    """A hit that needs no window leaves the agent's own part, which keeps every row once."""
+    rows = events(spark, 400)
+    facts = detect._facts(rows, load_profiles(spark), PARAMS, 0, None)
+    assert facts.filter("part = 0").count() == rows.count() and facts.filter("part = 0 and rule_id != ''").count() == 0
+    hits = facts.filter("part > 0")
+    assert hits.select("part").distinct().count() > 1 and hits.filter("flags != 0 or rule_id = ''").count() == 0
+
+
 def test_rate_limit_lists_late_rows(spark, tmp_path):
     frame = spark.createDataFrame([(1, 9000, 1, "/a", None), (2, 1000, 1, "/b", "secret"), (3, 9100, 1, "/c", None)], "seq long, ts long, pid long, path string, sensitivity string")
     folder = str(tmp_path / "in")

@@ -115,6 +115,24 @@ def test_inventory_stream(spark, tmp_path):
     ]
 
 
+def test_inventory_stream_shares_state_by_bucket(spark, tmp_path):
+    """Files of one bucket keep their own scans, big numbers stay whole beside missing ones."""
+    folder, out, stamp = str(tmp_path / "in"), str(tmp_path / "out"), 1_760_000_000_000_000_001
+    schema = "agent_id string, path string, size bigint, mtime bigint, scan_ts bigint"
+    for at in (100, 200):
+        rows = [("x", "a", 1, stamp, at), (None, "a", 1, stamp + at, at), ("x", "b", None, stamp, at)]
+        spark.createDataFrame(rows[: 3 if at == 100 else 2], schema).coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([("x", "end", 1, 1, 300)], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    series.stream_inventory(stream, out, str(tmp_path / "ckpt"), buckets=1).awaitTermination()
+    got = {tuple(r) for r in series.inventory_changes(spark, out).filter("path != 'end'").collect()}
+    assert got == {
+        ("x", "a", 100, 1, stamp, "new"), (None, "a", 100, 1, stamp + 100, "new"), ("x", "b", 100, None, stamp, "new"),
+        (None, "a", 200, 1, stamp + 200, "changed"), ("x", "b", 100, None, stamp, "vanished"),
+        ("x", "a", 200, 1, stamp, "vanished"), (None, "a", 200, 1, stamp + 200, "vanished"),
+    }
+
+
 def test_a_batch_written_again_adds_nothing(spark, tmp_path):
     sink = folder_sink(str(tmp_path / "alerts"))
     batch = spark.createDataFrame([(1,), (2,)], "id long")
