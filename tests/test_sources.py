@@ -1,12 +1,15 @@
 import base64
 import gzip
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracewarden import schemas
+from tracewarden.catalog import payloads
 from tracewarden.operators import joins
 from tracewarden.params import GLOBAL_ALLOWED_DOMAINS
 from tracewarden.sources import audit, captures, inventory, listings, profiles, tables
@@ -348,3 +351,43 @@ def test_a_big_file_is_read_by_many_tasks(spark, tmp_path):
         assert head["big.bin"] == pytest.approx(inventory.bits_per_byte(data[:sample]), abs=1e-6)
     plan = inventory.entropy_of_file(files, range_bytes=1000)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(path" in plan and "REPARTITION_BY_NUM" in plan
+
+
+# --- memory beside a batch ------------------------------------------------------------------
+
+TEXTS = [random.Random(n).randbytes(300_000).hex("-", 4).encode() for n in range(80)]
+
+
+@pytest.fixture
+def arrow_functions(monkeypatch):
+    """The functions handed to arrow_udf from here on; they can be called without Spark."""
+    made, make = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda run: made.append(run) or make(kind)(run))
+    return made
+
+
+def in_steps(run, batch):
+    """The results of one batch of 20 MB and more, of which only some may be held at once."""
+    out = []
+    tracemalloc.start()
+    try:
+        for part in run(iter([batch])):
+            out.append(part)
+            assert part.nbytes < 12 << 20
+            del part
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    return pa.concat_arrays(out)
+
+
+def test_inflating_holds_little_beside_its_batch(spark, arrow_functions):
+    packed = in_steps(payloads.packed.func, pa.array(TEXTS))
+    assert packed.nbytes > 20 << 20
+    frame = spark.createDataFrame([(bytearray(PACKED),), (None,), (bytearray(b"plain"),)], "b binary")
+    assert [r.inflated for r in captures.decompress_prefix(frame, "b").collect()] == [gzip.decompress(PACKED), None, None]
+    assert in_steps(arrow_functions[-1], packed).to_pylist() == TEXTS
+    assert [len(r.inflated or b"") for r in captures.decompress_prefix(frame, "b", limit_bytes=9).collect()] == [9, 0, 0]
+    captures.unwrap(F.col("b"))
+    peeled = in_steps(arrow_functions[-1], packed)
+    assert peeled.field("body").to_pylist() == TEXTS and peeled.field("layers").to_pylist() == [["gzip"]] * len(TEXTS)

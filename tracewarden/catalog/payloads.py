@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -16,6 +18,7 @@ from tracewarden.catalog.oracle import (
 )
 from tracewarden.catalog.registry import query
 from tracewarden.functions import fmt, globs, net, paths, payload
+from tracewarden.session import in_arrays, values_of
 from tracewarden.sources import listings
 from tracewarden.sources.captures import classify_payload, decompress_prefix, tar_entries
 
@@ -24,10 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.documents(spark, sf_dir).withColumn("body", F.col("text").cast("binary"))
 
 
-@F.pandas_udf(BinaryType())
-def packed(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Gzip form of landed texts: the input of the unwrapping queries."""
-    return texts.map(lambda t: gzip.compress(t, 1, mtime=0))
+    return in_arrays((gzip.compress(t, 1, mtime=0) for t in values_of(texts)), len, pa.binary())
 
 
 @F.pandas_udf(BinaryType())

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -110,3 +111,17 @@ def in_portions(items: Iterable, size_of: Callable[[object], int], limit: int =
             part, held = [], 0
     if part:
         yield part
+
+
+#: Bytes of results that one Arrow batch may hold where values are taken one at a time.
+BATCH_BYTES = 8 << 20
+
+
+def values_of(batches: Iterable[pa.Array]) -> Iterator:
+    """The values of Arrow batches as Python objects, one at a time, so that only the batch itself is held whole."""
+    return (value.as_py() for batch in batches for value in batch)
+
+
+def in_arrays(items: Iterable, size_of: Callable[[object], int], kind: pa.DataType) -> Iterator[pa.Array]:
+    """What an Arrow function returns, in batches of bounded bytes."""
+    return map(lambda part: pa.array(part, kind), in_portions(items, size_of, BATCH_BYTES))
