@@ -391,3 +391,13 @@ def test_inflating_holds_little_beside_its_batch(spark, arrow_functions):
     captures.unwrap(F.col("b"))
     peeled = in_steps(arrow_functions[-1], packed)
     assert peeled.field("body").to_pylist() == TEXTS and peeled.field("layers").to_pylist() == [["gzip"]] * len(TEXTS)
+
+
+def test_listing_tars_holds_little_beside_its_batch(spark, arrow_functions):
+    names = pa.array([f"docs/{n}.txt" for n in range(len(TEXTS))])
+    tars = in_steps(lambda batches: payloads.tarred.func((names, texts) for texts in batches), pa.array(TEXTS))
+    assert tars.nbytes > 40 << 20
+    assert tars[7].as_py().replace(b"ustar", bytes(5)) == tar_of([("docs/7.txt", TEXTS[7]), ("docs/7.txt.bak", TEXTS[7])])
+    frame = spark.createDataFrame([(bytearray(tar_of([("a", b"x")])),), (None,), (bytearray(512),)], "b binary")
+    assert [r.entries for r in captures.tar_entries(frame, "b").collect()] == [["a"], [], []]
+    assert in_steps(arrow_functions[-1], tars).to_pylist() == [[n, n + ".bak"] for n in names.to_pylist()]

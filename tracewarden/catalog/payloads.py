@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +32,20 @@ def packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     return in_arrays((gzip.compress(t, 1, mtime=0) for t in values_of(texts)), len, pa.binary())
 
 
-@F.pandas_udf(BinaryType())
-def tarred(names: pd.Series, bodies: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def tarred(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """A tar of two entries per row."""
 
-    def entry(name: str, body: bytes) -> bytes:
+    def entry(name: str, body: bytes) -> list[bytes]:
         header = bytearray(512)
         header[: len(name)] = name.encode()
         header[124:136] = b"%011o\0" % len(body)
         header[257:262] = b"ustar"
-        return bytes(header) + body + b"\0" * (-len(body) % 512)
+        return [bytes(header), body, b"\0" * (-len(body) % 512)]
 
-    return pd.Series([entry(n, b) + entry(n + ".bak", b) + b"\0" * 1024 for n, b in zip(names, bodies)])
+    rows = ((n.as_py(), b.as_py()) for names, bodies in batches for n, b in zip(names, bodies))
+    tars = (b"".join([*entry(n, b), *entry(n + ".bak", b), b"\0" * 1024]) for n, b in rows)
+    return in_arrays(tars, len, pa.binary())
 
 
 # --- payload classification -----------------------------------------------------------------
