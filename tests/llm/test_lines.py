@@ -124,3 +124,23 @@ def test_long_lines_need_two_texts(spark):
     numbers = " ".join(str(i) for i in range(60))
     texts = [f"{long}\n{short}\n{numbers}\nfirst", f"{long}\n{short}\n{numbers}\nsecond", "third"]
     assert dropped(spark, texts) == {0: 1, 1: 1, 2: 0}
+
+
+def test_lines_are_parsed_once(spark):
+    parsed = lines._parsed(spark.createDataFrame([("a",)], "text string"), "text", 3, 4)
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("RLIKE") == 1
+
+
+def test_parsed_lines_are_their_masked_tokens(spark):
+    odd = ["", " ", "a", " a  b ", "a\tb\r", "a\x0bb\x0cc", "x:y :// a://b ://", "5 a5 5a a@b <*> <*><*>", "\u00a0 \u2003a\x85b c", "a  b c  d5 ", "\u0665 é:1 \U0001f600 :", "<*> b c", "5 b c", "b b c", "a b  c", "a b\tc"]
+    text = "\n".join([*odd, *(f"{a} {b}" for a in odd for b in odd)])
+    for least in (0, 1, 4):
+        got = lines._parsed(spark.createDataFrame([(text,), (None,)], "text string"), "text", 3, least).collect()
+        want = {i: masked(line) for i, line in enumerate(text.split("\n"))}
+        want = {i: tokens for i, tokens in want.items() if len(tokens) >= least}
+        assert {r["number"]: (r["words"], r["size"], r["masked"]) for r in got} == {
+            i: (sum(x != "<*>" for x in tokens), len(tokens), " ".join(tokens)) for i, tokens in want.items()
+        }
+        number_of = {r["number"]: (r["leaf"], r["line"]) for r in got}
+        assert len({line for _, line in number_of.values()}) == len(set(want.values()))
+        assert len({leaf for leaf, _ in number_of.values()}) == len({(len(tokens), tokens[:3]) for tokens in want.values()})

@@ -15,7 +15,8 @@ Lines of a recurring template are dropped from every document; copies of one tex
 
 Counting goes over (leaf, line, text) combinations, combined before the shuffle, so a line that stands in a third of
 all documents is one row per text until it is a number. Only leaves with enough texts are compared position by position,
-on distinct lines and hashed tokens.
+on distinct lines and hashed tokens. Until then a line is one string of masked tokens with single blanks between them:
+equal strings are equal tokens, blanks count tokens, and no line is split into tokens that is not compared.
 
 Edge cases: a null text stays null with 0 lines; lines of fewer than ``min_tokens`` tokens are never dropped; an empty
 text has one (empty) line; rows that repeat are cleaned alike; an empty table gives an empty result; other
@@ -31,7 +32,9 @@ from tracewarden.llm.common import shield
 from tracewarden.session import cut_lineage
 
 #: Shapes of variable fields.
-VARIABLE = r"\S*?(?:[0-9@]|://)\S*"
+VARIABLE = r"(?<!\S)\S*?(?:[0-9@]|://)\S*"
+#: Lines without any of these hold only words and blanks; one class of single characters is the quickest pattern.
+SUSPECT = "[0123456789@:\t\r\f\x0b]"
 #: Shares of a leaf's lines below which a token counts as a variable field.
 LEVELS = (0.0, 0.02, 0.1, 0.4)
 #: Leaves to compare position by position are broadcast up to this number (8 bytes each), and joined beyond it.
@@ -42,27 +45,38 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens with variable fields masked; lines that hold only words and blanks are split as they are."""
-    masked = F.regexp_replace(F.translate(line, "\t\r\f\x0b", "    "), VARIABLE, "<*>")
-    return F.array_remove(F.split(F.when(line.rlike("[0-9@\t\r\f\x0b]|://"), masked).otherwise(line), " "), "")
+def _masked(text: Column) -> Column:
+    """The lines of a text, of each its tokens with variable fields masked and single blanks between them, and their number.
+
+    Each step is a ``transform`` of its own below the generator, so that no filter on the result works it out again.
+    """
+    words = F.transform(lines(text), lambda x: F.when(
+        x.rlike(SUSPECT), F.regexp_replace(F.translate(x, "\t\r\f\x0b", "    "), VARIABLE, "<*>")
+    ).otherwise(x))
+    single = F.transform(words, lambda x: F.trim(F.when(x.contains("  "), F.regexp_replace(x, " +", " ")).otherwise(x)))
+    blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    return F.transform(single, lambda x: F.struct(x.alias("masked"), F.when(x == "", 0).otherwise(blanks(x) + 1).alias("size")))
 
 
 def _parsed(docs: DataFrame, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(text_hash, number, leaf, line, words, tokens) of the lines long enough; words counts the fixed tokens."""
+    """(text_hash, number, leaf, line, words, size, masked) of the lines long enough; words counts the fixed tokens."""
     text = F.col(f"`{text_col}`")
-    exploded = docs.select(F.xxhash64(text).alias("text_hash"), F.posexplode(lines(text)).alias("number", "raw"))
-    tokens = exploded.select("text_hash", "number", _tokens(F.col("raw")).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    path = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    words = F.size(F.array_remove("tokens", "<*>"))
-    return tokens.select("text_hash", "number", path.alias("leaf"), F.xxhash64("tokens").alias("line"), words.alias("words"), "tokens")
+    exploded = docs.select(F.xxhash64(text).alias("text_hash"), F.posexplode(_masked(text)).alias("number", "of"))
+    masked, size = F.col("of.masked"), F.col("of.size")
+    path = F.xxhash64(size, F.substring_index(masked, " ", depth))
+    fixed = F.size(F.array_remove(F.split(masked, " "), "<*>"))
+    words = F.when(masked.contains("<*>"), fixed).otherwise(size)
+    return exploded.filter(size >= min_tokens).select(
+        "text_hash", "number", path.alias("leaf"), F.xxhash64(masked).alias("line"), words.alias("words"), size.alias("size"),
+        masked.alias("masked"),
+    )
 
 
 def recurring(
     parsed: DataFrame, keys: DataFrame, depth: int, min_docs: int, similarity: float, long_tokens: int
 ) -> tuple[DataFrame, DataFrame]:
     """Masked lines (leaf, line) that are templates, and lines of generalised ones (leaf, line, template). ``keys`` is
-    ``parsed`` without tokens."""
+    ``parsed`` without the lines themselves."""
     once = cut_lineage(keys.groupBy("leaf", "line", "text_hash").agg(F.max("words").alias("words")))
     per_line = cut_lineage(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.max("words").alias("words")))
     needed = F.when(F.col("words") >= long_tokens, min(2, min_docs)).otherwise(min_docs)
@@ -75,9 +89,9 @@ def recurring(
     open_leaves = cut_lineage(likely.join(enough, "leaf", "left_semi"))
     if open_leaves.count() <= BROADCAST_LEAVES:
         open_leaves = F.broadcast(open_leaves)
-    hashed = F.transform(F.slice("tokens", depth + 1, 1 << 30), lambda t: F.xxhash64(t))
-    shapes = parsed.join(open_leaves.select("leaf"), "leaf", "left_semi").select("leaf", "line", hashed.alias("rest"))
-    shapes = shapes.groupBy("leaf", "line").agg(F.first("rest").alias("rest")).filter(F.size("rest") > 0)
+    hashed = F.transform(F.slice(F.split("masked", " "), depth + 1, 1 << 30), lambda t: F.xxhash64(t))
+    shapes = parsed.filter(F.col("size") > depth).join(open_leaves.select("leaf"), "leaf", "left_semi").select("leaf", "line", "masked")
+    shapes = shapes.groupBy("leaf", "line").agg(F.first("masked").alias("masked")).select("leaf", "line", hashed.alias("rest"))
     shapes = cut_lineage(shapes.join(per_line.select("leaf", "line", "texts"), ["leaf", "line"]))
     cells = shapes.select("leaf", "line", "texts", F.posexplode("rest").alias("position", "token"))
     counts = cut_lineage(
@@ -108,11 +122,11 @@ def recurring(
 def templates(docs: DataFrame, text_col: str = "text", depth: int = 3, min_tokens: int = 4, min_docs: int = 5, similarity: float = 0.7, long_tokens: int = 50) -> DataFrame:
     """(template, variants): the recurring templates as text, for reading."""
     parsed = _parsed(docs, text_col, depth, min_tokens)
-    keys = cut_lineage(parsed.drop("tokens"))
+    keys = cut_lineage(parsed.drop("size", "masked"))
     fixed, general = recurring(parsed, keys, depth, min_docs, similarity, long_tokens)
-    shown = parsed.join(fixed, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    exact = shown.select(F.array_join("tokens", " ").alias("template"), F.lit(1).cast("long").alias("variants"))
-    positions = parsed.join(general, ["leaf", "line"]).select("template", "line", F.posexplode("tokens").alias("position", "token"))
+    shown = parsed.join(fixed, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("template"))
+    exact = shown.select("template", F.lit(1).cast("long").alias("variants"))
+    positions = parsed.join(general, ["leaf", "line"]).select("template", "line", F.posexplode(F.split("masked", " ")).alias("position", "token"))
     merged = positions.groupBy("template", "position").agg(
         F.when(F.min("token") == F.max("token"), F.min("token")).otherwise("<*>").alias("token"), F.count_distinct("line").alias("variants")
     )
@@ -130,7 +144,7 @@ def drop_recurring_lines(
     """The documents without the lines of recurring templates, with ``n_lines`` and ``n_dropped``."""
     rows, own, kept = shield(docs, ("n_lines", "n_dropped"))
     parsed = _parsed(docs, text_col, depth, min_tokens)
-    keys = cut_lineage(parsed.drop("tokens"))
+    keys = cut_lineage(parsed.drop("size", "masked"))
     fixed, general = recurring(parsed, keys, depth, min_docs, similarity, long_tokens)
     gone = cut_lineage(fixed.unionByName(general.select("leaf", "line")).distinct())
     dropped = (
